@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import secrets, sharding
+from symgraph.llm import bpe, secrets, sharding, simhash
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -17,9 +17,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.describe(base), 256).alias("base_sha256"), secrets.describe(F.col("secret_spans")).alias("spans"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids")
+    return bpe.decode(encoded).select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op10_sharding": op10_sharding}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op5_simhash": op5_simhash, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
