@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, secrets, sharding, simhash
+from symgraph.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -17,11 +17,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.describe(base), 256).alias("base_sha256"), secrets.describe(F.col("secret_spans")).alias("spans"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each passage that a document holds; clean documents have none."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks")).select("doc_id", F.col("item").alias("item_id"), "edits")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model).select("doc_id", F.col("toxicity").alias("score"))
+    return scored.select("doc_id", (~toxicity.in_training_fold(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids")
     return bpe.decode(encoded).select(
@@ -37,4 +50,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op5_simhash": op5_simhash, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
