@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity
+from symgraph.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity, warc
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -35,6 +35,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.in_training_fold(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write_archives(pages))
+    return warc.read_captures(pages, index)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids")
     return bpe.decode(encoded).select(
@@ -50,4 +56,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
