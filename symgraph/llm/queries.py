@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity, warc
+from symgraph.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity, vectors, warc
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -23,6 +23,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("leaks")).select("doc_id", F.col("item").alias("item_id"), "edits")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -56,4 +60,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}

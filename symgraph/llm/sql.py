@@ -32,4 +32,20 @@ def _secrets() -> str:
     GROUP BY d.doc_id"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets()}
+EMBEDDINGS = """
+    WITH RECURSIVE good AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    link AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach(x, y) AS (
+        SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+    degree AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+    SELECT r.x AS vec_id, coalesce(any_value(d.n), 0) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+    FROM reach r LEFT JOIN degree d ON r.x = d.x GROUP BY r.x"""
+
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS}
