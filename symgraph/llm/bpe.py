@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def default_vocabulary() -> str:
@@ -35,23 +35,45 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Tables for one vocabulary file; built once in each Python worker."""
+class Decoder:
+    """All tokens' bytes in one run, and where each begins."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        letters = _byte_letters()
+        size = 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])])
+        self.bytes_of: list[bytes] = [b""] * size
+        for t, i in spec["model"]["vocab"].items():
+            self.bytes_of[i] = bytes(letters[c] for c in t)
+        for a in spec["added_tokens"]:
+            self.bytes_of[a["id"]] = a["content"].encode()
+        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def decode(self, packed: bytes) -> str:
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
+        if not len(ids):
+            return ""
+        starts = self.offsets[ids]
+        lengths = self.offsets[ids + 1] - starts
+        ends = np.cumsum(lengths)
+        where = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
+        return self.blob[where].tobytes().decode("utf-8", "replace")
+
+
+class Codec(Decoder):
+    """Tables for encoding with one vocabulary file; built once in each Python worker."""
 
     def __init__(self, path: str):
         import ahocorasick
         import regex
 
+        super().__init__(path)
         spec = json.load(open(path, encoding="utf-8"))
         letters = _byte_letters()
         raw = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"]}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        size = 1 + max([*spec["model"]["vocab"].values(), *self.special.values()])
-        self.bytes_of: list[bytes] = [b""] * size
-        for t, i in spec["model"]["vocab"].items():
-            self.bytes_of[i] = raw[t]
-        for t, i in self.special.items():
-            self.bytes_of[i] = t.encode()
+        size = len(self.bytes_of)
         ids = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         #: pair -> (rank, merged id); halves and rank of each merged token.
@@ -70,9 +92,6 @@ class Codec:
         # Fixed value: the split that byte-level vocabularies of this kind are made with.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.seen: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
@@ -102,7 +121,7 @@ class Codec:
             else:
                 # An equal rank further left wins, so the right token's own merge counts as later.
                 top, b = rb + 1, self.halves[b][0]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 200_000:
             self.fits.clear()
         self.fits[key] = ok
         return ok
@@ -170,22 +189,17 @@ class Codec:
                 out.append(got)
         return b"".join(out)
 
-    def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<u4").astype(np.int64)
-        if not len(ids):
-            return ""
-        starts = self.offsets[ids]
-        lengths = self.offsets[ids + 1] - starts
-        ends = np.cumsum(lengths)
-        where = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
-        return self.blob[where].tobytes().decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _map_column(df: DataFrame, source: str, target: str, kind: T.DataType, convert) -> DataFrame:
     """df with one more column, computed batch by batch."""
     schema = T.StructType([*[f for f in df.schema.fields if f.name != target], T.StructField(target, kind)])
@@ -222,7 +236,7 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decod
     path = vocabulary or default_vocabulary()
 
     def start():
-        decoder = codec(path)
-        return lambda ids: decoder.decode(ids or b"")
+        table = decoder(path)
+        return lambda ids: table.decode(ids or b"")
 
     return _map_column(encoded, ids_col, out_col, T.StringType(), start)
