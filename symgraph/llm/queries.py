@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity, vectors, warc
+from symgraph.llm import bpe, decontaminate, extract, secrets, sharding, simhash, toxicity, vectors, warc
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -45,6 +45,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_captures(pages, index)
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids")
     return bpe.decode(encoded).select(
@@ -60,4 +65,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
