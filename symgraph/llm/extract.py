@@ -29,21 +29,16 @@ def _bucket(n: int) -> int:
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold at each block."""
     out = []
-    for i, b in enumerate(blocks):
+    for b in blocks:
         words = b.text.split()
         density = min(4, 4 * b.linked // max(1, len(b.text)))
         own = b.tags[-1] if b.tags else ""
-        inline = [t for t in b.tags[-3:]]
         found = ["bias", f"own:{own}", f"links:{density}", f"words:{_bucket(len(words))}", f"ends:{b.text[-1] in '.!?…。'}", f"own:{own}:links:{density}"]
-        found += {f"in:{t}" for t in b.tags} | {f"name:{n}" for n in b.names} | {f"near:{t}" for t in inline}
+        found += {f"in:{t}" for t in b.tags} | {f"name:{n}" for n in b.names} | {f"near:{t}" for t in b.tags[-3:]}
         if "©" in b.text:
             found.append("copyright")
         if "|" in b.text or "·" in b.text or "»" in b.text:
             found.append("separators")
-        if i == 0:
-            found.append("first")
-        if i == len(blocks) - 1:
-            found.append("last")
         out.append(found)
     return out
 

@@ -118,6 +118,8 @@ class _Maker:
         after = [self.rest(k) for k in ("comments", "aside", "ad", "notice", "form", "nav") if rng.random() < 0.3]
         if rng.random() < 0.85:
             after.append(self.rest("footer"))
+        if rng.random() < 0.1:
+            before, after = [], []
         rng.shuffle(before)
         end = rng.choice(["</body></html>", "</body></html>", ""])
         return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{main}{''.join(after)}{end}"
