@@ -48,4 +48,19 @@ EMBEDDINGS = """
     SELECT r.x AS vec_id, coalesce(any_value(d.n), 0) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
     FROM reach r LEFT JOIN degree d ON r.x = d.x GROUP BY r.x"""
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS}
+LM_SCORE = """
+    WITH lists AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),
+    grams AS (SELECT doc_id, i, w, lag(w, 1) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    c1 AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+    c2 AS (SELECT v, w, count(*) AS c FROM grams WHERE i >= 2 GROUP BY v, w),
+    c3 AS (SELECT u, v, w, count(*) AS c FROM grams WHERE i >= 3 GROUP BY u, v, w),
+    scored AS (
+        SELECT g.doc_id, CASE WHEN i = 1 THEN ln(a.c) - ln((SELECT count(*) FROM words)) WHEN i = 2 THEN ln(b.c) - ln(av.c) ELSE ln(t.c) - ln(bv.c) END AS s
+        FROM grams g LEFT JOIN c1 a ON g.w = a.w LEFT JOIN c1 av ON g.v = av.w LEFT JOIN c2 b ON g.v = b.v AND g.w = b.w
+        LEFT JOIN c2 bv ON g.u = bv.v AND g.v = bv.w LEFT JOIN c3 t ON g.u = t.u AND g.v = t.v AND g.w = t.w)
+    SELECT l.doc_id, CAST(count(s) AS BIGINT) AS n_words, round(coalesce(sum(s), 0.0), 4) AS log_score, round(sum(s) / nullif(count(s), 0), 4) AS mean_log_score
+    FROM lists l LEFT JOIN scored s ON l.doc_id = s.doc_id GROUP BY l.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_lm_score": LM_SCORE, "op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS}
