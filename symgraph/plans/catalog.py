@@ -1,6 +1,521 @@
-"""Registered queries of the reference's own operators, by name, with their comparison SQL."""
+"""Registered queries of the library's own operators, by name, with their comparison SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from symgraph.functions import text as X
+from symgraph.operators import dml, sections, stack, traversal
+from symgraph.operators import html as html_ops
+from symgraph.operators import search as S
+from symgraph.plans import ordergraph as G
+from symgraph.streaming import watch
+from symgraph.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _seed(spark: SparkSession, node: str) -> DataFrame:
+    return spark.createDataFrame([(node,)], "node string")
+
+
+# --- graph ------------------------------------------------------------------
+
+
+@query("graph_stats", f"""
+    WITH {G.NODES_SQL}, {G.EDGES_SQL}
+    SELECT (SELECT count(*) FROM tn) AS total_nodes, (SELECT count(*) FROM te) AS total_edges, (SELECT count(DISTINCT module) FROM tn) AS total_modules,
+           (SELECT CAST(epoch(max(o_orderdate)) AS BIGINT) FROM orders) AS last_scan_epoch""")
+def graph_stats(spark, sf):
+    n = G.nodes(spark, sf).agg(F.count("*").alias("total_nodes"), F.countDistinct("module").alias("total_modules"))
+    e = G.edges(spark, sf).agg(F.count("*").alias("total_edges"))
+    last = table(spark, sf, "orders").agg(F.unix_timestamp(F.max("o_orderdate")).alias("last_scan_epoch"))
+    return n.crossJoin(e).crossJoin(last).select("total_nodes", "total_edges", "total_modules", "last_scan_epoch")  # one row each
+
+
+@query("callers_depth2", G.reach_sql("SELECT 'part:1', 0", 2, True, ("contains", "placed_by")))
+def callers_depth2(spark, sf):
+    return traversal.bfs(G.edges(spark, sf), _seed(spark, "part:1"), 2, reverse=True, kinds=("contains", "placed_by"))
+
+
+@query("callees_depth2", G.reach_sql("SELECT 'order:1', 0", 2, False, ("contains", "supplied_by")))
+def callees_depth2(spark, sf):
+    return traversal.bfs(G.edges(spark, sf), _seed(spark, "order:1"), 2, kinds=("contains", "supplied_by"))
+
+
+@query("impact_depth3", G.reach_sql("SELECT 'nation:3', 0", 3, True))
+def impact_depth3(spark, sf):
+    return traversal.impact(G.edges(spark, sf), _seed(spark, "nation:3"), 3)
+
+
+_CHILD_SEEDS = "SELECT 'region:1' AS node, 0 AS depth UNION ALL SELECT source_id, 0 FROM te WHERE target_id = 'region:1'"
+
+
+@query("impact_counts", f"""
+    SELECT count(*) FILTER (WHERE depth = 1) AS direct_count, count(*) AS transitive_count
+    FROM ({G.reach_sql(_CHILD_SEEDS, 3, True)})""")
+def impact_counts(spark, sf):
+    edges = G.edges(spark, sf)
+    children = edges.where("kind = 'in'").select(F.col("target_id").alias("parent_id"), F.col("source_id").alias("node"))
+    return traversal.impact_counts(traversal.impact(edges, _seed(spark, "region:1"), 3, children))
+
+
+_CYCLE_SQL = """
+    cyc AS (
+        SELECT DISTINCT concat('customer:', o_custkey) AS s, concat('part:', l_partkey) AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+        UNION SELECT DISTINCT concat('part:', l_partkey), concat('supplier:', l_suppkey) FROM lineitem
+        UNION SELECT concat('supplier:', s_suppkey), concat('nation:', s_nationkey) FROM supplier
+        UNION SELECT concat('nation:', c_nationkey), concat('customer:', c_custkey) FROM customer)"""
+
+
+@query("bfs_cyclic", f"""
+    WITH RECURSIVE {_CYCLE_SQL},
+    walk(node, depth) AS (SELECT 'customer:1', 0 UNION SELECT t, depth + 1 FROM walk JOIN cyc ON s = node WHERE depth < 4)
+    SELECT node, min(depth) AS depth FROM walk GROUP BY node HAVING min(depth) > 0""")
+def bfs_cyclic(spark, sf):
+    t = lambda n: table(spark, sf, n)
+    pid = lambda k, c: F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))
+    cyc = (
+        t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(pid("customer", "o_custkey").alias("source_id"), pid("part", "l_partkey").alias("target_id")).distinct()
+        .union(t("lineitem").select(pid("part", "l_partkey"), pid("supplier", "l_suppkey")).distinct())
+        .union(t("supplier").select(pid("supplier", "s_suppkey"), pid("nation", "s_nationkey")))
+        .union(t("customer").select(pid("nation", "c_nationkey"), pid("customer", "c_custkey")))
+    )
+    return traversal.bfs(cyc.withColumn("kind", F.lit("to")), _seed(spark, "customer:1"), 4).select("node", "depth")
+
+
+@query("symbol_detail", f"""
+    WITH {G.NODES_SQL}, {G.EDGES_SQL},
+    i AS (SELECT target_id, string_agg(concat(kind, '<', source_id), ',' ORDER BY kind, source_id) AS l, count(*) AS n FROM te GROUP BY target_id),
+    o AS (SELECT source_id, string_agg(concat(kind, '>', target_id), ',' ORDER BY kind, target_id) AS l, count(*) AS n FROM te GROUP BY source_id)
+    SELECT node, name, kind, module, coalesce(i.l, '') AS edges_in, coalesce(o.l, '') AS edges_out, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out
+    FROM tn LEFT JOIN i ON node = target_id LEFT JOIN o ON node = source_id WHERE kind IN ('supplier', 'part', 'order')""")
+def symbol_detail(spark, sf):
+    edges = G.edges(spark, sf)
+    inward = edges.groupBy(F.col("target_id").alias("ti")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("<"), "source_id"))), ",").alias("edges_in"), F.count("*").alias("n_in"))
+    outward = edges.groupBy(F.col("source_id").alias("so")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(">"), "target_id"))), ",").alias("edges_out"), F.count("*").alias("n_out"))
+    out = G.nodes(spark, sf).where(F.col("kind").isin("supplier", "part", "order")).join(inward, F.col("node") == F.col("ti"), "left").join(outward, F.col("node") == F.col("so"), "left")
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    return out.select("node", "name", "kind", "module", F.coalesce("edges_in", none).alias("edges_in"), F.coalesce("edges_out", none).alias("edges_out"), F.coalesce("n_in", zero).alias("n_in"), F.coalesce("n_out", zero).alias("n_out"))
+
+
+# --- full text --------------------------------------------------------------
+
+
+def _hits_sql(words: list[str]) -> str:
+    if len(words) == 1:
+        return f"len(list_filter(toks, lambda t: t = '{words[0]}'))"
+    return f"len(list_filter(generate_series(1, len(toks) - {len(words) - 1}), lambda k: " + " AND ".join(f"toks[k + {j}] = '{w}'" for j, w in enumerate(words)) + "))"
+
+
+def _bm25_sql(groups: list[list[str]], where: str = "true") -> str:
+    """Groups of space-joined phrases over documents.text; hits are counted in the space-joined token run."""
+    known = sorted({p for g in groups for p in g})
+    hits = [_hits_sql(p.split()) for p in known]
+    cols = ", ".join(f"{h} AS h{i}" for i, h in enumerate(hits))
+    match = " OR ".join("(" + " AND ".join(f"h{known.index(p)} > 0" for p in g) + ")" for g in groups)
+    idf = lambda i: f"greatest(ln((n_docs - n{i} + 0.5) / (n{i} + 0.5)), 1e-6)"
+    score = " + ".join(f"{idf(i)} * (h{i} * 2.2) / (h{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(known)))
+    return f"""
+    WITH d AS (SELECT doc_id, lang, source, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS toks FROM documents),
+    c AS (SELECT doc_id, lang, source, len(toks) AS dl, {cols} FROM d),
+    s AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (WHERE h{i} > 0) AS n{i}' for i in range(len(known)))} FROM c)
+    SELECT doc_id, round(-({score}), 6) AS rank FROM c, s WHERE ({match}) AND {where}"""
+
+
+def _text_query(name: str, text: str, groups: list[list[str]], where=None, where_sql: str = "true"):
+    @query(name, _bm25_sql(groups, where_sql))
+    def run(spark, sf):
+        return S.search(table(spark, sf, "documents"), text, "doc_id", ["text"], where() if where else None, limit=None)
+
+    return run
+
+
+_text_query("search_bm25_single", "tion", [["tion"]])
+_text_query("search_bm25_and", "license* version", [["license", "version"]])
+_text_query("search_bm25_or", "OR tion OR OR edes the OR", [["tion"], ["edes", "the"]])
+_text_query("search_bm25_phrase", "apache_license", [["apache license"]])
+_text_query("search_filtered", "the OR que", [["the"], ["que"]], lambda: (F.col("lang") == "en") & (F.col("source") == "src1"), "lang = 'en' AND source = 'src1'")
+
+
+@query("search_top20", _bm25_sql([["license"]]) + " ORDER BY 2, 1 LIMIT 20")
+def search_top20(spark, sf):
+    return S.search(table(spark, sf, "documents"), "license", "doc_id", ["text"], limit=20)
+
+
+@query("postings_stats", """
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+')) AS term FROM documents)
+    SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term""")
+def postings_stats(spark, sf):
+    return S.postings(table(spark, sf, "documents"), "doc_id", ["text"]).groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("df"))
+
+
+@query("build_context")
+def build_context(spark, sf):
+    nodes = G.nodes(spark, sf)
+    found = S.search(nodes.where("kind = 'supplier'"), "supplier", "node", ["name"], limit=3)
+    ranked = found.withColumn("seed_rank", F.row_number().over(Window.orderBy("rank", "node")) - 1)  # three rows
+    return traversal.build_context(nodes, G.edges(spark, sf).where("kind <> 'contains'"), ranked.select("node", "seed_rank"), max_nodes=20)
+
+
+@query("context_score", f"""
+    WITH {G.NODES_SQL}
+    SELECT node, round(CASE WHEN length(node) % 3 = 0 THEN 10 - length(name) % 10 ELSE 0 END * 3 + 1.0 / (length(node) % 3 + 1)
+        + CASE kind WHEN 'class' THEN 2 ELSE 0 END + CASE WHEN kind = 'order' THEN 3 ELSE 0 END, 6) AS score FROM tn""")
+def context_score(spark, sf):
+    depth = F.length("node") % 3
+    return G.nodes(spark, sf).select("node", F.round(traversal.context_score(F.length("name") % 10, depth, F.col("kind"), F.col("kind") == "order").cast("double"), 6).alias("score"))
+
+
+# --- lookups and joins -------------------------------------------------------
+
+
+@query("name_lookup", "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part) AND p_brand IS NOT NULL")
+def name_lookup(spark, sf):
+    part = table(spark, sf, "part")
+    least = part.agg(F.min("p_name").alias("least"))  # one row
+    return part.join(F.broadcast(least), F.col("p_name") == F.col("least")).where("p_brand is not null").select("p_partkey", "p_name", "p_brand")
+
+
+@query("suffix_match", "SELECT p_partkey, p_name FROM part WHERE ends_with(lower(p_name), 'r') AND p_size IN (1, 5, 9, 20)")
+def suffix_match(spark, sf):
+    return table(spark, sf, "part").where(F.endswith(F.lower("p_name"), F.lit("r")) & F.col("p_size").isin(1, 5, 9, 20)).select("p_partkey", "p_name")
+
+
+@query("unique_or_same_module", """
+    WITH p AS (SELECT p_partkey, p_type AS name, p_brand AS module, count(*) OVER (PARTITION BY p_type) AS n, count(*) OVER (PARTITION BY p_type, p_brand) AS m FROM part)
+    SELECT p_partkey, name, module, CASE WHEN n = 1 THEN 'unique' WHEN m = 1 THEN 'same_module' ELSE 'none' END AS verdict FROM p""")
+def unique_or_same_module(spark, sf):
+    by = lambda *c: F.count("*").over(Window.partitionBy(*c))
+    p = table(spark, sf, "part")
+    verdict = F.when(by("p_type") == 1, "unique").when(by("p_type", "p_brand") == 1, "same_module").otherwise("none")
+    return p.select("p_partkey", F.col("p_type").alias("name"), F.col("p_brand").alias("module"), verdict.alias("verdict"))
+
+
+@query("candidate_strategy_rank", """
+    WITH c AS (
+        SELECT l_orderkey, l_linenumber, p_partkey, CASE WHEN p_size > 25 THEN 0 WHEN p_retailprice > 950 THEN 1 ELSE 2 END AS strategy
+        FROM lineitem JOIN part ON l_partkey = p_partkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY strategy, p_partkey, l_linenumber) AS n FROM c)
+    SELECT l_orderkey, p_partkey, strategy FROM r WHERE n = 1""")
+def candidate_strategy_rank(spark, sf):
+    strategy = F.when(F.col("p_size") > 25, 0).when(F.col("p_retailprice") > 950, 1).otherwise(2)
+    c = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("strategy", strategy)
+    best = c.groupBy("l_orderkey").agg(F.min(F.struct("strategy", "p_partkey", "l_linenumber")).alias("b"))
+    return best.select("l_orderkey", "b.p_partkey", "b.strategy")
+
+
+_PATH_SQL = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
+
+
+def _paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"))
+
+
+@query("prefix_theta_join", f"""
+    WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages), e AS (SELECT DISTINCT regexp_extract(path, '^(/[^/]*)', 1) AS endpoint FROM p)
+    SELECT page_id, endpoint FROM p JOIN e ON path = endpoint OR starts_with(path, concat(endpoint, '/'))""")
+def prefix_theta_join(spark, sf):
+    from symgraph.operators.resolve import path_prefixes
+
+    p = _paths(spark, sf)
+    e = p.select(F.regexp_extract("path", "^(/[^/]*)", 1).alias("endpoint")).distinct()
+    return p.select("page_id", F.explode(path_prefixes(F.col("path"))).alias("prefix")).join(e, F.col("prefix") == F.col("endpoint")).select("page_id", "endpoint")
+
+
+@query("wildcard_fanout", f"""
+    WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages), q AS (SELECT page_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM p)
+    SELECT parent, count(*) AS members, min(page_id) AS first_page FROM q GROUP BY parent""")
+def wildcard_fanout(spark, sf):
+    q = _paths(spark, sf).withColumn("parent", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return q.groupBy("parent").agg(F.count("*").alias("members"), F.min("page_id").alias("first_page"))
+
+
+@query("fallback_join", """
+    WITH a AS (SELECT p_type AS k, min(p_partkey) AS id FROM part GROUP BY p_type), b AS (SELECT p_brand AS k, min(p_partkey) AS id FROM part WHERE p_size > 40 GROUP BY p_brand)
+    SELECT p_partkey, coalesce(b.id, a.id) AS target, CASE WHEN b.id IS NOT NULL THEN 'brand' ELSE 'type' END AS via
+    FROM part LEFT JOIN b ON p_brand = b.k LEFT JOIN a ON p_type = a.k""")
+def fallback_join(spark, sf):
+    part = table(spark, sf, "part")
+    a = part.groupBy(F.col("p_type").alias("ka")).agg(F.min("p_partkey").alias("ia"))
+    b = part.where("p_size > 40").groupBy(F.col("p_brand").alias("kb")).agg(F.min("p_partkey").alias("ib"))
+    out = part.join(b, F.col("p_brand") == F.col("kb"), "left").join(a, F.col("p_type") == F.col("ka"), "left")
+    return out.select("p_partkey", F.coalesce("ib", "ia").alias("target"), F.when(F.col("ib").isNotNull(), "brand").otherwise("type").alias("via"))
+
+
+@query("exploded_array_join", """
+    WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT word, min(p_partkey) AS first_part FROM w GROUP BY word)
+    SELECT p_partkey, w.word, first_part FROM w JOIN d ON w.word = d.word""")
+def exploded_array_join(spark, sf):
+    w = table(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    d = w.groupBy("word").agg(F.min("p_partkey").alias("first_part"))
+    return w.join(d, "word").select("p_partkey", "word", "first_part")
+
+
+@query("semi_annotations", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_annotations(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi")
+
+
+@query("anti_deleted", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def anti_deleted(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+_RANGES = [(0, None, 10), (1, 10, 25), (2, 20, 40)]
+
+
+@query("version_range_join", """
+    SELECT p_partkey, p_size, CASE WHEN p_size >= 20 AND p_size < 40 THEN 2 WHEN p_size >= 10 AND p_size < 25 THEN 1 WHEN p_size < 10 THEN 0 ELSE 2 END AS entry FROM part""")
+def version_range_join(spark, sf):
+    ranges = spark.createDataFrame([("part", *r) for r in _RANGES], "key string, ord int, min_major int, max_major int")
+    found = table(spark, sf, "part").select("p_partkey", "p_size", F.lit("part").alias("key"))
+    return stack.match_versions(found, ranges, major="p_size").select("p_partkey", "p_size", F.col("ord").alias("entry"))
+
+
+# --- store changes -----------------------------------------------------------
+
+
+@query("edge_dedup_first_wins", """
+    SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS n FROM lineitem) WHERE n = 1""")
+def edge_dedup_first_wins(spark, sf):
+    return dml.first_wins(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"), ["l_orderkey", "l_partkey"], "l_linenumber")
+
+
+@query("node_upsert_last_wins", """
+    SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
+def node_upsert_last_wins(spark, sf):
+    return dml.last_wins(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("upsert_keeps_ids", """
+    WITH s AS (SELECT c_custkey AS id, c_name AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0),
+    i AS (SELECT c_name AS k, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 3 = 0)
+    SELECT id, k, v FROM s WHERE k NOT IN (SELECT k FROM i) UNION ALL SELECT s.id, i.k, i.v FROM i JOIN s USING (k)
+    UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY k), k, v FROM i WHERE k NOT IN (SELECT k FROM s)""")
+def upsert_keeps_ids(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("k"), F.col("c_acctbal").alias("v"))
+    return dml.upsert(c.where("id % 2 = 0"), c.where("id % 3 = 0").withColumn("v", F.col("v") + 1), ["k"], "id")
+
+
+@query("cascade_delete", """
+    SELECT o_orderkey AS node_id, l_linenumber AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 <> 0""")
+def cascade_delete(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file_id"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_linenumber").alias("line"))
+    doomed = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("file_id"))
+    return dml.delete_files({"nodes": orders, "lines": lines}, doomed)["lines"]
+
+
+@query("stale_detection", """
+    SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'changed' END AS status FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0""")
+def stale_detection(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
+    stored = d.select("path", X.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    now = d.where("path % 7 <> 0").select("path", X.content_hash(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("path") % 5 == 0, "!").otherwise(""))).alias("hash"))
+    return dml.stale_files(stored, now)
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("hash"))
+
+
+@query("cache_ttl", "SELECT event_id, user_id FROM events WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) < 604800")
+def cache_ttl(spark, sf):
+    e = table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    newest = e.agg(F.max("at").alias("now"))  # one row
+    return dml.live_entries(e.join(F.broadcast(newest)), F.col("now"), 604800, "at").select("event_id", "user_id")
+
+
+@query("lru_prune", "SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 200")
+def lru_prune(spark, sf):
+    return dml.newest_entries(table(spark, sf, "events").select("event_id", "user_id", "ts"), 200, "ts", "event_id")
+
+
+@query("debounce_sessions", """
+    WITH e AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS gap FROM events),
+    b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+    SELECT user_id, CAST(burst AS BIGINT) AS burst, min(ts) AS started, max(ts) AS ended, count(*) AS n_events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM b GROUP BY user_id, burst""")
+def debounce_sessions(spark, sf):
+    out = watch.debounce(table(spark, sf, "events"), ["user_id"], "ts", "event_type", 86400)
+    return out.select("user_id", "burst", "started", "ended", "n_events", F.array_join("values", ",").alias("kinds"))
+
+
+# --- text functions ----------------------------------------------------------
+
+
+@query("normalize_path", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_PATH_SQL}, '/+$', ''), ':[A-Za-z0-9_]+', '{{param}}', 'g'), '\\{{[^}}]+\\}}', '{{param}}', 'g') AS path FROM pages")
+def normalize_path(spark, sf):
+    return _paths(spark, sf).select("page_id", X.normalize_path(F.col("path")).alias("path"))
+
+
+@query("url_allowlist", """
+    SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '(^|\\.)(example\\.com|tionsh\\.example\\.org)$') AND regexp_matches(url, '^https?://') AS allowed FROM pages""")
+def url_allowlist(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.host_allowed(F.col("url"), ["example.com", "tionsh.example.org"]).alias("allowed"))
+
+
+@query("extract_terms", f"""
+    SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z0-9_\\s-]', ' ', 'g'), '\\s+'),
+        lambda w: length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in X.STOP_WORDS)})), ' ') AS terms FROM conversations""")
+def extract_terms(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.extract_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("slugify", """
+    SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents""")
+def slugify(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.slugify(F.substring("text", 1, 120)).alias("slug"))
+
+
+@query("summarize", """
+    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^#+[^\\n]*\\n', ''), '```[\\s\\S]*?```', '[code]', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, trim(string_split(regexp_replace(t, '^\\n+', ''), chr(10) || chr(10))[1], ' ') AS p FROM a)
+    SELECT doc_id, CASE WHEN length(p) > 200 THEN concat(substring(p, 1, 197), '...') ELSE p END AS summary FROM b""")
+def summarize(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.summarize(F.col("text")).alias("summary"))
+
+
+@query("truncate", """
+    SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(CASE WHEN strpos(left(text, 1000), chr(10)) > 1 THEN regexp_replace(left(text, 1000), '\\n[^\\n]*\\z', '') ELSE left(text, 1000) END, chr(10), chr(10), '[truncated]') ELSE text END AS text FROM documents""")
+def truncate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncate(F.col("text"), 1000).alias("text"))
+
+
+_RAW = ["Override", '@GetMapping("/x/KEY")', '@DgsData(parentType = "Query", field = "KEY")', '@RequestMapping({"/a/KEY", "/b"})', "@Order(3)", '@Cache(name = "n", value = KEY)', "@Empty()"]
+_WANT = [("Override", None), ("GetMapping", "/x/KEY"), ("DgsData", "KEY"), ("RequestMapping", "/a/KEY"), ("Order", "3"), ("Cache", "KEY"), ("Empty", None)]
+
+
+@query("parse_annotation", "SELECT o_orderkey, CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(_WANT)) + " END AS name, CASE o_orderkey % 7 " + " ".join(
+    f"WHEN {i} THEN " + ("NULL" if v is None else f"replace('{v}', 'KEY', o_orderpriority[3:])") for i, (_, v) in enumerate(_WANT)) + " END AS value FROM orders WHERE o_orderpriority NOT LIKE '%NOT%'")
+def parse_annotation(spark, sf):
+    raw = F.element_at(F.array(*[F.lit(r) for r in _RAW]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    o = table(spark, sf, "orders").where("o_orderpriority not like '%NOT%'").withColumn("raw", F.replace(raw, F.lit("KEY"), F.substring("o_orderpriority", 3, 100)))
+    return o.select("o_orderkey", X.annotation_name(F.col("raw")).alias("name"), X.annotation_value(F.col("raw")).alias("value"))
+
+
+@query("json_guard", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_guard(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query("snippet_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS snippet FROM documents")
+def snippet_slice(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.snippet(F.col("text"), F.lit(2), F.lit(4)).alias("snippet"))
+
+
+# --- sections and pages ------------------------------------------------------
+
+_HEADED_SQL = """
+    src AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    raw AS (SELECT doc, unnest(ls) AS t, generate_subscripts(ls, 1) AS line FROM src),
+    lines AS (SELECT doc, line, CASE WHEN line % 3 = 1 AND regexp_matches(t, '^[A-Za-z]') THEN repeat('#', CAST(1 + length(t) % 4 AS INT)) || ' ' || t ELSE t END AS t FROM raw),
+    lev AS (SELECT *, length(regexp_extract(t, '^(#{1,4}|={1,4})\\s+(.+)$', 1)) AS level FROM lines),
+    num AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) - 1 AS ord FROM lev),
+    sec AS (
+        SELECT doc, CAST(ord AS BIGINT) AS ord, CAST(max(level) AS INT) AS level,
+               trim(regexp_replace(regexp_extract(max(CASE WHEN level > 0 THEN t END), '^(#{1,4}|={1,4})\\s+(.+)$', 2), '[*_`#]', '', 'g'), ' ') AS title,
+               trim(coalesce(string_agg(CASE WHEN level = 0 THEN t END, chr(10) ORDER BY line), ''), ' ') AS content
+        FROM num WHERE ord >= 0 GROUP BY doc, ord)"""
+
+
+def _headed(spark, sf):
+    """Documents whose every third line becomes a heading, as the SQL makes them."""
+    d = table(spark, sf, "documents").where("text is not null")
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.when((i % 3 == 0) & t.rlike("^[A-Za-z]"), F.concat(F.repeat(F.lit("#"), 1 + F.length(t) % 4), F.lit(" "), t)).otherwise(t))
+    return sections.split_sections(d.select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id", "text").join(d.select(F.col("doc_id").alias("doc"), F.col("text").alias("src")), "doc").where(F.col("src").rlike("(?m)^[A-Za-z]")).drop("src")
+
+
+@query("section_split", f"WITH {_HEADED_SQL} SELECT doc, ord, level, title, md5(content) AS content_md5 FROM sec")
+def section_split(spark, sf):
+    return _headed(spark, sf).where("title <> 'Overview'").select("doc", "ord", "level", "title", F.md5("content").alias("content_md5"))
+
+
+@query("section_tree", f"""WITH {_HEADED_SQL}
+    SELECT a.doc, a.ord, max(b.ord) AS parent_ord FROM sec a LEFT JOIN sec b ON a.doc = b.doc AND b.ord < a.ord AND b.level < a.level GROUP BY a.doc, a.ord""")
+def section_tree(spark, sf):
+    return sections.nest_sections(_headed(spark, sf).where("title <> 'Overview'")).select("doc", "ord", "parent_ord")
+
+
+@query("section_map", f"""WITH {_HEADED_SQL},
+    s AS (SELECT doc, ord, content, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS section_id FROM sec)
+    SELECT doc, section_id, md5(arg_max(content, ord)) AS content_md5 FROM s GROUP BY doc, section_id""")
+def section_map(spark, sf):
+    return sections.section_map(_headed(spark, sf).where("title <> 'Overview'")).select("doc", "section_id", F.md5("content").alias("content_md5"))
+
+
+@query("html_to_markdown")
+def html_to_markdown(spark, sf):
+    return html_ops.html_to_markdown(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "markdown")
+
+
+@query("page_sections")
+def page_sections(spark, sf):
+    md = html_ops.html_to_markdown(table(spark, sf, "pages").select("page_id", "html"))
+    return sections.nest_sections(sections.split_sections(md, "page_id", "markdown")).select("doc", "ord", "level", "title", "section_id", "summary", "parent_ord")
+
+
+# --- stack summaries ---------------------------------------------------------
+
+
+@query("mode_first_seen", """
+    WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
+    SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS r FROM c) WHERE r = 1""")
+def mode_first_seen(spark, sf):
+    return stack.most_frequent_first_seen(table(spark, sf, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("dedup_prefer_versioned", """
+    WITH e AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS version FROM events)
+    SELECT user_id, event_type, event_id, version FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY version IS NULL, event_id) AS r FROM e) WHERE r = 1""")
+def dedup_prefer_versioned(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("version"))
+    return stack.prefer_versioned(e, ["user_id", "event_type"], "version", "event_id")
+
+
+@query("category_summary", """
+    SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'other' END AS category, string_agg(DISTINCT concat(o_orderpriority, '@', year(o_orderdate)), ',' ORDER BY concat(o_orderpriority, '@', year(o_orderdate))) AS items FROM orders GROUP BY 1""")
+def category_summary(spark, sf):
+    return stack.category_summary(table(spark, sf, "orders"), "o_orderstatus", F.concat("o_orderpriority", F.lit("@"), F.year("o_orderdate").cast("string")), ["F", "O"])
+
+
+@query("group_by_dir", f"""
+    WITH p AS (SELECT page_id, string_split({_PATH_SQL}, '/') AS s, {_PATH_SQL} AS path FROM pages)
+    SELECT CASE WHEN len(s) > 2 THEN array_to_string(s[-2:], '/') ELSE path END AS directory, count(*) AS files FROM p GROUP BY 1""")
+def group_by_dir(spark, sf):
+    return _paths(spark, sf).groupBy(X.last_segments(F.col("path"), 2).alias("directory")).agg(F.count("*").alias("files"))
+
+
+@query("internal_dependency", "SELECT p_partkey, p_name, (starts_with(p_name, 'a') OR starts_with(p_name, 'b') OR regexp_matches(p_name, 'o.*d$')) AND length(p_name) <= 500 AS internal FROM part")
+def internal_dependency(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_name", stack.is_internal(F.col("p_name"), ["a", "b"], "o.*d$").alias("internal"))
+
+
+@query("version_parts", """
+    SELECT o_orderkey, regexp_replace(concat('^~ ', o_orderkey, '.1'), '^[\\^~>=<\\s]+', '') AS version, CAST(o_orderkey AS INT) AS major FROM orders""")
+def version_parts(spark, sf):
+    v = F.concat(F.lit("^~ "), F.col("o_orderkey").cast("string"), F.lit(".1"))
+    return table(spark, sf, "orders").select("o_orderkey", X.clean_version(v).alias("version"), X.parse_major(v).alias("major"))
+
+
+@query("time_ago", """
+    WITH e AS (SELECT event_id, event_id * 37 AS s FROM events)
+    SELECT event_id, CASE WHEN s < 60 THEN concat(s, ' seconds ago') WHEN s // 60 < 60 THEN concat(s // 60, ' minute', CASE WHEN s // 60 = 1 THEN '' ELSE 's' END, ' ago')
+        WHEN s // 3600 < 24 THEN concat(s // 3600, ' hour', CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END, ' ago') ELSE concat(s // 86400, ' day', CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END, ' ago') END AS ago FROM e""")
+def time_ago(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.time_ago(F.col("event_id") * 37).alias("ago"))
