@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.storage import materialize
+
 DECAY = 0.7
 #: A subsequence spans at most so many letters.
 SPAN = 6
@@ -300,9 +302,9 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Fit on labelled(id, text, label); rows with a null label are left out.
 
-    Landmark statistics use every row. The machine itself is fitted on at most `fit_rows`
-    of them, a bounded sample by hash of the id; no labels of one kind give a model that
-    scores everything as not toxic.
+    Landmark statistics use every row given; the machine is fitted on at most `fit_rows` of
+    them, by hash order of the ids. Where nothing marks the toxic rows, the model scores
+    every text as not toxic.
     """
     labelled = labelled.where("label is not null").select("id", "text", F.col("label").cast("int").alias("label"))
     words = choose_landmarks(labelled, landmarks)
@@ -315,8 +317,8 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMA
             pooled = kernel.pool(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in pooled], pa.binary()), batch.column(1)], ["pooled", "label"])
 
-    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("text", "label")
-    rows = sample.mapInArrow(batches, "pooled binary, label int").collect()
+    sample = labelled.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_rows).withColumnRenamed("id", "taken")
+    rows = labelled.join(F.broadcast(sample), F.col("id") == F.col("taken"), "left_semi").select("text", "label").mapInArrow(batches, "pooled binary, label int").collect()
     x = np.array([np.frombuffer(r.pooled, np.float32) for r in rows], np.float64)
     y = np.array([r.label for r in rows])
     gram = Kernel(words).of(words).astype(np.float64)
@@ -348,8 +350,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     return docs.mapInArrow(batches, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, text, label) of the training fold: rows whose crc32 of the id modulo 3 is not 1."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(id, text, label) of at most `fit_rows` labelled rows of the training fold, a written table.
+
+    The fold is the rows whose crc32 of the id modulo 3 is not 1. The sample is taken by
+    hash order of the ids, from the labels alone, so that it is small enough to broadcast
+    and no other text moves. A document with several labels counts as toxic if one says so.
+    """
     held_in = labels.where(in_training_fold(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    texts = docs.where(in_training_fold(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")
-    return texts.join(held_in, texts.id == held_in.doc_id).select("id", "text", "label")
+    sample = held_in.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumnRenamed("doc_id", "labelled")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    return materialize(texts.join(F.broadcast(sample), F.col("id") == F.col("labelled")).select("id", "text", "label"), "labelled-rows")
