@@ -2,11 +2,170 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.functions.text import capitalized, normalize_path
+from symgraph.storage import materialize
+
+# What a relative import may leave out, in the order tried; annotation sets of beans, injection and entities.
+SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
+INJECTED, BEANS, ENTITIES = ["Autowired", "Inject"], ["Service", "Component", "Repository"], ["Entity", "Document", "DgsData"]
+
 
 def path_prefixes(path: Column) -> Column:
     """The path and every part of it that ends ahead of a slash: turns a starts-with join into an equal one."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def joined_path(folder: Column, relative: Column) -> Column:
+    """folder/relative with . and .. worked out."""
+    parts = F.split(F.concat(folder, F.lit("/"), relative), "/")
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.concat(F.when(F.startswith(folder, F.lit("/")), F.lit("/")).otherwise(""), F.array_join(walked, "/"))
+
+
+def _first(rows: DataFrame, key: list[str], *order) -> DataFrame:
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def _edge(rows: DataFrame, kind: str, order: int, seq: Column, metadata: Column | None = None) -> DataFrame:
+    return rows.select("source_id", "target_id", F.lit(kind).alias("kind"), (metadata if metadata is not None else F.lit(None)).cast("string").alias("metadata"), F.lit(order).alias("resolver"), seq.cast("long").alias("seq"))
+
+
+def _by_name(n: DataFrame) -> DataFrame:
+    """Candidates with how many share the name, and the name within a module."""
+    c = n.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"), F.col("module").alias("t_module"), F.col("kind").alias("t_kind"))
+    return c.withColumn("n_name", F.count("*").over(Window.partitionBy("t_name"))).withColumn("n_module", F.count("*").over(Window.partitionBy("t_name", "t_module")))
+
+
+def imports(t: dict[str, DataFrame]) -> DataFrame:
+    """From a file's first symbol: to a qualified name or a lone simple name, a relative path, or all of a package."""
+    n, i = t["nodes"], t["file_imports"]
+    top = n.where("parent_id is null")
+    head = top.groupBy("file_id").agg(F.min("id").alias("source_id"))
+    i = i.join(head, "file_id").withColumn("simple", F.substring_index("import_path", ".", -1))
+    dotted = i.where("import_path like '%.%' and import_path not like '.%' and import_path not like '/%'")
+    exact = n.groupBy("qualified").agg(F.min("id").alias("by_qualified"))
+    lone = n.groupBy(F.col("name").alias("simple")).agg(F.count("*").alias("c"), F.min("id").alias("by_name")).where("c = 1").drop("c")
+    named = dotted.where("import_path not like '%.*'").join(exact, F.col("import_path") == F.col("qualified"), "left").join(lone, "simple", "left").withColumn("target_id", F.coalesce("by_qualified", "by_name")).where("target_id is not null")
+    stars = dotted.where("import_path like '%.*'").withColumn("package", F.regexp_replace("import_path", "\\.\\*$", ""))
+    members = top.where("qualified like '%.%'").select(F.regexp_replace("qualified", "\\.[^.]+$", "").alias("package"), F.col("id").alias("target_id"))
+    wild = stars.join(members, "package")
+    files = t["files"].join(head.select("file_id", F.col("source_id").alias("target_id")), "file_id").select(F.col("path").alias("found"), "target_id")
+    here = t["files"].select("file_id", F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
+    tries = i.where("import_path like '.%'").join(here, "file_id").withColumn("whole", joined_path(F.col("folder"), F.col("import_path")))
+    tries = tries.select("source_id", "import_path", F.posexplode(F.transform(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.concat("whole", s))).alias("rank", "found"))
+    relative = _first(tries.join(files, "found"), ["source_id", "import_path"], "rank")
+    return reduce(DataFrame.union, [_edge(x, "imports", 0, F.lit(0)) for x in (named, wild, relative)])
+
+
+def inheritance(t: dict[str, DataFrame]) -> DataFrame:
+    """extends and implements: the only symbol of that name, or the first in the same module."""
+    n = t["nodes"]
+    wants = n.where("extends_name is not null").select(F.col("id").alias("source_id"), "module", F.col("extends_name").alias("want"), F.lit("extends").alias("how"))
+    wants = wants.union(n.select("id", "module", F.explode("implements_names"), F.lit("implements")))
+    c = _by_name(n)
+    hits = wants.join(c, F.col("want") == F.col("t_name")).where((F.col("n_name") == 1) | F.col("module").eqNullSafe(F.col("t_module")))
+    best = _first(hits, ["source_id", "want", "how"], "target_id")
+    return reduce(DataFrame.union, [_edge(best.where(F.col("how") == k), k, 1, F.lit(0)) for k in ("extends", "implements")])
+
+
+def _unqualified(wants: DataFrame, c: DataFrame) -> DataFrame:
+    """wants(source_id, module, want, ...): the only one of the name, else the only one in the module."""
+    return wants.join(c, F.col("want") == F.col("t_name")).where((F.col("n_name") == 1) | ((F.col("module") == F.col("t_module")) & (F.col("n_module") == 1)))
+
+
+def calls(t: dict[str, DataFrame]) -> DataFrame:
+    """Call sites to their targets, by the receiver's type where there is a receiver."""
+    n = t["nodes"]
+    sites = t["call_sites"].join(n.select(F.col("id").alias("node_id"), "module"), "node_id").withColumnRenamed("node_id", "source_id").withColumnRenamed("target", "want")
+    has = F.coalesce(F.col("receiver") != "", F.lit(False))
+    c = _by_name(n)
+    plain = _unqualified(sites.where(~has), c)
+    called = sites.where(has)
+    # The receiver's class: its name, its name with a capital, or a class whose name ends so. Every ending of a
+    # class name is a row, so that this is an equal join as well.
+    receivers = called.select("receiver").distinct()
+    named = n.select(F.col("id").alias("cand"), F.col("name").alias("cand_name"), F.col("module").alias("cand_module"), "kind")
+    ends = named.where(F.col("kind").isin("class", "interface", "component")).select("cand", "cand_module", F.explode(F.transform(F.sequence(F.lit(1), F.length("cand_name")), lambda k: F.lower(F.substring("cand_name", k, 1000)))).alias("ending"))
+    cands = (
+        receivers.join(named, F.col("receiver") == F.col("cand_name")).select("receiver", "cand", "cand_module", F.lit(0).alias("way"))
+        .union(receivers.join(named, capitalized(F.col("receiver")) == F.col("cand_name")).select("receiver", "cand", "cand_module", F.lit(1)))
+        .union(receivers.join(ends, F.lower("receiver") == F.col("ending")).select("receiver", "cand", "cand_module", F.lit(2)))
+    )
+    cands = cands.groupBy("receiver", "cand", "cand_module").agg(F.min("way").alias("way"))
+    kids = n.where("parent_id is not null").groupBy(F.col("parent_id").alias("cand"), F.col("name").alias("want")).agg(F.min("id").alias("target_id"))
+    owned = called.join(cands.join(kids, "cand"), ["receiver", "want"])
+    owned = _first(owned, ["source_id", "ord"], F.coalesce(F.col("module") == F.col("cand_module"), F.lit(False)).desc(), "way", "cand")
+    rest = called.join(owned.select("source_id", "ord"), ["source_id", "ord"], "left_anti")
+    loose = _unqualified(rest, _by_name(n.where("kind = 'method'")))
+    parts = [(plain, None), (owned, F.col("receiver")), (loose, F.col("receiver"))]
+    return reduce(DataFrame.union, [_edge(x, "calls", 2, F.col("ord"), m) for x, m in parts])
+
+
+def renders(t: dict[str, DataFrame]) -> DataFrame:
+    """Components used in JSX; names that are ambiguous even within the module are skipped."""
+    n = t["nodes"]
+    wants = t["jsx_usages"].where(F.substring("element_name", 1, 1) == F.upper(F.substring("element_name", 1, 1))).join(n.select(F.col("id").alias("node_id"), "module"), "node_id")
+    return _edge(_unqualified(wants.select(F.col("node_id").alias("source_id"), "module", F.col("element_name").alias("want")), _by_name(n)), "renders", 3, F.lit(0))
+
+
+def graphql(t: dict[str, DataFrame]) -> DataFrame:
+    """Operations and resolvers to schema fields, and schema types to the classes that back them."""
+    n = t["nodes"]
+    fields = n.select(F.col("id").alias("target_id"), F.col("name").alias("field"), F.col("kind").alias("op"), F.col("parent_id").alias("t_parent"))
+    wants = n.where("gql_operation_type is not null").select(F.col("id").alias("source_id"), F.col("gql_operation_type").alias("op"), F.posexplode("gql_fields").alias("ord", "field"))
+    hits = wants.join(fields, ["op", "field"])
+    per = Window.partitionBy("source_id", "ord")
+    hits = hits.withColumn("c", F.count("*").over(per)).withColumn("tops", F.count_if(F.col("t_parent").isNull()).over(per)).where("c = 1 or (tops = 1 and t_parent is null)")
+    r = t["graphql_resolvers"].withColumnRenamed("node_id", "source_id")
+    roots = ["Query", "Mutation", "Subscription"]
+    rooted = r.where(F.col("parent_type").isin(roots)).join(fields, (F.col("operation_type") == F.col("op")) & (F.col("field_name") == F.col("field")))
+    types = n.where("kind = 'graphql-type'").select(F.col("id").alias("type_id"), F.col("name").alias("parent_type"))
+    kids = fields.where("t_parent is not null").select(F.col("t_parent").alias("type_id"), F.col("field").alias("field_name"), "target_id")
+    nested = _first(r.where(~F.col("parent_type").isin(roots)).join(types, "parent_type").join(kids, ["type_id", "field_name"]), ["source_id", "field_name", "parent_type"], "type_id", "target_id")
+    entities = t["annotations"].where(F.col("name").isin(ENTITIES)).select(F.col("node_id").alias("target_id")).distinct()
+    backing = n.where("kind = 'class'").select(F.col("id").alias("target_id"), "name").join(entities, "target_id", "left_semi")
+    typed = n.where("kind = 'graphql-type' and parent_id is null").select(F.col("id").alias("source_id"), "name").join(backing, "name")
+    return reduce(DataFrame.union, [_edge(hits, "gql_resolves", 4, F.col("ord")), _edge(rooted, "gql_resolves", 4, F.lit(0)), _edge(nested, "gql_resolves", 4, F.lit(0)), _edge(typed, "type_match", 4, F.lit(0))])
+
+
+def rest(t: dict[str, DataFrame]) -> DataFrame:
+    """API calls to endpoints with the same path or one above it, by exploded prefixes and equal joins."""
+    n = t["nodes"]
+    e = t["rest_endpoints"].select(F.col("node_id").alias("target_id"), F.col("method").alias("e_method"), normalize_path(F.col("path")).alias("prefix"))
+    made = n.where("api_path is not null").select(F.col("id").alias("source_id"), F.coalesce("api_method", F.lit("GET")).alias("method"), normalize_path(F.col("api_path")).alias("path"))
+    tries = made.withColumn("e_method", F.explode(F.array_distinct(F.array("method", F.lit("ANY"))))).withColumn("prefix", F.explode(path_prefixes(F.col("path"))))
+    return _edge(tries.join(e, ["e_method", "prefix"]), "rest_match", 5, F.lit(0))
+
+
+def injects(t: dict[str, DataFrame]) -> DataFrame:
+    """Classes to the beans their annotated fields ask for: an implementing bean, else one of that name."""
+    n, a = t["nodes"], t["annotations"]
+    marked = lambda names: a.where(F.col("name").isin(names)).select(F.col("node_id").alias("marked")).distinct()
+    owner = n.where("kind = 'class' and parent_id is null").select(F.col("id").alias("source_id"))
+    words = F.split(F.trim("signature"), "\\s+")
+    fields = n.where("kind = 'field'").join(marked(INJECTED), F.col("id") == F.col("marked"), "left_semi").select(F.col("parent_id").alias("source_id"), F.when(F.size(words) >= 2, words[0]).alias("want"), F.col("id").alias("field_id")).where("want is not null").join(owner, "source_id", "left_semi")
+    beans = n.where("kind = 'class'").join(marked(BEANS), F.col("id") == F.col("marked"), "left_semi")
+    by_type = beans.select("id", F.explode("implements_names").alias("want")).groupBy("want").agg(F.min("id").alias("implementing"))
+    by_name = beans.groupBy(F.col("name").alias("want")).agg(F.min("id").alias("named"))
+    out = fields.join(by_type, "want", "left").join(by_name, "want", "left").withColumn("target_id", F.coalesce("implementing", "named")).where("target_id is not null")
+    return _edge(out, "injects", 6, F.col("field_id"), F.col("want"))
+
+
+def resolve_all(t: dict[str, DataFrame]) -> DataFrame:
+    """(source_id, target_id, kind, metadata): all resolvers in order; of equal edges the first written stays."""
+    parts = [inheritance(t), calls(t), renders(t), graphql(t), rest(t), injects(t)]
+    if "file_imports" in t:
+        parts.insert(0, imports(t))
+    # Each resolver is written on its own: small plans, and nothing is worked out twice.
+    parts = [materialize(part, "resolved") for part in parts]
+    best = reduce(DataFrame.union, parts).groupBy("source_id", "target_id", "kind").agg(F.min_by("metadata", F.struct("resolver", "seq", F.coalesce("metadata", F.lit("")))).alias("metadata"))
+    return materialize(best, "edges")

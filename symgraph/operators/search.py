@@ -50,12 +50,14 @@ def refresh_postings(index: DataFrame, changed: DataFrame, id_col: str, columns:
     return index.join(gone.distinct(), "id", "left_anti").union(postings(changed, id_col, columns))
 
 
-def _hits(tokens: Column, phrase: tuple[str, ...]) -> Column:
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    n = len(phrase)
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: reduce(lambda a, b: a & b, [F.get(tokens, i + (k - 1)) == w for k, w in enumerate(phrase)])))
+def _hits(run: Column, phrase: tuple[str, ...]) -> Column:
+    """Occurrences of the phrase in a space-joined run of tokens, overlapping ones too."""
+    first, rest = phrase[0], "".join(f" {w}" for w in phrase[1:])
+    return F.regexp_count(run, F.lit(f"(?<= ){first}(?={rest} )"))
+
+
+def _adder(phrase: tuple[str, ...]):
+    return lambda n, run: n + _hits(run, phrase)
 
 
 def search(docs: DataFrame, query: str, id_col: str, columns: list[str], where: Column | None = None, limit: int | None = 20) -> DataFrame:
@@ -70,10 +72,17 @@ def search(docs: DataFrame, query: str, id_col: str, columns: list[str], where:
     if not known:
         return docs.select(F.col(id_col), F.lit(0.0).alias("rank"), F.lit(0).alias("rank_ord")).limit(0)
     kept = where if where is not None else F.lit(True)
-    base = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), *[search_tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
-    length = reduce(lambda a, b: a + b, [F.size(f"t{i}") for i in range(len(columns))])
-    hits = [reduce(lambda a, b: a + b, [_hits(F.col(f"t{i}"), p) for i in range(len(columns))]).alias(f"h{k}") for k, p in enumerate(known)]
-    counted = base.select("id", "kept", length.alias("dl"), *hits)
+    # The tokens are bound once for each row; every count is taken from that.
+    held = F.transform(
+        F.array(F.array(*[search_tokens(F.col(c)) for c in columns])),
+        lambda each: F.struct(
+            F.aggregate(each, F.lit(0), lambda n, t: n + F.size(t)).alias("dl"),
+            F.transform(each, lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))).alias("runs"),
+        ),
+    )[0]
+    hits = F.transform(F.array(F.col("x.runs")), lambda runs: F.array(*[F.aggregate(runs, F.lit(0), _adder(p)) for p in known]))[0]
+    base = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), held.alias("x")).select("id", "kept", F.col("x.dl").alias("dl"), hits.alias("h"))
+    counted = base.select("id", "kept", "dl", *[F.col("h")[k].alias(f"h{k}") for k in range(len(known))])
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"h{k}") > 0).alias(f"n{k}") for k in range(len(known))])
     matches = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(f"h{known.index(p)}") > 0 for p in g]) for g in groups])
     score = F.lit(0.0)
