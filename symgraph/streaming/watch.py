@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Endings of watched files, and the quiet time in seconds.
@@ -28,13 +28,17 @@ def debounce(events: DataFrame, keys: list[str], ts: str, value: str, gap_second
     return numbered.groupBy(*keys, "burst").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(value)).alias("values"))
 
 
-def debounce_stream(events: DataFrame, ts: str = "ts", path_col: str = "path", gap_seconds: int = GAP_SECONDS, late: str = "1 second") -> DataFrame:
-    """Bursts of a stream of file events as session windows: distinct paths of each."""
+def debounce_stream(events: DataFrame, ts: str = "ts", path_col: str = "path", gap_seconds: int = GAP_SECONDS, late: str = "1 second", scope: Column | None = None) -> DataFrame:
+    """Bursts of a stream of file events as session windows: distinct paths of each.
+
+    With a scope (say, the module a path lies in) bursts are told apart by it and spread over tasks.
+    """
     return (
         watched(events, path_col).withWatermark(ts, late)
-        .groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("burst"))
+        .withColumn("scope", scope if scope is not None else F.lit("all"))
+        .groupBy("scope", F.session_window(ts, f"{gap_seconds} seconds").alias("burst"))
         .agg(F.array_sort(F.collect_set(path_col)).alias("paths"))
-        .select("burst.start", "burst.end", "paths")
+        .select("scope", "burst.start", "burst.end", "paths")
     )
 
 
