@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,50 +26,71 @@ from symgraph.storage import materialize
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Words whose hashes a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Characters of text taken up at once.
+CHUNK_CHARS = 4_000_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+#: K^i and K^-i modulo 2^64 by i, grown as texts need.
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x5851F42D4C957F2D
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
 
+def _powers_to(size: int) -> list[np.ndarray]:
+    if len(_powers[0]) < size:
+        for at, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[at] = np.multiply.accumulate(steps)
+    return _powers
 
-def word_hashes(text: str | None, hashes: dict) -> np.ndarray:
-    """Words end at ASCII white space; A-Z are lowered."""
-    words = (text or "").encode().lower().split()
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts in order, and the text it stands in.
+
+    Words end at ASCII white space; A-Z are lowered. All words come from one pass: prefix
+    sums of byte times K^-i give each word's polynomial in K, which is then mixed with its length.
+    """
+    raw = [(t or "").encode().lower() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]) or b"\n", np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    change = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, end = change[0::2], change[1::2]
+    up, down = _powers_to(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * down[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * up[start] + (end - start).astype(np.uint64) * _ODD
+        h = (h ^ (h >> np.uint64(32))) * _ODD
+        h ^= h >> np.uint64(29)
+    owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    return h, owner
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    size = len(words) - n + 1
+    size = max(0, len(words) - n + 1)
     out = words[:size].copy()
     for k in range(1, n):
         out = (out ^ (out >> np.uint64(29))) * _ODD + words[k : k + size]
     return out ^ (out >> np.uint64(32))
 
 
-def gram_weights(count: int, n: int, order: int) -> np.ndarray:
-    """For each n-gram of a document of `count` words: times its log count enters the score."""
-    size = max(0, count - n + 1)
-    weight = np.zeros(size, np.int32)
-    if not size:
-        return weight
+def gram_weights(gram: np.ndarray, times: np.ndarray, hashes: np.ndarray, n: int, order: int) -> np.ndarray:
+    """How often the log count of each different n-gram of a document enters its score.
+
+    hashes are the document's n-grams in order, gram the different ones, sorted, and times
+    their numbers. The longest ones score a word each; the next longest are contexts, save
+    for the last; and the first n-gram of each order scores the n-th word.
+    """
     if n == order:
-        weight += 1
-    else:
-        weight[0] += 1  # the first n-gram scores the n-th word
-    if n == order - 1:
-        weight[:-1] -= 1  # context of the next word
-    elif n < order - 1 and count > n:
-        weight[0] -= 1
+        return times.astype(np.int32)
+    weight = -times.astype(np.int32) if n == order - 1 else np.zeros(len(gram), np.int32)
+    if len(hashes):
+        first, last = np.searchsorted(gram, hashes[[0, -1]])
+        if n == order - 1:
+            weight[last] += 1
+            weight[first] += 1
+        elif len(hashes) == 1:
+            weight[first] += 1
     return weight
 
 
@@ -91,57 +113,93 @@ def _exploded(docs: DataFrame, n: int, order: int, parts: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in stream:
-            grams, seen, weights, owners = [], [], [], []
-            for at, text in enumerate(batch.column(1)):
-                words = word_hashes(text.as_py(), hashes)
-                gram, where, times = np.unique(gram_hashes(words, n), return_inverse=True, return_counts=True)
-                grams.append(gram)
-                seen.append(times)
-                weights.append(np.bincount(where, gram_weights(len(words), n, order), len(gram)))
-                owners.append(np.full(len(gram), at))
-            gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
-            if not len(gram):
-                continue
-            seen, weight, owner = np.concatenate(seen).astype("<u4"), np.concatenate(weights).astype("<i4"), np.concatenate(owners)
-            part = (gram % np.uint64(parts)).astype(np.int32)
-            order_by = np.argsort(part, kind="stable")  # documents stay in order within a part
-            gram, seen, weight, owner, part = gram[order_by], seen[order_by], weight[order_by], owner[order_by], part[order_by]
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            ids = batch.column(0)
-            rows = {"part": [], "ids": [], "sizes": [], "grams": [], "seen": [], "weight": []}
-            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
-                docs_at, sizes = np.unique(owner[lo:hi], return_counts=True)
-                rows["part"].append(int(part[lo]))
-                rows["ids"].append(ids.take(pa.array(docs_at)).to_pylist())
-                rows["sizes"].append(sizes.astype("<u4").tobytes())
-                rows["grams"].append(gram[lo:hi].tobytes())
-                rows["seen"].append(seen[lo:hi].tobytes())
-                rows["weight"].append(weight[lo:hi].tobytes())
-            kinds = [pa.int32(), pa.list_(ids.type), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
+            lengths = np.cumsum([len(t.as_py() or "") for t in batch.column(1)])
+            lo = 0
+            while lo < batch.num_rows:  # so many documents at once that their arrays stay small
+                hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + CHUNK_CHARS)))
+                packed = _packed(batch.slice(lo, hi - lo), n, order, parts)
+                if packed is not None:
+                    yield packed
+                lo = hi
 
     return docs.mapInArrow(batches, f"part int, ids array<{id_type}>, sizes binary, grams binary, seen binary, weight binary")
 
 
-def _joined(exploded: DataFrame, id_type: str) -> DataFrame:
-    """(id, part_sum): each part counts its n-grams and weighs the log counts per document."""
+def _packed(batch: pa.RecordBatch, n: int, order: int, parts: int) -> pa.RecordBatch | None:
+    words, doc = word_hashes(batch.column(1).to_pylist())
+    if len(words) < n:
+        return None
+    whole = doc[: len(doc) - n + 1] == doc[n - 1 :]  # n-grams that stay in one document
+    every, doc = gram_hashes(words, n)[whole], doc[: len(doc) - n + 1][whole]
+    if not len(every):
+        return None
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+    grams, seen, weights, owners = [], [], [], []
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        gram, times = np.unique(every[lo:hi], return_counts=True)
+        grams.append(gram)
+        seen.append(times.astype("<u4"))
+        weights.append(gram_weights(gram, times, every[lo:hi], n, order).astype("<i4"))
+        owners.append(np.full(len(gram), doc[lo], np.int32))
+    gram, seen, weight, owner = map(np.concatenate, (grams, seen, weights, owners))
+    part = (gram % np.uint64(parts)).astype(np.int32)
+    by = np.argsort(part, kind="stable")  # documents stay in order within a part
+    gram, seen, weight, owner, part = gram[by], seen[by], weight[by], owner[by], part[by]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    ids = batch.column(0)
+    rows = {"part": [], "ids": [], "sizes": [], "grams": [], "seen": [], "weight": []}
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        docs_at, sizes = np.unique(owner[lo:hi], return_counts=True)
+        rows["part"].append(int(part[lo]))
+        rows["ids"].append(ids.take(pa.array(docs_at)).to_pylist())
+        rows["sizes"].append(sizes.astype("<u4").tobytes())
+        rows["grams"].append(gram[lo:hi].tobytes())
+        rows["seen"].append(seen[lo:hi].tobytes())
+        rows["weight"].append(weight[lo:hi].tobytes())
+    kinds = [pa.int32(), pa.list_(ids.type), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
+
+
+def _bucket(ids: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each id, the same in every task; null goes to the first."""
+    if pa.types.is_integer(ids.type):
+        mixed = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _ODD
+        return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    return np.array([0 if x is None else crc32(str(x).encode()) % buckets for x in ids.to_pylist()], np.int32)
+
+
+def _joined(exploded: DataFrame, id_type: str, parts: int) -> DataFrame:
+    """(id, logs): each part counts its n-grams and weighs the log counts, each bucket of documents sums them.
+
+    What a part has for the documents of one bucket is a single packed row, so rows grow
+    with parts and buckets, not with documents times parts.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         gram, seen, weight = read("grams", "<u8"), read("seen", "<u4"), read("weight", "<i4")
         sizes = read("sizes", "<u4").astype(np.int64)
         _, where = np.unique(gram, return_inverse=True)
-        total = np.bincount(where, seen)
-        value = np.log(total)[where] * weight
+        value = np.log(np.bincount(where, seen))[where] * weight
         ends = np.cumsum(sizes)
-        sums = np.add.reduceat(value, ends - sizes) if len(sizes) else np.zeros(0)
+        sums = np.add.reduceat(value, ends - sizes)
+        ids = table.column("ids").combine_chunks().flatten()
+        bucket = _bucket(ids, parts)
+        by = np.argsort(bucket, kind="stable")
+        ids, sums, bucket = ids.take(pa.array(by)), sums[by], bucket[by]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        packed = [sums[lo:hi].astype("<f8").tobytes() for lo, hi in zip(cuts, cuts[1:])]
+        return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids), "sums": pa.array(packed, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks().flatten()
-        keep = sums != 0
-        return pa.table({"id": ids.filter(pa.array(keep)), "part_sum": pa.array(sums[keep], pa.float64())})
+        sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), "<f8")
+        known = ids.dictionary_encode(null_encoding="encode")
+        return pa.table({"id": known.dictionary, "logs": pa.array(np.bincount(known.indices.to_numpy(), sums, len(known.dictionary)), pa.float64())})
 
-    return exploded.groupBy("part").applyInArrow(count, f"id {id_type}, part_sum double")
+    counted = exploded.groupBy("part").applyInArrow(count, f"bucket int, ids array<{id_type}>, sums binary")
+    return counted.groupBy("bucket").applyInArrow(add, f"id {id_type}, logs double")
 
 
 def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -159,13 +217,13 @@ def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_c
     lowered = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     words = rows.groupBy("id").agg(F.sum(F.size(lowered)).cast("long").alias("n_words"), F.sum((F.size(lowered) > 0).cast("int")).alias("starts"))
     with _shuffles_removed(spark):
-        sums = [materialize(_joined(_exploded(rows, n, order, parts), id_type).groupBy("id").agg(F.sum("part_sum").alias("part_sum")), f"order-{n}-sums") for n in range(1, order + 1)]
+        sums = [materialize(_joined(_exploded(rows, n, order, parts), id_type, parts), f"order-{n}-sums") for n in range(1, order + 1)]
         words = materialize(words, "word-counts")
     total = words.agg(F.sum("n_words").alias("all_words"))  # one row
     joined = sums[0]
     for more in sums[1:]:
         joined = joined.union(more)
-    scored = joined.groupBy("id").agg(F.sum("part_sum").alias("logs"))
+    scored = joined.groupBy("id").agg(F.sum("logs").alias("logs"))
     out = words.join(F.broadcast(total)).join(scored.withColumnRenamed("id", "scored"), F.col("id").eqNullSafe(F.col("scored")), "left")
     bare = F.col("n_words" if order == 1 else "starts")  # words scored without context
     log_score = F.coalesce(F.col("logs"), F.lit(0.0)) - bare * F.when(bare > 0, F.log("all_words")).otherwise(0.0)
