@@ -32,7 +32,7 @@ LANDMARKS = 64
 #: Beginnings of words that may be landmarks besides whole words.
 STEMS = (5, 6, 7)
 #: A landmark occurs in this share of the toxic documents at least, and is less like any other than ALIKE.
-LEAST_SHARE, ALIKE = 0.003, 0.65
+LEAST_SHARE, ALIKE = 0.003, 0.85
 #: Labelled documents the machine is fitted on, by hash order; a bound, not a share.
 FIT_ROWS = 20_000
 #: Kernel values below this count as no likeness.

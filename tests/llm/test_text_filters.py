@@ -83,7 +83,7 @@ def test_held_out_toxicity(spark):
 
 
 def test_toxicity_on_odd_tables(spark):
-    labelled = spark.createDataFrame([(i, "you idiot clown" if i % 4 == 0 else f"calm words {i}", int(i % 4 == 0)) for i in range(200)] + [(900, None, 1), (901, "", 0), (902, "x", None)], "id long, text string, label int")
+    labelled = spark.createDataFrame([(i, ("you idiot", "such a clown")[i % 8 // 4] if i % 4 == 0 else f"calm words {i}", int(i % 4 == 0)) for i in range(200)] + [(900, None, 1), (901, "", 0), (902, "x", None)], "id long, text string, label int")
     model = X.train(labelled)
     rows = [(1, None), (2, ""), (3, "what an idiot"), (3, "what an idiot"), (4, "calm " * 40000), (5, "calm words")]
     got = X.score(_docs(spark, rows), model).collect()
