@@ -27,7 +27,7 @@ from symgraph.storage import materialize
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters of text taken up at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 #: K^i and K^-i modulo 2^64 by i, grown as texts need.
