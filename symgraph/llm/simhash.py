@@ -27,19 +27,23 @@ FANOUT = 8
 FRONTIER = 400_000
 
 
-def fingerprint(text: str | None, words: int, hasher) -> int:
-    """64-bit SimHash over word shingles; signed, as Spark's long."""
+def shingle_hashes(text: str | None, words: int, hasher) -> np.ndarray:
+    """Hash of each run of so many words; a shorter text is one run, a text without words has none."""
     tokens = (text or "").encode("utf-8").lower().split()  # bytes: lowers A-Z and splits at \x20 \x09-\x0d only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = np.array([hasher(joined)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        starts = np.concatenate([[0], ends[:-words]]).tolist()
-        stops = (ends[words - 1 :] - 1).tolist()
-        hashes = np.fromiter((hasher(joined[a:b]) for a, b in zip(starts, stops)), np.uint64, len(stops))
+        return np.array([hasher(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts = np.concatenate([[0], ends[:-words]]).tolist()
+    stops = (ends[words - 1 :] - 1).tolist()
+    return np.fromiter((hasher(joined[a:b]) for a, b in zip(starts, stops)), np.uint64, len(stops))
+
+
+def fingerprint(text: str | None, words: int, hasher) -> int:
+    """64-bit SimHash over word shingles; signed, as Spark's long."""
+    hashes = shingle_hashes(text, words, hasher)
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -171,10 +175,10 @@ def near_pairs(distinct: DataFrame, most: int = 4, tile: int = 1000) -> DataFram
         f, r = local_forest(np.concatenate(xs), np.concatenate(ys))
         return pa.table({"a": pa.array(f, pa.int64()), "b": pa.array(r, pa.int64())})
 
-    return _by_task(keyed, search)
+    return by_task(keyed, search)
 
 
-def _by_task(keyed: DataFrame, search) -> DataFrame:
+def by_task(keyed: DataFrame, search) -> DataFrame:
     """Run search once for each value of task."""
     # Cells of a few members come by the ten thousand, so one call takes a whole partition's.
     ordered = keyed.repartition("task").sortWithinPartitions("task")
@@ -231,4 +235,4 @@ def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-__all__ = ["fingerprints", "near_pairs", "near_duplicates", "hex_digits", "GrayIndex", "gray_rank"]
+__all__ = ["fingerprints", "near_pairs", "near_duplicates", "hex_digits", "GrayIndex", "gray_rank", "shingle_hashes", "by_task"]
