@@ -3,7 +3,10 @@
 A word's kernel features are its ordered three-letter subsequences, gaps allowed, each
 weighted by DECAY to the power of the letters it spans; the kernel of two words is the
 cosine of these. Landmark words, chosen from labelled documents, give a Nyström map, so
-that an insult with letters put in or left out still falls near its landmark. For every
+that an insult with letters put in or left out still falls near its landmark. Where a word
+holds all letters of a landmark in order, however many stand between them, the likeness is
+at least the landmark's share of the letters spanned, so that letters put in between do not
+hide it; runs of single letters are read as one word. For every
 landmark a document gives the value of its nearest word, the sum over its words and that
 sum's share of the words; a linear machine trained on labelled documents scores these,
 and Platt scaling turns its margin into a probability.
@@ -44,13 +47,17 @@ CHUNK_CHARS = 3_000_000
 #: Words next to which a landmark's share of a document counts as full.
 SHARE = 40
 
+#: Power of the share of letters spanned that counts for a landmark held in order; under 1, as inserted letters say little.
+HELD = 0.5
+
 _OFFSETS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
 _JUNK = re.compile(r"[^\w\s]+|[\d_]+")
+_SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 
 def letters_only(text: str | None) -> list[str]:
-    """Lower-case words of the whole text without what stands between letters."""
-    return _JUNK.sub("", (text or "").lower()).split()
+    """Lower-case words of the whole text without what stands between letters; three or more single letters in a row are one word."""
+    return _SPACED.sub(lambda m: "".join(m[0].split()), _JUNK.sub("", (text or "").lower())).split()
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +90,15 @@ def _features(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float
         yield row, (x[row, col] << 12) | (y[row, col] << 6) | z[row, col], DECAY ** (b + 1)
 
 
+def _letter_bits(words: list[str]) -> np.ndarray:
+    """Which letters each word has, as bits; some letters share a bit."""
+    bits = np.zeros(len(words), np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    np.bitwise_or.at(bits, np.repeat(np.arange(len(words)), lengths), np.uint64(1) << (points % np.uint64(64)))
+    return bits
+
+
 def _norms(codes: np.ndarray) -> np.ndarray:
     """Length of each row's feature vector, equal subsequences added up first."""
     keys, weights = [], []
@@ -103,6 +119,22 @@ def _least_norms(codes: np.ndarray) -> np.ndarray:
     return np.array(by_count)[letters]
 
 
+def _span(landmark: str, word: str) -> int:
+    """Fewest letters of word that hold landmark's letters in order; 0 where none do."""
+    best, lo = 0, 0
+    while True:
+        end = lo - 1
+        for c in landmark:
+            end = word.find(c, end + 1)
+            if end < 0:
+                return best
+        start = end + 1
+        for c in reversed(landmark):
+            start = word.rfind(c, lo, start)
+        best = min(best or end + 1 - start, end + 1 - start)
+        lo = start + 1
+
+
 class Kernel:
     """Kernel values of words against the landmarks."""
 
@@ -127,6 +159,8 @@ class Kernel:
         self.most = np.zeros(1 << 18, np.float32)
         for f, i in used.items():
             self.most[f] = self.table[i].max()
+        self.landmarks = landmarks
+        self.letters = _letter_bits(landmarks)
         self.seen: set[str] = set()
         self.near: dict[str, np.ndarray] = {}
 
@@ -149,6 +183,12 @@ class Kernel:
                 np.add.at(dots, row[hit], self.table[at[hit]] * np.float32(weight))
             values = np.maximum(dots / np.maximum(_norms(part), 1e-12)[:, None] - FLOOR, 0)
             np.maximum.at(out, owner[rows[lo : lo + 1024]], values)
+        bits = _letter_bits(words)
+        for j, landmark in enumerate(self.landmarks):
+            for i in np.flatnonzero((bits & self.letters[j]) == self.letters[j]).tolist():
+                span = _span(landmark, words[i])
+                if span:
+                    out[i, j] = max(out[i, j], (len(landmark) / span) ** HELD * (1 - FLOOR))
         return out
 
     def learn(self, words: set[str]) -> None:
