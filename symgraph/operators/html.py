@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MOST_IN, MOST_OUT = 100_000, 200_000
 # Elements whose content is dropped.
 DROPPED = frozenset("nav header footer script style noscript aside svg".split())
 
@@ -73,15 +72,15 @@ class _Writer(HTMLParser):
 
 
 def to_markdown(html: str | None) -> str:
-    """The body as Markdown with ATX headings and fenced code; empty where it cannot be read."""
-    body = re.search(r"<body[^>]*>([\s\S]*?)(?:</body>|\Z)", (html or "")[:MOST_IN], re.I)
+    """The whole body as Markdown with ATX headings and fenced code; empty where it cannot be read."""
+    body = re.search(r"<body[^>]*>([\s\S]*?)(?:</body>|\Z)", html or "", re.I)
     writer = _Writer()
     try:
-        writer.feed(body[1] if body else (html or "")[:MOST_IN])
+        writer.feed(body[1] if body else html or "")
         writer.close()
     except (AssertionError, ValueError):
         return ""
-    return re.sub(r"\n{4,}", "\n\n\n", "".join(writer.out)).strip()[:MOST_OUT]
+    return re.sub(r"\n{4,}", "\n\n\n", "".join(writer.out)).strip()
 
 
 def html_to_markdown(pages: DataFrame, html_col: str = "html", out_col: str = "markdown") -> DataFrame:
