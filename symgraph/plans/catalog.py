@@ -108,7 +108,7 @@ def symbol_detail(spark, sf):
     edges = G.edges(spark, sf)
     inward = edges.groupBy(F.col("target_id").alias("ti")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("<"), "source_id"))), ",").alias("edges_in"), F.count("*").alias("n_in"))
     outward = edges.groupBy(F.col("source_id").alias("so")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(">"), "target_id"))), ",").alias("edges_out"), F.count("*").alias("n_out"))
-    out = G.nodes(spark, sf).where(F.col("kind").isin("supplier", "part", "order")).join(inward, F.col("node") == F.col("ti"), "left").join(outward, F.col("node") == F.col("so"), "left")
+    out = G.nodes(spark, sf).join(inward, F.col("node") == F.col("ti"), "left").join(outward, F.col("node") == F.col("so"), "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
     return out.select("node", "name", "kind", "module", F.coalesce("edges_in", none).alias("edges_in"), F.coalesce("edges_out", none).alias("edges_out"), F.coalesce("n_in", zero).alias("n_in"), F.coalesce("n_out", zero).alias("n_out"))
 
