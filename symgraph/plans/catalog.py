@@ -167,9 +167,9 @@ def postings_stats(spark, sf):
 @query("build_context")
 def build_context(spark, sf):
     nodes = G.nodes(spark, sf)
-    found = S.search(nodes.where("kind = 'supplier'"), "supplier", "node", ["name"], limit=3)
-    ranked = found.withColumn("seed_rank", F.row_number().over(Window.orderBy("rank", "node")) - 1)  # three rows
-    return traversal.build_context(nodes, G.edges(spark, sf).where("kind <> 'contains'"), ranked.select("node", "seed_rank"), max_nodes=20)
+    found = S.search(nodes, "supplier", "node", ["name"], limit=10)
+    ranked = found.withColumn("seed_rank", F.row_number().over(Window.orderBy("rank", "node")) - 1)  # ten rows
+    return traversal.build_context(nodes, G.edges(spark, sf), ranked.select("node", "seed_rank"), max_nodes=20)
 
 
 @query("context_score", f"""
