@@ -405,7 +405,7 @@ _WANT = [("Override", None), ("GetMapping", "/x/KEY"), ("DgsData", "KEY"), ("Req
     f"WHEN {i} THEN " + ("NULL" if v is None else f"replace('{v}', 'KEY', o_orderpriority[3:])") for i, (_, v) in enumerate(_WANT)) + " END AS value FROM orders WHERE o_orderpriority NOT LIKE '%NOT%'")
 def parse_annotation(spark, sf):
     raw = F.element_at(F.array(*[F.lit(r) for r in _RAW]), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    o = table(spark, sf, "orders").where("o_orderpriority not like '%NOT%'").withColumn("raw", F.replace(raw, F.lit("KEY"), F.substring("o_orderpriority", 3, 100)))
+    o = table(spark, sf, "orders").withColumn("raw", F.replace(raw, F.lit("KEY"), F.substring("o_orderpriority", 3, 100)))
     return o.select("o_orderkey", X.annotation_name(F.col("raw")).alias("name"), X.annotation_value(F.col("raw")).alias("value"))
 
 
@@ -435,28 +435,27 @@ _HEADED_SQL = """
 
 
 def _headed(spark, sf):
-    """Documents whose every third line becomes a heading, as the SQL makes them."""
-    d = table(spark, sf, "documents").where("text is not null")
+    """All documents, every third line a heading, as the SQL makes them; those without headings are one overview section."""
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.when((i % 3 == 0) & t.rlike("^[A-Za-z]"), F.concat(F.repeat(F.lit("#"), 1 + F.length(t) % 4), F.lit(" "), t)).otherwise(t))
-    return sections.split_sections(d.select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id", "text").join(d.select(F.col("doc_id").alias("doc"), F.col("text").alias("src")), "doc").where(F.col("src").rlike("(?m)^[A-Za-z]")).drop("src")
+    return sections.split_sections(table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id", "text")
 
 
 @query("section_split", f"WITH {_HEADED_SQL} SELECT doc, ord, level, title, md5(content) AS content_md5 FROM sec")
 def section_split(spark, sf):
-    return _headed(spark, sf).where("title <> 'Overview'").select("doc", "ord", "level", "title", F.md5("content").alias("content_md5"))
+    return _headed(spark, sf).select("doc", "ord", "level", "title", F.md5("content").alias("content_md5"))
 
 
 @query("section_tree", f"""WITH {_HEADED_SQL}
     SELECT a.doc, a.ord, max(b.ord) AS parent_ord FROM sec a LEFT JOIN sec b ON a.doc = b.doc AND b.ord < a.ord AND b.level < a.level GROUP BY a.doc, a.ord""")
 def section_tree(spark, sf):
-    return sections.nest_sections(_headed(spark, sf).where("title <> 'Overview'")).select("doc", "ord", "parent_ord")
+    return sections.nest_sections(_headed(spark, sf)).select("doc", "ord", "parent_ord")
 
 
 @query("section_map", f"""WITH {_HEADED_SQL},
     s AS (SELECT doc, ord, content, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS section_id FROM sec)
     SELECT doc, section_id, md5(arg_max(content, ord)) AS content_md5 FROM s GROUP BY doc, section_id""")
 def section_map(spark, sf):
-    return sections.section_map(_headed(spark, sf).where("title <> 'Overview'")).select("doc", "section_id", F.md5("content").alias("content_md5"))
+    return sections.section_map(_headed(spark, sf)).select("doc", "section_id", F.md5("content").alias("content_md5"))
 
 
 @query("html_to_markdown")
