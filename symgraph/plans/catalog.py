@@ -380,7 +380,7 @@ def extract_terms(spark, sf):
 @query("slugify", """
     SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents""")
 def slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slugify(F.substring("text", 1, 120)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query("summarize", """
