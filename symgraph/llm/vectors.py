@@ -4,7 +4,10 @@ On unit vectors a cosine bound is a bound r on Euclidean distance. Each vector l
 the cell of its nearest pivot p and is copied to the cell of another pivot q where a
 partner could live: by the triangle inequality only if d(x, q) - d(x, p) <= 2r, and only
 if x lies within r of the plane between p and q. Every cell then joins on its own, cut
-into tiles where it is crowded. Equal vectors are one row with a count from the start.
+into tiles where it is crowded. Cells belong to a label and a vector length, so one plan
+serves all lengths. Equal vectors are one row with a count from the start, and vectors
+travel as packed bytes. A tile compares in single precision with a margin for its
+rounding; what passes is decided in double precision.
 """
 
 from __future__ import annotations
@@ -13,108 +16,139 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symgraph.llm.components import connected_components, local_forest
 from symgraph.storage import materialize
 
-#: Most pivots (a few MB in a task's closure), and distinct vectors for each pivot, about.
-PIVOTS, PER_PIVOT = 2048, 4000
+#: Most pivots (a few MB in a task's closure), and vectors of the largest label and length for each pivot, about.
+PIVOTS, PER_PIVOT = 2048, 16_384
 #: Most vectors on one side of a tile.
-TILE = 1024
+TILE = 8192
+#: Rows compared at once within a tile; pairs held at once.
+BAND, PAIRS = 1024, 1_000_000
 SLACK = 1e-9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length as unit vectors in double precision."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+def _units(packed: pa.Array, kind: str) -> np.ndarray:
+    """Packed vectors of one length as unit rows in double precision."""
+    x = np.frombuffer(b"".join(packed.to_pylist()), kind).reshape(len(packed), -1).astype(np.float64)
     x = x / np.maximum(np.abs(x).max(axis=1, initial=0), 1e-300)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def can_link(id_col: str, vector_col: str, label_col: str) -> Column:
-    """Id, label and vector known, every component finite, not all zero."""
-    v = F.col(vector_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.coalesce(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+def pack(rows: DataFrame) -> tuple[DataFrame, str]:
+    """rows(id, label, vector) as (id, label, vector, dim) with packed bytes, and their number format.
 
-
-def near_links(classes: DataFrame, cosine: float, pivots: int | None = None, tile: int = TILE) -> DataFrame:
-    """(id, links, root) for the distinct vectors of classes(id, label, vector, copies).
+    The packed vector is null where the row can link with nothing: id, label or vector
+    unknown, no components, one unknown or not finite, or all zero.
+    """
+    kind = "<f4" if isinstance(rows.schema["vector"].dataType.elementType, T.FloatType) else "<f8"
+    rows = rows if kind == "<f4" else rows.withColumn("vector", F.col("vector").cast("array<double>"))
+    schema = T.StructType([rows.schema["id"], rows.schema["label"], T.StructField("vector", T.BinaryType()), T.StructField("dim", T.IntegerType())])
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            column = batch.column(2)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            wrong = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            full = np.concatenate([[0], np.cumsum(values != 0)])
+            known = pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()).to_numpy(zero_copy_only=False)
+            good = known & (wrong[ends] == wrong[starts]) & (full[ends] > full[starts])
+            raw, width = values.tobytes(), values.itemsize
+            held = [raw[a * width : b * width] if ok else None for a, b, ok in zip(starts.tolist(), ends.tolist(), good.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary()), pa.array(sizes, pa.int32())], schema.names)
+
+    return rows.mapInArrow(batches, schema), kind
+
+
+def near_links(classes: DataFrame, kind: str, cosine: float, pivots: int | None = None, tile: int = TILE) -> DataFrame:
+    """(id, links, root) for the distinct vectors of classes(id, label, vector, dim, copies).
 
     links is the number of vectors in other classes within the bound, copies counted, in
     parts that sum up by id; (id, root) are edges of a forest that joins what links.
     """
     radius = float(np.sqrt(2 - 2 * cosine)) + SLACK
-    sizes = {r.dim: r.n for r in classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    parts = [_links_of(classes.where(F.size("vector") == dim), n, dim, cosine, radius, pivots, tile) for dim, n in sizes.items()]
-    rest = classes.where(~F.size("vector").isin(list(sizes))) if sizes else classes
-    if len(sizes) == 64 and rest.limit(1).count():
-        raise ValueError("vectors of more than 64 different lengths")
-    if not parts:
-        return classes.select("id", F.lit(0).cast("long").alias("links"), "id").toDF("id", "links", "root").limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
-
-
-def _links_of(classes: DataFrame, n: int, dim: int, cosine: float, radius: float, pivots: int | None, tile: int) -> DataFrame:
-    count = pivots or int(min(PIVOTS, max(1, n // PER_PIVOT)))
-    # A bounded sample: the vectors whose hash comes first.
-    chosen = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(count).toPandas()["vector"].to_list()
-    centre = np.asarray([[float(x) for x in v] for v in chosen], np.float64).reshape(len(chosen), dim)
-    centre /= np.sqrt((centre / np.abs(centre).max(axis=1)[:, None]) ** 2 @ np.ones(dim))[:, None] * np.abs(centre).max(axis=1)[:, None]
-    between = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 0))
+    largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    count = pivots or int(min(PIVOTS, max(1, largest // PER_PIVOT)))
+    # A bounded sample: the vectors whose hash comes first. A length without a pivot is one cell.
+    chosen = classes.select("dim", "vector").orderBy(F.xxhash64("vector"), "vector").limit(count).collect()
+    centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {r.dim for r in chosen}:
+        at = [i for i, r in enumerate(chosen) if r.dim == dim]
+        centres[dim] = np.array(at, np.int32), _units(pa.array([bytes(chosen[i].vector) for i in at], pa.binary()), kind)
 
     schema = T.StructType([*classes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
     def place(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                squared = np.maximum(2 - 2 * _matrix(batch.column(batch.schema.get_field_index("vector"))) @ centre.T, 0)
-                home = squared.argmin(axis=1)
-                least = squared[np.arange(len(home)), home]
-                gap = np.maximum(between[home], 1e-12)
-                reach = (np.sqrt(squared) - np.sqrt(least)[:, None] <= 2 * radius) & ((squared - least[:, None]) / (2 * gap) <= radius)
-                reach[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(reach)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(home[row] == cell)], schema.names)
-
+            for lo in range(0, whole.num_rows, BAND):
+                batch = whole.slice(lo, BAND)
+                dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    some = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    row, cell, home = _cells(some.column(some.schema.get_field_index("vector")), centres.get(dim))
+                    yield pa.RecordBatch.from_arrays([*some.take(pa.array(row)).columns, pa.array(cell, pa.int32()), pa.array(home)], schema.names)
+
+    def _cells(packed: pa.Array, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        every = np.arange(len(packed))
+        if known is None:
+            return every, np.full(len(every), -1, np.int32), np.ones(len(every), bool)
+        number, centre = known
+        between = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 0))
+        squared = np.maximum(2 - 2 * _units(packed, kind) @ centre.T, 0)
+        home = squared.argmin(axis=1)
+        least = squared[every, home]
+        gap = np.maximum(between[home], 1e-12)
+        reach = (np.sqrt(squared) - np.sqrt(least)[:, None] <= 2 * radius) & ((squared - least[:, None]) / (2 * gap) <= radius)
+        reach[every, home] = True
+        row, cell = np.nonzero(reach)
+        return row, number[cell], home[row] == cell
+
+    key = ["label", "dim", "cell"]
     placed = materialize(classes.mapInArrow(place, schema), "vector-cells")
-    crowd = placed.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / tile).cast("int").alias("rows"), F.ceil(F.count("*") / tile).cast("int").alias("cols"))
-    dealt = placed.join(crowd.where("rows > 0"), ["label", "cell"])
+    crowd = placed.groupBy(*key).agg(F.ceil(F.sum(F.col("home").cast("int")) / tile).cast("int").alias("rows"), F.ceil(F.count("*") / tile).cast("int").alias("cols"))
+    dealt = placed.join(crowd.where("rows > 0"), key)
     spread = F.xxhash64("id")
     row, col = F.pmod(spread, "rows").cast("int"), F.pmod(F.shiftright(spread, 16), F.col("cols")).cast("int")
-    as_row = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("asks"))))
-    as_col = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(False).alias("asks")))
-    none = F.array().cast("array<struct<i:int,j:int,asks:boolean>>")
-    tiles = dealt.select("label", "cell", "id", "copies", "vector", F.explode(F.concat(F.coalesce(as_row, none), as_col)).alias("t")).select("label", "cell", F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.asks").alias("asks"), "id", "copies", "vector")
+    # A home vector asks in its row of tiles; every vector answers in its column; where both meet it travels once.
+    as_row = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("asks"), (j == col).alias("answers"))))
+    as_col = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers")))
+    as_col = F.filter(as_col, lambda t: ~(F.col("home") & (t["i"] == row)))
+    none = F.array().cast("array<struct<i:int,j:int,asks:boolean,answers:boolean>>")
+    tiles = dealt.select(*key, "id", "copies", "vector", F.explode(F.concat(F.coalesce(as_row, none), as_col)).alias("t")).select(*key, "t.*", "id", "copies", "vector")
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        unit = _matrix(table.column("vector"))
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        near = unit[a] @ unit[b].T >= cosine
-        near &= ids[a][:, None] != ids[b]
-        links = near @ copies[b].astype(np.int64)
-        x, y = np.nonzero(near)
-        node, root = local_forest(ids[a][x], ids[b][y])
-        hit = links > 0
+        asks, answers = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("asks", "answers"))
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy().astype(np.int64)
+        unit = _units(table.column("vector").combine_chunks(), kind)
+        short = unit.astype(np.float32)
+        least = cosine - max(1e-5, unit.shape[1] * 2.5e-7)
+        links = np.zeros(len(ids), np.int64)
+        node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo in range(0, len(asks), BAND):
+            some = asks[lo : lo + BAND]
+            x, y = np.nonzero(short[some] @ short[answers].T >= least)
+            for at in range(0, len(x), PAIRS):
+                a, b = some[x[at : at + PAIRS]], answers[y[at : at + PAIRS]]
+                near = (np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine) & (ids[a] != ids[b])
+                a, b = a[near], b[near]
+                np.add.at(links, a, copies[b])
+                node, root = local_forest(np.concatenate([node, ids[a]]), np.concatenate([root, ids[b]]))
+        hit = np.flatnonzero(links)
         return pa.table({
-            "id": pa.array(np.concatenate([ids[a][hit], node]), pa.int64()),
+            "id": pa.array(np.concatenate([ids[hit], node]), pa.int64()),
             "links": pa.array(np.concatenate([links[hit], np.zeros(len(node), np.int64)]), pa.int64()),
-            "root": pa.array([*[None] * int(hit.sum()), *root.tolist()], pa.int64()),
+            "root": pa.array([*[None] * len(hit), *root.tolist()], pa.int64()),
         })
 
-    return tiles.groupBy("label", "cell", "i", "j").applyInArrow(compare, "id long, links long, root long")
+    return tiles.groupBy(*key, "i", "j").applyInArrow(compare, "id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int | None = None, tile: int = TILE) -> DataFrame:
@@ -123,18 +157,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     Vectors link at a cosine of at least `cosine`, in double precision. A null id, label or
     vector, a zero vector, and one with a null or non-finite component links with nothing
     and is its own component. Vectors of different lengths never link. Rows that repeat
-    an id with an equal vector count as vectors of their own; ids are else taken as unique. Other columns are ignored; an empty table stays empty.
+    an id with an equal vector count as vectors of their own; ids are integers and else taken as unique.
+    Other columns are ignored; an empty table stays empty.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"), can_link(id_col, vector_col, label_col).alias("good"))
-    good = materialize(rows.where("good").drop("good"), "vectors")
-    classes = materialize(good.groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("copies")).select(F.col("first").alias("id"), "label", "vector", "copies"), "vector-classes")
-    found = materialize(near_links(classes, cosine, pivots, tile), "vector-links")
+    rows, kind = pack(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")))
+    rows = materialize(rows, "vectors")
+    good = rows.where("vector is not null")
+    classes = materialize(good.groupBy("label", "dim", "vector").agg(F.min("id").alias("first"), F.count("*").alias("copies")).select(F.col("first").alias("id"), "label", "vector", "dim", "copies"), "vector-classes")
+    found = materialize(near_links(classes, kind, cosine, pivots, tile), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, "id", "left").join(comps, F.col("id") == F.col("node"), "left").select(
         F.col("label").alias("l"), F.col("vector").alias("v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c")
     )
     linked = good.join(known, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
-    alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = rows.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

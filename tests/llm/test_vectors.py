@@ -44,3 +44,17 @@ def test_null_ids_and_empty_tables(spark):
     assert V.near_duplicates(_table(spark, [])).count() == 0
     got = V.near_duplicates(_table(spark, [(None, [1.0, 2.0], 1), (5, [1.0, 2.0], 1), (6, [-1.0, 2.0], 1)])).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted([(None, 0, None, True), (5, 0, 5, True), (6, 0, 6, True)], key=repr)
+
+
+def test_more_than_64_lengths_in_one_plan(spark):
+    rows = [(3 * d + k, [1.0] * d + [0.01 * k], 1) for d in range(1, 90) for k in range(3)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_duplicates(_table(spark, rows), pivots=5, tile=16).collect()), key=repr)
+    assert got == _brute(rows)
+
+
+def test_double_components_and_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    seed = rng.normal(size=8)
+    rows = [(i, [float(x) for x in seed + rng.normal(size=8) * 0.02], 1) for i in range(150)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_duplicates(table, tile=32).collect()), key=repr) == _brute(rows)
