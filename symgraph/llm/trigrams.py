@@ -10,8 +10,8 @@ with warnings.catch_warnings():
     warnings.simplefilter("ignore")
     from re import _parser as sre
 
-#: A run of literals is followed through at most so many spellings before it is cut.
-MAX_SPELLINGS = 64
+#: A class of more letters counts as open; a run of literals is cut where it has more spellings than this, and what it had so far counts.
+MAX_CLASS, MAX_SPELLINGS = 16, 64
 
 
 def _spellings(items) -> list[set[str] | None]:
@@ -21,8 +21,9 @@ def _spellings(items) -> list[set[str] | None]:
         name = str(op)
         if name == "LITERAL":
             out.append({chr(arg).lower()})
-        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= 4:
-            out.append({chr(c).lower() for _, c in arg})
+        elif name == "IN":
+            letters = _letters(arg)
+            out.append(letters if letters and len(letters) <= MAX_CLASS else None)
         elif name == "SUBPATTERN":
             out.extend(_spellings(arg[3]))
         elif name == "BRANCH":
@@ -31,14 +32,30 @@ def _spellings(items) -> list[set[str] | None]:
         elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] == 1:
             inner = _whole(_spellings(arg[2]))
             out.append(None if inner is None else inner | ({""} if arg[0] == 0 else set()))
-        elif name == "MAX_REPEAT" and arg[0] >= 1 and arg[1] == arg[0] and arg[0] <= 8:
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
+            # As many copies as always occur, then an open end where there may be more.
             inner = _whole(_spellings(arg[2]))
-            out.extend([inner] * arg[0])
+            out.extend([inner] * min(arg[0], 8))
+            if arg[1] != arg[0] or arg[0] > 8:
+                out.append(None)
         else:
             out.append(None)
     return out
 
 
+def _letters(members) -> set[str] | None:
+    """The letters of a class of single characters and ranges, in lower case; None where it has anything else."""
+    out: set[str] = set()
+    for op, arg in members:
+        if str(op) == "LITERAL":
+            out.add(chr(arg).lower())
+        elif str(op) == "RANGE" and arg[1] - arg[0] < 64:
+            out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
+        else:
+            return None
+    return out
+
+
 def _whole(parts: list[set[str] | None]) -> set[str] | None:
     if None in parts:
         return None
@@ -59,7 +76,17 @@ def trigram_query(pattern: str) -> list[list[str]]:
         clauses = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in (_whole(run) or set())}
         if clauses and frozenset() not in clauses:
             least = [c for c in clauses if not any(d < c for d in clauses)]
-            if not best or min(map(len, least)) > min(map(len, best)):
+            # The run whose weakest alternative asks for most trigrams; of equals the one with fewer alternatives.
+            if not best or (min(map(len, least)), -len(least)) > (min(map(len, best)), -len(best)):
                 best = sorted(sorted(c) for c in least)
-        run = [part] if part is not None else []
+        run = _tail(run, part) if part is not None else []
     return best
+
+
+def _tail(run: list[set[str]], part: set[str]) -> list[set[str]]:
+    """The longest end of a run that can still go on with part; what was cut has counted already."""
+    if _whole([part]) is None:
+        return []
+    while _whole([*run, part]) is None:
+        run = run[1:]
+    return [*run, part]

@@ -18,6 +18,9 @@ def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == []
     assert trigram_query("AKIA[A-Z0-9]+") == [["aki", "kia"]]
     assert ["api", "ike", "key", "pik"] in trigram_query(secrets.ASSIGN)
+    assert trigram_query("gh[pousr]_[A-Za-z0-9]+") == [[f"{c}", f"gh{c[1]}"] if c < f"gh{c[1]}" else [f"gh{c[1]}", c] for c in ("ho_", "hp_", "hr_", "hs_", "hu_")]
+    assert trigram_query("(abc){2,}x") == [["abc", "bca", "cab"]] and trigram_query("[a-z]+b[0-9]{30}") == []
+    assert trigram_query("abcd[0-9][0-9][0-9]") == [["abc", "bcd"]] or len(trigram_query("abcd[0-9][0-9][0-9]")) <= 64
 
 
 def _brute(text):
@@ -39,6 +42,8 @@ TEXTS = [
     (5, "no secret here"),
     (None, "tOkEn:abcdef-----BEGIN RSA PRIVATE KEY----- xoxb-1234567890-abcdefghij"),
     (7, "token=abcdef" * 3),
+    (8, "ghp_ghp_" + "b2" * 18 + " AKIAAKIA" + "Z" * 14 + " AKIA AKIA" + "Q" * 15 + " xoxb-xoxp-" + "1" * 15),
+    (9, "deadbeef" * 3 + " " + " ".join(f"{i:024x}" for i in range(700))),
 ]
 
 
@@ -73,6 +78,30 @@ def test_shards_are_contiguous_and_balanced(spark):
         assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
 
 
+def test_shards_equal_a_plain_running_sum(spark):
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i} " * (i % 40 + 1)) for i in range(900)] + [(5000, None), (5001, "")]
+    docs, n_slices, shards = _docs(spark, rows), 16, 7
+    got = {r.doc_id: r for r in sharding.shard_by_bytes(docs, shards=shards, slices=n_slices).collect()}
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    hashed = hashed.withColumn("salted", F.xxhash64("doc_id", "crc")).collect()
+    most = 2 * len(rows) / n_slices
+    times: dict = {}
+    for r in hashed:
+        times[r.h] = times.get(r.h, 0) + 1
+
+    def place(r):
+        hot = times[r.h] > most
+        return (r.h % n_slices, hot, r.h if hot else 0, r.salted % int(-(-times[r.h] // most)) if hot else 0, r.h, r.doc_id)
+
+    ordered, at, total = sorted(hashed, key=place), 0, sum(r.n + 16 for r in hashed)
+    slots: dict = {}
+    for r in ordered:
+        shard = min(shards - 1, (2 * at + r.n + 16) * shards // (2 * total))
+        assert (got[r.doc_id].shard, got[r.doc_id].slot) == (shard, slots.get(shard, 0))
+        slots[shard] = slots.get(shard, 0) + 1
+        at += r.n + 16
+
+
 def test_shards_of_tiny_and_empty_tables(spark):
     assert sharding.shard_by_bytes(_docs(spark, [])).count() == 0
     one = sharding.shard_by_bytes(_docs(spark, [(1, "x")])).collect()
