@@ -1,9 +1,11 @@
 """Contiguous shards of equal byte size from global prefix sums (DataFrame functions only).
 
-Rows are put in one global order: a slice of the text's hash, a salt where that slice
-is crowded, the hash, the id. Equal texts are neighbours in it. Per-slice totals are
-summed first, their running sums give every slice its offset, and a window inside each
-slice finishes the sum, so that no task ever orders more than one slice.
+Rows are put in one global order: a slice of the text's hash, then the texts of that slice
+by hash. A text with far more rows than an even slice follows the rest of its slice on
+its own, its rows dealt over parts by a salt. So equal texts are neighbours always, and
+only a cut between two shards parts them. Per-part totals are summed first, their running
+sums give every part its offset, and a window inside each part finishes the sum, so that
+no task ever orders more than one part.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from symgraph.storage import materialize
 
-#: Slices of the hash; the table of slice totals has at most 1.5 times as many rows.
+#: Slices of the hash; the table of part totals has at most twice as many rows.
 SLICES = 4096
 
 
@@ -24,7 +26,7 @@ def _size(text: Column, overhead: int) -> Column:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, slices: int = SLICES) -> DataFrame:
     """Assign every row to a shard; sizes differ from the target by less than one row.
 
-    Returns id, size, text_crc32, shard and slot (gapless from 0 within the shard).
+    Equal texts follow each other, in one shard unless a cut runs through them. Returns id, size, text_crc32, shard and slot (gapless from 0 within the shard).
     A null text counts as empty; null ids sort first; repeated rows each get a slot
     of their own; an empty table gives an empty result. Other columns are ignored.
     """
@@ -37,14 +39,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     )
     rows = materialize(rows.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")), "shard-sizes")
 
-    # How many salts a slice needs, so that none holds far more rows than an even share:
-    # the shares sum to slices / 2 more at most.
-    counts = rows.groupBy("slice").agg(F.count("*").alias("n"))
-    total_rows = counts.agg(F.sum("n").alias("rows"))
-    salts = counts.join(F.broadcast(total_rows)).select("slice", F.ceil(F.col("n") / F.greatest(F.lit(1.0), 2.0 * F.col("rows") / F.lit(slices))).cast("int").alias("salts"))
-    placed = rows.join(F.broadcast(salts), "slice").withColumn("part", F.struct("slice", F.pmod(F.xxhash64("id", "crc"), F.col("salts")).alias("salt")))
+    # A text with more than twice an even slice's rows is hot; there are at most slices / 2 of them,
+    # and their salts sum to slices / 2 more parts at most.
+    total_rows = rows.agg(F.greatest(F.lit(1.0), 2.0 * F.count("*") / F.lit(slices)).alias("most"))
+    hot = rows.groupBy(F.coalesce("h", F.lit(0)).alias("hot")).agg(F.count("*").alias("n")).join(F.broadcast(total_rows)).where("n > most")
+    hot = hot.select("hot", F.ceil(F.col("n") / F.col("most")).alias("salts"))
+    placed = rows.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left").withColumn("part", F.struct("slice", F.col("hot"), F.pmod(F.xxhash64("id", "crc"), F.coalesce("salts", F.lit(1))).alias("salt")))
 
-    # At most 1.5 * slices totals (one for each share and slice): safe to broadcast and to order in one task.
+    # At most 2 * slices totals: safe to broadcast and to order in one task.
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
     offsets = totals.select(
@@ -56,7 +58,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
     inside = Window.partitionBy("part").orderBy("h", "id", "crc", "size")
     cut = (
-        placed.join(F.broadcast(offsets), "part")
+        placed.join(F.broadcast(offsets.withColumnRenamed("part", "p")), F.col("part").eqNullSafe(F.col("p")))
         .join(F.broadcast(grand))
         .withColumn("start", F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("position", F.col("rows_before") + F.row_number().over(inside) - 1)
