@@ -29,6 +29,10 @@ ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 500
 #: Captures in a shard of the index, about.
 SHARD_ROWS = 20_000
+#: Most shards: the directory of their first keys is what a lookup holds in memory.
+MOST_SHARDS = 20_000
+#: Bytes of records that one task reads back, about.
+READ_BYTES = 8 << 20
 CRLF = b"\r\n"
 
 
@@ -108,7 +112,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_payload: i
     response and the others revisit it; a row that repeats that id is a response as well,
     and rows with a null id revisit unless no id is known. A null html is an empty payload.
     The result (id, key, archive, offset, length) is a written table: a task that runs
-    twice writes a file of another name, and only the one that counted is listed.
+    twice writes a file of another name, and only the one that counted is listed. Other
+    columns are ignored; an empty table writes nothing.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -150,9 +155,9 @@ def build_index(captures: DataFrame, shards: int | None = None, block_lines: int
 
     Captures are range-partitioned by (key, id), so that a host with most of the pages
     spreads over many shards. data is a compressed run of lines in key order; the other
-    columns are the sparse directory.
+    columns are the sparse directory. No captures give no blocks.
     """
-    shards = shards or max(1, captures.count() // SHARD_ROWS)
+    shards = shards or min(MOST_SHARDS, max(1, captures.count() // SHARD_ROWS))
     ordered = captures.repartitionByRange(shards, "key", "id").sortWithinPartitions("key", "id")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +186,14 @@ def _order(key, page_id) -> tuple:
     return (key or "", page_id is not None, page_id if page_id is not None else 0)
 
 
-def read_captures(queries: DataFrame, index: DataFrame, with_payload: bool = False, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Look up each (id, url) in the index and read its record; captures not in the index give no row.
+def find_captures(queries: DataFrame, index: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(archive, offset, length) of the captures of each different (id, url); what the index does not hold gives no row.
 
-    Queries go to shards by the shards' first keys (one entry for each partition of the
-    index reaches the driver); each shard is then searched on its own. A query that repeats is answered
-    once for each record of its id and URL.
+    Queries go to shards by the shards' first keys, at most MOST_SHARDS of them; each shard is then
+    searched on its own: its sparse directory by bisection, then the block. A null URL has the empty key.
     """
     id_type = queries.schema[id_col].dataType
-    starts = index.where("block = 0").select("shard", "first_key", "first_id").collect()  # one row for each shard
+    starts = index.where("block = 0").select("shard", "first_key", "first_id").collect()  # MOST_SHARDS rows at most
     starts = sorted((_order(r.first_key, r.first_id), r.shard) for r in starts)
     firsts, homes = [s for s, _ in starts], [h for _, h in starts]
     sent = T.StructType([T.StructField("id", id_type), T.StructField("key", T.StringType()), T.StructField("shard", T.IntegerType())])
@@ -201,12 +205,8 @@ def read_captures(queries: DataFrame, index: DataFrame, with_payload: bool = Fal
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array([homes[a] if a >= 0 else -1 for a in at], pa.int32())], sent.names)
 
     wanted = queries.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).distinct().mapInArrow(assign, sent)
-    fields = [("page_id", id_type.simpleString()), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", id_type.simpleString())]
-    fields += [("payload", "binary")] if with_payload else []
-    arrow = {"page_id": None, "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": None, "payload": pa.binary()}
 
     def look(asked: pa.Table, blocks: pa.Table) -> pa.Table:
-        id_arrow = asked.schema.field("id").type
         rows = sorted(blocks.to_pylist(), key=lambda r: r["block"])
         directory = [_order(r["first_key"], r["first_id"]) for r in rows]
         opened: tuple[int, list, list] = (-1, [], [])
@@ -226,13 +226,51 @@ def read_captures(queries: DataFrame, index: DataFrame, with_payload: bool = Fal
                 if lo:
                     break
                 at -= 1  # equal captures may reach back into the block before
-        found = []
-        for archive in sorted({p[0] for p in places}):
-            store, path = _filesystem(archive)
-            with store.open_input_file(path) as source:
-                for _, offset, length in sorted(p for p in places if p[0] == archive):
-                    source.seek(offset)
-                    found.append(parse_record(source.read(length)))
-        return pa.table({n: pa.array([r[n] for r in found], arrow[n] or id_arrow) for n, _ in fields})
-
-    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, ", ".join(f"{n} {t}" for n, t in fields))
+        archive, offset, length = zip(*places) if places else ((), (), ())
+        return pa.table({"archive": pa.array(archive, pa.string()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
+
+    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, "archive string, offset long, length long")
+
+
+def read_captures(queries: DataFrame, index: DataFrame, with_payload: bool = False, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Look up each (id, url) in the index and read its record; captures not in the index give no row.
+
+    The places found are a small written table; ranges of archives of about READ_BYTES are
+    then dealt to tasks and each is read in order, a record at a time. A query that repeats
+    is answered once for each record of its id and URL. Other columns are ignored; an empty table gives no rows.
+    """
+    id_type = queries.schema[id_col].dataType
+    places = materialize(find_captures(queries, index, id_col, url_col), "capture-places")
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first().b
+    spark = queries.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, total // READ_BYTES)
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES // 8))
+    dealt = places.withColumn("stretch", stretch).repartition(int(parts), "archive", "stretch").sortWithinPartitions("archive", "offset")
+    fields = [("page_id", id_type.simpleString()), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", id_type.simpleString())]
+    fields += [("payload", "binary")] if with_payload else []
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_arrow = to_arrow_type(id_type)
+    arrow = {"page_id": id_arrow, "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": id_arrow, "payload": pa.binary()}
+
+    def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, source = "", None
+        for batch in stream:
+            found, held = [], 0
+            for row in batch.select(["archive", "offset", "length"]).to_pylist():
+                if row["archive"] != opened:
+                    store, path = _filesystem(row["archive"])
+                    opened, source = row["archive"], store.open_input_file(path)
+                source.seek(row["offset"])
+                record = parse_record(source.read(row["length"]))
+                held += len(record["payload"] or b"") if with_payload else 0
+                found.append(record)
+                if held > READ_BYTES:
+                    yield rows(found)
+                    found, held = [], 0
+            yield rows(found)
+
+    def rows(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], arrow[n]) for n, _ in fields], [n for n, _ in fields])
+
+    return dealt.mapInArrow(read, ", ".join(f"{n} {t}" for n, t in fields))
