@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ def _docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
 
 
-def _least_edits(item: bytes, text: bytes) -> int:
+def _least_edits(item: str, text: str) -> int:
     prev = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
         cur = [i]
@@ -26,25 +25,28 @@ def _least_edits(item: bytes, text: bytes) -> int:
     return min(prev)
 
 
-def test_leaks_equal_brute_force_on_edited_passages():
+@pytest.mark.parametrize("letters", ["thenorais", "абвгдежзий", "日本語の文章から"])
+def test_leaks_equal_brute_force_on_edited_passages(letters):
     rng = random.Random(5)
-    word = lambda: "".join(rng.choice("thenorais") for _ in range(rng.randint(2, 8)))
-    items = [" ".join(word() for _ in range(rng.randint(2, 40))).encode() for _ in range(20)]
-    block = D.Block(np.arange(20), items, 0.1)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    items = [" ".join(word() for _ in range(rng.choice([1, 1, 2, 3, 4, 8, 20, 40]))) for _ in range(24)]
+    block = D.Block(list(range(24)), items, 0.1)
+    assert [int(k) for k in block.edits] == [len(t) // 10 for t in items] and (block.need >= 1).all()
+    texts = []
     for trial in range(60):
-        i = rng.randrange(20)
-        s = bytearray(items[i])
+        i = rng.randrange(24)
+        s = list(items[i])
         for _ in range(rng.randint(0, int(block.edits[i]) + 2)):
             at, kind = rng.randrange(len(s)), rng.random()
             if kind < 0.4:
-                s[at] = rng.randrange(97, 123)
+                s[at] = rng.choice("xyzабв")
             elif kind < 0.7 and len(s) > 1:
                 del s[at]
             else:
-                s.insert(at, rng.randrange(97, 123))
-        text = b" ".join([word().encode() for _ in range(20)] + [bytes(s)] + [word().encode() for _ in range(20)])
-        got = dict(block.search(text))
-        for j in range(20):
+                s.insert(at, rng.choice("xyzабв"))
+        texts.append(D.normalize(" ".join([word() for _ in range(20)] + ["".join(s)] + [word() for _ in range(20)])))
+    for text, got in zip(texts, block.search(texts)):
+        for j in range(24):
             edits = _least_edits(items[j], text)
             assert got.get(j) == (edits if edits <= block.edits[j] else None)
 
@@ -53,18 +55,22 @@ def test_leaks_on_odd_tables(spark):
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again and again."), (2, None), (3, ""), (4, "tiny")], "item_id long, text string")
     text = "x " * 50000 + "the QUICK brown\n fox jumps over the lazy cog again and again." + " y" * 50000
     rows = [(1, None), (2, ""), (3, text), (3, text), (4, "nothing here"), (5, "a tiny one")]
-    for size in (10, 2_000_000):
+    for size in (1, 10, 2_000_000):
         got = D.find_leaks(_docs(spark, rows), bench, block_chars=size).select("doc_id", F.col("leaks.item").alias("items")).collect()
         assert sorted((r.doc_id, tuple(r["items"])) for r in got) == [(1, ()), (2, ()), (3, (1,)), (3, (1,)), (4, ()), (5, (4,))]
     assert D.find_leaks(_docs(spark, []), bench).count() == 0
     assert D.find_leaks(_docs(spark, rows), bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
-def test_all_verbatim_passages_are_found(spark, sf):
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    want = {(d.doc_id, b.item_id) for d in docs for b in bench if D.normalize(b.text) and D.normalize(b.text) in D.normalize(d.text)}
-    assert want <= {(r.doc_id, r.item_id) for r in op3_decontaminate(spark, sf).collect()}
+def test_leaks_equal_brute_force_on_the_smallest_tables(spark, sf):
+    bench = [(b.item_id, D.normalize(b.text)) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(d.doc_id, D.normalize(d.text)) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {(r.doc_id, r.item_id): r.edits for r in op3_decontaminate(spark, sf).collect()}
+    verbatim = {(d, b) for d, text in docs for b, item in bench if item and item in text}
+    assert verbatim == {k for k, edits in got.items() if edits == 0}
+    texts = dict(docs)
+    items = dict(bench)
+    assert all(_least_edits(items[b], texts[d]) == edits <= len(items[b]) // 10 for (d, b), edits in got.items() if len(texts[d]) < 3000)
 
 
 def test_kernel_tolerates_gaps_and_insertions():
