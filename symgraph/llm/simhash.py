@@ -1,17 +1,24 @@
 """SimHash fingerprints, and near pairs by a Gray-ordered hierarchical index.
 
-Fingerprints that differ in at most k bits agree in one of k + 1 segments of the word, so
-each distinct fingerprint goes to k + 1 cells (segment, value); a cell's members share
-that masked bit pattern, the top node of an index of its own. Inside, members are sorted
-by Gray rank, every run of neighbours is a node holding the bits that all of them share
-(the mask) and their values (the pattern), and runs of runs are nodes above. A search
-adds up the differences on the bits that each node settles anew and drops the node with
-everything below it once they exceed k.
+Cut into p segments, fingerprints that differ in at most k bits agree on p - k of them, so
+each distinct fingerprint goes to the cell of every choice of p - k segments; a cell's
+members share that masked bit pattern, the top node of an index of its own. Inside,
+members are sorted by Gray rank, every run of neighbours is a node holding the bits that
+all of them share (the mask) and their values (the pattern), and runs of runs are nodes
+above. A search adds up the differences on the bits that each node settles anew and drops
+the node with everything below it once they exceed k.
+
+One Gray order over all fingerprints would need no copies, but its upper nodes settle only
+the leading bits: among a million groups (20 bits) a query for k = 4 must visit the
+sum of C(20, 0..4), 6,196, of them, each in some other task. The cells are upper nodes on
+which a pair agrees outright, so that a query visits one group for each. More
+fingerprints get more segments: p = k + 1 while that leaves cells of some CELL members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +30,8 @@ from symgraph.llm.components import connected_components, local_forest
 from symgraph.storage import materialize
 
 FANOUT = 8
+#: Members of a cell, on average, from which segments are cut finer.
+CELL = 1000
 #: Pairs (query, node) that a search holds at once.
 FRONTIER = 400_000
 
@@ -124,26 +133,36 @@ def _segments(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def near_pairs(distinct: DataFrame, most: int = 4, tile: int = 1000) -> DataFrame:
+def top_masks(n: int, most: int, parts: int | None = None) -> list[int]:
+    """The masks of the cells for n fingerprints: every choice of parts - most segments, some pair of which always agrees."""
+    if parts is None:
+        parts = most + 1
+        while n >> min(64 * (parts - most) // parts, 62) > CELL and parts < most + 4:
+            parts += 1
+    spans = [((1 << w) - 1) << a for a, w in _segments(parts)]
+    return [sum(chosen) for chosen in combinations(spans, parts - most)]
+
+
+def near_pairs(distinct: DataFrame, most: int = 4, tile: int = 1000, parts: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that join all that differ in at most `most` bits.
 
     Inside a cell links come as a spanning forest, so a dense cell gives no more rows
     than members. A cell of more than `tile` members is cut into tiles by hash; every
     pair of tiles is searched on its own, so no task holds more than two tiles.
     """
-    spans = _segments(most + 1)
-    cells = F.array(*[F.struct(F.lit(i).alias("seg"), F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << w) - 1}L").alias("val")) for i, (a, w) in enumerate(spans)])
+    masks = top_masks(distinct.count(), most, parts)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    cells = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in enumerate(signed)])
     members = distinct.select("fp", F.explode(cells).alias("cell"))
-    # Cells are counted by partial sums; there are at most (most + 1) * 2^13 of them.
     sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     crowded = sizes.where(F.col("n") > tile).select(F.col("cell").alias("c"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    placed = members.join(F.broadcast(crowded), F.col("cell") == F.col("c"), "left").drop("c").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = members.join(crowded, F.col("cell") == F.col("c"), "left").drop("c").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     grids = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
     dealt = placed.select("fp", "cell", own.alias("own"), F.explode(grids).alias("grid"))
     keyed = dealt.select("fp", F.xxhash64("cell", "grid").alias("task"), F.col("cell.seg").alias("seg"), F.col("cell.val").alias("val"), (F.col("own") == F.col("grid.j")).alias("right"), (F.col("grid.i") == F.col("grid.j")).alias("same"))
 
-    masks = [np.uint64(((1 << w) - 1) << a) for a, w in spans]
+    shared = [np.uint64(m) for m in masks]
 
     def search(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
@@ -161,7 +180,7 @@ def near_pairs(distinct: DataFrame, most: int = 4, tile: int = 1000) -> DataFram
             codes = fp[at] if same[at[0]] else fp[at][right[at]]
             if not len(queries) or not len(codes):
                 continue
-            index = GrayIndex(codes, masks[seg[at[0]]])
+            index = GrayIndex(codes, shared[seg[at[0]]])
             for q, c in index.search(queries, most):
                 x, y = queries[q], index.codes[c]
                 keep = x != y

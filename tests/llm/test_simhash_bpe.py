@@ -50,8 +50,18 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert simhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("tile", [20, 1000])
-def test_near_pairs_join_all_close_codes(spark, tile):
+def test_every_close_pair_agrees_on_some_mask():
+    rng = np.random.default_rng(8)
+    for n, count in ((10**5, 5), (10**8, 15), (10**11, 35), (10**15, 70)):
+        masks = simhash.top_masks(n, 4)
+        assert len(masks) == count
+        for _ in range(300):
+            flipped = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(flipped & m == 0 for m in masks)
+
+
+@pytest.mark.parametrize(("tile", "parts"), [(20, 5), (1000, 5), (20, 6), (1000, 8)])
+def test_near_pairs_join_all_close_codes(spark, tile, parts):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
     codes = {int(s) for s in seeds}
@@ -60,7 +70,7 @@ def test_near_pairs_join_all_close_codes(spark, tile):
             bits = rng.choice(64, rng.integers(1, 4), replace=False)
             codes.add(int(s) ^ sum(1 << int(b) for b in bits))
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    links = simhash.near_pairs(spark.createDataFrame([(c,) for c in signed], "fp long"), 4, tile)
+    links = simhash.near_pairs(spark.createDataFrame([(c,) for c in signed], "fp long"), 4, tile, parts)
     comps = {r.node: r.component for r in connected_components(links).collect()}
     arr = np.array(signed, np.int64).view(np.uint64)
     x, y = np.nonzero(np.bitwise_count(arr[:, None] ^ arr) <= 4)
