@@ -19,7 +19,7 @@ from symgraph.llm.html_blocks import Block, leaf_blocks
 from symgraph.llm.labelled_pages import labelled_pages
 
 #: Labelled pages that the field is fitted on.
-FIT_PAGES = 400
+FIT_PAGES = 700
 
 
 def _bucket(n: int) -> int:
@@ -32,9 +32,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for b in blocks:
         words = b.text.split()
         density = min(4, 4 * b.linked // max(1, len(b.text)))
-        own = b.tags[-1] if b.tags else ""
-        found = ["bias", f"own:{own}", f"links:{density}", f"words:{_bucket(len(words))}", f"ends:{b.text[-1] in '.!?…。'}", f"own:{own}:links:{density}"]
-        found += {f"in:{t}" for t in b.tags} | {f"name:{n}" for n in b.names} | {f"near:{t}" for t in b.tags[-3:]}
+        own = b.last[-1] if b.last else ""
+        found = ["bias", f"own:{own}", f"links:{density}", f"words:{_bucket(len(words))}", f"ends:{b.text[-1] in '.!?…。'}", f"own:{own}:links:{density}", f"links:{density}:words:{_bucket(len(words))}"]
+        found += [f"in:{t}" for t in b.tags] + [f"name:{n}" for n in b.names] + [f"near:{t}" for t in set(b.last)]
         if "©" in b.text:
             found.append("copyright")
         if "|" in b.text or "·" in b.text or "»" in b.text:

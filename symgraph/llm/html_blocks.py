@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 # Elements of HTML that begin a block, that hold no text of the page, and that have no end tag.
@@ -25,24 +26,34 @@ _NAME = re.compile(r"[a-z]+")
 
 @dataclass
 class Block:
+    """A run of text: tags and names of all elements around it, the last three tags, characters in links, the label's mark."""
+
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    tags: frozenset[str]
+    names: frozenset[str]
+    last: tuple[str, ...]
     linked: int
     mark: str | None = None
 
 
 @dataclass
 class _Open:
+    """An open element with the tags and names from the root down to it; a set that gains nothing is its parent's own."""
+
     tag: str
-    names: tuple[str, ...]
-    mark: str | None = field(default=None)
+    tags: frozenset[str]
+    names: frozenset[str]
+    mark: str | None
+
+
+_ROOT = _Open("", frozenset(), frozenset(), None)
 
 
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
+        self.open: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.anchors = 0
@@ -51,9 +62,8 @@ class _Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                names = tuple(n for o in self.stack for n in o.names)
-                mark = next((o.mark for o in reversed(self.stack) if o.mark is not None), None)
-                self.blocks.append(Block(text, tuple(o.tag for o in self.stack), names, self.linked, mark))
+                top = self.stack[-1] if self.stack else _ROOT
+                self.blocks.append(Block(text, top.tags, top.names, tuple(o.tag for o in self.stack[-3:]), self.linked, top.mark))
             self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
@@ -63,18 +73,20 @@ class _Reader(HTMLParser):
         for o in gone:
             self.silent -= o.tag in SILENT
             self.anchors -= o.tag == "a"
+            self.open[o.tag] -= 1
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
             ended = CLOSES.get(tag, {"p"})
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at].tag in ended:
-                    self._pop(at)
-                    break
-                if self.stack[at].tag in FENCES:
-                    break
+            if any(self.open[t] for t in ended):
+                for at in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[at].tag in ended:
+                        self._pop(at)
+                        break
+                    if self.stack[at].tag in FENCES:
+                        break
         if tag == "br":
             self.parts.append(" ")
         if tag == "body" or tag in ("article", "main") and self.silent:
@@ -84,8 +96,13 @@ class _Reader(HTMLParser):
             return
         given = dict(attrs)
         words = " ".join(given.get(k) or "" for k in ("class", "id", "role")).lower()
-        names = tuple(_NAME.findall(words)) + (("hidden",) if "hidden" in given else ())
-        self.stack.append(_Open(tag, names, given.get("data-mark")))
+        above = self.stack[-1] if self.stack else _ROOT
+        names = {*_NAME.findall(words), *(["hidden"] if "hidden" in given else [])}
+        mark = given.get("data-mark")
+        self.stack.append(_Open(
+            tag, above.tags if tag in above.tags else above.tags | {tag}, above.names if names <= above.names else above.names | names, above.mark if mark is None else mark
+        ))
+        self.open[tag] += 1
         self.silent += tag in SILENT
         self.anchors += tag == "a"
 
@@ -95,6 +112,8 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag == tag:
                 self._pop(at)

@@ -26,6 +26,7 @@ REST_NAMES = {
 class _Maker:
     def __init__(self, rng: random.Random):
         self.rng = rng
+        self.paragraph = "p"
 
     def word(self) -> str:
         return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.randint(1, 4)))
@@ -62,7 +63,11 @@ class _Maker:
             kind = self.rng.random()
             if kind < 0.72:
                 short = self.rng.random() < 0.2
-                out.append(f"<p>{self.inline(self.words(1, 4) if short else self.prose())}" + self.rng.choice(["</p>", "</p>", "</p>", ""]))
+                inner = self.inline(self.words(1, 4) if short else self.prose())
+                if self.paragraph == "p":
+                    out.append(f"<p>{inner}" + self.rng.choice(["</p>", "</p>", "</p>", ""]))
+                else:
+                    out.append(f"<div>{inner}</div>" if self.paragraph == "div" else f"{inner}<br><br>")
             elif kind < 0.8:
                 out.append(f"<h{(n := self.rng.randint(2, 4))}>{self.words(1, 6)}</h{n}>")
             elif kind < 0.87:
@@ -97,6 +102,7 @@ class _Maker:
 
     def page(self) -> str:
         rng = self.rng
+        self.paragraph = rng.choice(["p"] * 7 + ["div"] * 2 + ["br"])
         title = self.words(1, 12).capitalize()
         heading = f"<h1>{title}</h1>" if rng.random() < 0.85 else ""
         if heading and rng.random() < 0.2:
@@ -106,12 +112,19 @@ class _Maker:
         if within < 0.25:  # parts inside the article that are not of it
             body += self.rest(rng.choice(["ad", "aside", "comments", "form", "notice", "nav"])) + (f"<p>{self.prose()}</p>" if rng.random() < 0.5 else "")
         shape = rng.random()
-        if shape < 0.5:
+        whole = ""
+        if shape < 0.4:
             main = f'<article{self.attrs(["", *MAIN_NAMES])} data-mark="main">{body}</article>'
-        elif shape < 0.65:
+        elif shape < 0.52:
             main = f'<main data-mark="main">{body}</main>'
-        else:
+        elif shape < 0.72:
             main = f'<div{self.attrs(MAIN_NAMES[:-1])} data-mark="main">{body}</div>'
+        elif shape < 0.86:  # layouts that name nothing
+            main = f'<div data-mark="main">{body}</div>'
+        elif shape < 0.91:
+            main = f'<table><tr><td data-mark="main">{body}</td></tr></table>'
+        else:
+            main, whole = body, ' data-mark="main"'
         if rng.random() < 0.3:
             main = f'<div{self.attrs(["wrapper", "container", "page", "row", "site", "layout"])}>{main}</div>'
         before = [self.rest(k) for k in ("header", "nav", "notice", "ad", "form", "aside") if rng.random() < 0.45]
@@ -122,7 +135,7 @@ class _Maker:
             before, after = [], []
         rng.shuffle(before)
         end = rng.choice(["</body></html>", "</body></html>", ""])
-        return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{main}{''.join(after)}{end}"
+        return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style></head><body{whole}>{''.join(before)}{main}{''.join(after)}{end}"
 
 
 def labelled_pages(n: int, seed: int) -> Iterator[str]:

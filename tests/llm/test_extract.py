@@ -16,7 +16,7 @@ def field():
 def test_blocks_decode_references_and_close_paragraphs():
     blocks = leaf_blocks("<body><p>a&amp;b <b>c<br>d<p>e&nbsp; f<ul><li>x<li>y</ul><script>var t='</p>'</script><!-- no --><svg>z</svg>tail")
     assert [b.text for b in blocks] == ["a&b c d", "e f", "x", "y", "tail"]
-    assert "p" not in blocks[2].tags and leaf_blocks(None) == [] and leaf_blocks("<<<>&#xZZ;")
+    assert "p" not in blocks[2].tags and blocks[2].last == ("body", "ul", "li") and leaf_blocks(None) == [] and leaf_blocks("<<<>&#xZZ;")
 
 
 def test_held_out_labelled_pages(field):
@@ -43,6 +43,31 @@ def test_viterbi_equals_the_best_of_all_sequences(field):
         assert value([int(x) for x in field.decode(blocks)]) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("page", [
+    "<html><body><div><h1>Some title here</h1><p>First paragraph has words in it.</p><p>Second para also has words in it.</p></div></body></html>",
+    "<body><h1>Title</h1><div>First paragraph has words in it.</div><div>Second one is here too, with more.</div><div>Short end.</div></body>",
+    "<body><div><div><a href=/>Home</a> <a href=/b>Blog</a></div></div><div><div><h2>Title of it</h2><p>First paragraph has words in it.</p><p>Last words.</p></div></div></body>",
+    "<body><table><tr><td><p>First paragraph has words in it.</p><p>Second para also has words, and <a href=/x>one link</a> in it.</p></td></tr></table></body>",
+])
+def test_layouts_without_names_keep_every_paragraph(field, page):
+    blocks = leaf_blocks(page)
+    want = " ".join(b.text for b in blocks if "Home" not in b.text)
+    assert E.main_text(page, field) == want
+
+
+def test_deep_and_unclosed_markup_costs_no_more_than_its_length():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        blocks = leaf_blocks("<span class='a b'><div>word " * n + "<b>" * n + "<h1>x</h1></i>" * n)
+        assert len(blocks) == 2 * n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 40 * max(seconds(800), 0.01)
+
+
 def test_given_pages_give_their_articles(spark, field):
     rows = E.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), field=field).collect()
     for r in rows:
