@@ -28,6 +28,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters of text taken up at once.
 CHUNK_CHARS = 1_000_000
+#: Characters of text whose n-grams one part holds, about; parts grow with the corpus, and no fewer than Spark's shuffle partitions.
+PART_CHARS = 24_000_000
 
 
 #: K^i and K^-i modulo 2^64 by i, grown as texts need.
@@ -213,7 +215,9 @@ def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     lowered = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     words = rows.groupBy("id").agg(F.sum(F.size(lowered)).cast("long").alias("n_words"), F.sum((F.size(lowered) > 0).cast("int")).alias("starts"))
     with _shuffles_removed(spark):

@@ -266,7 +266,8 @@ def _mapped(pooled: np.ndarray, whiten: np.ndarray) -> np.ndarray:
 
 
 def in_training_fold(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
+    """Never null: a row without an id is nobody's held-out row."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
 def choose_landmarks(labelled: DataFrame, most: int = LANDMARKS) -> list[str]:
