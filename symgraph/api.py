@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import extract_terms, snippet
-from symgraph.operators import dml, ingest, resolve, search, sections, stack, traversal
-from symgraph.sources import build_files, cache, code
+from symgraph.operators import dml, ingest, modules, resolve, search, sections, stack, traversal
+from symgraph.sources import build_files, cache, code, test_markers
+from symgraph.storage import commit_tables, committed_tables, materialize
 
+MODULE_TYPES = ("frontend", "backend", "service", "shared", "infra", "unknown")
 SEARCHED = ["name", "qualified", "signature", "doc_comment"]
 
 
@@ -32,6 +34,9 @@ class Workspace:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     patterns: InternalPatterns = InternalPatterns()
     documents: DataFrame | None = None
+    symbols: dict[str, DataFrame] = field(default_factory=dict)
+    structure: dict[str, tuple[str, str]] | None = None
+    found: DataFrame | None = None
 
     def _t(self) -> dict[str, DataFrame]:
         if "nodes" not in self.tables:
@@ -48,19 +53,90 @@ class Workspace:
             self.tables["sources"] = files
         return self
 
+    def scan(self, root: str, module: str, keep_tests: bool = False) -> "Workspace":
+        """Read the sources below root into the graph: files that are new or changed, and edges over all of them.
+
+        Files that give no symbols and test files are left out; a file that changed or went takes all that hung on it along.
+        """
+        files = materialize(code.source_files(self.spark, root, module), "sources")
+        stored = self.tables.get("files")
+        mine = stored.where(F.col("module") == module) if stored is not None else None
+        fresh = dml.unseen(files.withColumnRenamed("file_path", "path"), mine).withColumnRenamed("path", "file_path") if mine is not None else files
+        symbols, imports = materialize(code.extract_symbols(fresh), "scanned"), code.imports_of(fresh)
+        if not keep_tests:
+            deps = build_files.dependencies(build_files.build_files(self.spark, root).where("path not like '%/%'"))
+            tests = test_markers.test_files(symbols, imports, test_markers.detect_markers(deps))
+            symbols = materialize(symbols.join(tests, ["module", "file_path"], "left_anti"), "scanned")
+        gone = dml.stale_files(mine, files.select(F.col("file_path").alias("path"), "hash")).select("path").join(mine, "path").select("file_id") if mine is not None else None
+        new = ingest.ingest(symbols, imports, fresh, stored.select("path", "file_id") if stored is not None else None)
+        old_symbols = self.symbols.get(module)
+        if old_symbols is not None:
+            kept = old_symbols.join(fresh.select("file_path"), "file_path", "left_anti").join(files.select("file_path"), "file_path", "left_semi")
+            symbols = materialize(kept.select(symbols.columns).union(symbols), "module-symbols")
+        self.symbols[module] = symbols
+        sources = files.select("module", "file_path", "text", "hash")
+        if gone is not None:
+            others = self.tables["sources"].where(F.col("module") != module) if "sources" in self.tables else None
+            new = ingest.merge({k: v for k, v in self.tables.items() if k not in ("postings", "lengths")}, materialize(gone, "gone"), new)
+            sources = others.select(sources.columns).union(sources) if others is not None else sources
+        self.tables = new | {"sources": sources}
+        self.tables["edges"] = resolve.resolve_all(self.tables)
+        return self
+
+    def save(self, root: str) -> str:
+        """Write all tables as one version below root; readers see all of it or nothing."""
+        return commit_tables(self.spark, self._t(), root)
+
+    def open(self, root: str) -> "Workspace":
+        self.tables = committed_tables(self.spark, root)
+        return self
+
+    def module_summary(self, module: str) -> DataFrame:
+        """Counts, type names, annotations, endpoints, entities and events of a scanned module."""
+        symbols = self.symbols[module]
+        return modules.summaries(symbols, symbols.select("module", "file_path").distinct())
+
+    def get_internal_api(self, module: str) -> DataFrame:
+        """A scanned module as documentation sections, in reading order."""
+        symbols = self.symbols[module]
+        return modules.in_order(modules.doc_sections(symbols, symbols.select("module", "file_path", "language").distinct())).orderBy("n")
+
+    def configure_monorepo(self, structure: dict[str, tuple[str, str]]) -> None:
+        """{module: (path, type)}: what analyze_project looks at instead of what it finds."""
+        wrong = [t for _, t in structure.values() if t not in MODULE_TYPES]
+        if wrong:
+            raise ValueError(f"module types are {', '.join(MODULE_TYPES)}, not {wrong[0]}")
+        self.structure = dict(structure)
+
     def analyze_project(self, root: str) -> DataFrame:
-        """Frameworks of each build file with the documented version range that fits."""
-        found = build_files.frameworks(build_files.dependencies(build_files.build_files(self.spark, root)))
-        rows = found.select("path", F.col("framework").alias("key"), "category", "version", F.regexp_extract("version", "^(\\d+)", 1).try_cast("int").alias("major"))
+        """Frameworks of each module with the documented version range that fits (ord, min_major, max_major)."""
+        self.found = materialize(build_files.analyze(self.spark, root, self.structure), "stack")
+        rows = self.found.withColumn("key", F.col("doc_key")).withColumn("major", F.regexp_extract("version", "^(\\d+)", 1).try_cast("int"))
         return stack.match_versions(rows, build_files.version_ranges(self.spark))
 
+    def _stack(self) -> DataFrame:
+        if self.found is None:
+            raise GraphNotReady("analyze a project first")
+        return self.found
+
+    def get_project_stack(self) -> DataFrame:
+        """(category, name, version, doc_key) over all modules, each key once in a category."""
+        return build_files.stack_by_category(self._stack())
+
+    def list_detected_frameworks(self) -> DataFrame:
+        return build_files.distinct_frameworks(self._stack())
+
+    def detected_version(self, key: str) -> str | None:
+        return self._stack().agg(build_files.detected_version(key).alias("v")).first().v
+
     def configure_internal_patterns(self, **lists: tuple[str, ...]) -> None:
         """Replace the lists given; others stay."""
         self.patterns = replace(self.patterns, **lists)
 
     def list_internal_deps(self, root: str) -> DataFrame:
-        """Dependencies that match the patterns, with the source directory that carries their name."""
-        deps = build_files.dependencies(build_files.build_files(self.spark, root))
+        """Dependencies that match the patterns, with the source directory that carries their name and whether it was scanned."""
+        files = build_files.build_files(self.spark, root)
+        deps = build_files.dependencies(files)
         parts = [("maven", self.patterns.maven), ("gradle", self.patterns.maven), ("npm", self.patterns.npm), ("sbt", self.patterns.sbt)]
         inside = F.lit(False)
         for eco, prefixes in parts:
@@ -68,9 +144,18 @@ class Workspace:
                 inside = inside | ((F.col("ecosystem") == eco) & stack.is_internal(F.col("artifact"), list(prefixes)))
         for pattern in self.patterns.custom:
             inside = inside | stack.is_internal(F.col("artifact"), ["\0"], pattern)
-        dirs = build_files.build_files(self.spark, root).where("path like '%/%'").select(F.element_at(F.split("path", "/"), -2).alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.size(F.split("path", "/")).alias("ord"))
+        # A directory comes after those above it and after the branches that sort ahead of it.
+        dirs = files.where("path like '%/%'").select(F.element_at(F.split("path", "/"), -2).alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("ord", F.split("path", "/"))
         found = dml.keep_one(deps.where(inside), ["artifact", "path"], [F.col("version").isNull(), F.col("version")])
-        return stack.source_paths(found.withColumnRenamed("path", "declared_in"), dirs)
+        out = stack.source_paths(found.withColumnRenamed("path", "declared_in"), dirs)
+        scanned = F.array(*[F.lit(m) for m in self.symbols]).cast("array<string>")
+        known = F.exists(scanned, lambda m: (F.col("source_path") == m) | F.endswith(F.col("source_path"), F.concat(F.lit("/"), m)))
+        return out.withColumn("status", F.when(F.col("source_path").isNull(), "external only").when(known, "scanned").otherwise("source found"))
+
+    def internal_deps_by_module(self, root: str) -> DataFrame:
+        """(declared_in, deps): the internal dependencies of each build file with their status."""
+        deps = self.list_internal_deps(root)
+        return deps.groupBy("declared_in").agg(F.array_sort(F.collect_list(F.struct("artifact", "version", "ecosystem", "status"))).alias("deps"))
 
     def source_symbols(self, root: str, module: str) -> DataFrame:
         return code.extract_symbols(code.source_files(self.spark, root, module))
@@ -80,18 +165,29 @@ class Workspace:
     def graph_status(self) -> DataFrame:
         t = self._t()
         count = lambda name: t[name].agg(F.count("*").alias(f"total_{name}"))
-        return count("files").crossJoin(count("nodes")).crossJoin(count("edges"))  # one row each
+        last = t["files"].agg((F.max("scanned_at") if "scanned_at" in t["files"].columns else F.lit(None).cast("long")).alias("last_scan"))
+        return count("files").crossJoin(count("nodes")).crossJoin(count("edges")).crossJoin(last)  # one row each
+
+    def stale(self, root: str, module: str) -> DataFrame:
+        """(path, status) of a module's files that changed or went since they were scanned."""
+        now = code.source_files(self.spark, root, module).select(F.col("file_path").alias("path"), "hash")
+        return dml.stale_files(self._t()["files"].where(F.col("module") == module), now)
 
     def _named(self, name: str, module: str | None = None) -> DataFrame:
-        n = self._t()["nodes"].where(F.col("name") == name)
-        return n.where(F.col("module") == module) if module else n
+        return search.named(self._t()["nodes"], name, module=module)
+
+    def _index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and document lengths of the nodes, written at the first search after a scan."""
+        if "postings" not in self._t():
+            self.tables["postings"], self.tables["lengths"] = search.write_index(self.tables["nodes"], "id", SEARCHED)
+        return self.tables["postings"], self.tables["lengths"]
 
     def search_symbols(self, query: str, kind: str | None = None, module: str | None = None, limit: int = 20) -> DataFrame:
         n = self._t()["nodes"]
         where: Column = F.lit(True)
         where = where & (F.col("kind") == kind) if kind else where
         where = where & (F.col("module") == module) if module else where
-        found = search.search(n, query, "id", SEARCHED, where, limit)
+        found = search.search_index(*self._index(), query, "id", n.where(where).select("id") if kind or module else None, limit)
         rows = found.join(n.select("id", "name", "qualified", "kind", "file_id", "start_line", "module", "signature"), "id")
         return rows.join(self._t()["files"].select("file_id", F.col("path").alias("file_path")), "file_id", "left").orderBy("rank", "id")
 
@@ -100,11 +196,12 @@ class Workspace:
         n = self._named(name, module)
         gather = lambda df, key, cols, out: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(out))
         out = n
+        wanted = n.select(F.col("id").alias("wanted"))  # the symbols of one name; only their rows are gathered
         for df, key, cols, alias in (
             (t["annotations"], "node_id", ["name", "value"], "notes"), (t["rest_endpoints"], "node_id", ["method", "path"], "endpoints"), (t["nodes"], "parent_id", ["start_line", "name", "kind"], "children"),
             (t["edges"], "source_id", ["kind", "target_id"], "edges_out"), (t["edges"], "target_id", ["kind", "source_id"], "edges_in"),
         ):
-            out = out.join(gather(df, key, cols, alias), "id", "left")
+            out = out.join(gather(df.join(wanted, F.col(key) == F.col("wanted"), "left_semi"), key, cols, alias), "id", "left")
         return self._with_source(out)
 
     def _with_source(self, rows: DataFrame) -> DataFrame:
@@ -117,20 +214,20 @@ class Workspace:
         return self._named(name, module).select(F.col("id").alias("node"))
 
     def get_callers(self, name: str, depth: int = 2, module: str | None = None) -> DataFrame:
-        return traversal.callers(self._t()["edges"], self._seeds(name, module), depth)
+        return traversal.callers(self._t()["edges"], self._seeds(name, module), depth, written=True)
 
     def get_callees(self, name: str, depth: int = 2, module: str | None = None) -> DataFrame:
-        return traversal.callees(self._t()["edges"], self._seeds(name, module), depth)
+        return traversal.callees(self._t()["edges"], self._seeds(name, module), depth, written=True)
 
     def get_impact(self, name: str, depth: int = 3, module: str | None = None) -> DataFrame:
         children = self._t()["nodes"].where("parent_id is not null").select("parent_id", F.col("id").alias("node"))
-        return traversal.impact(self._t()["edges"], self._seeds(name, module), depth, children)
+        return traversal.impact(self._t()["edges"], self._seeds(name, module), depth, children, written=True)
 
     def build_context(self, task: str, max_nodes: int = 20) -> DataFrame:
         """Symbols around the best search hits for a task's words."""
         t = self._t()
         terms = self.spark.range(1).select(extract_terms(F.lit(task)).alias("t")).first().t
-        found = search.search(t["nodes"], " OR ".join(x.replace("-", " ") for x in terms), "id", SEARCHED, limit=10)
+        found = search.search_index(*self._index(), " OR ".join(x.replace("-", " ") for x in terms), "id", limit=10)
         ranked = found.select(F.col("id").alias("node"), (F.row_number().over(Window.orderBy("rank", "id")) - 1).alias("seed_rank"))  # ten rows at most
         nodes = t["nodes"].select(F.col("id").alias("node"), "name", "kind", "module")
         return traversal.build_context(nodes, t["edges"], ranked, t["rest_endpoints"].select(F.col("node_id").alias("node")), max_nodes)

@@ -54,6 +54,23 @@ def slugify(title: Column, most: int = 60) -> Column:
     return F.substring(F.regexp_replace(dashed, "^-|-$", ""), 1, most)
 
 
+def sanitize_id(raw: Column, most: int = 80) -> Column:
+    """Lower case; everything but ASCII letters, digits and dashes is a dash, one at a time, none at either end."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(raw), "[^a-z0-9-]", "-"), "-+", "-")
+    return F.substring(F.regexp_replace(dashed, "^-|-$", ""), 1, most)
+
+
+def cache_key(raw: Column) -> Column:
+    """A name that is safe as a file's: letters, digits and . _ @ - stay; anything else is an underscore."""
+    return F.regexp_replace(raw, "[^a-zA-Z0-9._@-]", "_")
+
+
+def relative_paths(message: Column, root: str) -> Column:
+    """A message with the project's root taken out of its paths."""
+    root = root.rstrip("/")
+    return F.replace(F.replace(message, F.lit(root + "/"), F.lit("")), F.lit(root), F.lit("."))
+
+
 def summarize(text: Column, most: int = 200) -> Column:
     """The first paragraph under the heading: code blocks marked, links as their text, cut with dots."""
     body = F.regexp_replace(text, "^#+[^\\n]*\\n", "")
@@ -122,7 +139,7 @@ def time_ago(seconds: Column) -> Column:
 
 
 def capitalized(name: Column) -> Column:
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 10_000))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, F.length(name)))
 
 
 def json_texts(text: Column) -> Column:

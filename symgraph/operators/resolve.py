@@ -39,7 +39,7 @@ def _edge(rows: DataFrame, kind: str, order: int, seq: Column, metadata: Column
     return rows.select("source_id", "target_id", F.lit(kind).alias("kind"), (metadata if metadata is not None else F.lit(None)).cast("string").alias("metadata"), F.lit(order).alias("resolver"), seq.cast("long").alias("seq"))
 
 
-def _by_name(n: DataFrame) -> DataFrame:
+def by_name(n: DataFrame) -> DataFrame:
     """Candidates with how many share the name, and the name within a module."""
     c = n.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"), F.col("module").alias("t_module"), F.col("kind").alias("t_kind"))
     return c.withColumn("n_name", F.count("*").over(Window.partitionBy("t_name"))).withColumn("n_module", F.count("*").over(Window.partitionBy("t_name", "t_module")))
@@ -71,7 +71,7 @@ def inheritance(t: dict[str, DataFrame]) -> DataFrame:
     n = t["nodes"]
     wants = n.where("extends_name is not null").select(F.col("id").alias("source_id"), "module", F.col("extends_name").alias("want"), F.lit("extends").alias("how"))
     wants = wants.union(n.select("id", "module", F.explode("implements_names"), F.lit("implements")))
-    c = _by_name(n)
+    c = by_name(n)
     hits = wants.join(c, F.col("want") == F.col("t_name")).where((F.col("n_name") == 1) | F.col("module").eqNullSafe(F.col("t_module")))
     best = _first(hits, ["source_id", "want", "how"], "target_id")
     return reduce(DataFrame.union, [_edge(best.where(F.col("how") == k), k, 1, F.lit(0)) for k in ("extends", "implements")])
@@ -87,14 +87,14 @@ def calls(t: dict[str, DataFrame]) -> DataFrame:
     n = t["nodes"]
     sites = t["call_sites"].join(n.select(F.col("id").alias("node_id"), "module"), "node_id").withColumnRenamed("node_id", "source_id").withColumnRenamed("target", "want")
     has = F.coalesce(F.col("receiver") != "", F.lit(False))
-    c = _by_name(n)
+    c = by_name(n)
     plain = _unqualified(sites.where(~has), c)
     called = sites.where(has)
     # The receiver's class: its name, its name with a capital, or a class whose name ends so. Every ending of a
     # class name is a row, so that this is an equal join as well.
     receivers = called.select("receiver").distinct()
     named = n.select(F.col("id").alias("cand"), F.col("name").alias("cand_name"), F.col("module").alias("cand_module"), "kind")
-    ends = named.where(F.col("kind").isin("class", "interface", "component")).select("cand", "cand_module", F.explode(F.transform(F.sequence(F.lit(1), F.length("cand_name")), lambda k: F.lower(F.substring("cand_name", k, 1000)))).alias("ending"))
+    ends = named.where(F.col("kind").isin("class", "interface", "component")).select("cand", "cand_module", F.explode(F.transform(F.sequence(F.lit(1), F.length("cand_name")), lambda k: F.lower(F.substring(F.col("cand_name"), k, F.length("cand_name"))))).alias("ending"))
     cands = (
         receivers.join(named, F.col("receiver") == F.col("cand_name")).select("receiver", "cand", "cand_module", F.lit(0).alias("way"))
         .union(receivers.join(named, capitalized(F.col("receiver")) == F.col("cand_name")).select("receiver", "cand", "cand_module", F.lit(1)))
@@ -105,7 +105,7 @@ def calls(t: dict[str, DataFrame]) -> DataFrame:
     owned = called.join(cands.join(kids, "cand"), ["receiver", "want"])
     owned = _first(owned, ["source_id", "ord"], F.coalesce(F.col("module") == F.col("cand_module"), F.lit(False)).desc(), "way", "cand")
     rest = called.join(owned.select("source_id", "ord"), ["source_id", "ord"], "left_anti")
-    loose = _unqualified(rest, _by_name(n.where("kind = 'method'")))
+    loose = _unqualified(rest, by_name(n.where("kind = 'method'")))
     parts = [(plain, None), (owned, F.col("receiver")), (loose, F.col("receiver"))]
     return reduce(DataFrame.union, [_edge(x, "calls", 2, F.col("ord"), m) for x, m in parts])
 
@@ -114,7 +114,7 @@ def renders(t: dict[str, DataFrame]) -> DataFrame:
     """Components used in JSX; names that are ambiguous even within the module are skipped."""
     n = t["nodes"]
     wants = t["jsx_usages"].where(F.substring("element_name", 1, 1) == F.upper(F.substring("element_name", 1, 1))).join(n.select(F.col("id").alias("node_id"), "module"), "node_id")
-    return _edge(_unqualified(wants.select(F.col("node_id").alias("source_id"), "module", F.col("element_name").alias("want")), _by_name(n)), "renders", 3, F.lit(0))
+    return _edge(_unqualified(wants.select(F.col("node_id").alias("source_id"), "module", F.col("element_name").alias("want")), by_name(n)), "renders", 3, F.lit(0))
 
 
 def graphql(t: dict[str, DataFrame]) -> DataFrame:

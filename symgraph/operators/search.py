@@ -1,4 +1,8 @@
-"""Full-text search with BM25 ranks over folded tokens: terms, phrases, AND groups joined by OR."""
+"""Full-text search with BM25 ranks over folded tokens: terms, phrases, AND groups joined by OR.
+
+An index is two written tables, postings sorted by term and document lengths; without one
+a search reads the texts once.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import _MARKED, search_tokens
+from symgraph.storage import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -50,39 +55,50 @@ def refresh_postings(index: DataFrame, changed: DataFrame, id_col: str, columns:
     return index.join(gone.distinct(), "id", "left_anti").union(postings(changed, id_col, columns))
 
 
-def _hits(run: Column, phrase: tuple[str, ...]) -> Column:
-    """Occurrences of the phrase in a space-joined run of tokens, overlapping ones too."""
-    first, rest = phrase[0], "".join(f" {w}" for w in phrase[1:])
-    return F.regexp_count(run, F.lit(f"(?<= ){first}(?={rest} )"))
-
+def write_index(docs: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The postings and the document lengths (id, dl) as written tables.
 
-def _adder(phrase: tuple[str, ...]):
-    return lambda n, run: n + _hits(run, phrase)
+    Postings are sorted by term over all files, so that a search skips the files and row
+    groups whose range of terms holds none of its own.
+    """
+    index = materialize(postings(docs, id_col, columns).repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col", "pos"), "postings")
+    lengths = docs.select(F.col(id_col).alias("id"), reduce(lambda a, b: a + b, [F.size(search_tokens(F.col(c))) for c in columns]).alias("dl"))
+    return index, materialize(lengths, "document-lengths")
 
 
-def search(docs: DataFrame, query: str, id_col: str, columns: list[str], where: Column | None = None, limit: int | None = 20) -> DataFrame:
-    """(id, rank, rank_ord) of matching rows; a lower rank is better, ties go by id.
+def _counts_of(index: DataFrame, lengths: DataFrame, known: list[tuple[str, ...]]) -> DataFrame:
+    """(id, dl, h0, h1, ...): occurrences of each phrase in every document, from the postings of the query's terms only.
 
-    Corpus statistics cover all of docs; `where` filters after matching. Tokens and hits
-    are array expressions, so one scan feeds the statistics and one the ranks, and only
-    counts are shuffled. A query without words matches nothing.
+    A phrase is a chain of equal joins on the next position in the same column.
     """
-    groups = parse_query(query)
-    known = sorted({p for g in groups for p in g})
-    if not known:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("rank"), F.lit(0).alias("rank_ord")).limit(0)
-    kept = where if where is not None else F.lit(True)
-    # The tokens are bound once for each row; every count is taken from that.
-    held = F.transform(
-        F.array(F.array(*[search_tokens(F.col(c)) for c in columns])),
-        lambda each: F.struct(
-            F.aggregate(each, F.lit(0), lambda n, t: n + F.size(t)).alias("dl"),
-            F.transform(each, lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))).alias("runs"),
-        ),
-    )[0]
-    hits = F.transform(F.array(F.col("x.runs")), lambda runs: F.array(*[F.aggregate(runs, F.lit(0), _adder(p)) for p in known]))[0]
-    base = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), held.alias("x")).select("id", "kept", F.col("x.dl").alias("dl"), hits.alias("h"))
-    counted = base.select("id", "kept", "dl", *[F.col("h")[k].alias(f"h{k}") for k in range(len(known))])
+    terms = sorted({w for p in known for w in p})
+    mine = index.where(F.col("term").isin(terms))
+    hits = []
+    for k, phrase in enumerate(known):
+        run = mine.where(F.col("term") == phrase[0]).select("id", "col", "pos")
+        for j, word in enumerate(phrase[1:], 1):
+            later = mine.where(F.col("term") == word).select("id", "col", (F.col("pos") - j).alias("pos"))
+            run = run.join(later, ["id", "col", "pos"], "left_semi")
+        hits.append(run.groupBy("id").agg(F.count("*").alias("n")).select("id", F.lit(k).alias("k"), "n"))
+    counted = reduce(DataFrame.union, hits).groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"h{k}") for k in range(len(known))])
+    return lengths.join(counted.withColumnRenamed("id", "hit"), F.col("id") == F.col("hit"), "left").select("id", "dl", *[F.coalesce(f"h{k}", F.lit(0)).alias(f"h{k}") for k in range(len(known))])
+
+
+def _counts_by_scan(docs: DataFrame, id_col: str, columns: list[str], known: list[tuple[str, ...]], kept: Column) -> DataFrame:
+    """(id, kept, dl, h0, h1, ...) by one pass over the texts: tokens are exploded with those that follow them."""
+    ahead = max(map(len, known))
+    between = F.array(F.lit(None).cast("string"))  # no phrase reaches from one column into the next
+    parts = [search_tokens(F.col(c)) for c in columns]
+    every = F.concat(*[x for p in parts for x in (between, p)][1:])
+    base = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), every.alias("t"))
+    windows = [F.col("t").alias("t0")] + [F.slice("t", j + 1, F.size("t")).alias(f"t{j}") for j in range(1, ahead)]
+    each = base.select("id", "kept", F.explode_outer(F.arrays_zip(*windows)).alias("w")).select("id", "kept", "w.*")
+    hit = lambda p: reduce(lambda a, b: a & b, [F.col(f"t{j}") == w for j, w in enumerate(p)])
+    return each.groupBy("id").agg(F.first("kept").alias("kept"), F.count("t0").alias("dl"), *[F.count_if(hit(p)).alias(f"h{k}") for k, p in enumerate(known)])
+
+
+def _ranked(counted: DataFrame, groups: list[list[tuple[str, ...]]], known: list[tuple[str, ...]], id_col: str, limit: int | None) -> DataFrame:
+    """BM25 over a written table of counts: one row of statistics, then the documents that match."""
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"h{k}") > 0).alias(f"n{k}") for k in range(len(known))])
     matches = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(f"h{known.index(p)}") > 0 for p in g]) for g in groups])
     score = F.lit(0.0)
@@ -94,3 +110,47 @@ def search(docs: DataFrame, query: str, id_col: str, columns: list[str], where:
     if limit is not None:
         ranked = ranked.orderBy("rank", "id").limit(limit)
     return ranked.select(F.col("id").alias(id_col), "rank")
+
+
+def _wanted(query: str) -> tuple[list[list[tuple[str, ...]]], list[tuple[str, ...]]]:
+    groups = parse_query(query)
+    return groups, sorted({p for g in groups for p in g})
+
+
+def search(docs: DataFrame, query: str, id_col: str, columns: list[str], where: Column | None = None, limit: int | None = 20) -> DataFrame:
+    """(id, rank) of matching rows; a lower rank is better, ties go by id.
+
+    Corpus statistics cover all of docs; `where` filters after matching. The texts are read
+    once and only counts are kept, as a written table; search_index() reads postings
+    instead. Ids are unique. A query without words matches nothing.
+    """
+    groups, known = _wanted(query)
+    if not known:
+        return docs.select(F.col(id_col), F.lit(0.0).alias("rank")).limit(0)
+    counted = _counts_by_scan(docs, id_col, columns, known, where if where is not None else F.lit(True))
+    return _ranked(materialize(counted, "search-counts"), groups, known, id_col, limit)
+
+
+def search_index(index: DataFrame, lengths: DataFrame, query: str, id_col: str, kept: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
+    """search() over what write_index() wrote; kept(id), where given, filters after matching."""
+    groups, known = _wanted(query)
+    if not known:
+        return lengths.select(F.col("id").alias(id_col), F.lit(0.0).alias("rank")).limit(0)
+    counted = _counts_of(index, lengths, known)
+    if kept is None:
+        counted = counted.withColumn("kept", F.lit(True))
+    else:
+        counted = counted.join(kept.select(F.col("id").alias("keep")), F.col("id") == F.col("keep"), "left").withColumn("kept", F.col("keep").isNotNull())
+    return _ranked(materialize(counted, "search-counts"), groups, known, id_col, limit)
+
+
+def named(nodes: DataFrame, name: str, kind: str | None = None, module: str | None = None) -> DataFrame:
+    """Nodes of exactly this name, and kind and module where given."""
+    out = nodes.where(F.col("name") == name)
+    out = out.where(F.col("kind") == kind) if kind else out
+    return out.where(F.col("module") == module) if module else out
+
+
+def named_like_the_end(nodes: DataFrame, ending: str, kinds: tuple[str, ...] = ("class", "interface", "component")) -> DataFrame:
+    """Nodes of these kinds whose name ends so, upper and lower case alike."""
+    return nodes.where(F.endswith(F.lower("name"), F.lower(F.lit(ending))) & F.col("kind").isin(*kinds))

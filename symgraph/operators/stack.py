@@ -11,14 +11,16 @@ def match_versions(found: DataFrame, ranges: DataFrame, key: str = "key", major:
 
     ranges(key, ord, min_major, max_major, ...): lower bound 0 and upper bound none where
     null, the upper one exclusive. Ranges are tried from the last to the first; where none
-    covers the version, or it is unknown, the last one stands.
+    covers the version, or it is unknown, the last one stands. Ranges are a fixed list of a
+    few dozen, so each key's are one array, and no row of found moves.
     """
-    r = ranges.withColumnRenamed(key, "__key")
+    rest = [c for c in ranges.columns if c != key]
+    lists = ranges.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in rest if c != "ord"]))).alias("__r"))
+    joined = found.join(F.broadcast(lists), F.col(key) == F.col("__key"), "left")
     version = F.col(major)
-    covers = (F.coalesce("min_major", F.lit(0)) <= version) & (F.col("max_major").isNull() | (version < F.col("max_major")))
-    joined = found.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(r), F.col(key) == F.col("__key"), "left")
-    best = Window.partitionBy("__row").orderBy(F.coalesce(covers, F.lit(False)).desc(), F.desc("ord"))
-    return joined.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__row", "__key")
+    fits = F.filter("__r", lambda r: (F.coalesce(r["min_major"], F.lit(0)) <= version) & (r["max_major"].isNull() | (version < r["max_major"])))
+    picked = F.coalesce(F.get(fits, F.size(fits) - 1), F.get(F.col("__r"), F.size("__r") - 1))
+    return joined.withColumn("__p", picked).select(*found.columns, *[F.col(f"__p.{c}").alias(c) for c in rest])
 
 
 def prefer_versioned(found: DataFrame, keys: list[str], version: str, ord_col: str) -> DataFrame:

@@ -8,30 +8,44 @@ from pyspark.sql import functions as F
 from symgraph.storage import materialize
 
 MAX_DEPTH = 10
+CALLS = ("calls",)
+#: Nodes of a frontier that are few enough to send to every task.
+SMALL = 100_000
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, kinds: tuple[str, ...] | None = None, both: bool = False) -> DataFrame:
+def steps(edges: DataFrame, reverse: bool = False, kinds: tuple[str, ...] | None = None, both: bool = False) -> DataFrame:
+    """(at, node, kind): where each edge leads."""
+    here = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+    near = here.select(F.col("target_id" if reverse else "source_id").alias("at"), F.col("source_id" if reverse else "target_id").alias("node"), "kind")
+    return near.union(near.select(F.col("node").alias("at"), F.col("at").alias("node"), "kind")) if both else near
+
+
+def written_edges(edges: DataFrame) -> DataFrame:
+    """Edges as a written table, once for many traversals."""
+    return materialize(edges.select("source_id", "target_id", "kind"), "graph-edges")
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, kinds: tuple[str, ...] | None = None, both: bool = False, written: bool = False) -> DataFrame:
     """(node, depth, edge_kind) reached from seeds(node) within depth steps, seeds left out.
 
     A node counts at its first visit, over the edge kind that comes first by name there.
-    Every level is one join and one anti join; visited nodes are a written table, so the
-    plan does not grow. Depth is capped at MAX_DEPTH.
+    Every level is one join and one anti join over a written table of edges (the given one
+    if it is `written`); a frontier of at most SMALL nodes, as counted, is broadcast. Visited
+    nodes are written tables too, so the plan does not grow. Depth is capped at MAX_DEPTH.
     """
-    here = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
-    near = here.select(F.col("target_id" if reverse else "source_id").alias("at"), F.col("source_id" if reverse else "target_id").alias("node"), "kind")
-    if both:
-        near = near.union(near.select(F.col("node").alias("at"), F.col("at").alias("node"), "kind"))
-    near = materialize(near, "steps")
-    visited = materialize(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_kind")), "level")
-    found = [visited]
+    near = steps(edges, reverse, kinds, both)
+    near = near if written else materialize(near, "steps")
+    found = [materialize(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_kind")), "level")]
+    size = found[0].count()
     for level in range(1, min(depth, MAX_DEPTH) + 1):
         frontier = found[-1].select(F.col("node").alias("from"))
         known = found[0].select("node")
         for each in found[1:]:
             known = known.union(each.select("node"))
-        fresh = near.join(frontier, F.col("at") == F.col("from"), "left_semi").groupBy("node").agg(F.min("kind").alias("edge_kind"))
+        fresh = near.join(F.broadcast(frontier) if size <= SMALL else frontier, F.col("at") == F.col("from"), "left_semi").groupBy("node").agg(F.min("kind").alias("edge_kind"))
         step = materialize(fresh.join(known, "node", "left_anti").select("node", F.lit(level).alias("depth"), "edge_kind"), "level")
-        if not step.limit(1).count():
+        size = step.count()  # read from the files' footers
+        if not size:
             break
         found.append(step)
     out = found[0].where("depth > 0")
@@ -40,19 +54,21 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, k
     return out
 
 
-def callers(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    return bfs(edges, seeds, depth, reverse=True, kinds=("calls",))
+def callers(edges: DataFrame, seeds: DataFrame, depth: int = 2, kinds: tuple[str, ...] = CALLS, written: bool = False) -> DataFrame:
+    """What leads to the seeds over calls (or over the kinds that stand for them in another graph)."""
+    return bfs(edges, seeds, depth, reverse=True, kinds=kinds, written=written)
 
 
-def callees(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    return bfs(edges, seeds, depth, kinds=("calls",))
+def callees(edges: DataFrame, seeds: DataFrame, depth: int = 2, kinds: tuple[str, ...] = CALLS, written: bool = False) -> DataFrame:
+    """What the seeds lead to over calls."""
+    return bfs(edges, seeds, depth, kinds=kinds, written=written)
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3, children: DataFrame | None = None) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3, children: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Everything that leads to the seeds, or to their direct children(parent_id, node), over any edge kind."""
     if children is not None:
         seeds = seeds.select("node").union(children.join(seeds, children.parent_id == seeds.node, "left_semi").select(children.node))
-    return bfs(edges, seeds, depth, reverse=True)
+    return bfs(edges, seeds, depth, reverse=True, written=written)
 
 
 def impact_counts(reached: DataFrame) -> DataFrame:
@@ -73,33 +89,55 @@ def context_score(seed_rank: Column, depth: Column, kind: Column, has_endpoint:
 def expand_seeds(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(node, depth, seed_rank) by expanding ranked seeds(node, seed_rank) one after another, both ways.
 
-    A node belongs to the first seed that reaches it; nodes that an earlier seed reached
-    block later ones. At most ten seeds, two levels each.
+    A node belongs to the first seed that reaches it: what an earlier seed reached blocks
+    later ones, and a seed that was reached already is not expanded. At most ten seeds, two
+    levels each; only each new frontier is written.
     """
-    order = [r for r in seeds.orderBy("seed_rank").limit(10).collect()]  # ten rows at most
-    pairs = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("node")).union(edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("node")))
-    pairs = materialize(pairs.distinct(), "steps")
     spark = edges.sparkSession
     kind = seeds.schema["node"].dataType.simpleString()
-    visited = spark.createDataFrame([], f"node {kind}, depth int, seed_rank int")
+    order = seeds.orderBy("seed_rank").limit(10).collect()  # ten rows at most
+    near = materialize(edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("node")).union(edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("node"))).distinct(), "steps")
+    found: list[DataFrame] = []
+    reached: set = set()  # those of the ten seeds that an earlier one reached
     for row in order:
-        if visited.where(F.col("node") == F.lit(row["node"])).limit(1).count():
+        if row["node"] in reached:
             continue
-        start = spark.createDataFrame([(row["node"], 0, row["seed_rank"])], f"node {kind}, depth int, seed_rank int")
-        visited = visited.union(start)
-        frontier = start
-        for level in range(1, depth + 1):
-            reach = pairs.join(frontier.select(F.col("node").alias("from")), F.col("at") == F.col("from"), "left_semi").select("node").distinct()
-            frontier = materialize(reach.join(visited, "node", "left_anti").select("node", F.lit(level).alias("depth"), F.lit(row["seed_rank"]).cast("int").alias("seed_rank")), "level")
-            visited = materialize(visited.union(frontier), "visited")
-    return visited
+        level = spark.createDataFrame([(row["node"], 0, row["seed_rank"])], f"node {kind}, depth int, seed_rank int")
+        found.append(level)
+        size = 1
+        for step in range(1, depth + 1):
+            frontier = level.select(F.col("node").alias("from"))
+            fresh = near.join(F.broadcast(frontier) if size <= SMALL else frontier, F.col("at") == F.col("from"), "left_semi").select("node").distinct()
+            known = found[0].select("node")
+            for each in found[1:]:
+                known = known.union(each.select("node"))
+            level = materialize(fresh.join(known, "node", "left_anti").select("node", F.lit(step).alias("depth"), F.lit(row["seed_rank"]).cast("int").alias("seed_rank")), "level")
+            size = level.count()
+            if not size:
+                break
+            found.append(level)
+            reached |= {r.node for r in level.where(F.col("node").isin([s["node"] for s in order])).collect()}
+    out = spark.createDataFrame([], f"node {kind}, depth int, seed_rank int")
+    for each in found:
+        out = out.union(each)
+    return out
+
+
+def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, name, kind, module, direction, edge_kind, other): a row for each edge at either end of a node, one for a node without any.
+
+    Edges are rows, so that a node with very many of them is no group of its own.
+    """
+    ends = edges.select(F.col("target_id").alias("end"), F.lit("in").alias("direction"), F.col("kind").alias("edge_kind"), F.col("source_id").alias("other"))
+    ends = ends.union(edges.select("source_id", F.lit("out"), "kind", "target_id"))
+    return nodes.select("node", "name", "kind", "module").join(ends, F.col("node") == F.col("end"), "left").drop("end")
 
 
 def build_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, endpoints: DataFrame | None = None, max_nodes: int = 20) -> DataFrame:
-    """The best nodes(node, name, kind, module) around ranked seeds, with their scores."""
+    """The best nodes(node, name, kind, module) around ranked seeds, with their scores; ties go to the earlier seed, the nearer node, its id."""
     visited = expand_seeds(edges, seeds)
     served = endpoints.select("node").distinct().withColumn("serves", F.lit(True)) if endpoints is not None else None
     out = nodes.join(visited, "node")
     out = out.join(served, "node", "left") if served is not None else out.withColumn("serves", F.lit(False))
     scored = out.withColumn("score", context_score(F.col("seed_rank"), F.col("depth"), F.col("kind"), F.coalesce("serves", F.lit(False))))
-    return scored.select("node", "name", "kind", "module", "depth", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "depth", "node").limit(max_nodes)
+    return scored.select("node", "name", "kind", "module", "depth", "seed_rank", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "seed_rank", "depth", "node").limit(max_nodes).drop("seed_rank")

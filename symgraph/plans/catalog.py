@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as X
-from symgraph.operators import dml, sections, stack, traversal
+from symgraph.api import Workspace
+from symgraph.operators import dml, resolve, sections, stack, traversal
 from symgraph.operators import html as html_ops
 from symgraph.operators import search as S
 from symgraph.plans import ordergraph as G
+from symgraph.plans import symbols
 from symgraph.streaming import watch
 from symgraph.tables import table
 
@@ -38,23 +40,22 @@ def _seed(spark: SparkSession, node: str) -> DataFrame:
 
 @query("graph_stats", f"""
     WITH {G.NODES_SQL}, {G.EDGES_SQL}
-    SELECT (SELECT count(*) FROM tn) AS total_nodes, (SELECT count(*) FROM te) AS total_edges, (SELECT count(DISTINCT module) FROM tn) AS total_modules,
-           (SELECT CAST(epoch(max(o_orderdate)) AS BIGINT) FROM orders) AS last_scan_epoch""")
+    SELECT (SELECT count(*) FROM customer) AS total_files, (SELECT count(*) FROM tn) AS total_nodes, (SELECT count(*) FROM te) AS total_edges, (SELECT CAST(epoch(max(o_orderdate)) AS BIGINT) FROM orders) AS last_scan""")
 def graph_stats(spark, sf):
-    n = G.nodes(spark, sf).agg(F.count("*").alias("total_nodes"), F.countDistinct("module").alias("total_modules"))
-    e = G.edges(spark, sf).agg(F.count("*").alias("total_edges"))
-    last = table(spark, sf, "orders").agg(F.unix_timestamp(F.max("o_orderdate")).alias("last_scan_epoch"))
-    return n.crossJoin(e).crossJoin(last).select("total_nodes", "total_edges", "total_modules", "last_scan_epoch")  # one row each
+    """Customers stand for files, scanned at their last order."""
+    ordered = table(spark, sf, "orders").groupBy("o_custkey").agg(F.unix_timestamp(F.max("o_orderdate")).alias("scanned_at"))
+    files = table(spark, sf, "customer").join(ordered, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("file_id"), "scanned_at")
+    return Workspace(spark, {"files": files, "nodes": G.nodes(spark, sf), "edges": G.edges(spark, sf)}).graph_status()
 
 
 @query("callers_depth2", G.reach_sql("SELECT 'part:1', 0", 2, True, ("contains", "placed_by")))
 def callers_depth2(spark, sf):
-    return traversal.bfs(G.edges(spark, sf), _seed(spark, "part:1"), 2, reverse=True, kinds=("contains", "placed_by"))
+    return traversal.callers(G.edges(spark, sf), _seed(spark, "part:1"), 2, kinds=("contains", "placed_by"))
 
 
 @query("callees_depth2", G.reach_sql("SELECT 'order:1', 0", 2, False, ("contains", "supplied_by")))
 def callees_depth2(spark, sf):
-    return traversal.bfs(G.edges(spark, sf), _seed(spark, "order:1"), 2, kinds=("contains", "supplied_by"))
+    return traversal.callees(G.edges(spark, sf), _seed(spark, "order:1"), 2, kinds=("contains", "supplied_by"))
 
 
 @query("impact_depth3", G.reach_sql("SELECT 'nation:3', 0", 3, True))
@@ -99,18 +100,11 @@ def bfs_cyclic(spark, sf):
 
 
 @query("symbol_detail", f"""
-    WITH {G.NODES_SQL}, {G.EDGES_SQL},
-    i AS (SELECT target_id, string_agg(concat(kind, '<', source_id), ',' ORDER BY kind, source_id) AS l, count(*) AS n FROM te GROUP BY target_id),
-    o AS (SELECT source_id, string_agg(concat(kind, '>', target_id), ',' ORDER BY kind, target_id) AS l, count(*) AS n FROM te GROUP BY source_id)
-    SELECT node, name, kind, module, coalesce(i.l, '') AS edges_in, coalesce(o.l, '') AS edges_out, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out
-    FROM tn LEFT JOIN i ON node = target_id LEFT JOIN o ON node = source_id WHERE kind IN ('supplier', 'part', 'order')""")
+    WITH {G.NODES_SQL}, {G.EDGES_SQL}, e AS (
+        SELECT target_id AS place, 'in' AS direction, kind AS edge_kind, source_id AS other FROM te UNION ALL SELECT source_id, 'out', kind, target_id FROM te)
+    SELECT node, name, kind, module, direction, edge_kind, other FROM tn LEFT JOIN e ON node = place""")
 def symbol_detail(spark, sf):
-    edges = G.edges(spark, sf)
-    inward = edges.groupBy(F.col("target_id").alias("ti")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("<"), "source_id"))), ",").alias("edges_in"), F.count("*").alias("n_in"))
-    outward = edges.groupBy(F.col("source_id").alias("so")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(">"), "target_id"))), ",").alias("edges_out"), F.count("*").alias("n_out"))
-    out = G.nodes(spark, sf).join(inward, F.col("node") == F.col("ti"), "left").join(outward, F.col("node") == F.col("so"), "left")
-    zero, none = F.lit(0).cast("long"), F.lit("")
-    return out.select("node", "name", "kind", "module", F.coalesce("edges_in", none).alias("edges_in"), F.coalesce("edges_out", none).alias("edges_out"), F.coalesce("n_in", zero).alias("n_in"), F.coalesce("n_out", zero).alias("n_out"))
+    return traversal.neighbours(G.nodes(spark, sf), G.edges(spark, sf))
 
 
 # --- full text --------------------------------------------------------------
@@ -181,29 +175,32 @@ def context_score(spark, sf):
     return G.nodes(spark, sf).select("node", F.round(traversal.context_score(F.length("name") % 10, depth, F.col("kind"), F.col("kind") == "order").cast("double"), 6).alias("score"))
 
 
+# --- edge resolvers ----------------------------------------------------------
+
+for _name, (_run, _sql) in symbols.RESOLVERS.items():
+    query(_name, _sql)(_run)
+
+
 # --- lookups and joins -------------------------------------------------------
 
 
-@query("name_lookup", "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part) AND p_brand IS NOT NULL")
+@query("name_lookup", f"WITH {G.NODES_SQL} SELECT node, name, kind, module FROM tn WHERE name = 'small widget' AND kind = 'part' AND module = 'Brand#5'")
 def name_lookup(spark, sf):
-    part = table(spark, sf, "part")
-    least = part.agg(F.min("p_name").alias("least"))  # one row
-    return part.join(F.broadcast(least), F.col("p_name") == F.col("least")).where("p_brand is not null").select("p_partkey", "p_name", "p_brand")
+    return S.named(G.nodes(spark, sf), "small widget", "part", "Brand#5")
 
 
-@query("suffix_match", "SELECT p_partkey, p_name FROM part WHERE ends_with(lower(p_name), 'r') AND p_size IN (1, 5, 9, 20)")
+@query("suffix_match", f"WITH {G.NODES_SQL} SELECT node, name, kind, module FROM tn WHERE ends_with(lower(name), 'widget') AND kind IN ('part', 'supplier')")
 def suffix_match(spark, sf):
-    return table(spark, sf, "part").where(F.endswith(F.lower("p_name"), F.lit("r")) & F.col("p_size").isin(1, 5, 9, 20)).select("p_partkey", "p_name")
+    return S.named_like_the_end(G.nodes(spark, sf), "Widget", ("part", "supplier"))
 
 
-@query("unique_or_same_module", """
-    WITH p AS (SELECT p_partkey, p_type AS name, p_brand AS module, count(*) OVER (PARTITION BY p_type) AS n, count(*) OVER (PARTITION BY p_type, p_brand) AS m FROM part)
-    SELECT p_partkey, name, module, CASE WHEN n = 1 THEN 'unique' WHEN m = 1 THEN 'same_module' ELSE 'none' END AS verdict FROM p""")
+@query("unique_or_same_module", f"""
+    WITH {G.NODES_SQL}
+    SELECT node, name, module, CASE WHEN count(*) OVER (PARTITION BY name) = 1 THEN 'unique' WHEN count(*) OVER (PARTITION BY name, module) = 1 THEN 'same_module' ELSE 'none' END AS verdict FROM tn""")
 def unique_or_same_module(spark, sf):
-    by = lambda *c: F.count("*").over(Window.partitionBy(*c))
-    p = table(spark, sf, "part")
-    verdict = F.when(by("p_type") == 1, "unique").when(by("p_type", "p_brand") == 1, "same_module").otherwise("none")
-    return p.select("p_partkey", F.col("p_type").alias("name"), F.col("p_brand").alias("module"), verdict.alias("verdict"))
+    counted = resolve.by_name(G.nodes(spark, sf).withColumnRenamed("node", "id"))
+    verdict = F.when(F.col("n_name") == 1, "unique").when(F.col("n_module") == 1, "same_module").otherwise("none")
+    return counted.select(F.col("target_id").alias("node"), F.col("t_name").alias("name"), F.col("t_module").alias("module"), verdict.alias("verdict"))
 
 
 @query("candidate_strategy_rank", """
@@ -215,8 +212,7 @@ def unique_or_same_module(spark, sf):
 def candidate_strategy_rank(spark, sf):
     strategy = F.when(F.col("p_size") > 25, 0).when(F.col("p_retailprice") > 950, 1).otherwise(2)
     c = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("strategy", strategy)
-    best = c.groupBy("l_orderkey").agg(F.min(F.struct("strategy", "p_partkey", "l_linenumber")).alias("b"))
-    return best.select("l_orderkey", "b.p_partkey", "b.strategy")
+    return dml.keep_one(c, ["l_orderkey"], [F.col("strategy"), F.col("p_partkey"), F.col("l_linenumber")]).select("l_orderkey", "p_partkey", "strategy")
 
 
 _PATH_SQL = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
@@ -273,7 +269,10 @@ def semi_annotations(spark, sf):
 
 @query("anti_deleted", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def anti_deleted(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    """Labelled documents are the files that go; documents hang on them as nodes."""
+    nodes = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), "lang")
+    doomed = table(spark, sf, "labels").select(F.col("doc_id").alias("file_id"))
+    return dml.delete_files({"nodes": nodes}, doomed)["nodes"].select(F.col("id").alias("doc_id"), "lang")
 
 
 _RANGES = [(0, None, 10), (1, 10, 25), (2, 20, 40)]
@@ -303,13 +302,13 @@ def node_upsert_last_wins(spark, sf):
 
 
 @query("upsert_keeps_ids", """
-    WITH s AS (SELECT c_custkey AS id, c_name AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0),
-    i AS (SELECT c_name AS k, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 3 = 0)
-    SELECT id, k, v FROM s WHERE k NOT IN (SELECT k FROM i) UNION ALL SELECT s.id, i.k, i.v FROM i JOIN s USING (k)
-    UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY k), k, v FROM i WHERE k NOT IN (SELECT k FROM s)""")
+    WITH s AS (SELECT c_custkey AS id, c_name AS k, c_acctbal AS v FROM customer),
+    i AS (SELECT c_name AS k, c_acctbal + 1 AS v FROM customer UNION ALL SELECT concat('new ', c_name), c_acctbal FROM customer)
+    SELECT s.id, i.k, i.v FROM i JOIN s USING (k) UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY k), k, v FROM i WHERE k NOT IN (SELECT k FROM s)""")
 def upsert_keeps_ids(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("k"), F.col("c_acctbal").alias("v"))
-    return dml.upsert(c.where("id % 2 = 0"), c.where("id % 3 = 0").withColumn("v", F.col("v") + 1), ["k"], "id")
+    fresh = c.select("id", F.concat(F.lit("new "), "k").alias("k"), "v")
+    return dml.upsert(c, c.withColumn("v", F.col("v") + 1).union(fresh), ["k"], "id")
 
 
 @query("cascade_delete", """
@@ -330,6 +329,11 @@ def stale_detection(spark, sf):
     return dml.stale_files(stored, now)
 
 
+@query("stale_counts", "SELECT count(*) FILTER (WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0) AS changed, count(*) FILTER (WHERE doc_id % 7 = 0) AS deleted FROM documents")
+def stale_counts(spark, sf):
+    return dml.stale_counts(stale_detection(spark, sf))
+
+
 @query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("hash"))
@@ -342,9 +346,11 @@ def cache_ttl(spark, sf):
     return dml.live_entries(e.join(F.broadcast(newest)), F.col("now"), 604800, "at").select("event_id", "user_id")
 
 
-@query("lru_prune", "SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 200")
+@query("lru_prune", "SELECT event_id, user_id, ts FROM events WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) < 604800 ORDER BY ts DESC, event_id LIMIT 200")
 def lru_prune(spark, sf):
-    return dml.newest_entries(table(spark, sf, "events").select("event_id", "user_id", "ts"), 200, "ts", "event_id")
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    now = e.agg(F.max("at").alias("now"))  # one row
+    return dml.pruned_cache(e.join(F.broadcast(now)), F.col("now"), 604800, 200, "at", "event_id").select("event_id", "user_id", "ts")
 
 
 @query("debounce_sessions", """
@@ -378,7 +384,7 @@ def extract_terms(spark, sf):
 
 
 @query("slugify", """
-    SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents""")
+    SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents""")
 def slugify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
@@ -402,16 +408,20 @@ _WANT = [("Override", None), ("GetMapping", "/x/KEY"), ("DgsData", "KEY"), ("Req
 
 
 @query("parse_annotation", "SELECT o_orderkey, CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(_WANT)) + " END AS name, CASE o_orderkey % 7 " + " ".join(
-    f"WHEN {i} THEN " + ("NULL" if v is None else f"replace('{v}', 'KEY', o_orderpriority[3:])") for i, (_, v) in enumerate(_WANT)) + " END AS value FROM orders WHERE o_orderpriority NOT LIKE '%NOT%'")
+    f"WHEN {i} THEN " + ("NULL" if v is None else (f"regexp_extract(o_orderpriority[3:], '^\\S+')" if i == 5 else f"replace('{v}', 'KEY', o_orderpriority[3:])")) for i, (_, v) in enumerate(_WANT)) + " END AS value FROM orders")
 def parse_annotation(spark, sf):
     raw = F.element_at(F.array(*[F.lit(r) for r in _RAW]), (F.col("o_orderkey") % 7 + 1).cast("int"))
     o = table(spark, sf, "orders").withColumn("raw", F.replace(raw, F.lit("KEY"), F.substring("o_orderpriority", 3, 100)))
     return o.select("o_orderkey", X.annotation_name(F.col("raw")).alias("name"), X.annotation_value(F.col("raw")).alias("value"))
 
 
-@query("json_guard", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_guard", """
+    SELECT event_id, CASE WHEN event_id % 3 > 0 THEN concat(event_type, '|', user_id) END AS texts, event_id % 3 > 0 AS is_list FROM events""")
 def json_guard(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    """Every third text is cut off in its last string, so that it is no list."""
+    whole = F.concat(F.lit('["'), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 > 0, '"]').otherwise(""))
+    texts = X.json_texts(whole)
+    return table(spark, sf, "events").select("event_id", F.array_join(texts, "|").alias("texts"), texts.isNotNull().alias("is_list"))
 
 
 @query("snippet_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS snippet FROM documents")
@@ -422,7 +432,7 @@ def snippet_slice(spark, sf):
 # --- sections and pages ------------------------------------------------------
 
 _HEADED_SQL = """
-    src AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    src AS (SELECT doc_id AS doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
     raw AS (SELECT doc, unnest(ls) AS t, generate_subscripts(ls, 1) AS line FROM src),
     lines AS (SELECT doc, line, CASE WHEN line % 3 = 1 AND regexp_matches(t, '^[A-Za-z]') THEN repeat('#', CAST(1 + length(t) % 4 AS INT)) || ' ' || t ELSE t END AS t FROM raw),
     lev AS (SELECT *, length(regexp_extract(t, '^(#{1,4}|={1,4})\\s+(.+)$', 1)) AS level FROM lines),
@@ -431,7 +441,8 @@ _HEADED_SQL = """
         SELECT doc, CAST(ord AS BIGINT) AS ord, CAST(max(level) AS INT) AS level,
                trim(regexp_replace(regexp_extract(max(CASE WHEN level > 0 THEN t END), '^(#{1,4}|={1,4})\\s+(.+)$', 2), '[*_`#]', '', 'g'), ' ') AS title,
                trim(coalesce(string_agg(CASE WHEN level = 0 THEN t END, chr(10) ORDER BY line), ''), ' ') AS content
-        FROM num WHERE ord >= 0 GROUP BY doc, ord)"""
+        FROM num WHERE ord >= 0 GROUP BY doc, ord
+        UNION ALL SELECT doc, 0, 1, 'Overview', trim(coalesce(string_agg(t, chr(10) ORDER BY line), ''), ' ') FROM num GROUP BY doc HAVING max(level) = 0)"""
 
 
 def _headed(spark, sf):

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Seconds a stored document lives, and the least length that each source must bring, in the order tried.
+# Seconds a stored document lives, and the length that each source must be longer than, in the order tried:
+# when documents are asked for, and when a URL was supplied.
 TTL_SECONDS = 7 * 86400
-LEAST_LENGTH = {"llms": 1000, "readme": 500, "supplied": 500}
+LEAST_SUPPLIED = 500
+ENSURE_ORDER = {"llms": 1000, "readme": 500, "supplied": 500}
+SUPPLY_ORDER = {"supplied": 500, "llms": 500, "readme": 500}
 
 
 def read_live(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
@@ -25,9 +28,13 @@ def invalidate(cache: DataFrame, framework: str) -> DataFrame:
     return cache.where(F.col("framework") != framework)
 
 
-def best_source(candidates: DataFrame) -> DataFrame:
-    """Of candidates(framework, version, source, content) the first source that is long enough."""
-    order = list(LEAST_LENGTH)
+def best_source(candidates: DataFrame, order: dict[str, int] = ENSURE_ORDER) -> DataFrame:
+    """Of candidates(framework, version, source, content) the first source by order that is long enough."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST_LENGTH.items() for x in kv])[F.col("source")]
+    least = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("source")]
     return candidates.where(F.length("content") > least).groupBy("framework", "version").agg(F.min_by(F.struct("source", "content"), rank).alias("b")).select("framework", "version", "b.source", "b.content")
+
+
+def store_entries(entries: DataFrame, path: str) -> None:
+    """Write entries to a folder by framework and version: only the versions that entries name are replaced."""
+    entries.write.partitionBy("framework", "version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

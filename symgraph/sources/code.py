@@ -1,9 +1,11 @@
 """Source trees as symbol rows: listing, filtering, and extraction over exploded lines.
 
-Extraction is line-based and stays in the JVM: every line gets its brace depth from a
-running sum, a declaration is a line that matches its language's pattern at depth 0 or,
-inside a type, 1, and its parent is the last type opened ahead of it. Strings and comments
-are blanked first. Declarations that span lines are known by their first line.
+Extraction is line-based and stays in the JVM. Strings and comments are blanked over the
+whole text first, so that braces in them do not count; every line then gets its depth of
+braces and parentheses from running sums. A declaration is a line that matches its
+language's pattern at depth 0, or at depth 1 inside a type, and its parent is the last type
+opened ahead of it that is still open. Declarations that span lines are known by their
+first line; a type's header is read up to its brace. Nested types are not entered.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symgraph.schema import CALL_SITES, SYMBOLS
+
 # Directories that are never scanned, sizes and counts beyond which files are left out, endings and their language.
 SKIP_DIRS = [
     "node_modules", "target", "build", "dist", ".git", ".gradle", ".idea", ".settings", "bin", "out", "__pycache__", ".next", ".nuxt", "coverage", "test", "tests", "__tests__", "spec", "specs",
@@ -20,17 +24,34 @@ SKIP_DIRS = [
 ]
 MAX_BYTES, MAX_FILES, MAX_DEPTH = 500_000, 2_000, 8
 LANGUAGES = {"java": "java", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "scala": "scala", "sc": "scala", "graphql": "graphql", "gql": "graphql"}
+#: Signatures of these languages are cut to so many characters.
+SIGNATURE = {"typescript": 200, "tsx": 200, "javascript": 200}
+JS = ("typescript", "tsx", "javascript")
+FILE = ["module", "file_path"]
 
 
 def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract(path, "\\.([A-Za-z]+)$", 1))]
 
 
+def inside(path: Column) -> Column:
+    """Does a relative path stay below the root it is relative to?"""
+    parts = F.split(path, "/")
+    climbs = F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("at"),
+            F.least(acc["least"], acc["at"] + F.when(p == "..", -1).otherwise(0)).alias("least"),
+        ),
+    )
+    return ~(F.startswith(path, F.lit("/")) | path.rlike("^[A-Za-z]:[\\\\/]")) & (climbs["least"] >= 0)
+
+
 def source_files(spark: SparkSession, root: str, module: str) -> DataFrame:
     """(module, file_path, language, file_ord, text, hash) of the source files below root.
 
-    Hidden and skipped directories, deep, large and blank files are left out; at most
-    MAX_FILES of a module by path.
+    Hidden and skipped directories, deep, large and blank files are left out, and links
+    that lead out of root (the listing follows none); at most MAX_FILES of a module by path.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
@@ -38,103 +59,242 @@ def source_files(spark: SparkSession, root: str, module: str) -> DataFrame:
     parts = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
     shunned = F.exists(parts, lambda p: p.isin(SKIP_DIRS) | F.startswith(p, F.lit(".")))
     rows = rows.where(F.col("language").isNotNull() & (F.col("length") <= MAX_BYTES) & ~shunned & (F.size(parts) <= MAX_DEPTH)).withColumn("text", F.decode("content", "UTF-8")).where(F.col("text").rlike("\\S"))
-    order = Window.orderBy("file_path")  # one module's files, MAX_FILES of them kept
-    return rows.withColumn("file_ord", F.row_number().over(order) - 1).where(F.col("file_ord") < MAX_FILES).select(F.lit(module).alias("module"), "file_path", "language", "file_ord", "text", F.sha2("content", 256).alias("hash"))
+    # The first MAX_FILES paths of one module, without their texts.
+    first = rows.select("file_path").orderBy("file_path").limit(MAX_FILES)
+    numbered = first.select(F.col("file_path").alias("p"), (F.row_number().over(Window.orderBy("file_path")) - 1).alias("file_ord"))
+    return rows.join(F.broadcast(numbered), F.col("file_path") == F.col("p")).select(F.lit(module).alias("module"), "file_path", "language", "file_ord", "text", F.sha2("content", 256).alias("hash"))
+
+
+# Runs that are not code, whichever begins first: text blocks, strings, comments.
+_NOISE = "\"\"\"(?s:.*?)\"\"\"|\"(?:[^\"\\\\\\n]++|\\\\.)*+\"|'(?:[^'\\\\\\n]++|\\\\.)*+'|`(?:[^`\\\\]++|\\\\(?s:.))*+`|//[^\\n]*|/\\*(?s:.*?)(?:\\*/|\\z)"
+_GRAPHQL_NOISE = "\"\"\"(?s:.*?)\"\"\"|\"(?:[^\"\\\\\\n]++|\\\\.)*+\"|#[^\\n]*"
+
+
+def _blanked(text: Column, noise: str) -> Column:
+    """The text with strings emptied and comments gone; every line break stays."""
+    gaps, runs = F.split(text, noise, -1), F.regexp_extract_all(text, F.lit(noise), F.lit(0))
+    kept = F.transform(runs, lambda r: F.concat(F.when(F.substring(r, 1, 1).isin("\"", "'", "`"), "\"\"").otherwise(""), F.regexp_replace(r, "[^\\n]", "")))
+    return F.array_join(F.zip_with(gaps, kept, lambda g, k: F.concat(g, F.coalesce(k, F.lit("")))), "")
+
+
+def _count(code: Column, letter: str) -> Column:
+    return F.length(code) - F.length(F.replace(code, F.lit(letter), F.lit("")))
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    """One row for each line, with its number, brace depth ahead of it, and the text without strings and comments."""
-    rows = files.select("module", "file_path", "language", "file_ord", F.posexplode(F.split("text", "\\r?\\n")).alias("n", "line"))
-    rows = rows.withColumn("code", F.regexp_replace(F.regexp_replace("line", "\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'|`[^`]*`", "\"\""), "//.*$|/\\*.*?\\*/", ""))
-    rows = rows.withColumn("code", F.when(F.col("language") == "graphql", F.regexp_replace("code", "#.*$", "")).otherwise(F.when(F.col("code").rlike("^\\s*(/\\*|\\*)"), F.lit("")).otherwise(F.col("code"))))
-    opened = F.length("code") - F.length(F.replace(F.col("code"), F.lit("{"), F.lit("")))
-    closed = F.length("code") - F.length(F.replace(F.col("code"), F.lit("}"), F.lit("")))
-    ahead = Window.partitionBy("module", "file_path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("delta", opened - closed).withColumn("depth", F.coalesce(F.sum("delta").over(ahead), F.lit(0)))
+    """One row for each line: its number n, the line, its code, and the depth of braces and parentheses ahead of it."""
+    text = F.regexp_replace("text", "\\r\\n?", "\n")
+    rows = files.select(*FILE, "language", "file_ord", text.alias("text"))
+    rows = rows.withColumn("code", F.when(F.col("language") == "graphql", _blanked(F.col("text"), _GRAPHQL_NOISE)).otherwise(_blanked(F.col("text"), _NOISE)))
+    listed = F.flatten(F.transform(F.regexp_extract_all("code", F.lit("\\bexport\\s*\\{([^}]*)\\}"), F.lit(1)), lambda names: F.transform(F.split(names, ","), lambda x: F.regexp_extract(x, "(\\w+)", 1))))
+    rows = rows.withColumn("exported", F.when(F.col("language").isin(*JS), F.concat(listed, F.regexp_extract_all("code", F.lit("\\bexport\\s+default\\s+(\\w+)\\s*;?\\s*(?:\\n|\\z)"), F.lit(1)))))
+    package = F.regexp_extract("code", "(?m)^\\s*package\\s+([\\w.]+)", 1)
+    rows = rows.withColumn("package_name", F.when(F.col("language").isin("java", "scala") & (package != ""), package))
+    rows = rows.select(*FILE, "language", "file_ord", "exported", "package_name", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.split("code", "\n").alias("code"))).alias("n", "both"))
+    rows = rows.select("*", "both.line", "both.code").drop("both")
+    order = Window.partitionBy(*FILE).orderBy("n")
+    ahead, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("delta", _count(F.col("code"), "{") - _count(F.col("code"), "}")).withColumn("rounds", _count(F.col("code"), "(") - _count(F.col("code"), ")"))
+    rows = rows.withColumn("depth", F.coalesce(F.sum("delta").over(ahead), F.lit(0))).withColumn("parens", F.coalesce(F.sum("rounds").over(ahead), F.lit(0)))
+    return rows.withColumn("next_code", F.first(F.when(F.trim("code") != "", F.trim("code")), ignorenulls=True).over(behind))
 
 
 _MODS = "(?:(?:public|protected|private|static|final|abstract|default|synchronized|override|lazy|implicit|sealed|async|readonly|export|declare|native|transient|volatile|strictfp)\\s+)*"
-#: language -> (depth, kind, pattern with the name as group 1); the first match of a line counts.
-DECLARATIONS: dict[str, list[tuple[int, str, str]]] = {
+_NOT_CODE = "(?!\\s*(?:return|new|else|throw|case|package|import|if|for|while|switch|catch|do|try|assert|yield|await|function)\\b)"
+_TYPE = "[\\w<>\\[\\],.?]+(?:\\s+[\\w<>\\[\\],.?]+)*?"
+_EXPORT = "^\\s*(?:export\\s+)?(?:default\\s+)?(?:declare\\s+)?"
+_CLASSES, _ANY = ("class", "interface", "enum", "annotation", "case-class", "trait", "object"), None
+#: language -> (kinds of the parent, or None at the top; kind; pattern with the name as group 1); the first match of a line counts.
+DECLARATIONS: dict[str, list[tuple[tuple[str, ...] | None, str, str]]] = {
     "java": [
-        (0, "class", f"^\\s*{_MODS}(?:class|record)\\s+(\\w+)"), (0, "annotation", f"^\\s*{_MODS}@interface\\s+(\\w+)"), (0, "interface", f"^\\s*{_MODS}interface\\s+(\\w+)"), (0, "enum", f"^\\s*{_MODS}enum\\s+(\\w+)"),
-        (1, "method", f"^\\s*{_MODS}(?:<[^>]+>\\s+)?[\\w<>\\[\\],.?]+(?:\\s+[\\w<>\\[\\],.?]+)*?\\s+(\\w+)\\s*\\([^)]*\\)?"), (1, "constructor", f"^\\s*{_MODS}([A-Z]\\w*)\\s*\\("), (1, "field", f"^\\s*{_MODS}[\\w<>\\[\\],.?]+(?:\\s*[\\w<>\\[\\],.?]+)*\\s+(\\w+)\\s*(?:=|;)"),
+        (_ANY, "class", f"^\\s*{_MODS}(?:class|record)\\s+(\\w+)"), (_ANY, "annotation", f"^\\s*{_MODS}@interface\\s+(\\w+)"), (_ANY, "interface", f"^\\s*{_MODS}interface\\s+(\\w+)"), (_ANY, "enum", f"^\\s*{_MODS}enum\\s+(\\w+)"),
+        (("enum",), "constant", "^\\s*([A-Z][A-Z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*(?:[,;{]|$)"),
+        (("class", "enum"), "constructor", f"^{_NOT_CODE}\\s*{_MODS}([A-Z]\\w*)\\s*\\("), (_CLASSES, "method", f"^{_NOT_CODE}\\s*{_MODS}(?:<[^>]+>\\s+)?{_TYPE}\\s+(\\w+)\\s*\\("),
+        (_CLASSES, "field", f"^{_NOT_CODE}\\s*{_MODS}{_TYPE}\\s+(\\w+)\\s*(?:=|;)"),
     ],
     "scala": [
-        (0, "case-class", f"^\\s*{_MODS}case\\s+class\\s+(\\w+)"), (0, "class", f"^\\s*{_MODS}class\\s+(\\w+)"), (0, "trait", f"^\\s*{_MODS}trait\\s+(\\w+)"), (0, "object", f"^\\s*{_MODS}(?:case\\s+)?object\\s+(\\w+)"), (0, "enum", f"^\\s*{_MODS}enum\\s+(\\w+)"),
-        (1, "def", f"^\\s*{_MODS}def\\s+(\\w+)"), (1, "val", f"^\\s*{_MODS}va[lr]\\s+(\\w+)"),
+        (_ANY, "case-class", f"^\\s*{_MODS}case\\s+class\\s+(\\w+)"), (_ANY, "class", f"^\\s*{_MODS}class\\s+(\\w+)"), (_ANY, "trait", f"^\\s*{_MODS}trait\\s+(\\w+)"), (_ANY, "object", f"^\\s*{_MODS}(?:case\\s+)?object\\s+(\\w+)"), (_ANY, "enum", f"^\\s*{_MODS}enum\\s+(\\w+)"),
+        (_CLASSES, "method", f"^\\s*{_MODS}def\\s+(\\w+)"), (_CLASSES, "field", f"^\\s*{_MODS}va[lr]\\s+(\\w+)"),
     ],
     "graphql": [
-        (0, "graphql-type", "^\\s*(?:extend\\s+)?type\\s+(\\w+)"), (0, "graphql-input", "^\\s*(?:extend\\s+)?input\\s+(\\w+)"), (0, "graphql-interface", "^\\s*interface\\s+(\\w+)"), (0, "graphql-union", "^\\s*union\\s+(\\w+)"),
-        (0, "graphql-scalar", "^\\s*scalar\\s+(\\w+)"), (0, "graphql-enum", "^\\s*enum\\s+(\\w+)"), (1, "field", "^\\s*(\\w+)\\s*(?:\\([^)]*\\))?\\s*:"),
+        (_ANY, "graphql-type", "^\\s*(?:type|union|scalar)\\s+(\\w+)"), (_ANY, "graphql-input", "^\\s*input\\s+(\\w+)"), (_ANY, "interface", "^\\s*interface\\s+(\\w+)"), (_ANY, "graphql-enum", "^\\s*enum\\s+(\\w+)"),
+        (("graphql-type", "graphql-input", "interface"), "field", "^\\s*(\\w+)\\s*(?:\\([^)]*\\))?\\s*:"),
     ],
 }
 _TS = [
-    (0, "interface", "^\\s*export\\s+(?:default\\s+)?(?:declare\\s+)?interface\\s+(\\w+)"), (0, "class", "^\\s*export\\s+(?:default\\s+)?(?:abstract\\s+)?class\\s+(\\w+)"), (0, "type", "^\\s*export\\s+type\\s+(\\w+)"),
-    (0, "enum", "^\\s*export\\s+(?:const\\s+)?enum\\s+(\\w+)"), (0, "function", "^\\s*export\\s+(?:default\\s+)?(?:async\\s+)?function\\s*\\*?\\s*(\\w+)"), (0, "const", "^\\s*export\\s+(?:const|let|var)\\s+(\\w+)"),
-    (1, "method", f"^\\s*{_MODS}(?!if|for|while|switch|return|catch|constructor\\b)(\\w+)\\s*(?:<[^>]*>)?\\([^)]*\\)?[^;=]*\\{{"),
+    (_ANY, "interface", f"{_EXPORT}interface\\s+(\\w+)"), (_ANY, "class", f"{_EXPORT}(?:abstract\\s+)?class\\s+(\\w+)"), (_ANY, "type", f"{_EXPORT}type\\s+(\\w+)"), (_ANY, "enum", f"{_EXPORT}(?:const\\s+)?enum\\s+(\\w+)"),
+    (_ANY, "function", f"{_EXPORT}(?:async\\s+)?function\\s*\\*?\\s*(\\w+)"), (_ANY, "constant", f"{_EXPORT}(?:const|let|var)\\s+(\\w+)"),
+    (("class",), "method", f"^{_NOT_CODE}\\s*{_MODS}(?:get\\s+|set\\s+)?(?!constructor\\b)(\\w+)\\s*(?:<[^>]*>)?\\("), (("class",), "field", f"^{_NOT_CODE}\\s*{_MODS}(\\w+)[?!]?\\s*(?::|=|;)"),
+    (("interface",), "method", "^\\s*(?:readonly\\s+)?(\\w+)\\??\\s*(?:<[^>]*>)?\\("), (("interface",), "field", "^\\s*(?:readonly\\s+)?(\\w+)\\??\\s*:"), (("enum",), "constant", "^\\s*(\\w+)\\s*(?:=|,|$)"),
 ]
-DECLARATIONS |= {k: _TS for k in ("typescript", "tsx", "javascript")}
+DECLARATIONS |= {k: _TS for k in JS}
+_CONSTANTS = "([A-Z][A-Z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*(?=[,;]|$)"
+_ROOTS = {"Query": "query", "Mutation": "mutation", "Subscription": "subscription"}
+_FUNCTIONS = ("function", "component", "hook")
+_CALL = "(?<!\\w)(?<!\\bnew\\s)((?:\\w+\\s*\\.\\s*)?\\w+)\\s*\\("
+_NO_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "super", "this", "new", "synchronized", "throw", "try"]
+_API = "(?:\\bfetch|\\b\\w+\\.(get|post|put|delete|patch))\\s*(?:<[^>]*>)?\\(\\s*[\"'`](/[^\"'`]*)"
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """(module, file_path, language, file_ord, line, kind, name, visibility, parent_name, signature, annotations, end_line).
-
-    Private members are left out. Exported functions count as hooks (use...) or, in JSX
-    files, as components (capitalized); fields of a schema's root types are operations.
-    """
+def _declared(files: DataFrame) -> DataFrame:
+    """Lines with the declaration d(kind, name) that each makes, if any, where it ends, its annotations and comment, and its owner."""
     rows = _lines(files)
-    tests = [(lang, depth, kind, pattern) for lang, each in DECLARATIONS.items() for depth, kind, pattern in each]
     rows = rows.withColumn("decl", F.regexp_replace("code", "^\\s*(?:@(?!interface)\\w+(?:\\([^)]*\\))?\\s+)+(?=\\w)", ""))
-    found = F.coalesce(*[
-        F.when((F.col("language") == lang) & (F.col("depth") == depth) & F.col("decl").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("decl", pattern, 1).alias("name")))
-        for lang, depth, kind, pattern in tests
-    ])
-    mark = "^\\s*(@\\w+(?:\\([^)]*\\))?)\\s*$"
-    order = Window.partitionBy("module", "file_path").orderBy("n")
-    rows = rows.withColumn("d", found).withColumn("mark", F.when(F.col("line").rlike(mark), F.trim("line")))
-    # Annotations stand on the lines between the last code line and the declaration.
-    rows = rows.withColumn("run", F.sum(F.when(F.col("mark").isNull() & (F.trim("code") != ""), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    in_run = Window.partitionBy("module", "file_path", "run").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*FILE).orderBy("n")
+    ahead, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+
+    def pick(top: bool, owner: Column | None = None) -> Column:
+        found = [
+            F.when(
+                (F.col("language") == lang) & F.col("decl").rlike(pattern) & (F.lit(True) if top else owner.isin(*parents)),
+                F.struct(F.lit(kind).alias("kind"), F.regexp_extract("decl", pattern, 1).alias("name")),
+            )
+            for lang, each in DECLARATIONS.items() for parents, kind, pattern in each if (parents is None) == top
+        ]
+        return F.coalesce(*found)
+
+    closes = lambda floor: F.min(F.when((F.col("depth") + F.col("delta") <= floor) & F.col("code").contains("}"), F.col("n"))).over(onward)
+    opens = F.col("code").contains("{") | F.startswith(F.col("next_code"), F.lit("{"))
+    rows = rows.withColumn("top", F.when((F.col("depth") == 0) & (F.col("parens") == 0), pick(True)))
+    rows = rows.withColumn("top_end", F.when(opens, F.coalesce(closes(0), F.col("n"))).otherwise(F.col("n")))
+    private = F.col("decl").rlike("^\\s*(?:(?:static|final|abstract|override|lazy|implicit|sealed|readonly)\\s+)*private\\b")
+    exported = F.col("code").rlike("^\\s*export\\b") | F.coalesce(F.array_contains("exported", F.col("top.name")), F.lit(False))
+    rows = rows.withColumn("shown", ~private & (~F.col("language").isin(*JS) | (F.col("depth") > 0) | exported))
+    owner = F.last(F.when(F.col("top").isNotNull(), F.struct("n", "top.kind", "top.name", "top_end", "shown")), ignorenulls=True).over(ahead)
+    rows = rows.withColumn("owner", owner).withColumn("owner", F.when((F.col("depth") >= 1) & (F.col("owner.top_end") >= F.col("n")), F.col("owner")))
+    member = F.when((F.col("depth") == 1) & (F.col("parens") == 0) & F.col("owner").isNotNull(), pick(False, F.col("owner.kind")))
+    rows = rows.withColumn("member", member).withColumn("d", F.coalesce("top", "member"))
+    rows = rows.withColumn("end", F.when(F.col("top").isNotNull(), F.col("top_end")).when(opens, F.coalesce(closes(1), F.col("n"))).otherwise(F.col("n")))
+    # Annotations and comments stand on the lines between the last code line and the declaration.
+    mark = "^\\s*(@\\w+(?:\\(.*\\))?)\\s*$"
+    rows = rows.withColumn("mark", F.when(F.col("line").rlike(mark) & (F.trim("code") != ""), F.trim("line")))
+    rows = rows.withColumn("note", F.when((F.trim("code").isin("", "\"\"")) & (F.trim("line") != ""), F.trim("line")))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("mark").isNull() & ~F.trim("code").isin("", "\"\""), 1).otherwise(0)).over(ahead))
+    in_run = Window.partitionBy(*FILE, "run").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     inline = F.regexp_extract_all("line", F.lit("(@\\w+(?:\\([^)]*\\))?)(?=.*\\w+\\s+\\w+)"), F.lit(1))
-    rows = rows.withColumn("annotations", F.concat(F.filter(F.collect_list("mark").over(in_run), lambda m: m.isNotNull()), F.when(F.col("line").rlike("^\\s*@"), inline).otherwise(F.array().cast("array<string>"))))
-    owner = F.last(F.when(F.col("d").isNotNull() & (F.col("depth") == 0), F.col("d.name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    closes = F.min(F.when((F.col("depth") + F.col("delta") <= 0) & (F.trim("code") != ""), F.col("n"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("parent_name", F.when(F.col("depth") == 1, owner)).withColumn("end_line", F.when(F.col("depth") == 0, closes).otherwise(F.col("n")) + 1)
-    private = F.col("code").rlike("^\\s*(?:@\\w+(?:\\([^)]*\\))?\\s*)*private\\b") | F.col("code").rlike("\\bprivate\\s")
-    name, kind = F.col("d.name"), F.col("d.kind")
-    js = F.col("language").isin("typescript", "tsx", "javascript")
-    function = js & kind.isin("function", "const") & F.col("code").rlike("function|=>")
-    root = {"Query": "query", "Mutation": "mutation", "Subscription": "subscription"}
-    kind = F.when(function & name.rlike("^use[A-Z]"), "hook").when(function & name.rlike("^[A-Z]") & F.col("language").isin("tsx", "javascript"), "component").when(function, "function").otherwise(kind)
-    kind = reduce(lambda k, r: F.when((F.col("language") == "graphql") & (F.col("parent_name") == r) & (F.col("d.kind") == "field"), root[r]).otherwise(k), root, kind)
-    visibility = F.when(F.col("code").rlike("\\bprotected\\b"), "protected").otherwise("public")
-    out = rows.where(F.col("d").isNotNull() & ~private)
-    return out.select("module", "file_path", "language", "file_ord", (F.col("n") + 1).alias("line"), kind.alias("kind"), name.alias("name"), visibility.alias("visibility"), "parent_name", F.substring(F.trim(F.regexp_replace("line", "\\s*\\{\\s*$", "")), 1, 200).alias("signature"), "annotations", "end_line")
+    declares = F.col("d").isNotNull()
+    rows = rows.withColumn("annotations", F.when(declares, F.concat(F.collect_list("mark").over(in_run), F.when(F.col("line").rlike("^\\s*@(?!interface)"), inline).otherwise(F.array().cast("array<string>")))))
+    return rows.withColumn("notes", F.when(declares, F.collect_list("note").over(in_run)))
 
 
-def imports_of(files: DataFrame) -> DataFrame:
-    """(module, file_path, import_path) as the languages name them."""
-    lines = files.select("module", "file_path", "language", F.explode(F.split("text", "\\r?\\n")).alias("line"))
-    dotted = F.regexp_extract("line", "^\\s*import\\s+(?:static\\s+)?([\\w.]+(?:\\.\\*|\\._)?)\\s*;?\\s*$", 1)
-    quoted = F.regexp_extract("line", "^\\s*(?:import|export)\\b.*?[\"']([^\"']+)[\"']", 1)
-    path = F.when(F.col("language").isin("java", "scala"), F.regexp_replace(dotted, "\\._$", ".*")).when(F.col("language") != "graphql", quoted)
-    return lines.withColumn("import_path", path).where("import_path <> ''").select("module", "file_path", "import_path").distinct()
+def _comment(notes: Column, language: Column) -> Column:
+    """The documentation comment right ahead of a declaration, without its marks."""
+    joined = F.array_join(notes, "\n")
+    block = F.regexp_extract(joined, "(?s)/\\*\\*(.*?)\\*/[^/]*$", 1)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(block, "(?m)^\\s*\\*+ ?", ""), "^\\s+|\\s+$", ""))
+    last = F.regexp_replace(F.regexp_replace(F.element_at(notes, -1), "^[#\"]+\\s*", ""), "\"+$", "")
+    out = F.when(language == "graphql", F.when(F.size(notes) > 0, last)).otherwise(plain)
+    return F.when(out != "", out)
 
 
-def call_sites_of(files: DataFrame) -> DataFrame:
-    """(module, file_path, line, ord, target, receiver) of calls inside bodies; keywords are no calls."""
-    rows = _lines(files).where("depth > 0 or language in ('typescript', 'tsx', 'javascript')")
-    calls = F.regexp_extract_all("code", F.lit("((?:\\w+\\s*\\.\\s*)?\\w+)\\s*\\("), F.lit(1))
-    out = rows.select("module", "file_path", (F.col("n") + 1).alias("line"), F.posexplode(calls).alias("ord", "call"))
-    out = out.select("module", "file_path", "line", "ord", F.element_at(F.split("call", "\\s*\\.\\s*"), -1).alias("target"), F.when(F.col("call").contains("."), F.trim(F.substring_index("call", ".", 1))).alias("receiver"))
-    return out.where(~F.col("target").isin("if", "for", "while", "switch", "catch", "return", "function", "super", "this", "new", "synchronized", "throw"))
+def _headers(rows: DataFrame) -> DataFrame:
+    """(file, n, header): a type's code from its line up to its brace, on one line."""
+    order = Window.partitionBy(*FILE).orderBy("n")
+    tops = rows.where("depth = 0").withColumn("at", F.last(F.when(F.col("top").isNotNull(), F.col("n")), ignorenulls=True).over(order)).where("at is not null")
+    lines = tops.groupBy(*FILE, "at").agg(F.array_sort(F.collect_list(F.struct("n", "decl"))).alias("l"))
+    return lines.select(*FILE, F.col("at").alias("n"), F.substring_index(F.array_join(F.transform("l", lambda x: x["decl"]), " "), "{", 1).alias("header"))
 
 
-def api_calls_of(files: DataFrame) -> DataFrame:
-    """(module, file_path, line, method, path): fetch and client calls on absolute paths, ${...} as {param}."""
-    lines = files.where(F.col("language").isin("typescript", "tsx", "javascript")).select("module", "file_path", F.posexplode(F.split("text", "\\r?\\n")).alias("n", "line"))
-    pattern = "(?:\\bfetch|\\b\\w+\\.(get|post|put|delete|patch))\\s*(?:<[^>]*>)?\\(\\s*[\"'`](/[^\"'`]*)"
-    method = F.upper(F.regexp_extract("line", pattern, 1))
-    hit = lines.where(F.col("line").rlike(pattern))
-    return hit.select("module", "file_path", (F.col("n") + 1).alias("line"), F.when(method == "", "GET").otherwise(method).alias("method"), F.regexp_replace(F.regexp_extract("line", pattern, 2), "\\$\\{[^}]*\\}", "{param}").alias("path"))
+def _names(clause: Column) -> Column:
+    """Comma-separated type names without what stands in angle brackets or ahead of dots."""
+    bare = reduce(lambda c, _: F.regexp_replace(c, "<[^<>]*>", ""), range(4), clause)
+    return F.filter(F.transform(F.split(bare, ","), lambda x: F.trim(F.element_at(F.split(F.trim(x), "\\s|\\."), -1))), lambda x: x != "")
+
+
+def _calls(rows: DataFrame) -> DataFrame:
+    """(file, n, call_sites, jsx_elements) of the method or function that begins on line n."""
+    order = Window.partitionBy(*FILE).orderBy("n")
+    callable_ = F.when(F.col("language") == "java", F.col("member.kind").isin("method", "constructor")).otherwise(F.col("top.kind").isin("function", "constant") & F.col("language").isin(*JS))
+    unit = F.last(F.when(F.coalesce(callable_, F.lit(False)), F.struct("n", "end")), ignorenulls=True).over(order)
+    body = rows.withColumn("unit", unit).where("unit.end >= n").withColumn("code", F.when(F.col("unit.n") == F.col("n"), F.regexp_extract("code", "(?:\\{|=>|=)(.*)$", 1)).otherwise(F.col("code")))
+    sites = F.transform(F.regexp_extract_all("code", F.lit(_CALL), F.lit(1)), lambda c: F.struct(
+        F.element_at(F.split(c, "\\s*\\.\\s*"), -1).alias("target"), F.when(c.contains("."), F.trim(F.substring_index(c, ".", 1))).alias("receiver")))
+    sites = F.filter(sites, lambda c: ~c["target"].isin(_NO_CALLS))
+    jsx = F.when(F.col("language").isin("tsx", "javascript"), F.regexp_extract_all("code", F.lit("(?<![\\w)])<([A-Za-z][\\w.]*)(?=[\\s/>]|$)"), F.lit(1)))
+    found = body.select(*FILE, F.col("unit.n").alias("at"), "n", sites.alias("sites"), jsx.alias("jsx")).where("size(sites) > 0 or size(jsx) > 0")
+    flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]))
+    return found.groupBy(*FILE, "at").agg(flat("sites").cast(CALL_SITES).alias("call_sites"), F.array_distinct(F.flatten(F.collect_list("jsx"))).alias("jsx_elements")).withColumnRenamed("at", "n")
+
+
+def _operations(files: DataFrame) -> DataFrame:
+    """(file, name, gql_operation_type, gql_fields) of constants that hold a GraphQL operation without variables."""
+    pattern = "\\bconst\\s+\\w+[^=\\n]*=\\s*gql\\s*`[^`]*`"
+    each = files.where(F.col("language").isin(*JS)).select(*FILE, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("whole"))
+    content = F.regexp_extract("whole", "(?s)`(.*)`", 1)
+    kind = F.regexp_extract(content, "^\\s*(query|mutation|subscription)\\s+\\w+\\s*\\{", 1)
+    lines = F.transform(F.split(F.regexp_extract(content, "(?s)^[^{]*\\{(.*)$", 1), "\\n"), lambda t: F.trim(t))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("fields"))
+    walked = F.aggregate(lines, start, lambda acc, t: F.struct(
+        F.when(t == "}", acc["depth"] - 1).otherwise(acc["depth"] + F.when((acc["depth"] >= 0) & t.contains("{"), 1).otherwise(0)).alias("depth"),
+        F.when((acc["depth"] == 0) & t.rlike("^\\w"), F.concat(acc["fields"], F.array(F.regexp_extract(t, "^(\\w+)", 1)))).otherwise(acc["fields"]).alias("fields"),
+    ))
+    out = each.select(*FILE, F.regexp_extract("whole", "\\bconst\\s+(\\w+)", 1).alias("name"), kind.alias("gql_operation_type"), walked["fields"].alias("gql_fields"))
+    return out.where("gql_operation_type <> ''").dropDuplicates([*FILE, "name"])
+
+
+def _api_calls(rows: DataFrame) -> DataFrame:
+    """Symbols of calls to absolute paths, named after the function around them."""
+    order = Window.partitionBy(*FILE).orderBy("n")
+    rows = rows.where(F.col("language").isin(*JS))
+    within = lambda c, end: F.last(F.when(c, F.struct("d.name", F.col(end).alias("end"))), ignorenulls=True).over(order)
+    rows = rows.withColumn("method_at", within(F.col("member.kind") == "method", "end")).withColumn("function_at", within(F.col("top.kind").isin("function", "constant"), "end"))
+    hit = rows.where(F.col("line").rlike(_API) & (F.trim("code") != ""))
+    around = F.coalesce(F.when(F.col("method_at.end") >= F.col("n"), F.col("method_at.name")), F.when(F.col("function_at.end") >= F.col("n"), F.col("function_at.name")), F.concat(F.lit("api_call_"), (F.col("n") + 1).cast("string")))
+    verb = F.upper(F.regexp_extract("line", _API, 1))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", _API, 2), "\\$\\{[^}]*\\}", "{param}"), "(?<=.)/$", "")
+    return hit.select(*FILE, "language", "package_name", "file_ord", "n", F.lit(1).alias("rank"), around.alias("name"), F.lit("api-call").alias("kind"), F.when(verb == "", "GET").otherwise(verb).alias("api_method"), path.alias("api_path"), F.col("n").alias("end"))
+
+
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """Rows of schema.SYMBOLS, in the order of their lines within each file.
+
+    Private members, and whatever a module does not export, are left out with all they hold.
+    Exported functions count as hooks (use...) or, in JSX files, as components
+    (capitalized); fields of a schema's root types are operations at the top. Files with a
+    null text give nothing.
+    """
+    rows = _declared(files.where("text is not null"))
+    js = F.col("language").isin(*JS)
+    seen = rows.where(F.col("d").isNotNull() & F.col("shown") & F.coalesce(F.col("owner.shown"), F.lit(True)))
+    seen = seen.where(F.col("top").isNotNull() | F.col("member").isNotNull())
+    seen = seen.where((F.col("language") != "graphql") | ~F.col("d.name").isin(*_ROOTS) | F.col("member").isNotNull())
+    # Enum constants may share a line.
+    several = F.when((F.col("d.kind") == "constant") & (F.col("language") == "java"), F.regexp_extract_all("decl", F.lit(_CONSTANTS), F.lit(1))).otherwise(F.array("d.name"))
+    seen = seen.withColumn("name", F.explode(F.when(F.size(several) > 0, several).otherwise(F.array("d.name"))))
+    function = js & ((F.col("d.kind") == "function") | ((F.col("d.kind") == "constant") & F.col("top").isNotNull() & F.col("code").rlike("=\\s*(?:async\\s*)?(?:function\\b|\\(|\\w+\\s*=>|<)") & F.concat_ws(" ", "code", "next_code").rlike("=>|function")))
+    kind = F.when(function & F.col("name").rlike("^use[A-Z]"), "hook").when(function & F.col("name").rlike("^[A-Z]") & F.col("language").isin("tsx", "javascript"), "component").when(function, "function").otherwise(F.col("d.kind"))
+    root = F.create_map(*[F.lit(x) for kv in _ROOTS.items() for x in kv])[F.col("owner.name")]
+    kind = F.when((F.col("language") == "graphql") & root.isNotNull(), root).otherwise(kind)
+    modifiers = F.regexp_extract("decl", f"^\\s*({_MODS})", 1)
+    visibility = F.when(modifiers.rlike("\\bprotected\\b"), "protected").when((F.col("language") == "java") & ~modifiers.rlike("\\bpublic\\b") & (F.col("d.kind") != "constant"), "default").otherwise("public")
+    signature = F.trim(F.regexp_replace(F.regexp_replace("line", "^\\s*(?:@(?!interface)\\w+(?:\\([^)]*\\))?\\s+)+(?=\\w)", ""), "\\s*\\{\\s*$|;\\s*$", ""))
+    for language, most in SIGNATURE.items():
+        signature = F.when(F.col("language") == language, F.substring(signature, 1, most)).otherwise(signature)
+    extends = F.regexp_extract("header", "\\bclass\\s+\\w+(?:\\s*<[^{]*?>)?\\s+extends\\s+([\\w.]+)", 1)
+    extends = F.when(F.col("language") != "scala", F.when(extends != "", F.element_at(F.split(extends, "\\."), -1)))
+    implements = F.when((F.col("d.kind") != "interface") & (F.col("language") != "scala"), F.regexp_extract("header", "\\bimplements\\s+(.+)$", 1))
+    out = seen.join(_headers(rows), [*FILE, "n"], "left").join(_calls(rows), [*FILE, "n"], "left")
+    out = out.select(
+        *FILE, "language", "package_name", "file_ord", "n", F.lit(0).alias("rank"), "name", kind.alias("kind"), visibility.alias("visibility"), signature.alias("signature"), _comment(F.col("notes"), F.col("language")).alias("doc_comment"),
+        "annotations", F.when(F.col("top").isNotNull(), extends).alias("extends_name"), F.when(F.col("top").isNotNull() & (implements != ""), _names(implements)).alias("implements_names"),
+        F.when(F.col("kind").isin(*_FUNCTIONS, "method", "constructor"), F.col("call_sites")).alias("call_sites"), "jsx_elements", F.col("end"),
+        F.when(F.col("member").isNotNull() & root.isNull(), F.col("owner.n")).alias("parent_n"), F.col("top").isNotNull().alias("is_top"),
+    )
+    out = out.unionByName(_api_calls(rows), allowMissingColumns=True).join(_operations(files), [*FILE, "name"], "left")
+    is_operation = F.coalesce(F.col("is_top") & (F.col("kind") == "constant"), F.lit(False)) & F.col("gql_operation_type").isNotNull()
+    out = out.withColumns({"kind": F.when(is_operation, "gql-operation").otherwise(F.col("kind")), **{c: F.when(is_operation, F.col(c)) for c in ("gql_operation_type", "gql_fields")}})
+    order = Window.partitionBy(*FILE).orderBy("n", "rank", "name")
+    out = out.withColumn("sym_ord", F.row_number().over(order) - 1)
+    parent = F.last(F.when(F.col("is_top"), F.struct("n", "sym_ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("p", parent).withColumn("parent_ord", F.when(F.col("p.n") == F.col("parent_n"), F.col("p.sym_ord")))
+    out = out.withColumn("start_line", F.col("n") + 1).withColumn("end_line", F.col("end") + 1).withColumn("visibility", F.coalesce("visibility", F.lit("public")))
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SYMBOLS.fields])
+
+
+def imports_of(files: DataFrame) -> DataFrame:
+    """(module, file_path, import_path) as the languages name them."""
+    lines = files.select(*FILE, "language", F.explode(F.split("text", "\\r?\\n")).alias("line"))
+    dotted = F.regexp_extract("line", "^\\s*import\\s+(?:static\\s+)?([\\w.]+(?:\\.\\*|\\._)?)\\s*;?\\s*$", 1)
+    quoted = F.regexp_extract("line", "^\\s*(?:(?:import|export)\\b.*?|\\}\\s*from\\s*)[\"']([^\"']+)[\"']", 1)
+    path = F.when(F.col("language").isin("java", "scala"), F.regexp_replace(dotted, "\\._$", ".*")).when(F.col("language") != "graphql", quoted)
+    return lines.withColumn("import_path", path).where("import_path <> ''").select(*FILE, "import_path").distinct()

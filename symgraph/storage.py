@@ -41,3 +41,35 @@ def discard(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and the file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def commit_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
+    """Write all tables as one new version below root; readers see it when the pointer is renamed, or nothing of it."""
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{version}/{name}")
+    staged, store = _path(spark, f"{root}/CURRENT-{version}")
+    out = store.create(staged)
+    out.write(bytearray("\n".join([version, *sorted(tables)]).encode()))
+    out.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(store.makeQualified(staged), store.makeQualified(_path(spark, f"{root}/CURRENT")[0]), overwrite)
+    return version
+
+
+def committed_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the version that the pointer names; none where nothing was committed."""
+    pointer, store = _path(spark, f"{root}/CURRENT")
+    if not store.exists(pointer):
+        return {}
+    version, *names = [r.value for r in spark.read.text(f"{root}/CURRENT").collect()]
+    return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in names}

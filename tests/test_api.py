@@ -1,12 +1,11 @@
 import pytest
-from pyspark.sql import functions as F
 from test_code_graph import call, rows_of, symbol
 
 from symgraph.api import GraphNotReady, Workspace
 from symgraph.schema import SYMBOLS
 
 
-def test_tools_over_a_small_graph(spark, tmp_path):
+def test_tools_over_a_small_graph(spark):
     empty = Workspace(spark)
     with pytest.raises(GraphNotReady):
         empty.graph_status()
@@ -24,16 +23,9 @@ def test_tools_over_a_small_graph(spark, tmp_path):
     assert [e.kind for e in detail.edges_in] == ["calls"] and detail.source == "two\nthree"
     assert w.get_callers("login").count() == 1 and w.get_impact("Service").count() >= 1
     context = w.build_context("fix the login endpoint").collect()
-    assert context and context[0].name in ("Service", "login", "handleLogin")
+    assert context[0].name in ("Service", "login") and {"Service", "login", "handleLogin"} <= {r.name for r in context}
     docs = spark.createDataFrame([("react", "18", "llms", "# A\n" + "x" * 1200 + "\n## B\nbody")], "framework string, version string, source string, content string")
     w.resolve_documents(docs)
     assert [r.title for r in w.get_doc_index("react", "18").collect()] == ["A", "B"]
     assert w.get_doc_section("react", "b", "18").first().content == "body"
     assert w.fetch_external_docs("react", "18").first().content.endswith("## B\n\nbody")
-    (tmp_path / "auth-lib").mkdir()
-    (tmp_path / "auth-lib" / "pom.xml").write_text("<project/>")
-    (tmp_path / "pom.xml").write_text("<project><dependencies><dependency><groupId>com.acme</groupId><artifactId>auth-lib</artifactId></dependency></dependencies></project>")
-    assert w.list_internal_deps(str(tmp_path)).count() == 0
-    w.configure_internal_patterns(maven=("com.acme",))
-    assert [r.source_path for r in w.list_internal_deps(str(tmp_path)).collect()] == ["auth-lib"]
-    assert w.analyze_project(str(tmp_path)).where(F.col("key").isNotNull()).count() == 0

@@ -71,18 +71,19 @@ def test_sources_to_symbols(spark, tmp_path):
     files = _files(spark, tmp_path)
     assert {r.file_path for r in files.collect()} == {"src/UserController.java", "src/Main.scala", "schema.graphql", "web/UserList.tsx"}
     found = code.extract_symbols(files).collect()
-    by = {(r.language, r.kind, r.name, r.parent_name) for r in found}
+    name_of = {(r.file_path, r.sym_ord): r.name for r in found}
+    by = {(r.language, r.kind, r.name, name_of.get((r.file_path, r.parent_ord))) for r in found}
     assert {("java", "class", "UserController", None), ("java", "method", "getUsers", "UserController"), ("java", "method", "create", "UserController")} <= by
     assert not {n for _, _, n, _ in by} & {"hidden", "secret", "hide"}
-    marks = {r.name: r.annotations for r in found if r.language == "java"}
-    assert marks["UserController"] == ["@RestController", '@RequestMapping("/api")'] and marks["getUsers"] == ['@GetMapping("/users")']
-    assert {("scala", "case-class", "User", None), ("scala", "trait", "Repo", None), ("scala", "object", "Main", None), ("scala", "def", "run", "Main"), ("scala", "val", "size", "Main")} <= by
-    assert {("graphql", "graphql-type", "User", None), ("graphql", "graphql-input", "NewUser", None), ("graphql", "graphql-enum", "Role", None), ("graphql", "query", "users", "Query"), ("graphql", "query", "user", "Query"), ("graphql", "field", "posts", "User")} <= by
+    one = {r.name: r for r in found if r.language == "java"}
+    assert one["UserController"].annotations == ["@RestController", '@RequestMapping("/api")'] and one["getUsers"].annotations == ['@GetMapping("/users")'] and one["create"].annotations == ['@PostMapping("/users")']
+    assert one["UserController"].doc_comment == "Serves users." and one["UserController"].package_name == "com.acme" and (one["getUsers"].start_line, one["getUsers"].end_line) == (10, 13)
+    assert [(c.receiver, c.target) for c in one["getUsers"].call_sites] == [("service", "findAll")] and [(c.receiver, c.target) for c in one["create"].call_sites] == [("service", "save"), (None, "make")]
+    assert {("scala", "case-class", "User", None), ("scala", "trait", "Repo", None), ("scala", "object", "Main", None), ("scala", "method", "run", "Main"), ("scala", "field", "size", "Main")} <= by
+    assert {("graphql", "graphql-type", "User", None), ("graphql", "graphql-input", "NewUser", None), ("graphql", "graphql-enum", "Role", None), ("graphql", "query", "users", None), ("graphql", "query", "user", None), ("graphql", "field", "posts", "User")} <= by
     assert {("tsx", "interface", "Props", None), ("tsx", "component", "UserList", None), ("tsx", "hook", "useUsers", None)} <= by
     assert {(r.import_path) for r in code.imports_of(files).collect()} == {"com.acme.model.User", "org.junit.Assert.*", "./api"}
-    calls = {(r.receiver, r.target) for r in code.call_sites_of(files).collect()}
-    assert {("service", "findAll"), ("service", "save"), (None, "make"), ("repo", "find"), (None, "useUsers")} <= calls
-    assert {(r.method, r.path) for r in code.api_calls_of(files).collect()} == {("GET", "/api/users/{param}"), ("POST", "/api/users")}
+    assert {(r.name, r.api_method, r.api_path) for r in found if r.kind == "api-call"} == {("UserList", "GET", "/api/users/{param}"), ("UserList", "POST", "/api/users")}
 
 
 def test_heading_tree(spark):
