@@ -220,7 +220,8 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids",
     """Add the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
     Strings of special tokens in a text become their ids. A null or empty text gives no
-    ids; repeated rows and other columns pass through; an empty table stays empty.
+    ids; repeated rows and other columns pass through, but for one named like the output,
+    which is replaced; an empty table stays empty.
     """
     path = vocabulary or default_vocabulary()
 
@@ -232,7 +233,10 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids",
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """Add the text of packed ids, special tokens included; null ids give an empty text."""
+    """Add the text of packed ids, special tokens included; null ids give an empty text.
+
+    A column named like the output is replaced; an empty table stays empty.
+    """
     path = vocabulary or default_vocabulary()
 
     def start():

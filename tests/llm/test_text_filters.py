@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,10 +83,56 @@ def test_kernel_tolerates_gaps_and_insertions():
     assert X.letters_only("I.d.i.o.t, two$$ 3x") == ["idiot", "two", "x"]
 
 
+def _subsequences(word):
+    """Weights of all gapped three-letter subsequences within the span, by enumeration."""
+    from itertools import combinations
+
+    out: dict = {}
+    for at in combinations(range(len(word)), 3):
+        span = at[2] - at[0] + 1
+        if span <= X.SPAN:
+            key = "".join(word[i] for i in at)
+            out[key] = out.get(key, 0) + X.DECAY**span
+    return out
+
+
+def test_kernel_equals_enumerated_subsequences():
+    rng = random.Random(9)
+    landmarks = ["idiot", "moron", "banana", "scumbag", "abcabcabc"]
+    words = landmarks + ["".join(rng.choice("abcdimnorstu") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    got = X.Kernel(landmarks).of(words)
+    feats = [_subsequences(w) for w in words]
+    norm = [sum(v * v for v in f.values()) ** 0.5 for f in feats]
+    for i, w in enumerate(words):
+        for j, m in enumerate(landmarks):
+            value = sum(feats[i].get(k, 0) * v for k, v in feats[j].items()) / (norm[i] * norm[j])
+            spans = [b - a for a in range(len(w)) for b in range(a + 1, len(w) + 1) if _holds(w[a:b], m)]
+            held = (len(m) / min(spans)) ** X.HELD * (1 - X.FLOOR) if spans else 0
+            assert got[i, j] == pytest.approx(max(value - X.FLOOR, held, 0), abs=1e-5), (w, m)
+
+
+def _holds(word, landmark):
+    letters = iter(word)
+    return all(c in letters for c in landmark)
+
+
+def test_mapped_documents_have_a_positive_semidefinite_gram_matrix():
+    kernel = X.Kernel(["idiot", "moron", "scumbag", "trash"])
+    gram = kernel.of(kernel.landmarks).astype(float)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-2 * np.eye(4))
+    mapped = X._mapped(kernel.pool(["an idxiot", "morons all", "", "trash i d i o t", "calm words"]).astype(float), vectors / np.sqrt(np.maximum(values, 1e-2)))
+    assert np.linalg.eigvalsh(mapped @ mapped.T).min() > -1e-9
+
+
+def test_held_out_is_never_null(spark):
+    rows = spark.createDataFrame([(1,), (None,)], "doc_id long").select(X.in_training_fold(F.col("doc_id")).alias("t")).collect()
+    assert all(r.t is not None for r in rows)
+
+
 def test_held_out_toxicity(spark):
     rows = op6_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
-    assert hits / sum(r.predicted for r in rows) > 0.9 and hits / sum(r.toxic for r in rows) > 0.75
+    assert hits / sum(r.predicted for r in rows) > 0.95 and hits / sum(r.toxic for r in rows) > 0.85
 
 
 def test_toxicity_on_odd_tables(spark):
