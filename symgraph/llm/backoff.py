@@ -1,12 +1,16 @@
 """Stupid-backoff language-model scores of a corpus's documents, by joins on n-gram counts.
 
 The score of a word is c(context word) / c(context) for the longest context, at most
-order - 1 words, that the document offers, and alpha times the score with a shorter one
-where the n-gram was never seen; without context it is c(word) / words. Logarithms turn a
-document's score into sums of log c(n-gram) over its own n-grams, once with a plus where
-the n-gram is scored and once with a minus where it is a context. So each order is one
-join: n-grams with their weights go to the partition of their hash, meet there the total
-count of equal hashes, and the products are summed per document.
+order - 1 words, with which it was seen, times alpha for each shorter one it fell back to;
+without context it is c(word) / words, and 1 / (words + 1) for a word never seen. A document is
+scored by the counts of all other documents: its own occurrences are taken off each count,
+so that words do fall back, and a text that occurs twice scores apart from one that does not.
+
+Each order is one join. The n-grams of a chunk of documents go to the part of their hash; a
+part holds the count table of its n-grams, and answers every document's n-gram with what
+other documents have of it. The answers of all orders meet the chunk's texts again, where
+every word takes its longest n-gram that was seen. What moves is packed: one row for each
+chunk, order and part, so rows grow with chunks and parts, never with n-grams of one kind.
 
 n-grams go by 64-bit hashes: among n different ones, n * n / 2^65 clashes are to be expected.
 """
@@ -15,18 +19,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symgraph.storage import materialize
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Characters of text taken up at once.
+ALPHA = 0.4
+#: Characters of documents in one chunk, about; a longer document is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 #: Characters of text whose n-grams one part holds, about; parts grow with the corpus, and no fewer than Spark's shuffle partitions.
 PART_CHARS = 24_000_000
@@ -76,26 +82,6 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def gram_weights(gram: np.ndarray, times: np.ndarray, hashes: np.ndarray, n: int, order: int) -> np.ndarray:
-    """How often the log count of each different n-gram of a document enters its score.
-
-    hashes are the document's n-grams in order, gram the different ones, sorted, and times
-    their numbers. The longest ones score a word each; the next longest are contexts, save
-    for the last; and the first n-gram of each order scores the n-th word.
-    """
-    if n == order:
-        return times.astype(np.int32)
-    weight = -times.astype(np.int32) if n == order - 1 else np.zeros(len(gram), np.int32)
-    if len(hashes):
-        first, last = np.searchsorted(gram, hashes[[0, -1]])
-        if n == order - 1:
-            weight[last] += 1
-            weight[first] += 1
-        elif len(hashes) == 1:
-            weight[first] += 1
-    return weight
-
-
 @contextmanager
 def _shuffles_removed(spark: SparkSession):
     """Each order's shuffle files go when its result is written."""
@@ -107,131 +93,147 @@ def _shuffles_removed(spark: SparkSession):
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def _exploded(docs: DataFrame, n: int, order: int, parts: int) -> DataFrame:
-    """Rows (part, ids, sizes, grams, seen, weight): the n-grams of some documents whose hash falls to part, packed.
+def chunked(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, texts, words): rows(id, text) by the chunk, a written table; words is the number in all of a chunk's texts."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("words", T.LongType())])
 
-    Within a document equal n-grams are one entry with the number seen and the summed weight.
-    """
-    id_type = docs.schema["id"].dataType.simpleString()
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
+
+        def packed(kind) -> pa.RecordBatch:
+            spaced = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8)
+            space = (spaced == 32) | ((spaced >= 9) & (spaced <= 13))
+            words = int((space[1:] & ~space[:-1]).sum())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.string())), pa.array([words], pa.int64())], schema.names)
+
+        for batch in stream:
+            kind = batch.column(0).type
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held + len(t or "") > CHUNK_CHARS and ids:
+                    yield packed(kind)
+                    number, ids, texts, held = number + 1, [], [], 0
+                ids.append(i)
+                texts.append(t or "")
+                held += len(t or "")
+        if ids:
+            yield packed(kind)
+
+    return materialize(rows.mapInArrow(batches, schema), "chunks")
+
+
+class Grams:
+    """The n-grams of one order in a chunk: the different ones of each document, by part, and where each position finds its own."""
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray, n: int, parts: int):
+        #: Positions of the words that end an n-gram within their document.
+        self.ends = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :]) + n - 1
+        every = gram_hashes(words, n)[self.ends - n + 1]
+        own = doc[self.ends]
+        order = np.lexsort((every, own))
+        gram, holder = every[order], own[order]
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (holder[1:] != holder[:-1])
+        starts = np.flatnonzero(fresh)
+        gram = gram[starts]
+        part = (gram % np.uint64(parts)).astype(np.int32)
+        by = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        #: Hash and number of each entry, entries of one part together.
+        self.gram, self.part = gram[by], part[by]
+        self.times = np.diff(starts, append=len(every))[by].astype("<u4")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        #: The entry of each position in ends.
+        self.entry = np.empty(len(every), np.int64)
+        self.entry[order] = place[np.cumsum(fresh) - 1]
+
+
+def asked(chunks: DataFrame, n: int, parts: int) -> DataFrame:
+    """(part, chunk, grams, times): the n-grams of every document, packed by chunk and part."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            lengths = np.cumsum([len(t.as_py() or "") for t in batch.column(1)])
-            lo = 0
-            while lo < batch.num_rows:  # so many documents at once that their arrays stay small
-                hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + CHUNK_CHARS)))
-                packed = _packed(batch.slice(lo, hi - lo), n, order, parts)
-                if packed is not None:
-                    yield packed
-                lo = hi
-
-    return docs.mapInArrow(batches, f"part int, ids array<{id_type}>, sizes binary, grams binary, seen binary, weight binary")
-
-
-def _packed(batch: pa.RecordBatch, n: int, order: int, parts: int) -> pa.RecordBatch | None:
-    words, doc = word_hashes(batch.column(1).to_pylist())
-    if len(words) < n:
-        return None
-    whole = doc[: len(doc) - n + 1] == doc[n - 1 :]  # n-grams that stay in one document
-    every, doc = gram_hashes(words, n)[whole], doc[: len(doc) - n + 1][whole]
-    if not len(every):
-        return None
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-    grams, seen, weights, owners = [], [], [], []
-    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
-        gram, times = np.unique(every[lo:hi], return_counts=True)
-        grams.append(gram)
-        seen.append(times.astype("<u4"))
-        weights.append(gram_weights(gram, times, every[lo:hi], n, order).astype("<i4"))
-        owners.append(np.full(len(gram), doc[lo], np.int32))
-    gram, seen, weight, owner = map(np.concatenate, (grams, seen, weights, owners))
-    part = (gram % np.uint64(parts)).astype(np.int32)
-    by = np.argsort(part, kind="stable")  # documents stay in order within a part
-    gram, seen, weight, owner, part = gram[by], seen[by], weight[by], owner[by], part[by]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-    ids = batch.column(0)
-    rows = {"part": [], "ids": [], "sizes": [], "grams": [], "seen": [], "weight": []}
-    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
-        docs_at, sizes = np.unique(owner[lo:hi], return_counts=True)
-        rows["part"].append(int(part[lo]))
-        rows["ids"].append(ids.take(pa.array(docs_at)).to_pylist())
-        rows["sizes"].append(sizes.astype("<u4").tobytes())
-        rows["grams"].append(gram[lo:hi].tobytes())
-        rows["seen"].append(seen[lo:hi].tobytes())
-        rows["weight"].append(weight[lo:hi].tobytes())
-    kinds = [pa.int32(), pa.list_(ids.type), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
-
-
-def _bucket(ids: pa.Array, buckets: int) -> np.ndarray:
-    """A bucket for each id, the same in every task; null goes to the first."""
-    if pa.types.is_integer(ids.type):
-        mixed = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _ODD
-        return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-    return np.array([0 if x is None else crc32(str(x).encode()) % buckets for x in ids.to_pylist()], np.int32)
-
-
-def _joined(exploded: DataFrame, id_type: str, parts: int) -> DataFrame:
-    """(id, logs): each part counts its n-grams and weighs the log counts, each bucket of documents sums them.
-
-    What a part has for the documents of one bucket is a single packed row, so rows grow
-    with parts and buckets, not with documents times parts.
-    """
+            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                g = Grams(*word_hashes(texts.as_py()), n, parts)
+                cuts = np.flatnonzero(np.concatenate([[True], g.part[1:] != g.part[:-1], [True]])) if len(g.part) else np.zeros(1, np.int64)
+                spans = list(zip(cuts.tolist(), cuts[1:].tolist()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(g.part[cuts[:-1]], pa.int32()), pa.array([chunk] * len(spans), pa.int64()),
+                    pa.array([g.gram[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([g.times[a:b].tobytes() for a, b in spans], pa.binary()),
+                ], ["part", "chunk", "grams", "times"])
+
+    return chunks.select("chunk", "texts").mapInArrow(batches, "part int, chunk long, grams binary, times binary")
+
+
+def answered(asks: DataFrame, n: int) -> DataFrame:
+    """(chunk, n, part, others): for each n-gram asked for, how often it stands in other documents."""
 
     def count(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        gram, seen, weight = read("grams", "<u8"), read("seen", "<u4"), read("weight", "<i4")
-        sizes = read("sizes", "<u4").astype(np.int64)
+        grams, times = table.column("grams").to_pylist(), table.column("times").to_pylist()
+        gram, own = np.frombuffer(b"".join(grams), "<u8"), np.frombuffer(b"".join(times), "<u4").astype(np.int64)
         _, where = np.unique(gram, return_inverse=True)
-        value = np.log(np.bincount(where, seen))[where] * weight
-        ends = np.cumsum(sizes)
-        sums = np.add.reduceat(value, ends - sizes)
-        ids = table.column("ids").combine_chunks().flatten()
-        bucket = _bucket(ids, parts)
-        by = np.argsort(bucket, kind="stable")
-        ids, sums, bucket = ids.take(pa.array(by)), sums[by], bucket[by]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        packed = [sums[lo:hi].astype("<f8").tobytes() for lo, hi in zip(cuts, cuts[1:])]
-        return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids), "sums": pa.array(packed, pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        ids = table.column("ids").combine_chunks().flatten()
-        sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), "<f8")
-        known = ids.dictionary_encode(null_encoding="encode")
-        return pa.table({"id": known.dictionary, "logs": pa.array(np.bincount(known.indices.to_numpy(), sums, len(known.dictionary)), pa.float64())})
-
-    counted = exploded.groupBy("part").applyInArrow(count, f"bucket int, ids array<{id_type}>, sums binary")
-    return counted.groupBy("bucket").applyInArrow(add, f"id {id_type}, logs double")
-
-
-def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """(id, n_words, log_score, mean_log_score) with counts over all of docs.
-
-    Every n-gram of a scored document is in the counts, so no word needs to back off;
-    score_with() scores other texts. A text without words has n_words 0, log_score 0 and a
-    null mean; a null text counts as empty. Rows that repeat an id (or have none) are texts of one
-    document. Other columns are ignored; an empty table gives no rows.
+        others = (np.bincount(where, own).astype(np.int64)[where] - own).astype("<u8")
+        cuts = np.cumsum([0, *(len(t) // 4 for t in times)]).tolist()
+        return pa.table({"chunk": table.column("chunk"), "n": pa.array([n] * len(times), pa.int32()), "part": table.column("part"), "others": pa.array([others[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    return asks.groupBy("part").applyInArrow(count, "chunk long, n int, part int, others binary")
+
+
+def _log_scores(words: np.ndarray, doc: np.ndarray, docs: int, others: list[np.ndarray], totals: np.ndarray, alpha: float) -> np.ndarray:
+    """Summed log score of each document; others[n - 1] has a count for every position, zero where no n-gram ends."""
+    first = np.zeros(len(doc), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    first[starts] = starts
+    place = np.arange(len(doc)) - np.maximum.accumulate(first)  # of a word within its document
+    longest = np.minimum(place + 1, len(others))
+    value = np.where(others[0] > 0, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(totals[doc], 1)), -np.log(totals[doc] + 1.0))
+    used = np.ones(len(doc), np.int64)
+    for n in range(2, len(others) + 1):
+        at = np.flatnonzero(others[n - 1] > 0)
+        value[at] = np.log(others[n - 1][at]) - np.log(others[n - 2][at - 1])  # the context was seen wherever the n-gram was
+        used[at] = n
+    return np.bincount(doc, value + (longest - used) * np.log(alpha), docs)
+
+
+def score_corpus(docs: DataFrame, order: int = 3, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """(id, n_words, log_score, mean_log_score) of every row by the counts of all other rows.
+
+    score_with() scores by a count table instead. A text without words has n_words 0, log_score 0 and a
+    null mean; a null text counts as empty. Rows that repeat an id (or have none) are documents
+    of their own, so a repeated row is seen in the other. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    if parts is None:
-        chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
-    lowered = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    words = rows.groupBy("id").agg(F.sum(F.size(lowered)).cast("long").alias("n_words"), F.sum((F.size(lowered) > 0).cast("int")).alias("starts"))
+    chunks = chunked(rows)
+    sizes = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t))), F.lit(0)).alias("chars")).first()
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes.chars // PART_CHARS))
+    all_words = sizes.words
     with _shuffles_removed(spark):
-        sums = [materialize(_joined(_exploded(rows, n, order, parts), id_type, parts), f"order-{n}-sums") for n in range(1, order + 1)]
-        words = materialize(words, "word-counts")
-    total = words.agg(F.sum("n_words").alias("all_words"))  # one row
-    joined = sums[0]
-    for more in sums[1:]:
-        joined = joined.union(more)
-    scored = joined.groupBy("id").agg(F.sum("logs").alias("logs"))
-    out = words.join(F.broadcast(total)).join(scored.withColumnRenamed("id", "scored"), F.col("id").eqNullSafe(F.col("scored")), "left")
-    bare = F.col("n_words" if order == 1 else "starts")  # words scored without context
-    log_score = F.coalesce(F.col("logs"), F.lit(0.0)) - bare * F.when(bare > 0, F.log("all_words")).otherwise(0.0)
-    return out.select(F.col("id").alias(id_col), "n_words", log_score.alias("log_score")).withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+        answers = [materialize(answered(asked(chunks, n, parts), n), f"order-{n}-answers") for n in range(1, order + 1)]
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.union(more)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
+
+    def score(texts: pa.Table, given: pa.Table) -> pa.Table:
+        found = sorted(zip(given.column("n").to_pylist(), given.column("part").to_pylist(), given.column("others")), key=lambda r: r[:2])
+        out = []
+        for ids, held in zip(texts.column("ids"), texts.column("texts").to_pylist()):
+            words, doc = word_hashes(held)
+            others = []
+            for n in range(1, order + 1):
+                g = Grams(words, doc, n, parts)
+                counts = np.frombuffer(b"".join(o.as_py() for k, _, o in found if k == n), "<u8").astype(np.int64)
+                at = np.zeros(len(words), np.int64)
+                at[g.ends] = counts[g.entry]
+                others.append(at)
+            size = np.bincount(doc, minlength=len(held))
+            logs = _log_scores(words, doc, len(held), others, all_words - size, alpha)
+            out.append(pa.table({"id": ids.values, "n_words": pa.array(size, pa.int64()), "log_score": pa.array(logs, pa.float64())}))
+        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], texts.schema.field("ids").type.value_type), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
+
+    scored = chunks.select("chunk", "ids", "texts").groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(score, schema)
+    return scored.select(F.col("id").alias(id_col), "n_words", "log_score").withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
 def count_table(docs: DataFrame, order: int = 3, text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ in rank order.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Decoder:
     """All tokens' bytes in one run, and where each begins."""
 
@@ -85,6 +91,7 @@ class Codec(Decoder):
         for b, i in by_bytes.items():
             self.shorter[i] = next((by_bytes[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in by_bytes), -1)
         self.words = by_bytes
+        self.size = [len(b) for b in self.bytes_of]
         self.automaton = ahocorasick.Automaton()
         for b, i in by_bytes.items():
             self.automaton.add_word(b.decode("latin-1"), i)
@@ -126,46 +133,38 @@ class Codec(Decoder):
         self.fits[key] = ok
         return ok
 
-    def longest(self, data: str) -> list[int]:
-        """The longest token that starts at each position."""
-        best = [-1] * len(data)
-        size = [0] * len(data)
-        lengths = self.bytes_of
-        for end, token in self.automaton.iter(data):
-            # The automaton reports the longest match at each end; its suffixes follow by themselves.
-            n = len(lengths[token])
-            at = end - n + 1
-            if n > size[at]:
-                best[at], size[at] = token, n
-        return best
+    def longest(self, data: str, at: int) -> int:
+        """The longest token that starts at a position; every single byte is a token, so there is one."""
+        return next(self.automaton.iter_long(data, at))[1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.words.get(piece)
-        data = piece.decode("latin-1")
         n = len(piece)
-        first = self.longest(data)
-        if whole is not None and n == 1:
-            return [whole]
+        if n == 1:
+            return [self.words[piece]]
+        data = piece.decode("latin-1")
         possible = bytearray(b"\x01" * (n + 1))
+        first: dict[int, int] = {}  # only the positions that a token ends before are searched
         out: list[int] = []
-        pos, token = 0, first[0]
-        size = self.bytes_of
+        pos, token = 0, self.longest(data, 0)
+        size, shorter, apart = self.size, self.shorter, self.apart
         while pos < n:
             last = out[-1] if out else -1
             while True:
-                end = pos + len(size[token])
-                if possible[end] and (last < 0 or self.apart(last, token)):
+                end = pos + size[token]
+                if possible[end] and (last < 0 or apart(last, token)):
                     out.append(token)
                     pos = end
-                    token = first[pos] if pos < n else -1
+                    if pos < n:
+                        token = first.get(pos, -1)
+                        if token < 0:
+                            token = first[pos] = self.longest(data, pos)
                     break
-                shorter = self.shorter[token]
-                if shorter >= 0:
-                    token = shorter
+                if shorter[token] >= 0:
+                    token = shorter[token]
                     continue
                 possible[pos] = 0
                 token = out.pop()
-                pos -= len(size[token])
+                pos -= size[token]
                 break
         return out
 
@@ -181,7 +180,7 @@ class Codec(Decoder):
             for piece in self.split(part):
                 got = seen.get(piece)
                 if got is None:
-                    got = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                    got = _packed(self.encode_piece(piece.encode()))
                     if len(piece) <= 64:
                         if len(seen) >= REMEMBERED:
                             seen.clear()

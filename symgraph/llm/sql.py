@@ -52,15 +52,22 @@ LM_SCORE = """
     WITH lists AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
     words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),
-    grams AS (SELECT doc_id, i, w, lag(w, 1) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-    c1 AS (SELECT w, count(*) AS c FROM words GROUP BY w),
-    c2 AS (SELECT v, w, count(*) AS c FROM grams WHERE i >= 2 GROUP BY v, w),
-    c3 AS (SELECT u, v, w, count(*) AS c FROM grams WHERE i >= 3 GROUP BY u, v, w),
+    g AS (SELECT doc_id, i, w, lag(w, 1) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    -- How often each n-gram stands in other documents: everywhere less its own.
+    c1 AS (SELECT doc_id, w, sum(count(*)) OVER (PARTITION BY w) - count(*) AS c FROM words GROUP BY doc_id, w),
+    c2 AS (SELECT doc_id, v, w, sum(count(*)) OVER (PARTITION BY v, w) - count(*) AS c FROM g WHERE i >= 2 GROUP BY doc_id, v, w),
+    c3 AS (SELECT doc_id, u, v, w, sum(count(*)) OVER (PARTITION BY u, v, w) - count(*) AS c FROM g WHERE i >= 3 GROUP BY doc_id, u, v, w),
+    n AS (SELECT doc_id, len(ws) AS own, (SELECT count(*) FROM words) - len(ws) AS others FROM lists),
     scored AS (
-        SELECT g.doc_id, CASE WHEN i = 1 THEN ln(a.c) - ln((SELECT count(*) FROM words)) WHEN i = 2 THEN ln(b.c) - ln(av.c) ELSE ln(t.c) - ln(bv.c) END AS s
-        FROM grams g LEFT JOIN c1 a ON g.w = a.w LEFT JOIN c1 av ON g.v = av.w LEFT JOIN c2 b ON g.v = b.v AND g.w = b.w
-        LEFT JOIN c2 bv ON g.u = bv.v AND g.v = bv.w LEFT JOIN c3 t ON g.u = t.u AND g.v = t.v AND g.w = t.w)
-    SELECT l.doc_id, CAST(count(s) AS BIGINT) AS n_words, round(coalesce(sum(s), 0.0), 4) AS log_score, round(sum(s) / nullif(count(s), 0), 4) AS mean_log_score
-    FROM lists l LEFT JOIN scored s ON l.doc_id = s.doc_id GROUP BY l.doc_id"""
+        SELECT g.doc_id, CASE
+            WHEN i >= 3 AND t.c > 0 THEN ln(t.c) - ln(bv.c)
+            WHEN i >= 2 AND b.c > 0 THEN least(i - 2, 1) * ln(0.4) + ln(b.c) - ln(av.c)
+            WHEN a.c > 0 THEN least(i - 1, 2) * ln(0.4) + ln(a.c) - ln(n.others)
+            ELSE least(i - 1, 2) * ln(0.4) - ln(n.others + 1) END AS s
+        FROM g JOIN n ON g.doc_id = n.doc_id JOIN c1 a ON g.doc_id = a.doc_id AND g.w = a.w LEFT JOIN c1 av ON g.doc_id = av.doc_id AND g.v = av.w
+        LEFT JOIN c2 b ON g.doc_id = b.doc_id AND g.v = b.v AND g.w = b.w LEFT JOIN c2 bv ON g.doc_id = bv.doc_id AND g.u = bv.v AND g.v = bv.w
+        LEFT JOIN c3 t ON g.doc_id = t.doc_id AND g.u = t.u AND g.v = t.v AND g.w = t.w)
+    SELECT n.doc_id, CAST(n.own AS BIGINT) AS n_words, round(coalesce(sum(s), 0.0), 4) AS log_score, round(sum(s) / nullif(n.own, 0), 4) AS mean_log_score
+    FROM n LEFT JOIN scored s ON n.doc_id = s.doc_id GROUP BY n.doc_id, n.own"""
 
 ORACLES: dict[str, str] = {"op1_lm_score": LM_SCORE, "op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS}
