@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -84,10 +84,14 @@ def to_markdown(html: str | None) -> str:
 
 
 def html_to_markdown(pages: DataFrame, html_col: str = "html", out_col: str = "markdown") -> DataFrame:
-    schema = T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType())])
+    """Add each page's Markdown; a null or empty page gives an empty text, a column named like the output is replaced."""
+    kept = [f for f in pages.schema.fields if f.name != out_col or f.name == html_col]
+    schema = T.StructType([*kept, T.StructField(out_col, T.StringType())])
 
-    def convert(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def convert(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            yield batch.assign(**{out_col: [to_markdown(h) for h in batch[html_col]]})
+            at = lambda n: batch.column(batch.schema.get_field_index(n))
+            made = pa.array([to_markdown(h.as_py()) for h in at(html_col)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[at(f.name) for f in kept], made], schema.names)
 
-    return pages.mapInPandas(convert, schema)
+    return pages.mapInArrow(convert, schema)

@@ -13,7 +13,7 @@ from symgraph.operators import dml, resolve, sections, stack, traversal
 from symgraph.operators import html as html_ops
 from symgraph.operators import search as S
 from symgraph.plans import ordergraph as G
-from symgraph.plans import symbols
+from symgraph.plans import symbols, tools
 from symgraph.streaming import watch
 from symgraph.tables import table
 
@@ -469,12 +469,41 @@ def section_map(spark, sf):
     return sections.section_map(_headed(spark, sf)).select("doc", "section_id", F.md5("content").alias("content_md5"))
 
 
-@query("html_to_markdown")
+def _replaced(value: str, *steps: tuple[str, str]) -> str:
+    """Nested global replacements, the first step innermost."""
+    for pattern, by in steps:
+        value = f"regexp_replace({value}, '{pattern}', {by}, 'g')"
+    return value
+
+
+# Markdown by plain replacement: right for pages whose elements are closed or need no end, without pre or code.
+_MARKDOWN_SQL = "SELECT page_id, trim(" + _replaced(
+    "regexp_extract(coalesce(html, ''), '(?is)<body[^>]*>(.*?)(?:</body>|\\z)', 1)",
+    ("(?s)<!--.*?-->", "''"), *((f"(?is)<{t}\\b.*?</{t}>", "''") for t in ("nav", "header", "footer", "script", "style", "noscript", "aside", "svg")), ("\\s+", "' '"),
+    *((f"(?i)<h{n}\\b[^>]*>", f"concat(repeat(chr(10), 2), '{'#' * n} ')") for n in range(1, 7)), ("(?i)</?(b|strong)\\b[^>]*>", "'**'"), ("(?i)</?(i|em)\\b[^>]*>", "'_'"), ("(?i)<li\\b[^>]*>", "concat(chr(10), '*   ')"), ("(?i)<br\\b[^>]*>", "concat('  ', chr(10))"),
+    ("(?i)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "'[\\2](\\1)'"), ("(?i)</?(p|div|section|article|ul|ol|table|blockquote)\\b[^>]*>|</h[1-6]>", "repeat(chr(10), 2)"), ("<[^>]*>", "''"),
+    ("&quot;", "'\"'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'"), ("\\n{4,}", "repeat(chr(10), 3)"),
+) + ", concat(' ', chr(10))) AS markdown FROM pages"
+
+
+@query("html_to_markdown", _MARKDOWN_SQL)
 def html_to_markdown(spark, sf):
     return html_ops.html_to_markdown(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "markdown")
 
 
-@query("page_sections")
+_PAGE_SECTIONS_SQL = f"""
+    WITH md AS ({_MARKDOWN_SQL}),
+    raw AS (SELECT page_id AS doc, unnest(string_split(markdown, chr(10))) AS t, generate_subscripts(string_split(markdown, chr(10)), 1) AS line FROM md),
+    lev AS (SELECT *, length(regexp_extract(t, '^(#{{1,4}}|={{1,4}})\\s+(.+)$', 1)) AS level FROM raw),
+    {_HEADED_SQL[_HEADED_SQL.index("num AS"):]},
+    p AS (SELECT a.doc, a.ord, max(b.ord) AS parent_ord FROM sec a LEFT JOIN sec b ON a.doc = b.doc AND b.ord < a.ord AND b.level < a.level GROUP BY a.doc, a.ord),
+    f AS (SELECT *, trim(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '^#+[^\\n]*\\n', ''), '```[\\s\\S]*?```', '[code]', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\n+', ''), chr(10) || chr(10))[1], ' ') AS first FROM sec)
+    SELECT f.doc, f.ord, level, title, {_replaced("lower(title)", ("[^a-z0-9\\s-]", "''"), ("\\s+", "'-'"), ("-+", "'-'"), ("^-|-$", "''"))}[1:60] AS section_id,
+           CASE WHEN length(first) > 200 THEN concat(substring(first, 1, 197), '...') ELSE first END AS summary, parent_ord
+    FROM f JOIN p ON f.doc = p.doc AND f.ord = p.ord"""
+
+
+@query("page_sections", _PAGE_SECTIONS_SQL)
 def page_sections(spark, sf):
     md = html_ops.html_to_markdown(table(spark, sf, "pages").select("page_id", "html"))
     return sections.nest_sections(sections.split_sections(md, "page_id", "markdown")).select("doc", "ord", "level", "title", "section_id", "summary", "parent_ord")
@@ -529,3 +558,6 @@ def version_parts(spark, sf):
         WHEN s // 3600 < 24 THEN concat(s // 3600, ' hour', CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END, ' ago') ELSE concat(s // 86400, ' day', CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END, ' ago') END AS ago FROM e""")
 def time_ago(spark, sf):
     return table(spark, sf, "events").select("event_id", X.time_ago(F.col("event_id") * 37).alias("ago"))
+
+
+tools.register(QUERIES, ORACLES, _headed, _HEADED_SQL, _bm25_sql)

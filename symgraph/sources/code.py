@@ -154,7 +154,9 @@ def _declared(files: DataFrame) -> DataFrame:
         return F.coalesce(*found)
 
     closes = lambda floor: F.min(F.when((F.col("depth") + F.col("delta") <= floor) & F.col("code").contains("}"), F.col("n"))).over(onward)
-    opens = F.col("code").contains("{") | F.startswith(F.col("next_code"), F.lit("{"))
+    # A header over several lines ends where its parentheses are closed.
+    header_end = F.first(F.when(F.col("parens") + F.col("rounds") <= 0, F.col("code")), ignorenulls=True).over(onward)
+    opens = F.coalesce(header_end, F.lit("")).contains("{") | F.coalesce(F.startswith(F.col("next_code"), F.lit("{")), F.lit(False))
     rows = rows.withColumn("top", F.when((F.col("depth") == 0) & (F.col("parens") == 0), pick(True)))
     rows = rows.withColumn("top_end", F.when(opens, F.coalesce(closes(0), F.col("n"))).otherwise(F.col("n")))
     private = F.col("decl").rlike("^\\s*(?:(?:static|final|abstract|override|lazy|implicit|sealed|readonly)\\s+)*private\\b")
