@@ -28,10 +28,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
+
+    codec is Parquet's, where the session's own is not wanted.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
