@@ -33,9 +33,11 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ALPHA = 0.4
 #: Characters of documents in one chunk, about; a longer document is a chunk of its own.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Characters of text whose n-grams one part holds, about; parts grow with the corpus, and no fewer than Spark's shuffle partitions.
-PART_CHARS = 24_000_000
+PART_CHARS = 6_000_000
+#: Slices of the chunks that are scored one after another, so that only one's texts and answers lie in shuffle files.
+SLICES = 4
 
 
 #: K^i and K^-i modulo 2^64 by i, grown as texts need.
@@ -119,7 +121,7 @@ def chunked(rows: DataFrame) -> DataFrame:
         if ids:
             yield packed(kind)
 
-    return materialize(rows.mapInArrow(batches, schema), "chunks")
+    return materialize(rows.mapInArrow(batches, schema), "chunks", "zstd")
 
 
 class Grams:
@@ -166,17 +168,19 @@ def asked(chunks: DataFrame, n: int, parts: int) -> DataFrame:
 
 
 def answered(asks: DataFrame, n: int) -> DataFrame:
-    """(chunk, n, part, others): for each n-gram asked for, how often it stands in other documents."""
+    """(chunk, n, part, width, others): for each n-gram asked for, how often it stands in other documents, in numbers of width bytes."""
 
     def count(table: pa.Table) -> pa.Table:
         grams, times = table.column("grams").to_pylist(), table.column("times").to_pylist()
-        gram, own = np.frombuffer(b"".join(grams), "<u8"), np.frombuffer(b"".join(times), "<u4").astype(np.int64)
-        _, where = np.unique(gram, return_inverse=True)
-        others = (np.bincount(where, own).astype(np.int64)[where] - own).astype("<u8")
         cuts = np.cumsum([0, *(len(t) // 4 for t in times)]).tolist()
-        return pa.table({"chunk": table.column("chunk"), "n": pa.array([n] * len(times), pa.int32()), "part": table.column("part"), "others": pa.array([others[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+        gram, own = np.frombuffer(b"".join(grams), "<u8"), np.frombuffer(b"".join(times), "<u4")
+        del grams, times
+        _, where = np.unique(gram, return_inverse=True)
+        others = np.bincount(where, own).astype(np.int64)[where] - own
+        others = others.astype("<u4" if others.max(initial=0) < 1 << 32 else "<u8")
+        return pa.table({"chunk": table.column("chunk"), "n": pa.array([n] * table.num_rows, pa.int32()), "part": table.column("part"), "width": pa.array([others.itemsize] * table.num_rows, pa.int32()), "others": pa.array([others[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    return asks.groupBy("part").applyInArrow(count, "chunk long, n int, part int, others binary")
+    return asks.groupBy("part").applyInArrow(count, "chunk long, n int, part int, width int, others binary")
 
 
 def _log_scores(words: np.ndarray, doc: np.ndarray, docs: int, others: list[np.ndarray], totals: np.ndarray, alpha: float) -> np.ndarray:
@@ -209,21 +213,21 @@ def score_corpus(docs: DataFrame, order: int = 3, alpha: float = ALPHA, id_col:
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes.chars // PART_CHARS))
     all_words = sizes.words
     with _shuffles_removed(spark):
-        answers = [materialize(answered(asked(chunks, n, parts), n), f"order-{n}-answers") for n in range(1, order + 1)]
+        answers = [materialize(answered(asked(chunks, n, parts), n), f"order-{n}-answers", "zstd") for n in range(1, order + 1)]
     every = answers[0]
     for more in answers[1:]:
         every = every.union(more)
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
     def score(texts: pa.Table, given: pa.Table) -> pa.Table:
-        found = sorted(zip(given.column("n").to_pylist(), given.column("part").to_pylist(), given.column("others")), key=lambda r: r[:2])
+        found = sorted(zip(given.column("n").to_pylist(), given.column("part").to_pylist(), given.column("width").to_pylist(), given.column("others")), key=lambda r: r[:2])
         out = []
         for ids, held in zip(texts.column("ids"), texts.column("texts").to_pylist()):
             words, doc = word_hashes(held)
             others = []
             for n in range(1, order + 1):
                 g = Grams(words, doc, n, parts)
-                counts = np.frombuffer(b"".join(o.as_py() for k, _, o in found if k == n), "<u8").astype(np.int64)
+                counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(o.as_py(), f"<u{w}").astype(np.int64) for k, _, w, o in found if k == n)])
                 at = np.zeros(len(words), np.int64)
                 at[g.ends] = counts[g.entry]
                 others.append(at)
@@ -232,7 +236,13 @@ def score_corpus(docs: DataFrame, order: int = 3, alpha: float = ALPHA, id_col:
             out.append(pa.table({"id": ids.values, "n_words": pa.array(size, pa.int64()), "log_score": pa.array(logs, pa.float64())}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], texts.schema.field("ids").type.value_type), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
 
-    scored = chunks.select("chunk", "ids", "texts").groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(score, schema)
+    scored = None
+    with _shuffles_removed(spark):
+        for k in range(SLICES):
+            mine = F.pmod(F.xxhash64("chunk"), F.lit(SLICES)) == k
+            held = chunks.where(mine).select("chunk", "ids", "texts").groupBy("chunk").cogroup(every.where(mine).groupBy("chunk"))
+            done = materialize(held.applyInArrow(score, schema), "document-scores")
+            scored = done if scored is None else scored.union(done)
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score").withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
