@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import backoff, bpe, decontaminate, extract, secrets, sharding, simhash, toxicity, vectors, warc
+from symgraph.llm import backoff, bpe, decontaminate, extract, periodic, secrets, sharding, simhash, toxicity, vectors, warc
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -70,4 +70,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding}
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Of some documents, by a checksum of the id, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def rebuilt(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    chosen = docs.withColumn("h", h).withColumn("words", F.when((F.col("h") % 10 == 0) & (F.size(words) > 0), words))
+    return chosen.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(rebuilt(F.col("words"))).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.lit(-1000) * F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs}
