@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import backoff, bpe, decontaminate, extract, periodic, secrets, sharding, simhash, toxicity, vectors, warc
+from symgraph.llm import backoff, blocknames, bpe, decontaminate, extract, periodic, secrets, sharding, simhash, toxicity, vectors, warc
 from symgraph.llm.sql import ORACLES  # noqa: F401
 from symgraph.tables import table
 
@@ -102,4 +102,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_exact_dedup": op12_exact_dedup}

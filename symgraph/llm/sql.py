@@ -70,4 +70,12 @@ LM_SCORE = """
     SELECT n.doc_id, CAST(n.own AS BIGINT) AS n_words, round(coalesce(sum(s), 0.0), 4) AS log_score, round(sum(s) / nullif(n.own, 0), 4) AS mean_log_score
     FROM n LEFT JOIN scored s ON n.doc_id = s.doc_id GROUP BY n.doc_id, n.own"""
 
-ORACLES: dict[str, str] = {"op1_lm_score": LM_SCORE, "op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS}
+EXACT = """
+    WITH plain AS (SELECT doc_id, coalesce(length(text), 0) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS t FROM documents),
+    grouped AS (
+        SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS group_size,
+               first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST) AS keep_id
+        FROM plain)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM grouped"""
+
+ORACLES: dict[str, str] = {"op1_lm_score": LM_SCORE, "op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS, "op12_exact_dedup": EXACT}
