@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import backoff, blocknames, bpe, decontaminate, extract, periodic, secrets, sharding, simhash, toxicity, vectors, warc
+from symgraph.llm import backoff, blocknames, bpe, decontaminate, extract, periodic, secrets, sharding, simhash, toxicity, trie, vectors, warc
 from symgraph.llm.sql import ORACLES  # noqa: F401
+from symgraph.storage import materialize
 from symgraph.tables import table
 
 
@@ -106,4 +107,22 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_exact_dedup": op12_exact_dedup}
+def _forked(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations): each conversation c begins with the first h turns of c - c % 5, its own follow after its first h."""
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    convs = sizes.select("conv_id", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"))
+    convs = convs.join(sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base")), "base", "left")
+    convs = materialize(convs.withColumn("taken", F.least("h", F.coalesce("n_base", F.lit(0)))), "forks")
+    own = turns.join(convs, "conv_id").where("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "turn_id", "bytes")
+    heads = turns.where("pos <= 8").withColumnRenamed("conv_id", "base")
+    taken = heads.join(convs, "base").where("pos <= h").select("conv_id", "pos", "turn_id", "bytes")
+    return own.union(taken), convs.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(trie.numbered(trie.named_turns(table(spark, sf_dir, "conversations"))), "numbered")
+    return trie.prefix_nodes(*_forked(turns))
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_bpe": op9_bpe, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_exact_dedup": op12_exact_dedup, "op13_prefix_trie": op13_prefix_trie}

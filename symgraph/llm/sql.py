@@ -78,4 +78,35 @@ EXACT = """
         FROM plain)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM grouped"""
 
-ORACLES: dict[str, str] = {"op1_lm_score": LM_SCORE, "op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS, "op12_exact_dedup": EXACT}
+# DuckDB has no crc32: `remainders` is its table, `digits` takes the characters of each id through it.
+TRIE = """
+    WITH RECURSIVE bits AS (SELECT b AS byte, CAST(b AS UBIGINT) AS r, 0 AS k FROM range(256) t(b)
+        UNION ALL SELECT byte, CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS UBIGINT)) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8),
+    remainders AS (SELECT list(r ORDER BY byte) AS t FROM bits WHERE k = 8),
+    digits AS (
+        SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, CAST(4294967295 AS UBIGINT) AS c, 1 AS k FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+        UNION ALL SELECT conv_id, s, xor(t[CAST(xor(c & 255, CAST(ascii(s[k]) AS UBIGINT)) AS BIGINT) + 1], c >> 8), k + 1 FROM digits, remainders WHERE k <= length(s)),
+    forks AS (SELECT conv_id, conv_id - conv_id % 5 AS base, CAST(xor(c, CAST(4294967295 AS UBIGINT)) % 9 AS BIGINT) AS h FROM digits WHERE k = length(s) + 1),
+    turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    rebuilt AS (
+        SELECT f.conv_id, 0 AS part, t.pos, t.role, t.text FROM forks f JOIN turns t ON t.conv_id = f.base AND t.pos <= f.h
+        UNION ALL SELECT f.conv_id, 1, t.pos, t.role, t.text FROM forks f JOIN turns t ON t.conv_id = f.conv_id AND t.pos > f.h),
+    lists AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, pos) AS turns FROM rebuilt GROUP BY conv_id),
+    whole AS (SELECT f.conv_id, coalesce(turns, []) AS turns, coalesce(len(turns), 0) AS size FROM forks f LEFT JOIN lists l ON f.conv_id = l.conv_id),
+    prefixes AS (SELECT conv_id, size, d AS depth, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS bytes, CAST(turns[1:d] AS VARCHAR) || d AS path
+        FROM (SELECT *, unnest(range(size + 1)) AS d FROM whole)),
+    placed AS (SELECT *, min(conv_id) OVER (PARTITION BY path) AS node FROM prefixes),
+    nodes AS (SELECT node, depth, any_value(bytes) AS bytes, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth) AS ends FROM placed GROUP BY node, depth),
+    up AS (SELECT n.node, n.depth, p.node AS parent FROM nodes n JOIN placed p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+    kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+    below AS (SELECT a.node, a.depth, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+        FROM nodes n LEFT JOIN kids k ON n.node = k.node AND n.depth = k.depth JOIN placed a ON a.conv_id = n.node AND a.depth <= n.depth GROUP BY a.node, a.depth)
+    SELECT n.node AS conv_id, CAST(n.depth AS BIGINT) AS depth, u.parent AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves,
+           CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+    FROM nodes n JOIN below b ON n.node = b.node AND n.depth = b.depth LEFT JOIN up u ON n.node = u.node AND n.depth = u.depth
+    LEFT JOIN kids k ON n.node = k.node AND n.depth = k.depth"""
+
+ORACLES: dict[str, str] = {"op1_lm_score": LM_SCORE, "op2_secret_scan": _secrets(), "op4_embeddings": EMBEDDINGS, "op12_exact_dedup": EXACT, "op13_prefix_trie": TRIE}
