@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ class Workspace:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     patterns: InternalPatterns = InternalPatterns()
     documents: DataFrame | None = None
-    symbols: dict[str, DataFrame] = field(default_factory=dict)
+    warned: DataFrame | None = None
     structure: dict[str, tuple[str, str]] | None = None
     found: DataFrame | None = None
 
@@ -54,35 +55,90 @@ class Workspace:
         return self
 
     def scan(self, root: str, module: str, keep_tests: bool = False) -> "Workspace":
-        """Read the sources below root into the graph: files that are new or changed, and edges over all of them.
-
-        Files that give no symbols and test files are left out; a file that changed or went takes all that hung on it along.
+        """Read the sources below root into the graph as one module."""
+        return self._scan({module: root}, [], keep_tests)
+
+    def scan_modules(self, project: str, paths: list[str], keep_tests: bool = False) -> "Workspace":
+        """Read several modules below project, each named by its path; paths that leave project are rejected with a warning."""
+        named = [("/".join(x for x in p.split("/") if x not in ("", ".")) or project.rstrip("/").split("/")[-1], p) for p in paths]
+        rows = self.spark.createDataFrame([(m, p) for m, p in named], "module string, path string")
+        kept = {r.module for r in rows.where(code.inside(F.col("path"))).collect()}
+        rejected = [(m, "Rejected: path escapes project root") for m, _ in named if m not in kept]
+        return self._scan({m: f"{project.rstrip('/')}/{p}" for m, p in named if m in kept}, rejected, keep_tests)
+
+    def _scan(self, roots: dict[str, str], rejected: list[tuple[str, str]], keep_tests: bool) -> "Workspace":
+        """Take in files that are new or changed since they were last seen, and resolve edges over all of them.
+
+        Files that give no symbols and test files are left out; a file that changed or went takes all that hung on
+        it along. Where no file changed, nothing is extracted or resolved.
         """
-        files = materialize(code.source_files(self.spark, root, module), "sources")
-        stored = self.tables.get("files")
-        mine = stored.where(F.col("module") == module) if stored is not None else None
-        fresh = dml.unseen(files.withColumnRenamed("file_path", "path"), mine).withColumnRenamed("path", "file_path") if mine is not None else files
+        texts, warned = [], [self.spark.createDataFrame([(m, 0, w) for m, w in rejected], "module string, ord int, message string")]
+        for module, root in roots.items():
+            files, failed = code.scanned_files(self.spark, root, module)
+            texts.append(files)
+            warned.append(failed.select("module", F.lit(2).alias("ord"), "message"))
+        if not texts:
+            self.warned = materialize(warned[0], "warnings")
+            return self
+        files = materialize(reduce(DataFrame.union, texts), "sources")
+        names = list(roots)
+        key = ["module", "file_path", "hash"]
+        known = self.tables["sources"].where(F.col("module").isin(names)) if "sources" in self.tables else None
+        fresh = files.join(known.select(key), key, "left_anti") if known is not None else files
+        if known is not None and not fresh.limit(1).count() and not known.join(files.select(key), key, "left_anti").limit(1).count():
+            self.warned = materialize(reduce(DataFrame.union, warned), "warnings")
+            return self
         symbols, imports = materialize(code.extract_symbols(fresh), "scanned"), code.imports_of(fresh)
         if not keep_tests:
-            deps = build_files.dependencies(build_files.build_files(self.spark, root).where("path not like '%/%'"))
-            tests = test_markers.test_files(symbols, imports, test_markers.detect_markers(deps))
-            symbols = materialize(symbols.join(tests, ["module", "file_path"], "left_anti"), "scanned")
-        gone = dml.stale_files(mine, files.select(F.col("file_path").alias("path"), "hash")).select("path").join(mine, "path").select("file_id") if mine is not None else None
-        new = ingest.ingest(symbols, imports, fresh, stored.select("path", "file_id") if stored is not None else None)
-        old_symbols = self.symbols.get(module)
-        if old_symbols is not None:
-            kept = old_symbols.join(fresh.select("file_path"), "file_path", "left_anti").join(files.select("file_path"), "file_path", "left_semi")
-            symbols = materialize(kept.select(symbols.columns).union(symbols), "module-symbols")
-        self.symbols[module] = symbols
+            tests = []
+            for module, root in roots.items():
+                deps = build_files.dependencies(build_files.build_files(self.spark, root).where("path not like '%/%'"))
+                markers = test_markers.detect_markers(deps)
+                mine = F.col("module") == module
+                tests.append(materialize(test_markers.test_files(symbols.where(mine), imports.where(mine), markers).select("module", "file_path"), "tests"))
+                listed = markers.where(F.size("frameworks") > 0).select(F.concat(F.lit("Test frameworks detected from build file: "), F.array_join("frameworks", ", ")))
+                skipped = tests[-1].agg(F.count("*").alias("n")).where("n > 0").select(F.concat(F.lit("Skipped "), F.col("n"), F.lit(" test file(s) detected by imports/annotations")))
+                warned += [rows.toDF("message").select(F.lit(module).alias("module"), F.lit(i).alias("ord"), "message") for i, rows in ((1, listed), (3, skipped))]
+            symbols = materialize(symbols.join(reduce(DataFrame.union, tests), ["module", "file_path"], "left_anti"), "scanned")
+        stored = self.tables.get("files")
+        new = ingest.ingest(symbols, imports, fresh, stored.select("module", "path", "file_id") if stored is not None else None)
         sources = files.select("module", "file_path", "text", "hash")
-        if gone is not None:
-            others = self.tables["sources"].where(F.col("module") != module) if "sources" in self.tables else None
-            new = ingest.merge({k: v for k, v in self.tables.items() if k not in ("postings", "lengths")}, materialize(gone, "gone"), new)
-            sources = others.select(sources.columns).union(sources) if others is not None else sources
-        self.tables = new | {"sources": sources}
+        if stored is not None:
+            seen = files.select("module", F.col("file_path").alias("path"), "hash")
+            gone = stored.where(F.col("module").isin(names)).join(seen, ["module", "path", "hash"], "left_anti").select("file_id")
+            old = {k: v for k, v in self.tables.items() if k not in ("postings", "lengths", "symbols")}
+            new = ingest.merge(old, materialize(gone, "gone"), new)
+        if known is not None:
+            sources = materialize(self.tables["sources"].where(~F.col("module").isin(names)).select(sources.columns).union(sources), "sources")
+        if "symbols" in self.tables:
+            still = files.select("module", "file_path").join(fresh.select("module", "file_path"), ["module", "file_path"], "left_anti")
+            kept = self.tables["symbols"].where(F.col("module").isin(names)).join(still, ["module", "file_path"], "left_semi")
+            others = self.tables["symbols"].where(~F.col("module").isin(names))
+            symbols = materialize(reduce(DataFrame.union, [x.select(symbols.columns) for x in (others, kept, symbols)]), "module-symbols")
+        self.tables = new | {"sources": sources, "symbols": symbols}
         self.tables["edges"] = resolve.resolve_all(self.tables)
+        self.warned = materialize(reduce(DataFrame.union, warned), "warnings")
         return self
 
+    def warnings(self, most: int = 20) -> DataFrame:
+        """(module, message): what the last scan could not read, rejected or left out, the first `most` of it and how many more."""
+        if self.warned is None:
+            raise GraphNotReady("scan sources first")
+        first = self.warned.orderBy("module", "ord", "message").limit(most)
+        more = self.warned.agg((F.count("*") - most).alias("n")).where("n > 0")
+        more = more.select(F.lit(None).cast("string").alias("module"), F.lit(9).alias("ord"), F.concat(F.lit("... and "), F.col("n"), F.lit(" more")).alias("message"))
+        return first.union(more).orderBy(F.col("module").asc_nulls_last(), "ord", "message").select("module", "message")
+
+    def _modules(self) -> list[str]:
+        """Names of the scanned modules, those without symbols too; a project has some hundreds at most."""
+        named = [self.tables[t].select("module") for t in ("sources", "symbols") if t in self.tables]
+        return sorted(r.module for r in reduce(DataFrame.union, named).distinct().collect()) if named else []
+
+    @property
+    def symbols(self) -> dict[str, DataFrame]:
+        """Symbol rows of each scanned module."""
+        return {m: self._symbols_of(m) for m in self._modules()}
+
     def save(self, root: str) -> str:
         """Write all tables as one version below root; readers see all of it or nothing."""
         return commit_tables(self.spark, self._t(), root)
@@ -91,14 +147,19 @@ class Workspace:
         self.tables = committed_tables(self.spark, root)
         return self
 
+    def _symbols_of(self, module: str) -> DataFrame:
+        if "symbols" not in self.tables:
+            raise GraphNotReady("scan sources first")
+        return self.tables["symbols"].where(F.col("module") == module)
+
     def module_summary(self, module: str) -> DataFrame:
         """Counts, type names, annotations, endpoints, entities and events of a scanned module."""
-        symbols = self.symbols[module]
+        symbols = self._symbols_of(module)
         return modules.summaries(symbols, symbols.select("module", "file_path").distinct())
 
     def get_internal_api(self, module: str) -> DataFrame:
         """A scanned module as documentation sections, in reading order."""
-        symbols = self.symbols[module]
+        symbols = self._symbols_of(module)
         return modules.in_order(modules.doc_sections(symbols, symbols.select("module", "file_path", "language").distinct())).orderBy("n")
 
     def configure_monorepo(self, structure: dict[str, tuple[str, str]]) -> None:
@@ -148,7 +209,7 @@ class Workspace:
         dirs = files.where("path like '%/%'").select(F.element_at(F.split("path", "/"), -2).alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("ord", F.split("path", "/"))
         found = dml.keep_one(deps.where(inside), ["artifact", "path"], [F.col("version").isNull(), F.col("version")])
         out = stack.source_paths(found.withColumnRenamed("path", "declared_in"), dirs)
-        scanned = F.array(*[F.lit(m) for m in self.symbols]).cast("array<string>")
+        scanned = F.array(*[F.lit(m) for m in self._modules()]).cast("array<string>")
         known = F.exists(scanned, lambda m: (F.col("source_path") == m) | F.endswith(F.col("source_path"), F.concat(F.lit("/"), m)))
         return out.withColumn("status", F.when(F.col("source_path").isNull(), "external only").when(known, "scanned").otherwise("source found"))
 
@@ -207,7 +268,7 @@ class Workspace:
     def _with_source(self, rows: DataFrame) -> DataFrame:
         if "sources" not in self.tables:
             return rows
-        texts = self.tables["sources"].select(F.col("file_path").alias("path"), "text").join(self.tables["files"].select("file_id", "path"), "path")
+        texts = self.tables["sources"].select("module", F.col("file_path").alias("path"), "text").join(self.tables["files"].select("file_id", "module", "path"), ["module", "path"])
         return rows.join(texts.select("file_id", "text"), "file_id", "left").withColumn("source", snippet(F.col("text"), F.col("start_line"), F.col("end_line"))).drop("text")
 
     def _seeds(self, name: str, module: str | None) -> DataFrame:

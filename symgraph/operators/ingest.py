@@ -26,11 +26,13 @@ def _lookup(values: dict[str, str], key):
 def file_ids(symbols: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(module, file_path, language, package_name, file_id): files count up by module, then by their order in it.
 
-    Files known to stored(path, file_id) keep their ids; others follow the largest.
+    Files known to stored(module, path, file_id) keep their ids; others follow the largest.
+    A path is known within its module: paths are relative to their module's root.
     """
     files = symbols.select("module", "file_path", "file_ord", "language", "package_name").groupBy("module", "file_path").agg(F.min("file_ord").alias("o"), F.first("language").alias("language"), F.max("package_name").alias("package_name"))
     if stored is not None:
-        files = files.join(stored.select(F.col("path").alias("file_path"), F.col("file_id").alias("known")), "file_path", "left")
+        known = stored.select("module", F.col("path").alias("file_path"), F.col("file_id").alias("known"))
+        files = files.join(known, ["module", "file_path"], "left")
         top = stored.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))
     else:
         files = files.withColumn("known", F.lit(None).cast("long"))
@@ -50,7 +52,8 @@ def nodes(symbols: DataFrame, files: DataFrame) -> DataFrame:
     symbols nest; chains that are still open are a written table from the second round on.
     """
     rows = symbols.drop("language", "package_name").join(files.select("module", "file_path", "file_id", "package_name"), ["module", "file_path"])
-    rows = rows.withColumn("id", F.col("file_id") * RUN + F.col("sym_ord")).withColumn("parent_id", F.col("file_id") * RUN + F.col("parent_ord"))
+    order = F.when(F.col("sym_ord") < RUN, F.col("sym_ord")).otherwise(F.raise_error(F.lit(f"a file holds more than {RUN} symbols")).cast("int"))
+    rows = rows.withColumn("id", F.col("file_id") * RUN + order).withColumn("parent_id", F.col("file_id") * RUN + F.col("parent_ord"))
     rows = materialize(rows, "symbols-by-id")
     own = rows.select("id", "parent_id", "name")
     done, chain = None, own.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"))
@@ -114,8 +117,8 @@ def graphql_operations(n: DataFrame) -> DataFrame:
 def ingest(symbols: DataFrame, imports: DataFrame | None = None, contents: DataFrame | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the graph, written, from symbols (and imports(module, file_path, import_path)).
 
-    contents(module, file_path, hash) gives files their hashes; files of stored(path,
-    file_id) keep their ids. A symbol's order within its file has to stay below RUN.
+    contents(module, file_path, hash) gives files their hashes; files of stored(module,
+    path, file_id) keep their ids. A symbol's order within its file has to stay below RUN.
     """
     symbols = materialize(symbols, "symbols")
     files = materialize(file_ids(symbols, stored), "files")

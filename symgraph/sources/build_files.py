@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from symgraph.functions.text import clean_version
 from symgraph.operators.dml import keep_one
 from symgraph.operators.stack import prefer_versioned
+from symgraph.sources.tree import read_tree
 from symgraph.storage import materialize
 
 # Build files looked for, and how deep; directories passed over.
@@ -96,24 +97,20 @@ OTHER = "Other / Custom"
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, dir, name) of all files below root, relative to it; "." is root itself. Hidden and passed-over directories are left out."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = found.select(F.regexp_replace("path", "^.*?" + base.replace(".", "\\.") + "/", "").alias("path"))
-    rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    rows = rows.where(~F.exists(F.split("dir", "/"), lambda p: p.isin(PASSED_OVER) | F.startswith(p, F.lit("."))))
-    return rows.select("path", F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("dir"), "name")
+    """(path, dir, name) of all files below root, relative to it; "." is root itself. Hidden and passed-over directories are left out; no file is opened."""
+    rows = read_tree(spark, root, PASSED_OVER, content=False).where("error is null")
+    return rows.select("path", _dir("path").alias("dir"), F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
 def build_files(spark: SparkSession, root: str, wrappers: bool = False) -> DataFrame:
     """(path, name, ecosystem, text) of build files at most MAX_DEPTH directories below root, and of Gradle's wrapper properties if asked."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = found.withColumn("path", F.regexp_replace("path", "^.*?" + base.replace(".", "\\.") + "/", "")).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    names = [*MARKERS, "gradle-wrapper.properties"] if wrappers else list(MARKERS)
+    found = read_tree(spark, root, ["node_modules", "target", "build", "dist"], names=names).where("error is null")
+    rows = found.withColumn("name", F.element_at(F.split("path", "/"), -1))
     kind = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])[F.col("name")]
     wrapper = F.col("path").rlike("(^|/)gradle/wrapper/gradle-wrapper\\.properties$") & F.lit(wrappers)
-    rows = rows.where(((F.col("name").isin(list(MARKERS)) & (F.size(F.split("path", "/")) <= MAX_DEPTH + 1)) | wrapper) & ~F.col("path").rlike("(^|/)(node_modules|target|build|dist)/|(^|/)\\."))
-    return rows.select("path", "name", kind.alias("ecosystem"), F.decode("content", "UTF-8").alias("text"))
+    rows = rows.where((F.col("name").isin(list(MARKERS)) & (F.size(F.split("path", "/")) <= MAX_DEPTH + 1)) | wrapper)
+    return rows.select("path", "name", kind.alias("ecosystem"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def dependencies(files: DataFrame) -> DataFrame:

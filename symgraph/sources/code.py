@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.schema import CALL_SITES, SYMBOLS
+from symgraph.sources.tree import read_tree
+from symgraph.storage import materialize
 
 # Directories that are never scanned, sizes and counts beyond which files are left out, endings and their language.
 SKIP_DIRS = [
@@ -47,24 +49,38 @@ def inside(path: Column) -> Column:
     return ~(F.startswith(path, F.lit("/")) | path.rlike("^[A-Za-z]:[\\\\/]")) & (climbs["least"] >= 0)
 
 
-def source_files(spark: SparkSession, root: str, module: str) -> DataFrame:
-    """(module, file_path, language, file_ord, text, hash) of the source files below root.
+def _read(spark: SparkSession, root: str) -> DataFrame:
+    found = read_tree(spark, root, SKIP_DIRS, MAX_DEPTH, list(LANGUAGES), most=MAX_BYTES)
+    # Bytes that are no UTF-8 become replacement characters.
+    return found.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).withColumnRenamed("path", "file_path")
 
-    Hidden and skipped directories, deep, large and blank files are left out, and links
-    that lead out of root (the listing follows none); at most MAX_FILES of a module by path.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rows = found.withColumn("file_path", F.regexp_replace("path", "^.*?" + base.replace(".", "\\.") + "/", "")).withColumn("language", language_of(F.col("file_path")))
-    parts = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
-    shunned = F.exists(parts, lambda p: p.isin(SKIP_DIRS) | F.startswith(p, F.lit(".")))
-    rows = rows.where(F.col("language").isNotNull() & (F.col("length") <= MAX_BYTES) & ~shunned & (F.size(parts) <= MAX_DEPTH)).withColumn("text", F.decode("content", "UTF-8")).where(F.col("text").rlike("\\S"))
+
+def _listed(rows: DataFrame, module: str) -> DataFrame:
+    rows = rows.where(F.col("text").rlike("\\S")).withColumn("language", language_of(F.col("file_path")))
     # The first MAX_FILES paths of one module, without their texts.
     first = rows.select("file_path").orderBy("file_path").limit(MAX_FILES)
     numbered = first.select(F.col("file_path").alias("p"), (F.row_number().over(Window.orderBy("file_path")) - 1).alias("file_ord"))
     return rows.join(F.broadcast(numbered), F.col("file_path") == F.col("p")).select(F.lit(module).alias("module"), "file_path", "language", "file_ord", "text", F.sha2("content", 256).alias("hash"))
 
 
+def source_files(spark: SparkSession, root: str, module: str) -> DataFrame:
+    """(module, file_path, language, file_ord, text, hash) of the source files below root.
+
+    Hidden and skipped directories, deep, large and blank files are left out, and links;
+    at most MAX_FILES of a module by path.
+    """
+    return _listed(_read(spark, root), module)
+
+
+def scanned_files(spark: SparkSession, root: str, module: str) -> tuple[DataFrame, DataFrame]:
+    """source_files(), and (module, message) of what could not be read or went beyond MAX_FILES; the tree is read once."""
+    rows = materialize(_read(spark, root), "tree")
+    total = rows.where(F.col("text").rlike("\\S")).agg(F.count("*").alias("n")).where(F.col("n") > MAX_FILES)
+    capped = total.select(F.concat(F.lit(f"Module {module}: "), F.col("n"), F.lit(f" files found, capped to {MAX_FILES}")).alias("message"))
+    failed = rows.where("error is not null").select(F.concat(F.lit("Cannot read "), "file_path", F.lit(": "), "error").alias("message"))
+    return _listed(rows, module), failed.union(capped).select(F.lit(module).alias("module"), "message")
+
+
 # Runs that are not code, whichever begins first: text blocks, strings, comments.
 _NOISE = "\"\"\"(?s:.*?)\"\"\"|\"(?:[^\"\\\\\\n]++|\\\\.)*+\"|'(?:[^'\\\\\\n]++|\\\\.)*+'|`(?:[^`\\\\]++|\\\\(?s:.))*+`|//[^\\n]*|/\\*(?s:.*?)(?:\\*/|\\z)"
 _GRAPHQL_NOISE = "\"\"\"(?s:.*?)\"\"\"|\"(?:[^\"\\\\\\n]++|\\\\.)*+\"|#[^\\n]*"

@@ -84,7 +84,7 @@ def test_internal_dependencies_and_their_status(spark, root, tmp_path):
     assert w.list_internal_deps(root).count() == 0
     w.configure_internal_patterns(maven=("shop.core",))
     assert {(r.artifact, r.source_path, r.status) for r in w.list_internal_deps(root).collect()} == {("shop.core:price-rules", None, "external only"), ("shop.core:till", "till", "source found")}
-    w.symbols["till"] = None
+    w.tables["symbols"] = spark.createDataFrame([("till",)], "module string")
     by = {r.declared_in: [(d.artifact, d.status) for d in r.deps] for r in w.internal_deps_by_module(root).collect()}
     assert by == {"pom.xml": [("shop.core:price-rules", "external only")], "till/build.gradle": [("shop.core:till", "scanned")]}
 
