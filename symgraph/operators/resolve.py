@@ -45,6 +45,34 @@ def by_name(n: DataFrame) -> DataFrame:
     return c.withColumn("n_name", F.count("*").over(Window.partitionBy("t_name"))).withColumn("n_module", F.count("*").over(Window.partitionBy("t_name", "t_module")))
 
 
+class Names:
+    """Definitions by name as two written tables of one row a key, so that a name that stands in
+    many modules is looked up by each use and never paired with all of them."""
+
+    def __init__(self, n: DataFrame):
+        spots = n.groupBy(F.col("name").alias("want"), "module").agg(F.count("*").alias("n"), F.min("id").alias("local"))
+        #: (want, module, n, local): how many a module has of a name, and the first.
+        self.spots = materialize(spots, "names-by-module")
+        lone = self.spots.groupBy("want").agg(F.sum("n").alias("n"), F.min("local").alias("lone")).where("n = 1")
+        #: (want, lone): names that stand once in all.
+        self.lone = materialize(lone.drop("n"), "lone-names")
+
+    def unqualified(self, wants: DataFrame) -> DataFrame:
+        """wants(source_id, module, want, ...) with target_id: the only one of the name, else the only one in the module."""
+        out = wants.join(self.lone, "want", "left").join(self.spots.where("n = 1").drop("n"), ["want", "module"], "left")
+        return out.withColumn("target_id", F.coalesce("lone", "local")).where("target_id is not null").drop("lone", "local")
+
+    def first_in_module(self, wants: DataFrame) -> DataFrame:
+        """wants(source_id, module, want, ...) with target_id: the only one of the name, else the first in the module."""
+        spots = self.spots.select(F.col("want").alias("w"), F.col("module").alias("m"), "local")
+        out = wants.join(self.lone, "want", "left").join(spots, (F.col("want") == F.col("w")) & F.col("module").eqNullSafe(F.col("m")), "left")
+        return out.withColumn("target_id", F.coalesce("lone", "local")).where("target_id is not null")
+
+
+def _names(t: dict[str, DataFrame]) -> Names:
+    return t.get("names") or Names(t["nodes"])
+
+
 def imports(t: dict[str, DataFrame]) -> DataFrame:
     """From a file's first symbol: to a qualified name or a lone simple name, a relative path, or all of a package."""
     n, i = t["nodes"], t["file_imports"]
@@ -71,24 +99,16 @@ def inheritance(t: dict[str, DataFrame]) -> DataFrame:
     n = t["nodes"]
     wants = n.where("extends_name is not null").select(F.col("id").alias("source_id"), "module", F.col("extends_name").alias("want"), F.lit("extends").alias("how"))
     wants = wants.union(n.select("id", "module", F.explode("implements_names"), F.lit("implements")))
-    c = by_name(n)
-    hits = wants.join(c, F.col("want") == F.col("t_name")).where((F.col("n_name") == 1) | F.col("module").eqNullSafe(F.col("t_module")))
-    best = _first(hits, ["source_id", "want", "how"], "target_id")
+    best = _names(t).first_in_module(wants.distinct())
     return reduce(DataFrame.union, [_edge(best.where(F.col("how") == k), k, 1, F.lit(0)) for k in ("extends", "implements")])
 
 
-def _unqualified(wants: DataFrame, c: DataFrame) -> DataFrame:
-    """wants(source_id, module, want, ...): the only one of the name, else the only one in the module."""
-    return wants.join(c, F.col("want") == F.col("t_name")).where((F.col("n_name") == 1) | ((F.col("module") == F.col("t_module")) & (F.col("n_module") == 1)))
-
-
 def calls(t: dict[str, DataFrame]) -> DataFrame:
     """Call sites to their targets, by the receiver's type where there is a receiver."""
     n = t["nodes"]
     sites = t["call_sites"].join(n.select(F.col("id").alias("node_id"), "module"), "node_id").withColumnRenamed("node_id", "source_id").withColumnRenamed("target", "want")
     has = F.coalesce(F.col("receiver") != "", F.lit(False))
-    c = by_name(n)
-    plain = _unqualified(sites.where(~has), c)
+    plain = _names(t).unqualified(sites.where(~has))
     called = sites.where(has)
     # The receiver's class: its name, its name with a capital, or a class whose name ends so. Every ending of a
     # class name is a row, so that this is an equal join as well.
@@ -102,10 +122,14 @@ def calls(t: dict[str, DataFrame]) -> DataFrame:
     )
     cands = cands.groupBy("receiver", "cand", "cand_module").agg(F.min("way").alias("way"))
     kids = n.where("parent_id is not null").groupBy(F.col("parent_id").alias("cand"), F.col("name").alias("want")).agg(F.min("id").alias("target_id"))
-    owned = called.join(cands.join(kids, "cand"), ["receiver", "want"])
-    owned = _first(owned, ["source_id", "ord"], F.coalesce(F.col("module") == F.col("cand_module"), F.lit(False)).desc(), "way", "cand")
-    rest = called.join(owned.select("source_id", "ord"), ["source_id", "ord"], "left_anti")
-    loose = _unqualified(rest, by_name(n.where("kind = 'method'")))
+    # The best class of each receiver and method in each module, and in all; a class of the caller's own module goes first.
+    best = F.min(F.struct("way", "cand", "target_id")).alias("best")
+    here = materialize(cands.join(kids, "cand").groupBy("receiver", "want", F.col("cand_module").alias("module")).agg(best), "methods-by-module")
+    anywhere = materialize(here.groupBy("receiver", "want").agg(F.min("best").alias("any")), "methods")
+    found = called.join(here.where("module is not null"), ["receiver", "want", "module"], "left").join(anywhere, ["receiver", "want"], "left")
+    found = materialize(found.withColumn("target_id", F.coalesce("best", "any")["target_id"]).drop("best", "any"), "calls-by-receiver")
+    owned = found.where("target_id is not null")
+    loose = Names(n.where("kind = 'method'")).unqualified(found.where("target_id is null").drop("target_id"))
     parts = [(plain, None), (owned, F.col("receiver")), (loose, F.col("receiver"))]
     return reduce(DataFrame.union, [_edge(x, "calls", 2, F.col("ord"), m) for x, m in parts])
 
@@ -114,7 +138,7 @@ def renders(t: dict[str, DataFrame]) -> DataFrame:
     """Components used in JSX; names that are ambiguous even within the module are skipped."""
     n = t["nodes"]
     wants = t["jsx_usages"].where(F.substring("element_name", 1, 1) == F.upper(F.substring("element_name", 1, 1))).join(n.select(F.col("id").alias("node_id"), "module"), "node_id")
-    return _edge(_unqualified(wants.select(F.col("node_id").alias("source_id"), "module", F.col("element_name").alias("want")), by_name(n)), "renders", 3, F.lit(0))
+    return _edge(_names(t).unqualified(wants.select(F.col("node_id").alias("source_id"), "module", F.col("element_name").alias("want"))), "renders", 3, F.lit(0))
 
 
 def graphql(t: dict[str, DataFrame]) -> DataFrame:
@@ -162,6 +186,7 @@ def injects(t: dict[str, DataFrame]) -> DataFrame:
 
 def resolve_all(t: dict[str, DataFrame]) -> DataFrame:
     """(source_id, target_id, kind, metadata): all resolvers in order; of equal edges the first written stays."""
+    t = t | {"names": Names(t["nodes"])}
     parts = [inheritance(t), calls(t), renders(t), graphql(t), rest(t), injects(t)]
     if "file_imports" in t:
         parts.insert(0, imports(t))
