@@ -67,7 +67,10 @@ def _rolled(block: DataFrame, width: int, done: int, sums: list[str]) -> DataFra
 
 
 def _blocks(turns: DataFrame, members: DataFrame) -> tuple[list[tuple[DataFrame, int, int]], DataFrame, DataFrame]:
-    """(block rows, width, turns before) of each block; nodes (depth, conv_id, parent); ends (depth, node, conv_id)."""
+    """(block rows, width, turns before) of each block; nodes (depth, conv_id, parent); ends (depth, node, conv_id).
+
+    What a block gives is written, so that plans do not grow with the number of blocks.
+    """
     longest = members.agg(F.max("size")).first()[0]
     going = members.select("conv_id", "size", F.lit(0).cast("long").alias("prior"))
     blocks, nodes, ends, done = [], [], [], 0
@@ -82,11 +85,12 @@ def _blocks(turns: DataFrame, members: DataFrame) -> tuple[list[tuple[DataFrame,
         lower = lower.join(up, (lower["prior"] == up["p"]) & (F.slice("path", F.lit(1), F.size("path") - 1) == up["up"])).select("depth", "conv_id", "parent")
         first = found.where(F.col("depth") == done + 1)
         if done:
-            nodes.append(first.select("depth", "conv_id", F.col("prior").alias("parent")))
+            upper = first.select("depth", "conv_id", F.col("prior").alias("parent"))
         else:  # the root is the one prefix without turns
-            top = found.where("depth = 0").select(F.col("conv_id").alias("parent"))
-            nodes += [found.where("depth = 0").select("depth", "conv_id", F.lit(None).cast("long").alias("parent")), first.select("depth", "conv_id").join(F.broadcast(top))]
-        nodes.append(lower)
+            root = found.where("depth = 0").select("depth", "conv_id")
+            upper = first.select("depth", "conv_id").join(F.broadcast(root.select(F.col("conv_id").alias("parent"))))
+            upper = upper.union(root.select("depth", "conv_id", F.lit(None).cast("long")))
+        nodes.append(materialize(upper.union(lower), "prefix-nodes"))
         held = F.least(F.col("size") - done, F.lit(width)).cast("int")
         full = block.select("conv_id", "size", F.col("prior").alias("b"), F.slice(F.array(*_columns(width)), F.lit(1), held).alias("all"))
         named = found.select(F.col("conv_id").alias("node"), "prior", "path")
@@ -154,7 +158,8 @@ def prefix_nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
     firsts = nodes.groupBy("conv_id").agg(F.min("before").alias("kept"), F.sum(F.when(F.col("n_children") == 0, 1).otherwise(0)).alias("leaves"))
     shares = members.join(firsts, "conv_id", "left").select("conv_id", "total", (F.col("total") - F.coalesce("kept", "total")).alias("own"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
     shares = materialize(shares, "shares")
-    sums = reduce(DataFrame.union, [_rolled(b.join(shares, "conv_id"), width, done, ["total", "own", "leaves"]).drop("prior", "path") for b, width, done in blocks])
+    rolled = [_rolled(b.join(shares, "conv_id"), width, done, ["total", "own", "leaves"]).drop("prior", "path") for b, width, done in blocks]
+    sums = reduce(DataFrame.union, [materialize(r, "sums") for r in rolled])
     sums = sums.withColumnsRenamed({"total": "all_total", "own": "all_own"})
     joined = nodes.join(sums, ["depth", "conv_id"]).join(shares.drop("leaves"), "conv_id").join(_digests(ends), ["depth", "conv_id"], "left")
     # Bytes from the node on, of all conversations less those of all distinct nodes.
