@@ -36,6 +36,7 @@ class Workspace:
     patterns: InternalPatterns = InternalPatterns()
     documents: DataFrame | None = None
     warned: DataFrame | None = None
+    indexes: dict[str, DataFrame] = field(default_factory=dict)
     structure: dict[str, tuple[str, str]] | None = None
     found: DataFrame | None = None
 
@@ -50,6 +51,7 @@ class Workspace:
         """Take in symbol rows and resolve all edges; files(module, file_path, text, hash) serve snippets and staleness."""
         self.tables = ingest.ingest(symbols, imports)
         self.tables["edges"] = resolve.resolve_all(self.tables)
+        self.indexes = {}
         if files is not None:
             self.tables["sources"] = files
         return self
@@ -117,6 +119,7 @@ class Workspace:
             symbols = materialize(reduce(DataFrame.union, [x.select(symbols.columns) for x in (others, kept, symbols)]), "module-symbols")
         self.tables = new | {"sources": sources, "symbols": symbols}
         self.tables["edges"] = resolve.resolve_all(self.tables)
+        self.indexes = {}
         self.warned = materialize(reduce(DataFrame.union, warned), "warnings")
         return self
 
@@ -144,7 +147,7 @@ class Workspace:
         return commit_tables(self.spark, self._t(), root)
 
     def open(self, root: str) -> "Workspace":
-        self.tables = committed_tables(self.spark, root)
+        self.tables, self.indexes = committed_tables(self.spark, root), {}
         return self
 
     def _symbols_of(self, module: str) -> DataFrame:
@@ -274,15 +277,29 @@ class Workspace:
     def _seeds(self, name: str, module: str | None) -> DataFrame:
         return self._named(name, module).select(F.col("id").alias("node"))
 
+    def _steps(self, reverse: bool) -> DataFrame:
+        """Edges by where they start, or end, written at the first traversal after a scan."""
+        name = "steps_in" if reverse else "steps_out"
+        if name not in self.indexes:
+            self.indexes[name] = traversal.step_index(self._t()["edges"], reverse)
+        return self.indexes[name]
+
+    def _visited(self, found: DataFrame) -> DataFrame:
+        """Visited nodes as the tools show them, in visit order."""
+        t = self._t()
+        nodes = t["nodes"].select(F.col("id").alias("node"), "name", F.col("kind").alias("node_kind"), "file_id", F.col("start_line").alias("line"))
+        rows = found.join(nodes, "node").join(t["files"].select("file_id", F.col("path").alias("file")), "file_id", "left")
+        return rows.select("node", "depth", "edge_kind", "parent", "visit_ord", "name", F.col("node_kind").alias("kind"), "file", "line").orderBy("visit_ord")
+
     def get_callers(self, name: str, depth: int = 2, module: str | None = None) -> DataFrame:
-        return traversal.callers(self._t()["edges"], self._seeds(name, module), depth, written=True)
+        return self._visited(traversal.visits(self._steps(True), self._seeds(name, module), depth, traversal.CALLS))
 
     def get_callees(self, name: str, depth: int = 2, module: str | None = None) -> DataFrame:
-        return traversal.callees(self._t()["edges"], self._seeds(name, module), depth, written=True)
+        return self._visited(traversal.visits(self._steps(False), self._seeds(name, module), depth, traversal.CALLS))
 
     def get_impact(self, name: str, depth: int = 3, module: str | None = None) -> DataFrame:
         children = self._t()["nodes"].where("parent_id is not null").select("parent_id", F.col("id").alias("node"))
-        return traversal.impact(self._t()["edges"], self._seeds(name, module), depth, children, written=True)
+        return self._visited(traversal.visits(self._steps(True), traversal.with_children(self._seeds(name, module), children), depth))
 
     def build_context(self, task: str, max_nodes: int = 20) -> DataFrame:
         """Symbols around the best search hits for a task's words."""

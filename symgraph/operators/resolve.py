@@ -185,12 +185,16 @@ def injects(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def resolve_all(t: dict[str, DataFrame]) -> DataFrame:
-    """(source_id, target_id, kind, metadata): all resolvers in order; of equal edges the first written stays."""
+    """(source_id, target_id, kind, metadata, resolver, seq): all resolvers in order; of equal edges the first written stays.
+
+    Edges count as written by resolver, then by source and seq.
+    """
     t = t | {"names": Names(t["nodes"])}
     parts = [inheritance(t), calls(t), renders(t), graphql(t), rest(t), injects(t)]
     if "file_imports" in t:
         parts.insert(0, imports(t))
     # Each resolver is written on its own: small plans, and nothing is worked out twice.
     parts = [materialize(part, "resolved") for part in parts]
-    best = reduce(DataFrame.union, parts).groupBy("source_id", "target_id", "kind").agg(F.min_by("metadata", F.struct("resolver", "seq", F.coalesce("metadata", F.lit("")))).alias("metadata"))
-    return materialize(best, "edges")
+    first = F.min(F.struct("resolver", "seq", F.coalesce("metadata", F.lit("")).alias("text"), "metadata")).alias("first")
+    best = reduce(DataFrame.union, parts).groupBy("source_id", "target_id", "kind").agg(first)
+    return materialize(best.select("source_id", "target_id", "kind", "first.metadata", "first.resolver", "first.seq"), "edges")

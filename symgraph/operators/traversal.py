@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.storage import materialize
+from symgraph.storage import fresh_path, materialize
 
 MAX_DEPTH = 10
 CALLS = ("calls",)
@@ -20,11 +22,6 @@ def steps(edges: DataFrame, reverse: bool = False, kinds: tuple[str, ...] | None
     return near.union(near.select(F.col("node").alias("at"), F.col("at").alias("node"), "kind")) if both else near
 
 
-def written_edges(edges: DataFrame) -> DataFrame:
-    """Edges as a written table, once for many traversals."""
-    return materialize(edges.select("source_id", "target_id", "kind"), "graph-edges")
-
-
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, kinds: tuple[str, ...] | None = None, both: bool = False, written: bool = False) -> DataFrame:
     """(node, depth, edge_kind) reached from seeds(node) within depth steps, seeds left out.
 
@@ -66,9 +63,92 @@ def callees(edges: DataFrame, seeds: DataFrame, depth: int = 2, kinds: tuple[str
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3, children: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Everything that leads to the seeds, or to their direct children(parent_id, node), over any edge kind."""
-    if children is not None:
-        seeds = seeds.select("node").union(children.join(seeds, children.parent_id == seeds.node, "left_semi").select(children.node))
-    return bfs(edges, seeds, depth, reverse=True, written=written)
+    return bfs(edges, seeds if children is None else with_children(seeds, children), depth, reverse=True, written=written)
+
+
+def with_children(seeds: DataFrame, children: DataFrame) -> DataFrame:
+    """seeds(node) and their direct children(parent_id, node)."""
+    return seeds.select("node").union(children.join(seeds, children.parent_id == seeds.node, "left_semi").select(children.node))
+
+
+#: The order in which edges are followed: that in which resolvers wrote them.
+WRITTEN = ("resolver", "source_id", "seq", "target_id")
+#: Edges of a bucket of a written table of steps, and buckets at most.
+BUCKET_EDGES, MOST_BUCKETS = 200_000, 4096
+
+
+def _bucket(node: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
+
+def step_index(edges: DataFrame, reverse: bool = False, order: tuple[str, ...] = WRITTEN) -> DataFrame:
+    """Where each edge leads, (at, node, kind, ord, bucket), written once for many traversals in folders by a hash of `at`.
+
+    A traversal opens the folders of its frontier alone: looking up a few nodes does not read the graph.
+    """
+    at, node = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    near = edges.select(F.col(at).alias("at"), F.col(node).alias("node"), "kind", F.struct(*order).alias("ord"))
+    buckets = max(1, min(MOST_BUCKETS, edges.count() // BUCKET_EDGES))
+    near = near.withColumn("bucket", _bucket(F.col("at"), buckets))
+    path = fresh_path(edges.sparkSession, f"steps-{buckets}")
+    # Rebalancing splits the folder of a hub over several tasks and files.
+    dealt = edges.sparkSession.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {near}", near=near)
+    dealt.sortWithinPartitions("bucket", "at").write.partitionBy("bucket").parquet(path)
+    return edges.sparkSession.read.schema(near.schema).parquet(path).withColumn("buckets", F.lit(buckets))
+
+
+def _numbered(level: DataFrame, size: int) -> DataFrame:
+    """level(visit, ...) with rank: its place from 0 by visit.
+
+    A level of at most SMALL rows is one sort. A larger one is numbered by ranges: each range is a
+    partition, the ranges' totals (one row each) are summed, and a window counts inside one.
+    """
+    if size <= SMALL:
+        return level.withColumn("rank", (F.row_number().over(Window.orderBy("visit")) - 1).cast("long"))
+    ranged = materialize(level.repartitionByRange("visit").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    ahead = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("visit")) - 1
+    return ranged.join(F.broadcast(ahead), "range").withColumn("rank", F.col("before") + place).drop("range", "before")
+
+
+def visits(near: DataFrame, seeds: DataFrame, depth: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(node, depth, edge_kind, parent, visit_ord) of a breadth-first walk in its own order, seeds left out.
+
+    The walk takes the nodes of a level as they were visited, and the edges of each as near, a step_index(),
+    orders them; a node counts where it is first met, which gives its parent and edge kind. visit_ord
+    counts from 0 over all levels. Seeds go by their id, each once. Every level writes its nodes
+    with the least (rank of the node before, order of the edge), which partial aggregation finds before any
+    shuffle; ranks are numbered from that. Depth is capped at MAX_DEPTH.
+    """
+    if kinds is not None:
+        near = near.where(F.col("kind").isin(*kinds))
+    first = seeds.select("node").distinct().select("node", F.struct("node").alias("visit"))
+    level = materialize(first, "visits")
+    size = level.count()
+    known, out, total = level.select("node"), [], 0
+    ranked = _numbered(level, size)
+    held = near.select("buckets").first() if "buckets" in near.columns else None
+    for step in range(1, min(depth, MAX_DEPTH) + 1):
+        frontier = ranked.select(F.col("node").alias("from"), "rank")
+        here = near
+        if size <= SMALL and held:
+            # At most MOST_BUCKETS numbers come to the driver.
+            wanted = [r.b for r in frontier.select(_bucket(F.col("from"), held.buckets).alias("b")).distinct().collect()]
+            here = near.where(F.col("bucket").isin(wanted)) if len(wanted) < held.buckets else near
+        met = here.join(F.broadcast(frontier) if size <= SMALL else frontier, F.col("at") == F.col("from"))
+        met = met.groupBy("node").agg(F.min(F.struct("rank", "ord", "kind", "at")).alias("visit"))
+        level = materialize(met.join(known, "node", "left_anti"), "visits")
+        size = level.count()  # read from the files' footers
+        if not size:
+            break
+        ranked = _numbered(level, size)
+        out.append(ranked.select("node", F.lit(step).alias("depth"), F.col("visit.kind").alias("edge_kind"), F.col("visit.at").alias("parent"), (F.col("rank") + total).alias("visit_ord")))
+        known, total = known.union(level.select("node")), total + size
+    if not out:
+        kind = seeds.schema["node"].dataType.simpleString()
+        return seeds.sparkSession.createDataFrame([], f"node {kind}, depth int, edge_kind string, parent {kind}, visit_ord long")
+    return reduce(DataFrame.union, out)
 
 
 def impact_counts(reached: DataFrame) -> DataFrame:

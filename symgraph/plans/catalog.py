@@ -63,6 +63,24 @@ def impact_depth3(spark, sf):
     return traversal.impact(G.edges(spark, sf), _seed(spark, "nation:3"), 3)
 
 
+@query("callers_in_order", G.visit_sql("SELECT 'part:1' AS node UNION SELECT 'part:2'", 3, True, ("contains", "placed_by")))
+def callers_in_order(spark, sf):
+    near = traversal.step_index(G.edges(spark, sf), True, G.FOLLOWED)
+    return traversal.visits(near, _seed(spark, "part:1").union(_seed(spark, "part:2")), 3, ("contains", "placed_by"))
+
+
+@query("callees_in_order", G.visit_sql("SELECT 'order:1' AS node", 3, False))
+def callees_in_order(spark, sf):
+    return traversal.visits(traversal.step_index(G.edges(spark, sf), False, G.FOLLOWED), _seed(spark, "order:1"), 3)
+
+
+@query("impact_in_order", G.visit_sql("SELECT 'nation:3' AS node UNION SELECT source_id FROM te WHERE target_id = 'nation:3'", 3, True))
+def impact_in_order(spark, sf):
+    edges = G.edges(spark, sf)
+    children = edges.select(F.col("target_id").alias("parent_id"), F.col("source_id").alias("node"))
+    return traversal.visits(traversal.step_index(edges, True, G.FOLLOWED), traversal.with_children(_seed(spark, "nation:3"), children), 3)
+
+
 _CHILD_SEEDS = "SELECT 'region:1' AS node, 0 AS depth UNION ALL SELECT source_id, 0 FROM te WHERE target_id = 'region:1'"
 
 

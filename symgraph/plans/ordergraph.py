@@ -79,3 +79,22 @@ def reach_sql(seed: str, depth: int, reverse: bool, kinds: tuple[str, ...] = ())
     SELECT f.node, f.depth, min(e.kind) AS edge_kind
     FROM first f JOIN te e ON e.{there} = f.node {only} JOIN first g ON e.{here} = g.node AND g.depth = f.depth - 1
     WHERE f.depth > 0 GROUP BY f.node, f.depth"""
+
+
+#: The order in which a walk follows the edges of this graph.
+FOLLOWED = ("kind", "source_id", "target_id")
+
+
+def visit_sql(seed: str, depth: int, reverse: bool, kinds: tuple[str, ...] = ()) -> str:
+    """(node, depth, edge_kind, parent, visit_ord) as visits() gives it: one pair of steps for each level."""
+    here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    only = f"AND e.kind IN ({', '.join(repr(k) for k in kinds)})" if kinds else ""
+    steps, parts = [f"l0 AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rank FROM ({seed}))"], []
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{i}" for i in range(k))
+        order = "rank, kind, source_id, target_id"
+        steps.append(f"v{k} AS (SELECT e.{there} AS node, w.rank, e.kind, e.source_id, e.target_id, w.node AS parent FROM l{k - 1} w JOIN te e ON e.{here} = w.node {only} WHERE e.{there} NOT IN ({seen}))")
+        steps.append(f"l{k} AS (SELECT node, row_number() OVER (ORDER BY {order}) - 1 AS rank, kind, parent FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {order}) AS n FROM v{k}) WHERE n = 1)")
+        ahead = " + ".join(["0", *(f"(SELECT count(*) FROM l{i})" for i in range(1, k))])
+        parts.append(f"SELECT node, {k} AS depth, kind AS edge_kind, parent, rank + {ahead} AS visit_ord FROM l{k}")
+    return f"WITH {EDGES_SQL}, {', '.join(steps)} {' UNION ALL '.join(parts)}"
