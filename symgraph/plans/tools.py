@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as X
-from symgraph.operators import ingest, modules
+from symgraph.operators import ingest, modules, resolve
 from symgraph.operators import search as S
 from symgraph.operators import sections as sec
 from symgraph.sources import build_files, code, documents, test_markers
@@ -87,6 +87,34 @@ def ingest_endpoints(spark, sf):
     return ingest.ingest(code.extract_symbols(_java_files(spark, sf)))["rest_endpoints"].select("node_id", "method", "path")
 
 
+_PAIR = "concat('public class K', p_partkey DIV 2, ' {\n  public void run() { help', p_partkey DIV 2, '(); }\n  public void help', p_partkey DIV 2, '() { }\n}\n')"
+
+
+def _paired(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Files of two modules with equal paths, and the ids under which every third of them is known."""
+    parts = table(spark, sf, "part")
+    path = F.expr("concat('src/K', p_partkey DIV 2, '.java')")
+    module = F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")
+    files = parts.select(module.alias("module"), path.alias("file_path"), F.lit("java").alias("language"), F.col("p_partkey").cast("int").alias("file_ord"), F.expr(_PAIR.replace("\n", "\\n")).alias("text"))
+    return files, parts.where("p_partkey % 3 = 0").select(module.alias("module"), path.alias("path"), F.col("p_partkey").cast("long").alias("file_id"))
+
+
+@query("two_modules", """
+    WITH top AS (SELECT max(p_partkey) AS t FROM part WHERE p_partkey % 3 = 0),
+    f AS (
+        SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS module, p_partkey // 2 AS k, CASE WHEN p_partkey % 3 = 0 THEN p_partkey
+               ELSE t + row_number() OVER (PARTITION BY p_partkey % 3 = 0 ORDER BY CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END, p_partkey) END AS file_id
+        FROM part, top)
+    SELECT module, concat('src/K', k, '.java') AS path, CAST(file_id AS BIGINT) AS file_id, CAST(file_id * 1000000 + 1 AS BIGINT) AS source_id, CAST(file_id * 1000000 + 2 AS BIGINT) AS target_id, 'calls' AS kind FROM f""")
+def two_modules(spark, sf):
+    """Ids and edges of two modules whose files have equal paths, one third of them known before."""
+    files, known = _paired(spark, sf)
+    t = ingest.ingest(code.extract_symbols(files), stored=known)
+    edges = resolve.resolve_all(t)
+    of = t["nodes"].select(F.col("id").alias("source_id"), "file_id")
+    return edges.join(of, "source_id").join(t["files"].select("file_id", "module", "path"), "file_id").select("module", "path", "file_id", "source_id", "target_id", "kind")
+
+
 @query("module_summary", """
     SELECT p_brand AS module, count(*) AS total_files, 3 * count(*) AS total_symbols, string_agg(concat('P', p_partkey), ',' ORDER BY concat('src/P', p_partkey, '.java')) AS public_classes, count(*) AS public_methods,
            '@GetMapping,@Service' AS annotations, string_agg(concat('GET /p', p_size, ' P', p_partkey, '.op', p_size), ',' ORDER BY concat('src/P', p_partkey, '.java')) AS endpoints,
