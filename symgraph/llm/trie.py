@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.llm.naming import sorted_names
-from symgraph.storage import materialize
+from symgraph.storage import fresh_path, materialize
 
 #: Columns of the first blocks; the last width is that of all further ones. A ROLLUP makes one row more than columns.
 WIDTHS = (8, 16, 32)
@@ -66,6 +66,19 @@ def _rolled(block: DataFrame, width: int, done: int, sums: list[str]) -> DataFra
     return rows.where(real).select((F.col("d") + done).alias("depth"), "conv_id", "n_convs", "prior", path.alias("path"), *sums)
 
 
+def _by_block(turns: DataFrame) -> DataFrame:
+    """turns as a written table with block and slot (from 1), a folder for each block, so that a block's round reads its own turns alone."""
+    starts = [sum(WIDTHS[:k]) for k in range(len(WIDTHS))]
+    at = F.col("pos") - 1 - starts[-1]
+    block, slot = F.lit(len(WIDTHS) - 1) + F.floor(at / WIDTHS[-1]), at % WIDTHS[-1] + 1
+    for k in reversed(range(len(WIDTHS) - 1)):
+        block, slot = (F.when(F.col("pos") <= starts[k + 1], x).otherwise(y) for x, y in ((F.lit(k), block), (F.col("pos") - starts[k], slot)))
+    rows = turns.withColumn("slot", slot.cast("int")).withColumn("block", block.cast("int"))
+    path = fresh_path(turns.sparkSession, "sequences")
+    turns.sparkSession.sql("SELECT /*+ REBALANCE(block) */ * FROM {rows}", rows=rows).write.partitionBy("block").parquet(path)
+    return turns.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _blocks(turns: DataFrame, members: DataFrame) -> tuple[list[tuple[DataFrame, int, int]], DataFrame, DataFrame]:
     """(block rows, width, turns before) of each block; nodes (depth, conv_id, parent); ends (depth, node, conv_id).
 
@@ -76,8 +89,8 @@ def _blocks(turns: DataFrame, members: DataFrame) -> tuple[list[tuple[DataFrame,
     blocks, nodes, ends, done = [], [], [], 0
     while longest is not None and (done < longest or not blocks):
         width = WIDTHS[min(len(blocks), len(WIDTHS) - 1)]
-        inside = turns.where((F.col("pos") > done) & (F.col("pos") <= done + width))
-        spread = inside.groupBy("conv_id").agg(*[F.max(F.when(F.col("pos") == done + j, F.col("turn_id"))).alias(c) for j, c in enumerate(_columns(width), 1)])
+        inside = turns.where(F.col("block") == len(blocks))
+        spread = inside.groupBy("conv_id").agg(*[F.max(F.when(F.col("slot") == j, F.col("turn_id"))).alias(c) for j, c in enumerate(_columns(width), 1)])
         block = materialize(going.join(spread, "conv_id", "left"), "block")
         found = materialize(_rolled(block, width, done, []), "prefixes")
         up = found.select(F.col("prior").alias("p"), F.col("path").alias("up"), F.col("conv_id").alias("parent"))
@@ -142,7 +155,8 @@ def prefix_nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
     no conversations give no rows; a conversation takes one round for each block of its turns.
     """
     ahead = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    turns = materialize(turns.select("conv_id", F.col("pos").cast("int").alias("pos"), "turn_id", "bytes", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("before")), "sequences")
+    turns = turns.select("conv_id", F.col("pos").cast("int").alias("pos"), "turn_id", "bytes", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("before"))
+    turns = _by_block(turns)
     lengths = turns.groupBy("conv_id").agg(F.max("pos").alias("size"), F.sum("bytes").alias("total"))
     members = convs.select("conv_id").join(lengths, "conv_id", "left").select("conv_id", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("total", F.lit(0)).alias("total"))
     members = materialize(members, "members")
