@@ -4,7 +4,9 @@ On unit vectors a cosine bound is a bound r on Euclidean distance. Each vector l
 the cell of its nearest pivot p and is copied to the cell of another pivot q where a
 partner could live: by the triangle inequality only if d(x, q) - d(x, p) <= 2r, and only
 if x lies within r of the plane between p and q. Every cell then joins on its own, cut
-into tiles where it is crowded. Cells belong to a label and a vector length, so one plan
+into tiles where it is crowded. Inside a tile the same inequality holds for every pivot: what
+asks is split into leaves of similar distances to the first WINDOWS pivots, and a leaf meets only
+the vectors whose distances are within r of the leaf's for each of them. Cells belong to a label and a vector length, so one plan
 serves all lengths. Equal vectors are one row with a count from the start, and vectors
 travel as packed bytes. A tile compares in single precision with a margin for its
 rounding; what passes is decided in double precision.
@@ -24,11 +26,13 @@ from pyspark.sql import types as T
 from symgraph.llm.components import connected_components, local_forest
 from symgraph.storage import materialize
 
-#: Most pivots (a few MB in a task's closure), and vectors of the largest label and length for each pivot, about.
-PIVOTS, PER_PIVOT = 2048, 16_384
+#: Fewest and most pivots (a few MB in a task's closure), and vectors of the largest label and length for each pivot, about.
+FEWEST, PIVOTS, PER_PIVOT = 8, 2048, 16_384
+#: Pivots whose distances a tile compares, those it splits by, and vectors of a leaf at most.
+WINDOWS, SPLITS, LEAF = 8, 3, 128
 #: Most vectors on one side of a tile.
 TILE = 8192
-#: Rows compared at once within a tile; pairs held at once.
+#: Rows placed at once; pairs held at once.
 BAND, PAIRS = 1024, 1_000_000
 SLACK = 1e-9
 
@@ -68,15 +72,32 @@ def pack(rows: DataFrame) -> tuple[DataFrame, str]:
     return rows.mapInArrow(batches, schema), kind
 
 
+def _leaves(distance: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of at most LEAF, halved by the widest of the SPLITS columns that vary most."""
+    columns = np.argsort(-distance.var(axis=0))[:SPLITS] if len(distance) else []
+    open_ = [np.arange(len(distance))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= LEAF or not len(columns):
+            if len(rows):
+                yield rows
+            continue
+        held = distance[rows][:, columns]
+        widest = columns[np.ptp(held, axis=0).argmax()]
+        order = rows[np.argsort(distance[rows, widest], kind="stable")]
+        open_ += [order[: len(order) // 2], order[len(order) // 2 :]]
+
+
 def near_links(classes: DataFrame, kind: str, cosine: float, pivots: int | None = None, tile: int = TILE) -> DataFrame:
-    """(id, links, root) for the distinct vectors of classes(id, label, vector, dim, copies).
+    """(id, links, root, compared) for the distinct vectors of classes(id, label, vector, dim, copies).
 
     links is the number of vectors in other classes within the bound, copies counted, in
-    parts that sum up by id; (id, root) are edges of a forest that joins what links.
+    parts that sum up by id; (id, root) are edges of a forest that joins what links. A row
+    without id has the number of pairs that a tile compared, either way round.
     """
     radius = float(np.sqrt(2 - 2 * cosine)) + SLACK
     largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    count = pivots or int(min(PIVOTS, max(1, largest // PER_PIVOT)))
+    count = pivots or int(min(PIVOTS, max(FEWEST, largest // PER_PIVOT)))
     # A bounded sample: the vectors whose hash comes first. A length without a pivot is one cell.
     chosen = classes.select("dim", "vector").orderBy(F.xxhash64("vector"), "vector").limit(count).collect()
     centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -130,25 +151,33 @@ def near_links(classes: DataFrame, kind: str, cosine: float, pivots: int | None
         unit = _units(table.column("vector").combine_chunks(), kind)
         short = unit.astype(np.float32)
         least = cosine - max(1e-5, unit.shape[1] * 2.5e-7)
-        links = np.zeros(len(ids), np.int64)
+        links, compared = np.zeros(len(ids), np.int64), 0
         node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for lo in range(0, len(asks), BAND):
-            some = asks[lo : lo + BAND]
-            x, y = np.nonzero(short[some] @ short[answers].T >= least)
+        known = centres.get(unit.shape[1])
+        distance = np.sqrt(np.maximum(2 - 2 * unit @ known[1][:WINDOWS].T, 0)) if known else np.zeros((len(ids), 0))
+        near_to = distance[answers]
+        for leaf in _leaves(distance[asks]):
+            some = asks[leaf]
+            low, high = (distance[some].min(axis=0) - reach, distance[some].max(axis=0) + reach) if known else (0, 0)
+            others = answers[((near_to >= low) & (near_to <= high)).all(axis=1)]
+            compared += len(some) * len(others)
+            x, y = np.nonzero(short[some] @ short[others].T >= least)
             for at in range(0, len(x), PAIRS):
-                a, b = some[x[at : at + PAIRS]], answers[y[at : at + PAIRS]]
+                a, b = some[x[at : at + PAIRS]], others[y[at : at + PAIRS]]
                 near = (np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine) & (ids[a] != ids[b])
                 a, b = a[near], b[near]
                 np.add.at(links, a, copies[b])
                 node, root = local_forest(np.concatenate([node, ids[a]]), np.concatenate([root, ids[b]]))
         hit = np.flatnonzero(links)
         return pa.table({
-            "id": pa.array(np.concatenate([ids[hit], node]), pa.int64()),
-            "links": pa.array(np.concatenate([links[hit], np.zeros(len(node), np.int64)]), pa.int64()),
-            "root": pa.array([*[None] * len(hit), *root.tolist()], pa.int64()),
+            "id": pa.array([*ids[hit].tolist(), *node.tolist(), None], pa.int64()),
+            "links": pa.array([*links[hit].tolist(), *[0] * (len(node) + 1)], pa.int64()),
+            "root": pa.array([*[None] * len(hit), *root.tolist(), None], pa.int64()),
+            "compared": pa.array([*[None] * (len(hit) + len(node)), compared], pa.int64()),
         })
 
-    return tiles.groupBy(*key, "i", "j").applyInArrow(compare, "id long, links long, root long")
+    reach = radius + 1e-6  # distances are rounded
+    return tiles.groupBy(*key, "i", "j").applyInArrow(compare, "id long, links long, root long, compared long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int | None = None, tile: int = TILE) -> DataFrame:
@@ -165,7 +194,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     good = rows.where("vector is not null")
     classes = materialize(good.groupBy("label", "dim", "vector").agg(F.min("id").alias("first"), F.count("*").alias("copies")).select(F.col("first").alias("id"), "label", "vector", "dim", "copies"), "vector-classes")
     found = materialize(near_links(classes, kind, cosine, pivots, tile), "vector-links")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    counts = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, "id", "left").join(comps, F.col("id") == F.col("node"), "left").select(
         F.col("label").alias("l"), F.col("vector").alias("v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c")

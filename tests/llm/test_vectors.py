@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symgraph.llm import vectors as V
 
@@ -22,7 +23,7 @@ def _brute(rows, bound=0.98):
     return sorted(((i, links[i], name[i], name[i] == i) for i, _, _ in rows), key=repr)
 
 
-@pytest.mark.parametrize("pivots,tile", [(1, 1024), (7, 16)])
+@pytest.mark.parametrize("pivots,tile", [(1, 1024), (7, 16), (None, 64)])
 def test_links_and_components_equal_brute_force(spark, pivots, tile):
     rng = np.random.default_rng(1)
     rows, n = [], 0
@@ -58,3 +59,16 @@ def test_double_components_and_dense_groups(spark):
     rows = [(i, [float(x) for x in seed + rng.normal(size=8) * 0.02], 1) for i in range(150)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_duplicates(table, tile=32).collect()), key=repr) == _brute(rows)
+
+
+def test_windows_and_leaves_prune_pairs_and_lose_none(spark):
+    """By default several pivots are at work at any size; clusters are not compared with each other."""
+    rng = np.random.default_rng(7)
+    seeds = rng.normal(size=(12, 24))
+    rows = [(i, [float(np.float32(x)) for x in seeds[i % 12] + rng.normal(size=24) * 0.05], 1) for i in range(900)]
+    table = _table(spark, rows)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_duplicates(table).collect()), key=repr)
+    assert got == _brute(rows) and sum(r[1] for r in got) > 5000
+    packed, kind = V.pack(table.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")))
+    found = V.near_links(packed.withColumn("copies", F.lit(1).cast("long")), kind, 0.98)
+    assert 900 * 60 < found.agg(F.sum("compared")).first()[0] < 0.4 * 900 * 900
