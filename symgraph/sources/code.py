@@ -1,11 +1,13 @@
-"""Source trees as symbol rows: listing, filtering, and extraction over exploded lines.
-
-Extraction is line-based and stays in the JVM. Strings and comments are blanked over the
-whole text first, so that braces in them do not count; every line then gets its depth of
-braces and parentheses from running sums. A declaration is a line that matches its
-language's pattern at depth 0, or at depth 1 inside a type, and its parent is the last type
-opened ahead of it that is still open. Declarations that span lines are known by their
-first line; a type's header is read up to its brace. Nested types are not entered.
+"""Source trees as symbol rows: listing, filtering, and extraction over a stream of statements.
+
+Extraction stays in the JVM. Strings and comments are blanked over the whole text first, at
+equal length, so that brackets in them do not count and places stay what they are. The code is
+cut after every brace, semicolon and line end, and pieces between which a parenthesis is open
+are put together again: a statement is what stands between two cuts, however many share a line
+or however many lines one takes. Running sums over the statements give the depth of braces, and
+the first brace that goes back to a statement's depth ends the block that it opens. A
+declaration is a statement that matches its language's pattern at depth 0, or at depth 1
+inside a type, and its parent is the type whose block is around it. Nested types end where their block does and are not entered.
 """
 
 from __future__ import annotations
@@ -87,9 +89,12 @@ _GRAPHQL_NOISE = "\"\"\"(?s:.*?)\"\"\"|\"(?:[^\"\\\\\\n]++|\\\\.)*+\"|#[^\\n]*"
 
 
 def _blanked(text: Column, noise: str) -> Column:
-    """The text with strings emptied and comments gone; every line break stays."""
+    """The text with what is in strings and comments turned into blanks; quotes, lengths and line breaks stay."""
     gaps, runs = F.split(text, noise, -1), F.regexp_extract_all(text, F.lit(noise), F.lit(0))
-    kept = F.transform(runs, lambda r: F.concat(F.when(F.substring(r, 1, 1).isin("\"", "'", "`"), "\"\"").otherwise(""), F.regexp_replace(r, "[^\\n]", "")))
+    kept = F.transform(runs, lambda r: F.when(
+        F.substring(r, 1, 1).isin("\"", "'", "`") & (F.length(r) >= 2),
+        F.concat(F.lit("\""), F.regexp_replace(F.substring(r, F.lit(2), F.length(r) - 2), "[^\\n]", " "), F.lit("\"")),
+    ).otherwise(F.regexp_replace(r, "[^\\n]", " ")))
     return F.array_join(F.zip_with(gaps, kept, lambda g, k: F.concat(g, F.coalesce(k, F.lit("")))), "")
 
 
@@ -97,21 +102,40 @@ def _count(code: Column, letter: str) -> Column:
     return F.length(code) - F.length(F.replace(code, F.lit(letter), F.lit("")))
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """One row for each line: its number n, the line, its code, and the depth of braces and parentheses ahead of it."""
+def _statements(files: DataFrame) -> DataFrame:
+    """One row for each statement: its number v, lines n to last, text and code, and the depth of braces ahead of it.
+
+    Strings in code are empty. Blank lines and lines of comments alone are statements of their own.
+    """
     text = F.regexp_replace("text", "\\r\\n?", "\n")
     rows = files.select(*FILE, "language", "file_ord", text.alias("text"))
     rows = rows.withColumn("code", F.when(F.col("language") == "graphql", _blanked(F.col("text"), _GRAPHQL_NOISE)).otherwise(_blanked(F.col("text"), _NOISE)))
     listed = F.flatten(F.transform(F.regexp_extract_all("code", F.lit("\\bexport\\s*\\{([^}]*)\\}"), F.lit(1)), lambda names: F.transform(F.split(names, ","), lambda x: F.regexp_extract(x, "(\\w+)", 1))))
-    rows = rows.withColumn("exported", F.when(F.col("language").isin(*JS), F.concat(listed, F.regexp_extract_all("code", F.lit("\\bexport\\s+default\\s+(\\w+)\\s*;?\\s*(?:\\n|\\z)"), F.lit(1)))))
+    default = F.regexp_extract_all("code", F.lit("\\bexport\\s+default\\s+(\\w+)\\s*;?\\s*(?:\\n|\\z)"), F.lit(1))
+    rows = rows.withColumn("exported", F.when(F.col("language").isin(*JS), F.concat(listed, default)))
     package = F.regexp_extract("code", "(?m)^\\s*package\\s+([\\w.]+)", 1)
     rows = rows.withColumn("package_name", F.when(F.col("language").isin("java", "scala") & (package != ""), package))
-    rows = rows.select(*FILE, "language", "file_ord", "exported", "package_name", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.split("code", "\n").alias("code"))).alias("n", "both"))
-    rows = rows.select("*", "both.line", "both.code").drop("both")
-    order = Window.partitionBy(*FILE).orderBy("n")
+    whole = [*FILE, "language", "file_ord", "exported", "package_name"]
+    rows = rows.select(*whole, F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.split("code", "\n").alias("code"))).alias("n", "both"))
+    pieces = F.regexp_extract_all("both.code", F.lit("[^{};]*[{};]|[^{};]+$"), F.lit(0))
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+    rows = rows.select(*whole, "n", "both.line", F.size(pieces).alias("pieces"), F.posexplode(pieces).alias("j", "code"))
+    order = Window.partitionBy(*FILE).orderBy("n", "j")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("code")).over(before), F.lit(0))).withColumn("rounds", _count(F.col("code"), "(") - _count(F.col("code"), ")"))
+    rows = rows.withColumn("begin", F.max(F.when(F.col("j") == 0, F.col("at"))).over(order)).withColumn("open", F.sum("rounds").over(order))
+    rows = rows.withColumn("v", F.coalesce(F.sum(F.when(F.col("open") <= 0, 1).otherwise(0)).over(before), F.lit(0)))
+    cut = F.when(F.col("j") == F.col("pieces") - 1, "\n").otherwise("")
+    rows = rows.select(*whole, "n", "j", "v", F.concat(F.expr("substr(line, at - begin + 1, length(code))"), cut).alias("line"), F.concat("code", cut).alias("code"))
+    parts = F.array_sort(F.collect_list(F.struct("n", "j", "line", "code")))
+    rows = rows.groupBy(*whole, "v").agg(F.min("n").alias("n"), F.max("n").alias("last"), parts.alias("parts"))
+    joined = lambda c: F.regexp_replace(F.array_join(F.transform("parts", lambda p: p[c]), ""), "\\n\\z", "")
+    rows = rows.select(*whole, "v", "n", "last", joined("line").alias("line"), joined("code").alias("blank"))
+    rows = rows.withColumn("code", F.regexp_replace("blank", "\"[ \\n]*\"", "\"\""))
+    order = Window.partitionBy(*FILE).orderBy("v")
     ahead, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("delta", _count(F.col("code"), "{") - _count(F.col("code"), "}")).withColumn("rounds", _count(F.col("code"), "(") - _count(F.col("code"), ")"))
-    rows = rows.withColumn("depth", F.coalesce(F.sum("delta").over(ahead), F.lit(0))).withColumn("parens", F.coalesce(F.sum("rounds").over(ahead), F.lit(0)))
+    rows = rows.withColumn("delta", _count(F.col("code"), "{") - _count(F.col("code"), "}"))
+    rows = rows.withColumn("depth", F.coalesce(F.sum("delta").over(ahead), F.lit(0)))
     return rows.withColumn("next_code", F.first(F.when(F.trim("code") != "", F.trim("code")), ignorenulls=True).over(behind))
 
 
@@ -124,7 +148,7 @@ _CLASSES, _ANY = ("class", "interface", "enum", "annotation", "case-class", "tra
 DECLARATIONS: dict[str, list[tuple[tuple[str, ...] | None, str, str]]] = {
     "java": [
         (_ANY, "class", f"^\\s*{_MODS}(?:class|record)\\s+(\\w+)"), (_ANY, "annotation", f"^\\s*{_MODS}@interface\\s+(\\w+)"), (_ANY, "interface", f"^\\s*{_MODS}interface\\s+(\\w+)"), (_ANY, "enum", f"^\\s*{_MODS}enum\\s+(\\w+)"),
-        (("enum",), "constant", "^\\s*([A-Z][A-Z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*(?:[,;{]|$)"),
+        (("enum",), "constant", "^\\s*([A-Z][A-Z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*(?:[,;{}]|$)"),
         (("class", "enum"), "constructor", f"^{_NOT_CODE}\\s*{_MODS}([A-Z]\\w*)\\s*\\("), (_CLASSES, "method", f"^{_NOT_CODE}\\s*{_MODS}(?:<[^>]+>\\s+)?{_TYPE}\\s+(\\w+)\\s*\\("),
         (_CLASSES, "field", f"^{_NOT_CODE}\\s*{_MODS}{_TYPE}\\s+(\\w+)\\s*(?:=|;)"),
     ],
@@ -144,19 +168,24 @@ _TS = [
     (("interface",), "method", "^\\s*(?:readonly\\s+)?(\\w+)\\??\\s*(?:<[^>]*>)?\\("), (("interface",), "field", "^\\s*(?:readonly\\s+)?(\\w+)\\??\\s*:"), (("enum",), "constant", "^\\s*(\\w+)\\s*(?:=|,|$)"),
 ]
 DECLARATIONS |= {k: _TS for k in JS}
-_CONSTANTS = "([A-Z][A-Z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*(?=[,;]|$)"
+_CONSTANTS = "([A-Z][A-Z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*(?=[,;}]|$)"
 _ROOTS = {"Query": "query", "Mutation": "mutation", "Subscription": "subscription"}
 _FUNCTIONS = ("function", "component", "hook")
 _CALL = "(?<!\\w)(?<!\\bnew\\s)((?:\\w+\\s*\\.\\s*)?\\w+)\\s*\\("
-_NO_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "super", "this", "new", "synchronized", "throw", "try"]
+_NO_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "super", "this", "new", "synchronized", "throw", "try", "async", "await", "typeof", "in", "of", "void", "delete", "yield", "case", "else", "do"]
+#: An annotation with its arguments, parentheses inside them too.
+_MARK = "@(?!interface)\\w+(?:\\.\\w+)*(?:\\((?:[^()]|\\((?:[^()]|\\([^()]*\\))*\\))*\\))?"
+#: The same in the text itself: strings in the arguments may hold parentheses.
+_ARGS = "(?:[^()\"']|\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'"
+_RAW_MARK = f"@(?!interface)\\w+(?:\\.\\w+)*(?:\\({_ARGS}|\\({_ARGS}|\\({_ARGS})*\\))*\\))*\\))?"
 _API = "(?:\\bfetch|\\b\\w+\\.(get|post|put|delete|patch))\\s*(?:<[^>]*>)?\\(\\s*[\"'`](/[^\"'`]*)"
 
 
 def _declared(files: DataFrame) -> DataFrame:
-    """Lines with the declaration d(kind, name) that each makes, if any, where it ends, its annotations and comment, and its owner."""
-    rows = _lines(files)
-    rows = rows.withColumn("decl", F.regexp_replace("code", "^\\s*(?:@(?!interface)\\w+(?:\\([^)]*\\))?\\s+)+(?=\\w)", ""))
-    order = Window.partitionBy(*FILE).orderBy("n")
+    """Statements with the declaration d(kind, name) that each makes, if any, where it ends, its annotations and comment, and its owner."""
+    rows = _statements(files)
+    rows = rows.withColumn("decl", F.regexp_replace("code", f"^\\s*(?:{_MARK}\\s+)+(?=\\w)", ""))
+    order = Window.partitionBy(*FILE).orderBy("v")
     ahead, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
 
     def pick(top: bool, owner: Column | None = None) -> Column:
@@ -169,29 +198,36 @@ def _declared(files: DataFrame) -> DataFrame:
         ]
         return F.coalesce(*found)
 
-    closes = lambda floor: F.min(F.when((F.col("depth") + F.col("delta") <= floor) & F.col("code").contains("}"), F.col("n"))).over(onward)
-    # A header over several lines ends where its parentheses are closed.
-    header_end = F.first(F.when(F.col("parens") + F.col("rounds") <= 0, F.col("code")), ignorenulls=True).over(onward)
-    opens = F.coalesce(header_end, F.lit("")).contains("{") | F.coalesce(F.startswith(F.col("next_code"), F.lit("{")), F.lit(False))
-    rows = rows.withColumn("top", F.when((F.col("depth") == 0) & (F.col("parens") == 0), pick(True)))
-    rows = rows.withColumn("top_end", F.when(opens, F.coalesce(closes(0), F.col("n"))).otherwise(F.col("n")))
+    # The statement, and the line, where a block goes back to the depth it was opened at.
+    here = F.struct("v", F.col("last").alias("n"))
+    closes = lambda floor: F.min(F.when((F.col("depth") + F.col("delta") <= floor) & F.col("code").contains("}"), here)).over(onward)
+    opens = (F.col("delta") > 0) | (~F.trim("code").rlike("[;{}]$") & F.coalesce(F.startswith(F.col("next_code"), F.lit("{")), F.lit(False)))
+    # A type's header may go on over lines before its brace.
+    headed = F.col("d.kind").isin("class", "interface", "enum", "trait", "object", "case-class", "annotation", "graphql-type", "graphql-input", "graphql-enum") & ~F.trim("code").rlike("[;{}]$")
+    rows = rows.withColumn("top", F.when(F.col("depth") == 0, pick(True))).withColumn("d", F.col("top"))
+    first_brace = F.first(F.when(F.trim("code").rlike("[;{}]$"), F.col("delta")), ignorenulls=True).over(onward)
+    opens = opens | (F.coalesce(headed, F.lit(False)) & (F.coalesce(first_brace, F.lit(0)) > 0))
+    rows = rows.withColumn("top_end", F.when(opens, F.coalesce(closes(0), here)).otherwise(here))
     private = F.col("decl").rlike("^\\s*(?:(?:static|final|abstract|override|lazy|implicit|sealed|readonly)\\s+)*private\\b")
     exported = F.col("code").rlike("^\\s*export\\b") | F.coalesce(F.array_contains("exported", F.col("top.name")), F.lit(False))
     rows = rows.withColumn("shown", ~private & (~F.col("language").isin(*JS) | (F.col("depth") > 0) | exported))
-    owner = F.last(F.when(F.col("top").isNotNull(), F.struct("n", "top.kind", "top.name", "top_end", "shown")), ignorenulls=True).over(ahead)
-    rows = rows.withColumn("owner", owner).withColumn("owner", F.when((F.col("depth") >= 1) & (F.col("owner.top_end") >= F.col("n")), F.col("owner")))
-    member = F.when((F.col("depth") == 1) & (F.col("parens") == 0) & F.col("owner").isNotNull(), pick(False, F.col("owner.kind")))
+    owner = F.last(F.when(F.col("top").isNotNull(), F.struct("v", "n", "top.kind", "top.name", F.col("top_end.v").alias("end"), "shown")), ignorenulls=True).over(ahead)
+    rows = rows.withColumn("owner", owner).withColumn("owner", F.when((F.col("depth") >= 1) & (F.col("owner.end") >= F.col("v")), F.col("owner")))
+    member = F.when((F.col("depth") == 1) & F.col("owner").isNotNull(), pick(False, F.col("owner.kind")))
     rows = rows.withColumn("member", member).withColumn("d", F.coalesce("top", "member"))
-    rows = rows.withColumn("end", F.when(F.col("top").isNotNull(), F.col("top_end")).when(opens, F.coalesce(closes(1), F.col("n"))).otherwise(F.col("n")))
-    # Annotations and comments stand on the lines between the last code line and the declaration.
-    mark = "^\\s*(@\\w+(?:\\(.*\\))?)\\s*$"
-    rows = rows.withColumn("mark", F.when(F.col("line").rlike(mark) & (F.trim("code") != ""), F.trim("line")))
+    rows = rows.withColumn("end", F.when(F.col("top").isNotNull(), F.col("top_end")).when(opens, F.coalesce(closes(1), here)).otherwise(here))
+    # Annotations and comments stand in the statements between the last one of code and the declaration.
+    alone = F.col("code").rlike(f"^\\s*(?:{_MARK}\\s*)+$")
+    marks = F.regexp_extract_all(F.regexp_replace(F.regexp_replace("line", "\\s*\\n\\s*", " "), "//[^\"']*$", ""), F.lit(_RAW_MARK), F.lit(0))
+    rows = rows.withColumn("mark", F.when(alone, marks))
     rows = rows.withColumn("note", F.when((F.trim("code").isin("", "\"\"")) & (F.trim("line") != ""), F.trim("line")))
     rows = rows.withColumn("run", F.sum(F.when(F.col("mark").isNull() & ~F.trim("code").isin("", "\"\""), 1).otherwise(0)).over(ahead))
-    in_run = Window.partitionBy(*FILE, "run").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    inline = F.regexp_extract_all("line", F.lit("(@\\w+(?:\\([^)]*\\))?)(?=.*\\w+\\s+\\w+)"), F.lit(1))
+    in_run = Window.partitionBy(*FILE, "run").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # Marks ahead of the declaration on its own line.
+    leading = F.regexp_extract(F.regexp_replace("line", "\\s*\\n\\s*", " "), f"^\\s*((?:{_RAW_MARK}\\s+)+)(?=\\w)", 1)
+    inline = F.regexp_extract_all(leading, F.lit(_RAW_MARK), F.lit(0))
     declares = F.col("d").isNotNull()
-    rows = rows.withColumn("annotations", F.when(declares, F.concat(F.collect_list("mark").over(in_run), F.when(F.col("line").rlike("^\\s*@(?!interface)"), inline).otherwise(F.array().cast("array<string>")))))
+    rows = rows.withColumn("annotations", F.when(declares, F.concat(F.flatten(F.collect_list("mark").over(in_run)), inline)))
     return rows.withColumn("notes", F.when(declares, F.collect_list("note").over(in_run)))
 
 
@@ -206,11 +242,11 @@ def _comment(notes: Column, language: Column) -> Column:
 
 
 def _headers(rows: DataFrame) -> DataFrame:
-    """(file, n, header): a type's code from its line up to its brace, on one line."""
-    order = Window.partitionBy(*FILE).orderBy("n")
-    tops = rows.where("depth = 0").withColumn("at", F.last(F.when(F.col("top").isNotNull(), F.col("n")), ignorenulls=True).over(order)).where("at is not null")
-    lines = tops.groupBy(*FILE, "at").agg(F.array_sort(F.collect_list(F.struct("n", "decl"))).alias("l"))
-    return lines.select(*FILE, F.col("at").alias("n"), F.substring_index(F.array_join(F.transform("l", lambda x: x["decl"]), " "), "{", 1).alias("header"))
+    """(file, v, header): a type's code from its first statement up to its brace, on one line."""
+    order = Window.partitionBy(*FILE).orderBy("v")
+    tops = rows.where("depth = 0").withColumn("at", F.last(F.when(F.col("top").isNotNull(), F.col("v")), ignorenulls=True).over(order)).where("at is not null")
+    lines = tops.groupBy(*FILE, "at").agg(F.array_sort(F.collect_list(F.struct("v", F.regexp_replace("decl", "\\s+", " ").alias("decl")))).alias("l"))
+    return lines.select(*FILE, F.col("at").alias("v"), F.substring_index(F.array_join(F.transform("l", lambda x: x["decl"]), " "), "{", 1).alias("header"))
 
 
 def _names(clause: Column) -> Column:
@@ -220,18 +256,18 @@ def _names(clause: Column) -> Column:
 
 
 def _calls(rows: DataFrame) -> DataFrame:
-    """(file, n, call_sites, jsx_elements) of the method or function that begins on line n."""
-    order = Window.partitionBy(*FILE).orderBy("n")
+    """(file, v, call_sites, jsx_elements) of the method or function that begins with statement v."""
+    order = Window.partitionBy(*FILE).orderBy("v")
     callable_ = F.when(F.col("language") == "java", F.col("member.kind").isin("method", "constructor")).otherwise(F.col("top.kind").isin("function", "constant") & F.col("language").isin(*JS))
-    unit = F.last(F.when(F.coalesce(callable_, F.lit(False)), F.struct("n", "end")), ignorenulls=True).over(order)
-    body = rows.withColumn("unit", unit).where("unit.end >= n").withColumn("code", F.when(F.col("unit.n") == F.col("n"), F.regexp_extract("code", "(?:\\{|=>|=)(.*)$", 1)).otherwise(F.col("code")))
+    unit = F.last(F.when(F.coalesce(callable_, F.lit(False)), F.struct("v", F.col("end.v").alias("end"))), ignorenulls=True).over(order)
+    body = rows.withColumn("unit", unit).where("unit.end >= v").withColumn("code", F.when(F.col("unit.v") == F.col("v"), F.regexp_extract("code", "(?s)(?:\\{|=>|=)(.*)$", 1)).otherwise(F.col("code")))
     sites = F.transform(F.regexp_extract_all("code", F.lit(_CALL), F.lit(1)), lambda c: F.struct(
         F.element_at(F.split(c, "\\s*\\.\\s*"), -1).alias("target"), F.when(c.contains("."), F.trim(F.substring_index(c, ".", 1))).alias("receiver")))
     sites = F.filter(sites, lambda c: ~c["target"].isin(_NO_CALLS))
     jsx = F.when(F.col("language").isin("tsx", "javascript"), F.regexp_extract_all("code", F.lit("(?<![\\w)])<([A-Za-z][\\w.]*)(?=[\\s/>]|$)"), F.lit(1)))
-    found = body.select(*FILE, F.col("unit.n").alias("at"), "n", sites.alias("sites"), jsx.alias("jsx")).where("size(sites) > 0 or size(jsx) > 0")
-    flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]))
-    return found.groupBy(*FILE, "at").agg(flat("sites").cast(CALL_SITES).alias("call_sites"), F.array_distinct(F.flatten(F.collect_list("jsx"))).alias("jsx_elements")).withColumnRenamed("at", "n")
+    found = body.select(*FILE, F.col("unit.v").alias("at"), "v", sites.alias("sites"), jsx.alias("jsx")).where("size(sites) > 0 or size(jsx) > 0")
+    flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("v", c))), lambda x: x[c]))
+    return found.groupBy(*FILE, "at").agg(flat("sites").cast(CALL_SITES).alias("call_sites"), F.array_distinct(F.flatten(F.collect_list("jsx"))).alias("jsx_elements")).withColumnRenamed("at", "v")
 
 
 def _operations(files: DataFrame) -> DataFrame:
@@ -251,16 +287,18 @@ def _operations(files: DataFrame) -> DataFrame:
 
 
 def _api_calls(rows: DataFrame) -> DataFrame:
-    """Symbols of calls to absolute paths, named after the function around them."""
-    order = Window.partitionBy(*FILE).orderBy("n")
+    """Symbols of calls to absolute paths, one a line of a statement, named after the function around them."""
+    order = Window.partitionBy(*FILE).orderBy("v")
     rows = rows.where(F.col("language").isin(*JS))
-    within = lambda c, end: F.last(F.when(c, F.struct("d.name", F.col(end).alias("end"))), ignorenulls=True).over(order)
-    rows = rows.withColumn("method_at", within(F.col("member.kind") == "method", "end")).withColumn("function_at", within(F.col("top.kind").isin("function", "constant"), "end"))
-    hit = rows.where(F.col("line").rlike(_API) & (F.trim("code") != ""))
-    around = F.coalesce(F.when(F.col("method_at.end") >= F.col("n"), F.col("method_at.name")), F.when(F.col("function_at.end") >= F.col("n"), F.col("function_at.name")), F.concat(F.lit("api_call_"), (F.col("n") + 1).cast("string")))
+    within = lambda c: F.last(F.when(c, F.struct("d.name", F.col("end.v").alias("end"))), ignorenulls=True).over(order)
+    rows = rows.withColumn("method_at", within(F.col("member.kind") == "method")).withColumn("function_at", within(F.col("top.kind").isin("function", "constant")))
+    lines = F.posexplode(F.arrays_zip(F.split("line", "\n").alias("line"), F.split("blank", "\n").alias("blank"))).alias("k", "both")
+    hit = rows.where(F.col("line").rlike(_API)).select(*FILE, "language", "package_name", "file_ord", "v", "n", "method_at", "function_at", lines)
+    hit = hit.select("*", "both.line", "both.blank").withColumn("n", F.col("n") + F.col("k")).where(F.col("line").rlike(_API) & (F.trim("blank") != ""))
+    around = F.coalesce(F.when(F.col("method_at.end") >= F.col("v"), F.col("method_at.name")), F.when(F.col("function_at.end") >= F.col("v"), F.col("function_at.name")), F.concat(F.lit("api_call_"), (F.col("n") + 1).cast("string")))
     verb = F.upper(F.regexp_extract("line", _API, 1))
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", _API, 2), "\\$\\{[^}]*\\}", "{param}"), "(?<=.)/$", "")
-    return hit.select(*FILE, "language", "package_name", "file_ord", "n", F.lit(1).alias("rank"), around.alias("name"), F.lit("api-call").alias("kind"), F.when(verb == "", "GET").otherwise(verb).alias("api_method"), path.alias("api_path"), F.col("n").alias("end"))
+    return hit.select(*FILE, "language", "package_name", "file_ord", "v", "n", (F.col("k") + 1).alias("rank"), around.alias("name"), F.lit("api-call").alias("kind"), F.when(verb == "", "GET").otherwise(verb).alias("api_method"), path.alias("api_path"), F.col("n").alias("end_n"))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
@@ -285,27 +323,28 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     kind = F.when((F.col("language") == "graphql") & root.isNotNull(), root).otherwise(kind)
     modifiers = F.regexp_extract("decl", f"^\\s*({_MODS})", 1)
     visibility = F.when(modifiers.rlike("\\bprotected\\b"), "protected").when((F.col("language") == "java") & ~modifiers.rlike("\\bpublic\\b") & (F.col("d.kind") != "constant"), "default").otherwise("public")
-    signature = F.trim(F.regexp_replace(F.regexp_replace("line", "^\\s*(?:@(?!interface)\\w+(?:\\([^)]*\\))?\\s+)+(?=\\w)", ""), "\\s*\\{\\s*$|;\\s*$", ""))
+    signature = F.regexp_replace(F.regexp_replace("line", f"^\\s*(?:{_RAW_MARK}\\s+)+(?=\\w)", ""), "\\s*\\n\\s*", " ")
+    signature = F.trim(F.regexp_replace(signature, "\\s*[{};]\\s*$", ""))
     for language, most in SIGNATURE.items():
         signature = F.when(F.col("language") == language, F.substring(signature, 1, most)).otherwise(signature)
     extends = F.regexp_extract("header", "\\bclass\\s+\\w+(?:\\s*<[^{]*?>)?\\s+extends\\s+([\\w.]+)", 1)
     extends = F.when(F.col("language") != "scala", F.when(extends != "", F.element_at(F.split(extends, "\\."), -1)))
     implements = F.when((F.col("d.kind") != "interface") & (F.col("language") != "scala"), F.regexp_extract("header", "\\bimplements\\s+(.+)$", 1))
-    out = seen.join(_headers(rows), [*FILE, "n"], "left").join(_calls(rows), [*FILE, "n"], "left")
+    out = seen.join(_headers(rows), [*FILE, "v"], "left").join(_calls(rows), [*FILE, "v"], "left")
     out = out.select(
-        *FILE, "language", "package_name", "file_ord", "n", F.lit(0).alias("rank"), "name", kind.alias("kind"), visibility.alias("visibility"), signature.alias("signature"), _comment(F.col("notes"), F.col("language")).alias("doc_comment"),
+        *FILE, "language", "package_name", "file_ord", "v", "n", F.lit(0).alias("rank"), "name", kind.alias("kind"), visibility.alias("visibility"), signature.alias("signature"), _comment(F.col("notes"), F.col("language")).alias("doc_comment"),
         "annotations", F.when(F.col("top").isNotNull(), extends).alias("extends_name"), F.when(F.col("top").isNotNull() & (implements != ""), _names(implements)).alias("implements_names"),
-        F.when(F.col("kind").isin(*_FUNCTIONS, "method", "constructor"), F.col("call_sites")).alias("call_sites"), "jsx_elements", F.col("end"),
-        F.when(F.col("member").isNotNull() & root.isNull(), F.col("owner.n")).alias("parent_n"), F.col("top").isNotNull().alias("is_top"),
+        F.when(F.col("kind").isin(*_FUNCTIONS, "method", "constructor"), F.col("call_sites")).alias("call_sites"), "jsx_elements", F.col("end.n").alias("end_n"),
+        F.when(F.col("member").isNotNull() & root.isNull(), F.col("owner.v")).alias("parent_v"), F.col("top").isNotNull().alias("is_top"),
     )
     out = out.unionByName(_api_calls(rows), allowMissingColumns=True).join(_operations(files), [*FILE, "name"], "left")
     is_operation = F.coalesce(F.col("is_top") & (F.col("kind") == "constant"), F.lit(False)) & F.col("gql_operation_type").isNotNull()
     out = out.withColumns({"kind": F.when(is_operation, "gql-operation").otherwise(F.col("kind")), **{c: F.when(is_operation, F.col(c)) for c in ("gql_operation_type", "gql_fields")}})
-    order = Window.partitionBy(*FILE).orderBy("n", "rank", "name")
+    order = Window.partitionBy(*FILE).orderBy("v", "rank", "name")
     out = out.withColumn("sym_ord", F.row_number().over(order) - 1)
-    parent = F.last(F.when(F.col("is_top"), F.struct("n", "sym_ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("p", parent).withColumn("parent_ord", F.when(F.col("p.n") == F.col("parent_n"), F.col("p.sym_ord")))
-    out = out.withColumn("start_line", F.col("n") + 1).withColumn("end_line", F.col("end") + 1).withColumn("visibility", F.coalesce("visibility", F.lit("public")))
+    parent = F.last(F.when(F.col("is_top"), F.struct("v", "sym_ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("p", parent).withColumn("parent_ord", F.when(F.col("p.v") == F.col("parent_v"), F.col("p.sym_ord")))
+    out = out.withColumn("start_line", F.col("n") + 1).withColumn("end_line", F.col("end_n") + 1).withColumn("visibility", F.coalesce("visibility", F.lit("public")))
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SYMBOLS.fields])
 
 
