@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import extract_terms, snippet
-from symgraph.operators import dml, ingest, modules, resolve, search, sections, stack, traversal
+from symgraph.operators import dml, index, ingest, modules, resolve, search, sections, stack, traversal
 from symgraph.sources import build_files, cache, code, test_markers
 from symgraph.storage import commit_tables, committed_tables, materialize
 
@@ -37,6 +37,7 @@ class Workspace:
     documents: DataFrame | None = None
     warned: DataFrame | None = None
     indexes: dict[str, DataFrame] = field(default_factory=dict)
+    words: index.Index | None = None
     structure: dict[str, tuple[str, str]] | None = None
     found: DataFrame | None = None
 
@@ -49,7 +50,7 @@ class Workspace:
 
     def load(self, symbols: DataFrame, imports: DataFrame | None = None, files: DataFrame | None = None) -> "Workspace":
         """Take in symbol rows and resolve all edges; files(module, file_path, text, hash) serve snippets and staleness."""
-        self.tables = ingest.ingest(symbols, imports)
+        self.tables, self.words = ingest.ingest(symbols, imports), None
         self.tables["edges"] = resolve.resolve_all(self.tables)
         self.indexes = {}
         if files is not None:
@@ -107,9 +108,10 @@ class Workspace:
         sources = files.select("module", "file_path", "text", "hash")
         if stored is not None:
             seen = files.select("module", F.col("file_path").alias("path"), "hash")
-            gone = stored.where(F.col("module").isin(names)).join(seen, ["module", "path", "hash"], "left_anti").select("file_id")
-            old = {k: v for k, v in self.tables.items() if k not in ("postings", "lengths", "symbols")}
-            new = ingest.merge(old, materialize(gone, "gone"), new)
+            gone = materialize(stored.where(F.col("module").isin(names)).join(seen, ["module", "path", "hash"], "left_anti").select("file_id"), "gone")
+            if self.words is not None:
+                self.words.remove(self.tables["nodes"].join(gone, "file_id", "left_semi")).add(new["nodes"])
+            new = ingest.merge({k: v for k, v in self.tables.items() if k != "symbols"}, gone, new)
         if known is not None:
             sources = materialize(self.tables["sources"].where(~F.col("module").isin(names)).select(sources.columns).union(sources), "sources")
         if "symbols" in self.tables:
@@ -144,10 +146,14 @@ class Workspace:
 
     def save(self, root: str) -> str:
         """Write all tables as one version below root; readers see all of it or nothing."""
-        return commit_tables(self.spark, self._t(), root)
+        held = {f"index_{k}": v for k, v in self.words.tables.items()} if self.words is not None else {}
+        return commit_tables(self.spark, self._t() | held, root)
 
     def open(self, root: str) -> "Workspace":
-        self.tables, self.indexes = committed_tables(self.spark, root), {}
+        found = committed_tables(self.spark, root)
+        held = {k.removeprefix("index_"): v for k, v in found.items() if k.startswith("index_")}
+        self.tables, self.indexes = {k: v for k, v in found.items() if not k.startswith("index_")}, {}
+        self.words = index.Index.opened(self.spark, "id", SEARCHED, held) if held else None
         return self
 
     def _symbols_of(self, module: str) -> DataFrame:
@@ -240,18 +246,18 @@ class Workspace:
     def _named(self, name: str, module: str | None = None) -> DataFrame:
         return search.named(self._t()["nodes"], name, module=module)
 
-    def _index(self) -> tuple[DataFrame, DataFrame]:
-        """Postings and document lengths of the nodes, written at the first search after a scan."""
-        if "postings" not in self._t():
-            self.tables["postings"], self.tables["lengths"] = search.write_index(self.tables["nodes"], "id", SEARCHED)
-        return self.tables["postings"], self.tables["lengths"]
+    def _index(self) -> index.Index:
+        """The index of the nodes, made at the first search; later scans add segments to it."""
+        if self.words is None:
+            self.words = index.Index.build(self._t()["nodes"], "id", SEARCHED)
+        return self.words
 
     def search_symbols(self, query: str, kind: str | None = None, module: str | None = None, limit: int = 20) -> DataFrame:
         n = self._t()["nodes"]
         where: Column = F.lit(True)
         where = where & (F.col("kind") == kind) if kind else where
         where = where & (F.col("module") == module) if module else where
-        found = search.search_index(*self._index(), query, "id", n.where(where).select("id") if kind or module else None, limit)
+        found = self._index().search(query, limit, n.where(where).select("id") if kind or module else None)
         rows = found.join(n.select("id", "name", "qualified", "kind", "file_id", "start_line", "module", "signature"), "id")
         return rows.join(self._t()["files"].select("file_id", F.col("path").alias("file_path")), "file_id", "left").orderBy("rank", "id")
 
@@ -305,7 +311,7 @@ class Workspace:
         """Symbols around the best search hits for a task's words."""
         t = self._t()
         terms = self.spark.range(1).select(extract_terms(F.lit(task)).alias("t")).first().t
-        found = search.search_index(*self._index(), " OR ".join(x.replace("-", " ") for x in terms), "id", limit=10)
+        found = self._index().search(" OR ".join(x.replace("-", " ") for x in terms), 10)
         ranked = found.select(F.col("id").alias("node"), (F.row_number().over(Window.orderBy("rank", "id")) - 1).alias("seed_rank"))  # ten rows at most
         nodes = t["nodes"].select(F.col("id").alias("node"), "name", "kind", "module")
         return traversal.build_context(nodes, t["edges"], ranked, t["rest_endpoints"].select(F.col("node_id").alias("node")), max_nodes)

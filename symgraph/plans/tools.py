@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as X
-from symgraph.operators import ingest, modules, resolve
+from symgraph.operators import index, ingest, modules, resolve
 from symgraph.operators import search as S
 from symgraph.operators import sections as sec
 from symgraph.sources import build_files, code, documents, test_markers
@@ -259,5 +259,22 @@ def register(into_queries: dict, into_oracles: dict, headed, headed_sql: str, bm
 
     by_index("search_index_or", "tion OR edes the", [["tion"], ["edes", "the"]])
     by_index("search_index_phrase", "apache_license", [["apache license"]])
+
+    def by_blocks(name: str, text: str, groups: list[list[str]], limit: int | None, change: bool = False):
+        top = "" if limit is None else f" ORDER BY rank, doc_id LIMIT {limit}"
+
+        @query(name, f"SELECT * FROM ({bm25_sql(groups)}){top}")
+        def run(spark, sf):
+            """The index is made of two thirds of the documents and of others by their texts' halves, which are taken out again, or at once."""
+            docs = table(spark, sf, "documents").select("doc_id", "text")
+            if not change:
+                return index.Index.build(docs, "doc_id", ["text"]).search(text, limit)
+            half = docs.where("doc_id % 3 = 0").withColumn("text", F.expr("substr(text, 1, length(text) div 2)"))
+            built = index.Index.build(docs.where("doc_id % 3 <> 0").union(half), "doc_id", ["text"])
+            return built.remove(half).add(docs.where("doc_id % 3 = 0")).search(text, limit)
+
+    by_blocks("search_blocks_top", "tion OR the OR edes", [["tion"], ["the"], ["edes"]], 20)
+    by_blocks("search_blocks_changed", "tion OR the", [["tion"], ["the"]], 20, True)
+    by_blocks("search_blocks_phrase", "apache_license OR edes the", [["apache license"], ["edes", "the"]], None, True)
     into_queries.update(QUERIES)
     into_oracles.update(ORACLES)
