@@ -73,7 +73,7 @@ class Workspace:
         """Take in files that are new or changed since they were last seen, and resolve edges over all of them.
 
         Files that give no symbols and test files are left out; a file that changed or went takes all that hung on
-        it along. Where no file changed, nothing is extracted or resolved.
+        it along. Where no file changed, nothing is extracted or resolved; where some did, only edges that the change can touch are made again.
         """
         texts, warned = [], [self.spark.createDataFrame([(m, 0, w) for m, w in rejected], "module string, ord int, message string")]
         for module, root in roots.items():
@@ -105,7 +105,7 @@ class Workspace:
             symbols = materialize(symbols.join(reduce(DataFrame.union, tests), ["module", "file_path"], "left_anti"), "scanned")
         stored = self.tables.get("files")
         new = ingest.ingest(symbols, imports, fresh, stored.select("module", "path", "file_id") if stored is not None else None)
-        sources = files.select("module", "file_path", "text", "hash")
+        sources, taken = files.select("module", "file_path", "text", "hash"), fresh.select("module", F.col("file_path").alias("path"))
         if stored is not None:
             seen = files.select("module", F.col("file_path").alias("path"), "hash")
             gone = materialize(stored.where(F.col("module").isin(names)).join(seen, ["module", "path", "hash"], "left_anti").select("file_id"), "gone")
@@ -119,8 +119,13 @@ class Workspace:
             kept = self.tables["symbols"].where(F.col("module").isin(names)).join(still, ["module", "file_path"], "left_semi")
             others = self.tables["symbols"].where(~F.col("module").isin(names))
             symbols = materialize(reduce(DataFrame.union, [x.select(symbols.columns) for x in (others, kept, symbols)]), "module-symbols")
+        before = self.tables
         self.tables = new | {"sources": sources, "symbols": symbols}
-        self.tables["edges"] = resolve.resolve_all(self.tables)
+        if stored is not None and "edges" in before:
+            came = self.tables["files"].join(taken, ["module", "path"], "left_semi").select("file_id")
+            self.tables["edges"] = resolve.resolve_changes(self.tables, before["edges"], before, gone, materialize(came, "came"))
+        else:
+            self.tables["edges"] = resolve.resolve_all(self.tables)
         self.indexes = {}
         self.warned = materialize(reduce(DataFrame.union, warned), "warnings")
         return self
