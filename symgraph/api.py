@@ -119,14 +119,13 @@ class Workspace:
             kept = self.tables["symbols"].where(F.col("module").isin(names)).join(still, ["module", "file_path"], "left_semi")
             others = self.tables["symbols"].where(~F.col("module").isin(names))
             symbols = materialize(reduce(DataFrame.union, [x.select(symbols.columns) for x in (others, kept, symbols)]), "module-symbols")
-        before = self.tables
-        self.tables = new | {"sources": sources, "symbols": symbols}
-        if stored is not None and "edges" in before:
-            came = self.tables["files"].join(taken, ["module", "path"], "left_semi").select("file_id")
-            self.tables["edges"] = resolve.resolve_changes(self.tables, before["edges"], before, gone, materialize(came, "came"))
+        tables = new | {"sources": sources, "symbols": symbols}
+        if stored is not None and "edges" in self.tables:
+            came = tables["files"].join(taken, ["module", "path"], "left_semi").select("file_id")
+            tables["edges"] = resolve.resolve_changes(tables, self.tables["edges"], self.tables, gone, materialize(came, "came"))
         else:
-            self.tables["edges"] = resolve.resolve_all(self.tables)
-        self.indexes = {}
+            tables["edges"] = resolve.resolve_all(tables)
+        self.tables, self.indexes = tables, {}  # whoever reads meanwhile sees the tables before or after
         self.warned = materialize(reduce(DataFrame.union, warned), "warnings")
         return self
 
