@@ -170,20 +170,20 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
     """(node, depth, seed_rank) by expanding ranked seeds(node, seed_rank) one after another, both ways.
 
     A node belongs to the first seed that reaches it: what an earlier seed reached blocks
-    later ones, and a seed that was reached already is not expanded. At most ten seeds, two
-    levels each; only each new frontier is written.
+    later ones. A seed that was reached already keeps its place and is expanded nevertheless. At most ten
+    seeds, two levels each; only each new frontier is written.
     """
     spark = edges.sparkSession
     kind = seeds.schema["node"].dataType.simpleString()
     order = seeds.orderBy("seed_rank").limit(10).collect()  # ten rows at most
     near = materialize(edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("node")).union(edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("node"))).distinct(), "steps")
     found: list[DataFrame] = []
-    reached: set = set()  # those of the ten seeds that an earlier one reached
+    reached: set = set()  # those of the ten seeds that were reached so far
     for row in order:
-        if row["node"] in reached:
-            continue
         level = spark.createDataFrame([(row["node"], 0, row["seed_rank"])], f"node {kind}, depth int, seed_rank int")
-        found.append(level)
+        if row["node"] not in reached:
+            reached.add(row["node"])
+            found.append(level)
         size = 1
         for step in range(1, depth + 1):
             frontier = level.select(F.col("node").alias("from"))

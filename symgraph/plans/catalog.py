@@ -176,7 +176,31 @@ def postings_stats(spark, sf):
     return S.postings(table(spark, sf, "documents"), "doc_id", ["text"]).groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("df"))
 
 
-@query("build_context")
+def _context_sql(word: str, seeds: int = 10, most: int = 20) -> str:
+    """Context around the best nodes for one word of their names: each seed's two levels are steps that leave out what came before."""
+    steps, parts = [], []
+    for i in range(seeds):
+        seen = " UNION ALL ".join(parts) or "SELECT NULL AS node, 0 AS depth, 0 AS seed_rank WHERE false"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT node, 0 AS depth, {i} AS seed_rank FROM seeds WHERE seed_rank = {i} AND node NOT IN (SELECT node FROM ({seen})))")
+        parts.append(f"SELECT * FROM a{i}")
+        for d, start in ((1, f"(SELECT node FROM seeds WHERE seed_rank = {i})"), (2, f"b{i}_1")):
+            seen = " UNION ALL ".join(parts)
+            steps.append(f"b{i}_{d} AS MATERIALIZED (SELECT DISTINCT n.node, {d} AS depth, {i} AS seed_rank FROM near n JOIN {start} s ON n.place = s.node WHERE n.node NOT IN (SELECT node FROM ({seen})))")
+            parts.append(f"SELECT * FROM b{i}_{d}")
+    return f"""
+    WITH {G.NODES_SQL}, {G.EDGES_SQL},
+    near AS MATERIALIZED (SELECT source_id AS place, target_id AS node FROM te UNION SELECT target_id, source_id FROM te),
+    d AS (SELECT node, regexp_extract_all(lower(strip_accents(coalesce(name, ''))), '[\\p{{L}}\\p{{N}}]+') AS toks FROM tn),
+    c AS (SELECT node, len(toks) AS dl, len(list_filter(toks, lambda t: t = '{word}')) AS h FROM d),
+    s AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl, count(*) FILTER (WHERE h > 0) AS n FROM c),
+    hits AS (SELECT node, round(-(greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * (h * 2.2) / (h + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank FROM c, s WHERE h > 0),
+    seeds AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY rank, node) - 1 AS seed_rank FROM hits ORDER BY rank, node LIMIT {seeds}),
+    {', '.join(steps)},
+    scored AS (SELECT v.node, name, kind, module, depth, seed_rank, round(CASE WHEN depth = 0 THEN (10 - seed_rank) * 3 ELSE 0 END + 1 / (depth + 1), 6) AS score FROM ({' UNION ALL '.join(parts)}) v JOIN tn ON v.node = tn.node)
+    SELECT node, name, kind, module, depth, score FROM scored ORDER BY score DESC, seed_rank, depth, node LIMIT {most}"""
+
+
+@query("build_context", _context_sql("supplier"))
 def build_context(spark, sf):
     nodes = G.nodes(spark, sf)
     found = S.search(nodes, "supplier", "node", ["name"], limit=10)

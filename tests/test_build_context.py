@@ -1,6 +1,9 @@
 from collections import defaultdict
 
+import duckdb
+
 from symgraph.operators import search as S
+from symgraph.operators import traversal
 from symgraph.plans import catalog
 from symgraph.plans import ordergraph as G
 
@@ -28,9 +31,7 @@ def test_context_equals_a_brute_force_walk(spark, tmp_path):
     seeds = [r.node for r in S.search(G.nodes(spark, sf), "supplier", "node", ["name"], limit=10).orderBy("rank", "node").collect()]
     visited: dict = {}
     for rank, seed in enumerate(seeds):
-        if seed in visited:
-            continue
-        visited[seed] = (0, rank)
+        visited.setdefault(seed, (0, rank))  # one that was reached already is expanded nevertheless
         frontier = [seed]
         for depth in (1, 2):
             frontier = [n for n in {m for f in frontier for m in near[f]} if n not in visited]
@@ -40,3 +41,21 @@ def test_context_equals_a_brute_force_walk(spark, tmp_path):
     got = [(-r.score, r.depth, r.node) for r in catalog.QUERIES["build_context"](spark, sf).collect()]
     assert got == want and len(seeds) == 10
     assert (0, "part:1") in {(d, n) for _, d, n in got} and (1, "order:5") in {(d, n) for _, d, n in got}
+
+
+def test_a_seed_that_was_reached_is_expanded(spark):
+    """Chain 1-2-3-4-5-6: seed 1 reaches 2 and 3; seed 3 goes on from there under its own rank."""
+    edges = spark.createDataFrame([(i, i + 1, "calls") for i in range(1, 6)], "source_id long, target_id long, kind string")
+    seeds = spark.createDataFrame([(1, 0), (3, 1)], "node long, seed_rank int")
+    got = sorted((r.node, r.depth, r.seed_rank) for r in traversal.expand_seeds(edges, seeds).collect())
+    assert got == [(1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 1, 1), (5, 2, 1)]
+
+
+def test_context_equals_sql(spark, sf):
+    got = catalog.QUERIES["build_context"](spark, sf)
+    names = got.columns
+    with duckdb.connect() as db:
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+            db.execute(f"CREATE VIEW {t} AS FROM read_parquet('{sf}/{t}.parquet')")
+        wanted = db.execute(f"SELECT {', '.join(names)} FROM ({catalog.ORACLES['build_context']})").fetchall()
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in got.collect())
