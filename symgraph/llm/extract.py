@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
         own = b.last[-1] if b.last else ""
         found = ["bias", f"own:{own}", f"links:{density}", f"words:{_bucket(len(words))}", f"ends:{b.text[-1] in '.!?…。'}", f"own:{own}:links:{density}", f"links:{density}:words:{_bucket(len(words))}"]
         found += [f"in:{t}" for t in b.tags] + [f"name:{n}" for n in b.names] + [f"near:{t}" for t in set(b.last)]
-        if "©" in b.text:
+        found += ["way:" + ">".join(b.way), "outer:" + ">".join(b.way[:1])]
+        if "©" in b.text or words and words[0].lower() == "copyright":
             found.append("copyright")
         if "|" in b.text or "·" in b.text or "»" in b.text:
             found.append("separators")
@@ -77,8 +79,9 @@ class Field:
         return out[::-1] if blocks else []
 
 
+@lru_cache(4)
 def train(pages: int = FIT_PAGES, rounds: int = 12, seed: int = 7, decay: float = 1e-3) -> Field:
-    """Fit on labelled pages by adaptive gradient steps on the conditional likelihood."""
+    """Fit on labelled pages by adaptive gradient steps on the conditional likelihood; the same in every run, and fitted once in a process."""
     cases, index = [], {}
     for html in labelled_pages(pages, seed):
         blocks = leaf_blocks(html)

@@ -21,12 +21,14 @@ CLOSES = {
 }
 #: Implied ends do not reach past these.
 FENCES = frozenset("article aside body dialog div dl fieldset footer form header main nav ol section table ul".split())
+#: Elements whose order from the root down tells a site's header from an article's.
+PARTS = frozenset("main article section header footer nav aside form table dialog".split())
 _NAME = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
-    """A run of text: tags and names of all elements around it, the last three tags, characters in links, the label's mark."""
+    """A run of text: tags and names of all elements around it, the last three tags, characters in links, the label's mark, and the parts of the page around it from the root down."""
 
     text: str
     tags: frozenset[str]
@@ -34,6 +36,7 @@ class Block:
     last: tuple[str, ...]
     linked: int
     mark: str | None = None
+    way: tuple[str, ...] = ()
 
 
 @dataclass
@@ -44,6 +47,7 @@ class _Open:
     tags: frozenset[str]
     names: frozenset[str]
     mark: str | None
+    way: tuple[str, ...] = ()
 
 
 _ROOT = _Open("", frozenset(), frozenset(), None)
@@ -63,7 +67,7 @@ class _Reader(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 top = self.stack[-1] if self.stack else _ROOT
-                self.blocks.append(Block(text, top.tags, top.names, tuple(o.tag for o in self.stack[-3:]), self.linked, top.mark))
+                self.blocks.append(Block(text, top.tags, top.names, tuple(o.tag for o in self.stack[-3:]), self.linked, top.mark, top.way))
             self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
@@ -100,7 +104,8 @@ class _Reader(HTMLParser):
         names = {*_NAME.findall(words), *(["hidden"] if "hidden" in given else [])}
         mark = given.get("data-mark")
         self.stack.append(_Open(
-            tag, above.tags if tag in above.tags else above.tags | {tag}, above.names if names <= above.names else above.names | names, above.mark if mark is None else mark
+            tag, above.tags if tag in above.tags else above.tags | {tag}, above.names if names <= above.names else above.names | names, above.mark if mark is None else mark,
+            above.way + (tag,) if tag in PARTS and tag not in above.way else above.way,
         ))
         self.open[tag] += 1
         self.silent += tag in SILENT

@@ -85,7 +85,7 @@ class _Maker:
         if kind == "nav":
             inner = self.rng.choice([f"<ul>{self.links()}</ul>", f"<ul>{self.links()}</ul>", f'<a href="/">{self.word()}</a> » <a href="/x">{self.word()}</a>', f"<ul><li>{self.word()}</li><li>{self.words(1, 2)}</li></ul>"])
         elif kind == "footer":
-            inner = self.rng.choice([f"&copy; {self.word()}.example.com &middot; {self.prose(1, 2)}", f"<p>© 2024 {self.words(1, 4)}</p><ul>{self.links(1, 4)}</ul>", f"<p>{self.prose(1, 2)}</p>", self.prose(1, 3)])
+            inner = self.rng.choice([f"&copy; {self.word()}.example.com &middot; {self.prose(1, 2)}", f"<p>© 2024 {self.words(1, 4)}</p><ul>{self.links(1, 4)}</ul>", f"<p>{self.prose(1, 2)}</p>", self.prose(1, 3), f"Copyright 2021 {self.words(1, 3)}"])
         elif kind == "header":
             inner = self.rng.choice([f"<h1>{self.words(1, 3)}</h1><p>{self.words(2, 6)}</p>", f'<a href="/">{self.words(1, 2)}</a>', f"<div>{self.prose(1, 1)}</div>"])
         elif kind == "comments":
@@ -100,18 +100,30 @@ class _Maker:
         attrs = "" if named else self.attrs(REST_NAMES[kind])
         return f'<{tag}{attrs} data-mark="rest">{inner}</{tag}>'
 
+    def table(self, body: str) -> str:
+        """A layout of cells: the article in one, menus, side columns and the site's last line in others, or alone."""
+        cell = f'<td data-mark="main">{body}</td>'
+        menu = self.rng.choice([f'<a href="/">{self.word()}</a> ' * self.rng.randint(1, 5), f"<ul>{self.links(1, 5)}</ul>", f'<a href="/">{self.word()}</a> | <a href="/x">{self.words(1, 2)}</a>'])
+        side = self.rng.choice([f"<ul>{self.links(1, 6)}</ul>", f"<h3>{self.words(1, 3)}</h3><ul>{self.links(1, 5)}</ul>"])
+        last = self.rng.choice([f"Copyright {self.rng.randint(1995, 2030)} {self.words(1, 3)}", f"© {self.rng.randint(1995, 2030)} {self.words(1, 4)}", f"&copy; {self.words(1, 3)}. {self.words(2, 4)}."])
+        rest = lambda inner: f'<td data-mark="rest">{inner}</td>'
+        row = self.rng.choice([cell, cell, rest(side) + cell, cell + rest(side)])
+        above = f"<tr>{rest(menu)}</tr>" if self.rng.random() < 0.6 else ""
+        below = f"<tr>{rest(last)}</tr>" if self.rng.random() < 0.6 else ""
+        return f"<table>{above}<tr>{row}</tr>{below}</table>"
+
     def page(self) -> str:
         rng = self.rng
         self.paragraph = rng.choice(["p"] * 7 + ["div"] * 2 + ["br"])
         title = self.words(1, 12).capitalize()
         heading = f"<h1>{title}</h1>" if rng.random() < 0.85 else ""
-        if heading and rng.random() < 0.2:
-            heading = f"<header>{heading}</header>"
+        shape = rng.random()
+        if heading and shape < 0.52 and rng.random() < 0.35:  # a header of its own has an article or main around it
+            heading = f"<header>{heading}" + (f"<p>{self.words(2, 6)}</p>" if rng.random() < 0.4 else "") + "</header>"
         body = heading + self.paragraphs()
         within = rng.random()
         if within < 0.25:  # parts inside the article that are not of it
             body += self.rest(rng.choice(["ad", "aside", "comments", "form", "notice", "nav"])) + (f"<p>{self.prose()}</p>" if rng.random() < 0.5 else "")
-        shape = rng.random()
         whole = ""
         if shape < 0.4:
             main = f'<article{self.attrs(["", *MAIN_NAMES])} data-mark="main">{body}</article>'
@@ -121,8 +133,8 @@ class _Maker:
             main = f'<div{self.attrs(MAIN_NAMES[:-1])} data-mark="main">{body}</div>'
         elif shape < 0.86:  # layouts that name nothing
             main = f'<div data-mark="main">{body}</div>'
-        elif shape < 0.91:
-            main = f'<table><tr><td data-mark="main">{body}</td></tr></table>'
+        elif shape < 0.93:
+            main = self.table(body)
         else:
             main, whole = body, ' data-mark="main"'
         if rng.random() < 0.3:

@@ -55,6 +55,22 @@ def test_layouts_without_names_keep_every_paragraph(field, page):
     assert E.main_text(page, field) == want
 
 
+@pytest.mark.parametrize("page", [
+    "<body><header><h1>Site</h1></header><main><h1>A title</h1><p>First paragraph has words in it.</p><p>Second one too, with more of them.</p></main></body>",
+    "<body><header><h1>Site</h1><p>Words under it</p></header><article><h2>A title</h2><p>First paragraph has words in it.</p><p>Second one too, with more of them.</p></article><footer>Copyright 2020 someone</footer></body>",
+    "<body><table><tr><td><a href=/>Home</a> <a href=/a>A</a></td></tr><tr><td><h1>A title</h1><p>First paragraph has words in it.</p><p>Second one too, with more of them.</p></td></tr><tr><td>Copyright 2020 someone</td></tr></table></body>",
+    "<body><table><tr><td><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></td><td><h1>A title</h1><p>First paragraph has words in it.</p><p>Second one too, with more of them.</p></td></tr></table></body>",
+])
+def test_site_headers_and_cells_beside_the_article_go(field, page):
+    text = E.main_text(page, field)
+    assert text.endswith("A title First paragraph has words in it. Second one too, with more of them.") and len(text) < 81
+
+
+def test_a_header_inside_an_article_stays(field):
+    page = "<body><nav><a href=/>Home</a></nav><article><header><h1>A title of it</h1></header><p>First paragraph has words in it.</p><p>Second one too, with more of them.</p></article></body>"
+    assert E.main_text(page, field) == "A title of it First paragraph has words in it. Second one too, with more of them."
+
+
 def test_deep_and_unclosed_markup_costs_no_more_than_its_length():
     import time
 
