@@ -23,7 +23,7 @@ ALLOWED_HOSTS = [
 ]
 
 #: Letters with marks and the letters they are built on, from Unicode's decompositions.
-_MARKED = {chr(c): d[0] for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFD", chr(c))) and d[0] != chr(c) and d[0].isascii()}
+_MARKED = {chr(c): d[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (d := unicodedata.normalize("NFD", chr(c))) and d[0] != chr(c) and d[0].isascii()}
 
 
 def fold(text: Column) -> Column:

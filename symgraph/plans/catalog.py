@@ -362,6 +362,11 @@ def cascade_delete(spark, sf):
     return dml.delete_files({"nodes": orders, "lines": lines}, doomed)["lines"]
 
 
+@query("edges_without_kinds", f"WITH {G.EDGES_SQL} SELECT source_id, target_id, kind FROM te WHERE kind NOT IN ('in', 'contains')")
+def edges_without_kinds(spark, sf):
+    return dml.delete_edges_by_kind(G.edges(spark, sf), ["in", "contains"])
+
+
 @query("stale_detection", """
     SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'changed' END AS status FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0""")
 def stale_detection(spark, sf):

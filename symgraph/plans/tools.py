@@ -115,6 +115,61 @@ def two_modules(spark, sf):
     return edges.join(of, "source_id").join(t["files"].select("file_id", "module", "path"), "file_id").select("module", "path", "file_id", "source_id", "target_id", "kind")
 
 
+_SDL = "concat('type T', s_suppkey, ' { id: ID!\n  f', s_nationkey, '(a: Int,\n    b: Int): String\n}\ntype Query { t', s_suppkey, ': T', s_suppkey, ' }\n')"
+_RESOLVERS = (
+    "concat('class R', p_partkey, ' {\n  @DgsData(\n    parentType = \"P', p_size, '\",\n    field = \"f', p_partkey, '\"\n  )\n  public int get', p_partkey, '() { return 1; } @DgsMutation public int add', p_partkey, '() { return 2; }\n}\n')"
+)
+_OPERATION = "concat('export const Q', c_custkey, ' = gql`\n  query Get', c_custkey, ' {\n    first', c_nationkey, ' {\n      inner\n    }\n    second\n  }\n`\n')"
+
+
+def _made_files(spark: SparkSession, sf: str, name: str, key: str, ending: str, language: str, text: str) -> DataFrame:
+    path = F.concat(F.lit("src/"), F.col(key).cast("string"), F.lit(f".{ending}"))
+    return table(spark, sf, name).select(F.lit("m").alias("module"), path.alias("file_path"), F.lit(language).alias("language"), F.col(key).cast("int").alias("file_ord"), F.expr(text.replace("\n", "\\n")).alias("text"))
+
+
+@query("scan_graphql", """
+    SELECT concat('src/', s_suppkey, '.graphql') AS file_path, x.* FROM supplier, LATERAL (
+        SELECT 'graphql-type' AS kind, concat('T', s_suppkey) AS name, CAST(NULL AS INT) AS parent_ord, 1 AS start_line, 4 AS end_line
+        UNION ALL SELECT 'field', 'id', 0, 1, 1 UNION ALL SELECT 'field', concat('f', s_nationkey), 0, 2, 3 UNION ALL SELECT 'query', concat('t', s_suppkey), NULL, 5, 5) x""")
+def scan_graphql(spark, sf):
+    return code.extract_symbols(_made_files(spark, sf, "supplier", "s_suppkey", "graphql", "graphql", _SDL)).select("file_path", "kind", "name", "parent_ord", "start_line", "end_line")
+
+
+@query("graphql_resolvers", """
+    SELECT name, operation_type, field_name, parent_type FROM part, LATERAL (
+        SELECT concat('get', p_partkey) AS name, 'query' AS operation_type, concat('f', p_partkey) AS field_name, concat('P', p_size) AS parent_type
+        UNION ALL SELECT concat('add', p_partkey), 'mutation', concat('add', p_partkey), 'Mutation') x""")
+def graphql_resolvers(spark, sf):
+    n = ingest.ingest(code.extract_symbols(_made_files(spark, sf, "part", "p_partkey", "java", "java", _RESOLVERS)))
+    return n["graphql_resolvers"].join(n["nodes"].select(F.col("id").alias("node_id"), "name"), "node_id").select("name", "operation_type", "field_name", "parent_type")
+
+
+@query("graphql_operations", "SELECT concat('Q', c_custkey) AS name, 'query' AS operation_type, concat('first', c_nationkey, ',second') AS fields FROM customer")
+def graphql_operations(spark, sf):
+    n = ingest.ingest(code.extract_symbols(_made_files(spark, sf, "customer", "c_custkey", "tsx", "tsx", _OPERATION)))
+    named = n["nodes"].select(F.col("id").alias("node_id"), "name")
+    return n["graphql_operations"].join(named, "node_id").select("name", "operation_type", F.array_join("fields", ",").alias("fields"))
+
+
+_BUILD = {
+    "maven": "concat('<project><properties><own.version>1.', p_size, '</own.version></properties><dependencies><dependency><groupId>g.', p_size, '</groupId><artifactId>a', p_partkey, '</artifactId><version>$', '{own.version}</version><scope>test</scope></dependency></dependencies></project>')",
+    "gradle": "concat('dependencies {\n  implementation \"g.', p_size, ':a', p_partkey, ':2.', p_size, '\"\n}\n')",
+    "sbt": "concat('libraryDependencies += \"g.', p_size, '\" %% \"a', p_partkey, '\" % \"3.', p_size, '\"\n')",
+    "npm": "concat('{\"dependencies\": {\"a', p_partkey, '\": \"^4.', p_size, '\"}}')",
+}
+
+
+@query("build_dependencies", """
+    SELECT concat('m', p_partkey, '/build') AS path, ['maven', 'gradle', 'sbt', 'npm'][p_partkey % 4 + 1] AS ecosystem, CASE WHEN p_partkey % 4 = 3 THEN concat('a', p_partkey) ELSE concat('g.', p_size, ':a', p_partkey) END AS artifact,
+           concat(p_partkey % 4 + 1, '.', p_size) AS version, CASE WHEN p_partkey % 4 = 0 THEN 'test' ELSE 'compile' END AS scope FROM part""")
+def build_dependencies(spark, sf):
+    kinds = list(_BUILD)
+    which = F.col("p_partkey") % 4
+    text = F.coalesce(*[F.when(which == i, F.expr(_BUILD[k].replace("\n", "\\n"))) for i, k in enumerate(kinds)])
+    files = table(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("/build")).alias("path"), F.element_at(F.array(*[F.lit(k) for k in kinds]), which.cast("int") + 1).alias("ecosystem"), text.alias("text"))
+    return build_files.dependencies(files).select("path", "ecosystem", "artifact", "version", "scope")
+
+
 @query("module_summary", """
     SELECT p_brand AS module, count(*) AS total_files, 3 * count(*) AS total_symbols, string_agg(concat('P', p_partkey), ',' ORDER BY concat('src/P', p_partkey, '.java')) AS public_classes, count(*) AS public_methods,
            '@GetMapping,@Service' AS annotations, string_agg(concat('GET /p', p_size, ' P', p_partkey, '.op', p_size), ',' ORDER BY concat('src/P', p_partkey, '.java')) AS endpoints,
