@@ -127,15 +127,15 @@ def calls(t: dict[str, DataFrame], of: DataFrame | None = None) -> DataFrame:
     plain = _names(t).unqualified(sites.where(~has))
     called = sites.where(has)
     # The receiver's class: its name, its name with a capital, or a class whose name ends so. Every ending of a
-    # class name is a row, so that this is an equal join as well.
-    receivers = called.select("receiver").distinct()
+    # class name is a row, and a receiver asks by three keys, so that this is one equal join.
+    way = lambda tag, key, rank: F.struct(F.lit(tag).alias("tag"), key.alias("key"), F.lit(rank).alias("way"))
+    receiver = F.col("receiver")
+    keys = called.select("receiver").distinct().select("receiver", F.inline(F.array(way("name", receiver, 0), way("name", capitalized(receiver), 1), way("end", F.lower(receiver), 2))))
     named = n.select(F.col("id").alias("cand"), F.col("name").alias("cand_name"), F.col("module").alias("cand_module"), "kind")
-    ends = named.where(F.col("kind").isin("class", "interface", "component")).select("cand", "cand_module", F.explode(F.transform(F.sequence(F.lit(1), F.length("cand_name")), lambda k: F.lower(F.substring(F.col("cand_name"), k, F.length("cand_name"))))).alias("ending"))
-    cands = (
-        receivers.join(named, F.col("receiver") == F.col("cand_name")).select("receiver", "cand", "cand_module", F.lit(0).alias("way"))
-        .union(receivers.join(named, capitalized(F.col("receiver")) == F.col("cand_name")).select("receiver", "cand", "cand_module", F.lit(1)))
-        .union(receivers.join(ends, F.lower("receiver") == F.col("ending")).select("receiver", "cand", "cand_module", F.lit(2)))
-    )
+    endings = F.transform(F.sequence(F.lit(1), F.length("cand_name")), lambda k: F.struct(F.lit("end").alias("tag"), F.lower(F.substring(F.col("cand_name"), k, F.length("cand_name"))).alias("key")))
+    typed = F.col("kind").isin("class", "interface", "component") & (F.length("cand_name") > 0)
+    known = F.concat(F.array(F.struct(F.lit("name").alias("tag"), F.col("cand_name").alias("key"))), F.when(typed, endings).otherwise(F.array().cast("array<struct<tag:string,key:string>>")))
+    cands = keys.join(named.select("cand", "cand_module", F.inline(known)), ["tag", "key"])
     cands = cands.groupBy("receiver", "cand", "cand_module").agg(F.min("way").alias("way"))
     kids = n.where("parent_id is not null").groupBy(F.col("parent_id").alias("cand"), F.col("name").alias("want")).agg(F.min("id").alias("target_id"))
     # The best class of each receiver and method in each module, and in all; a class of the caller's own module goes first.
