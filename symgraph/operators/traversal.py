@@ -171,12 +171,16 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
 
     A node belongs to the first seed that reaches it: what an earlier seed reached blocks
     later ones. A seed that was reached already keeps its place and is expanded nevertheless. At most ten
-    seeds, two levels each; only each new frontier is written.
+    seeds, two levels each. What all of them can reach is gathered at once, and the seeds are replayed over it in
+    order where it is SMALL, as counted; beyond that each new frontier is written, seed by seed.
     """
     spark = edges.sparkSession
     kind = seeds.schema["node"].dataType.simpleString()
     order = seeds.orderBy("seed_rank").limit(10).collect()  # ten rows at most
     near = materialize(edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("node")).union(edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("node"))).distinct(), "steps")
+    pairs = _around(near, seeds.select("node"), depth)
+    if pairs is not None:
+        return spark.createDataFrame(_replayed(pairs, [(r["node"], r["seed_rank"]) for r in order], depth), f"node {kind}, depth int, seed_rank int")
     found: list[DataFrame] = []
     reached: set = set()  # those of the ten seeds that were reached so far
     for row in order:
@@ -203,6 +207,34 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
     return out
 
 
+def _around(near: DataFrame, seeds: DataFrame, depth: int) -> list | None:
+    """All (at, node) that walks of so many steps from the seeds take together, or None where they are more than SMALL."""
+    pairs, frontier, total = [], seeds, 0
+    for _ in range(depth):
+        step = materialize(near.join(F.broadcast(frontier.select(F.col("node").alias("from"))), F.col("at") == F.col("from"), "left_semi"), "around")
+        total += step.count()  # read from the files' footers, ahead of any row
+        if total > SMALL:
+            return None
+        pairs += [(r.at, r.node) for r in step.collect()]
+        frontier = step.select("node").distinct()
+    return pairs
+
+
+def _replayed(pairs: list, order: list, depth: int) -> list[tuple]:
+    """(node, depth, seed_rank): the seeds expanded one after another over pairs(at, node)."""
+    beside: dict = {}
+    for at, node in pairs:
+        beside.setdefault(at, set()).add(node)
+    visited: dict = {}
+    for seed, rank in order:
+        visited.setdefault(seed, (0, rank))
+        frontier = {seed}
+        for step in range(1, depth + 1):
+            frontier = {n for at in frontier for n in beside.get(at, ()) if n not in visited}
+            visited.update((n, (step, rank)) for n in frontier)
+    return [(n, d, r) for n, (d, r) in visited.items()]
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, name, kind, module, direction, edge_kind, other): a row for each edge at either end of a node, one for a node without any.
 
