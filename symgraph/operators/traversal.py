@@ -13,6 +13,8 @@ MAX_DEPTH = 10
 CALLS = ("calls",)
 #: Nodes of a frontier that are few enough to send to every task.
 SMALL = 100_000
+#: Edges around ten seeds that are few enough to replay on the driver, some 100 MB.
+GATHERED = 500_000
 
 
 def steps(edges: DataFrame, reverse: bool = False, kinds: tuple[str, ...] | None = None, both: bool = False) -> DataFrame:
@@ -172,7 +174,7 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
     A node belongs to the first seed that reaches it: what an earlier seed reached blocks
     later ones. A seed that was reached already keeps its place and is expanded nevertheless. At most ten
     seeds, two levels each. What all of them can reach is gathered at once, and the seeds are replayed over it in
-    order where it is SMALL, as counted; beyond that each new frontier is written, seed by seed.
+    order where it is at most GATHERED edges, as counted; beyond that each new frontier is written, seed by seed.
     """
     spark = edges.sparkSession
     kind = seeds.schema["node"].dataType.simpleString()
@@ -208,14 +210,15 @@ def expand_seeds(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
 
 
 def _around(near: DataFrame, seeds: DataFrame, depth: int) -> list | None:
-    """All (at, node) that walks of so many steps from the seeds take together, or None where they are more than SMALL."""
+    """All (at, node) that walks of so many steps from the seeds take together, or None where they are more than GATHERED."""
     pairs, frontier, total = [], seeds, 0
     for _ in range(depth):
         step = materialize(near.join(F.broadcast(frontier.select(F.col("node").alias("from"))), F.col("at") == F.col("from"), "left_semi"), "around")
         total += step.count()  # read from the files' footers, ahead of any row
-        if total > SMALL:
+        if total > GATHERED:
             return None
-        pairs += [(r.at, r.node) for r in step.collect()]
+        held = step.select("at", "node").toArrow()
+        pairs += zip(held.column(0).to_pylist(), held.column(1).to_pylist())
         frontier = step.select("node").distinct()
     return pairs
 

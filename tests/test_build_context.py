@@ -44,10 +44,10 @@ def test_context_equals_a_brute_force_walk(spark, tmp_path):
     assert (0, "part:1") in {(d, n) for _, d, n in got} and (1, "order:5") in {(d, n) for _, d, n in got}
 
 
-@pytest.mark.parametrize("small", [100_000, 3])
+@pytest.mark.parametrize("small", [500_000, 3])
 def test_a_seed_that_was_reached_is_expanded(spark, monkeypatch, small):
     """Chain 1-2-3-4-5-6: seed 1 reaches 2 and 3; seed 3 goes on from there under its own rank."""
-    monkeypatch.setattr(traversal, "SMALL", small)
+    monkeypatch.setattr(traversal, "GATHERED", small)
     edges = spark.createDataFrame([(i, i + 1, "calls") for i in range(1, 6)], "source_id long, target_id long, kind string")
     seeds = spark.createDataFrame([(1, 0), (3, 1)], "node long, seed_rank int")
     got = sorted((r.node, r.depth, r.seed_rank) for r in traversal.expand_seeds(edges, seeds).collect())
