@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, decontaminate, minhash, secrets, toxicity
+from symgraph.llm import bpe, decontaminate, near_copies, secrets, toxicity
 from symgraph.session import ship
 from symgraph.storage import materialize
 from symgraph.tables import table
@@ -48,7 +48,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     ship(spark)
     docs, back = _aside(docs, "__kept")
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = near_copies.near_copies(docs.select("doc_id", "text"))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").withColumnsRenamed(back)
 

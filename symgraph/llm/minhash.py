@@ -119,14 +119,8 @@ def _compare(members: DataFrame, sets: DataFrame, least: float, tile: int) -> Da
     return by_task(keyed.join(sets, "digest").select("task", "digest", "home", "right", "same", "shingles"), search)
 
 
-def near_pairs(distinct: DataFrame, docs: DataFrame, least: float, words: int, tile: int = 500) -> DataFrame:
-    """Links (a, b) between digests of distinct(digest, first, bands) that join all candidates of similarity `least`.
-
-    Bands are searched in ROUNDS: after each, buckets whose members are all joined go, so
-    that sets of near copies travel for the first bands only. Texts of candidates are taken
-    from docs(id, text) by the id `first`, so only theirs move.
-    """
-    members = _members(distinct)
+def shingle_sets(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(digest, shingles) of members(first, ..) among others, from the texts of docs(id, text) with the ids `first`."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -135,7 +129,18 @@ def near_pairs(distinct: DataFrame, docs: DataFrame, least: float, words: int, t
 
     wanted = members.select(F.col("first").alias("__first")).distinct()
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("__first")), "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(batches, "digest long, shingles binary").dropDuplicates(["digest"]), "shingle-sets")
+    return materialize(texts.mapInArrow(batches, "digest long, shingles binary").dropDuplicates(["digest"]), "shingle-sets")
+
+
+def near_pairs(distinct: DataFrame, docs: DataFrame, least: float, words: int, tile: int = 500) -> DataFrame:
+    """Links (a, b) between digests of distinct(digest, first, bands) that join all candidates of similarity `least`.
+
+    Bands are searched in ROUNDS: after each, buckets whose members are all joined go, so
+    that sets of near copies travel for the first bands only. Texts of candidates are taken
+    from docs(id, text) by the id `first`, so only theirs move.
+    """
+    members = _members(distinct)
+    sets = shingle_sets(members, docs, words)
     links = None
     for lo, hi in ROUNDS:
         mine = members.where((F.col("band") >= lo) & (F.col("band") < hi)).select("digest", "bucket")

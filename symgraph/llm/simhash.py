@@ -89,7 +89,8 @@ class GrayIndex:
 
     def __init__(self, codes: np.ndarray, shared: np.uint64):
         """shared: the bits on which all members are known to agree (the root's mask)."""
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.codes = codes[self.order]
         every = ~np.uint64(0)
         levels = [(np.full(len(self.codes), every), self.codes)]
         while len(levels[-1][0]) > 1:
@@ -102,14 +103,14 @@ class GrayIndex:
         self.levels = levels
         self.shared = shared
 
-    def search(self, queries: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, most: int, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (query, code) of pairs that differ in at most `most` bits."""
-        step = max(1, FRONTIER // (FANOUT * 16))
+        step = max(1, frontier // (FANOUT * 16))
         for lo in range(0, len(queries), step):
             q = np.arange(lo, min(lo + step, len(queries)))
-            yield from self._down(queries, q, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.full(len(q), self.shared), len(self.levels) - 1, most)
+            yield from self._down(queries, q, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.full(len(q), self.shared), len(self.levels) - 1, most, frontier)
 
-    def _down(self, queries, q, node, spent, settled, level, most):
+    def _down(self, queries, q, node, spent, settled, level, most, frontier):
         mask, pattern = self.levels[level]
         fresh = mask[node] & ~settled
         spent = spent + np.bitwise_count((queries[q] ^ pattern[node]) & fresh)
@@ -120,11 +121,11 @@ class GrayIndex:
                 yield q, node
             return
         below = len(self.levels[level - 1][0])
-        for lo in range(0, len(q), FRONTIER // FANOUT):
-            part = slice(lo, lo + FRONTIER // FANOUT)
+        for lo in range(0, len(q), frontier // FANOUT):
+            part = slice(lo, lo + frontier // FANOUT)
             kids = (node[part, None] * FANOUT + np.arange(FANOUT)).ravel()
             real = kids < below
-            yield from self._down(queries, np.repeat(q[part], FANOUT)[real], kids[real], np.repeat(spent[part], FANOUT)[real], np.repeat(settled[part], FANOUT)[real], level - 1, most)
+            yield from self._down(queries, np.repeat(q[part], FANOUT)[real], kids[real], np.repeat(spent[part], FANOUT)[real], np.repeat(settled[part], FANOUT)[real], level - 1, most, frontier)
 
 
 def _segments(parts: int) -> list[tuple[int, int]]:
