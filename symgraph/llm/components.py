@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.storage import discard, materialize
+from symgraph.storage import discard, files_for, materialize
+
+#: Links or labels in one file, where their number is known.
+ROWS = 100_000
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -34,6 +37,50 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
+
+def contracted_components(edges: DataFrame, about: int, max_rounds: int = 64) -> DataFrame:
+    """As connected_components, for edges of which most lead to few nodes: each round goes on with what lies between the groups of the last.
+
+    A node points at its least neighbour if that is smaller, pointers are followed to their
+    ends, and edges become edges between these ends. A node that no pointer leads to has a
+    smaller neighbour in the next round, so two rounds halve the nodes at least. about is
+    the number of edges, roughly: tables come in as few files as their rows fill.
+    """
+    ends = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+    edges = edges.where("a is not null and b is not null and a <> b").select(*ends("a", "b")).distinct()
+    edges = materialize(edges, "edges", files=files_for(about, ROWS))
+    levels: list[DataFrame] = []
+    for _ in range(max_rounds):
+        rows = edges.count()
+        if not rows and levels:
+            break
+        files = files_for(rows, ROWS)
+        tops = materialize(edges.groupBy("a").agg(F.min("b").alias("top")).select(F.col("a").alias("node"), "top"), "tops", files=files)
+        moved = rows
+        while moved:
+            above = tops.select(F.col("node").alias("up"), F.col("top").alias("over"))
+            jumped = materialize(tops.join(above, tops.top == above.up, "left").select("node", F.col("top").alias("was"), F.coalesce("over", "top").alias("top")), "tops", files=files)
+            moved = jumped.where("was <> top").limit(1).count()
+            discard(tops)
+            tops = jumped.select("node", "top")
+        levels.append(tops)
+        if not rows:
+            break
+        low = tops.select(F.col("node").alias("low"), F.col("top").alias("low_top"))
+        between = edges.join(tops, edges.a == tops.node).join(low, edges.b == low.low, "left").select(*ends(F.col("top"), F.coalesce("low_top", "b"))).where("a <> b").distinct()
+        between = materialize(between, "edges", files=files)
+        discard(edges)
+        edges = between
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    labels = levels.pop()
+    while levels:
+        under, above = levels.pop(), labels.select(F.col("node").alias("up"), F.col("top").alias("over"))
+        labels = labels.union(under.join(above, under.top == above.up, "left").select("node", F.coalesce("over", "top").alias("top")))
+    labels = labels.select("node", F.col("top").alias("component"))
+    return labels.union(labels.select("component", "component").distinct())
+
+
 def local_forest(a, b):
     """A spanning forest of the pairs (a, b), numpy arrays of integers: pairs (node, root)."""
     import numpy as np

@@ -119,8 +119,8 @@ def _compare(members: DataFrame, sets: DataFrame, least: float, tile: int) -> Da
     return by_task(keyed.join(sets, "digest").select("task", "digest", "home", "right", "same", "shingles"), search)
 
 
-def shingle_sets(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(digest, shingles) of members(first, ..) among others, from the texts of docs(id, text) with the ids `first`."""
+def shingle_sets(members: DataFrame, docs: DataFrame, words: int, files: int | None = None) -> DataFrame:
+    """(digest, shingles) of members(first, ..) among others, from the texts of docs(id, text) with the ids `first`; in at most `files` files."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -129,7 +129,7 @@ def shingle_sets(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     wanted = members.select(F.col("first").alias("__first")).distinct()
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("__first")), "left_semi").select("text")
-    return materialize(texts.mapInArrow(batches, "digest long, shingles binary").dropDuplicates(["digest"]), "shingle-sets")
+    return materialize(texts.mapInArrow(batches, "digest long, shingles binary").dropDuplicates(["digest"]), "shingle-sets", files=files)
 
 
 def near_pairs(distinct: DataFrame, docs: DataFrame, least: float, words: int, tile: int = 500) -> DataFrame:

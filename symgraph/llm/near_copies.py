@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symgraph.llm.components import connected_components, local_forest
+from symgraph.llm.components import ROWS, contracted_components, local_forest
 from symgraph.llm.minhash import _compare, _digest, shingle_set, shingle_sets
 from symgraph.llm.simhash import GrayIndex, _segments, by_task
-from symgraph.storage import materialize
+from symgraph.storage import files_for, materialize
 
 WORDS, PARTS = 20, 5
 #: Bits in which candidates differ at most: in the fingerprint of their cell, and in that and the next.
@@ -34,6 +34,8 @@ MOST, BOTH = 16, 31
 TILE = 4000
 #: Pairs of a query and a node that a search holds at once.
 SEARCHED = 50_000
+#: Sets, or their fingerprints, in one file; the tasks that search for them are as many at most.
+SETS = 1000
 #: Shingles whose bits are counted at once, in one byte each.
 PIECE = 255
 
@@ -175,12 +177,12 @@ def _crowded_cells(cells: DataFrame, crowded: DataFrame, tile: int) -> DataFrame
 
 def _candidates(distinct: DataFrame, tile: int) -> DataFrame:
     """Links (a, b) between digests that join all candidates, a spanning forest of each cell."""
-    cells = _cells(distinct)
-    found = materialize(_open_cells(cells, tile), "candidates")
+    cells, files = _cells(distinct), files_for(distinct.count(), SETS)
+    found = materialize(_open_cells(cells, tile), "candidates", files=files)
     links, crowded = found.where("a is not null").select("a", "b"), found.where("crowded is not null").select("crowded")
     if crowded.isEmpty():
         return links
-    return links.union(materialize(_crowded_cells(cells, crowded, tile), "candidates"))
+    return links.union(materialize(_crowded_cells(cells, crowded, tile), "candidates", files=files))
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -193,22 +195,23 @@ def _stars(links: DataFrame) -> DataFrame:
     return least.select(ends.alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
 
-def _links(members: DataFrame, sets: DataFrame, least: float, tile: int) -> DataFrame:
-    """Links (a, b) of similarity `least` or more that join all such pairs inside the buckets of members(digest, bucket).
+def _links(members: DataFrame, sets: DataFrame, least: float, tile: int, most: int) -> DataFrame:
+    """Links (a, b) of similarity `least` or more that join all such pairs inside the buckets of members(digest, bucket), `most` or fewer.
 
     Tiles of a crowded bucket are compared first, each in itself, so that pairs of tiles
     find most of their members joined.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = materialize(members.join(sizes, "bucket").withColumn("home", F.col("digest")), "loose-groups")
+    placed = materialize(members.join(sizes, "bucket").withColumn("home", F.col("digest")), "loose-groups", files=files_for(most, ROWS))
+    files = files_for(placed.count(), SETS)
     own = F.pmod(F.xxhash64("digest"), F.col("tiles"))
-    links = materialize(_compare(placed.select("digest", "home", F.xxhash64("bucket", own).alias("bucket")), sets, least, 2 * tile), "set-links")
+    links = materialize(_compare(placed.select("digest", "home", F.xxhash64("bucket", own).alias("bucket")), sets, least, 2 * tile), "set-links", files=files)
     crowded = placed.where("tiles > 1").select("digest", "bucket")
     if crowded.isEmpty():
         return links
-    joined = connected_components(links)
+    joined = contracted_components(links, links.count())
     homed = crowded.join(joined, F.col("digest") == F.col("node"), "left").select("digest", "bucket", F.coalesce("component", "digest").alias("home"))
-    return links.union(materialize(_compare(homed, sets, least, tile), "set-links"))
+    return links.union(materialize(_compare(homed, sets, least, tile), "set-links", files=files))
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", cell_tile: int = TILE, set_tile: int = 500) -> DataFrame:
@@ -232,11 +235,13 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in marks], pa.int64()), pa.array([w for _, w in marks], pa.binary())], ["id", "digest", "words"])
 
     marked = materialize(docs.mapInArrow(batches, schema), "set-fingerprints")
-    distinct = materialize(marked.groupBy("digest").agg(F.min("id").alias("first"), F.first("words").alias("words")), "distinct-sets")
-    loose = connected_components(_stars(_candidates(distinct, cell_tile)))
+    distinct = materialize(marked.groupBy("digest").agg(F.min("id").alias("first"), F.first("words").alias("words")), "distinct-sets", files=files_for(marked.count(), SETS))
+    most, links = distinct.count(), _candidates(distinct, cell_tile)
+    loose = contracted_components(_stars(links), links.count())
     members = distinct.join(loose, F.col("digest") == F.col("node")).select("digest", "first", F.col("component").alias("bucket"))
-    sets = shingle_sets(members, docs, words)
-    joined = connected_components(_links(members.select("digest", "bucket"), sets, least, set_tile))
+    sets = shingle_sets(members, docs, words, files_for(most, SETS))
+    links = _links(members.select("digest", "bucket"), sets, least, set_tile, most)
+    joined = contracted_components(links, links.count())
     homes = distinct.join(joined, distinct.digest == joined.node, "left").select("digest", "first", F.coalesce("component", "digest").alias("root"))
     names = homes.groupBy("root").agg(F.min("first").alias("component"))
     named = homes.join(names, "root").select(F.col("digest").alias("d"), "component")

@@ -8,6 +8,7 @@ with the expression itself. A rule without a mandatory trigram scans every docum
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -101,8 +102,9 @@ def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, mask): bit i is set where the postings of some alternative of rule i intersect in that document."""
     spark = postings.sparkSession
-    wanted = [(g, i, j, len(clause)) for i, r in enumerate(rules) for j, clause in enumerate(trigram_query(r.pattern)) for g in clause]
-    plan = F.broadcast(spark.createDataFrame(wanted, "trigram string, rule int, clause int, need int"))  # a few rows per rule
+    wanted = [{"trigram": g, "rule": i, "clause": j, "need": len(clause)} for i, r in enumerate(rules) for j, clause in enumerate(trigram_query(r.pattern)) for g in clause]
+    # A few rows per rule, out of a literal: rows handed over by createDataFrame start Python workers on the executors.
+    plan = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(wanted)), "array<struct<trigram:string,rule:int,clause:int,need:int>>"))))
     return (
         postings.distinct().join(plan, "trigram")
         .groupBy("id", "rule", "clause", "need").agg(F.count("*").alias("n"))

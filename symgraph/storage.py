@@ -28,11 +28,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+def files_for(rows: int, each: int) -> int:
+    """How many files hold so many rows, `each` of them in one."""
+    return max(1, -(-rows // each))
+
+
+def materialize(df: DataFrame, name: str, codec: str | None = None, files: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
-    codec is Parquet's, where the session's own is not wanted.
+    codec is Parquet's, where the session's own is not wanted. files bounds their number, and
+    that of the tasks which write them, where the rows are known to be few: else each shuffle
+    partition writes one, unless adaptive execution merges them. A bound above the partitions changes nothing.
     """
+    if files is not None:
+        df = df.coalesce(files)
     path = fresh_path(df.sparkSession, name)
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

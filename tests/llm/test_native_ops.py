@@ -113,3 +113,13 @@ def test_base_digest_matches_hashlib(spark, sf):
 
     row = op2_secret_scan(spark, sf).where("spans = ''").first()
     assert row is None or row.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_rules_reach_the_candidates_without_python_workers(spark):
+    docs = _docs(spark, TEXTS)
+    postings = spark.range(3).select(F.col("id"), F.lit("akia").alias("trigram"))
+    plan = secrets.candidates(postings)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    known = (r for r in secrets.candidates(secrets.trigram_index(docs)).collect())
+    assert any(r.mask for r in known)
+    assert secrets.candidates(postings, (secrets.BASE[2],)).count() == 0  # no rule with a trigram

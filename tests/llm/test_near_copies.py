@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from symgraph.llm import near_copies, simhash
+from symgraph import storage
+from symgraph.llm import components, minhash, near_copies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -89,3 +90,57 @@ def test_pairs_at_the_bound_share_a_cell_and_stay_within_its_bits(left, right, b
         agree = [(apart & np.uint64(((1 << w) - 1) << a)) == 0 for a, w in simhash._segments(near_copies.PARTS)]
         found += bool((np.any(agree, axis=0) & (bits <= near_copies.MOST) & (bits + np.roll(bits, -1) <= near_copies.BOTH)).any())
     assert found >= share * 2000
+
+
+def test_small_tables_come_in_few_files_however_many_shuffle_partitions(spark, monkeypatch):
+    written = []
+
+    def counted(df, name, *args, **more):
+        got = storage.materialize(df, name, *args, **more)
+        written.append((name, len(got.inputFiles())))
+        return got
+
+    for module in (components, minhash, near_copies):
+        monkeypatch.setattr(module, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = _rows()[:120]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = near_copies.near_copies(spark.createDataFrame(rows, SCHEMA), set_tile=2).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component for r in got} == _least_ids(rows)
+    made = [n for name, n in written if name != "set-fingerprints"]  # as many as the input's partitions
+    assert len(made) > 10 and max(made) == 1
+
+
+def test_bound_on_files_grows_with_the_rows():
+    assert [storage.files_for(n, 1000) for n in (0, 1, 1000, 1001, 46_000)] == [1, 1, 1, 2, 46]
+
+
+def test_contracted_components_equal_those_of_the_plain_loop(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1080)] + [(2000 + i, 3000) for i in range(40)] + [(5, 5), (None, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = {r.node: r.component for r in components.connected_components(edges).collect()}
+    got = components.contracted_components(edges, len(pairs)).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components.contracted_components(edges.limit(0), 0).count() == 0
+
+
+def test_rounds_join_what_lies_between_groups_only(spark, monkeypatch):
+    """A hub of many members costs its links once, not once for each round that a chain beside it takes."""
+    joined = []
+
+    def counted(df, name, *args, **more):
+        got = storage.materialize(df, name, *args, **more)
+        joined.append((name, got.count()))
+        return got
+
+    monkeypatch.setattr(components, "materialize", counted)
+    pairs = [(i, 0) for i in range(1, 500)] + [(1001 + i, 1000 + i * 37 % 64) for i in range(64)]
+    components.contracted_components(spark.createDataFrame(pairs, "a long, b long"), len(pairs)).count()
+    assert sum(n for name, n in joined if name == "edges") <= 2 * len(pairs)
