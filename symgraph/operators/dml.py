@@ -13,9 +13,9 @@ def keep_one(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def first_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Insert or ignore: the earliest write of a key stays, metadata included."""
-    return keep_one(rows, keys, [F.col(seq).asc()])
+def first_wins(rows: DataFrame, keys: list[str], *seq: str) -> DataFrame:
+    """Insert or ignore: the earliest write of a key stays, metadata included; each further column of seq settles the ties of those before it."""
+    return keep_one(rows, keys, [F.col(c).asc() for c in seq])
 
 
 def last_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
