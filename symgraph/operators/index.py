@@ -1,19 +1,24 @@
 """A full-text index in segments, its postings in blocks of similar impact, so that a search reads few of them.
 
 A segment is never changed. Postings are rows (term, block, id, dl, tf, places) sorted by term and
-block, where the block is the posting's share of the BM25 score in steps of 1 / LEVELS: the best
-postings of a term lie together. A directory keeps each block's number of postings, greatest tf and
-smallest length, which bound its score whatever documents come later. What is removed is a row
+block in each file, where the block is the posting's share of the BM25 score in steps of 1 / LEVELS:
+the best postings of a term lie together. Files are made where their documents are read: postings are
+several times the texts as rows, and no shuffle moves them. A directory keeps each block's number of
+postings in a file, greatest tf and smallest length, which bound its score whatever documents come later. What is removed is a row
 (id, last segment that it holds for), and its terms are counted down, so that statistics are those of
 an index made anew. More than SEGMENTS segments are merged into one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +41,37 @@ def _share_of(tf: float, dl: float, avgdl: float) -> float:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _length(columns: list[str]) -> Column:
+    """The number of a document's words."""
+    return reduce(lambda a, b: a + b, [F.size(search_tokens(F.col(c))) for c in columns]).cast("long")
+
+
 def _terms(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(id, dl, term, places) of every document and term, dl also where there is no term."""
+    """(id, dl, term, places) of every document and term, in the partitions of docs.
+
+    A document's words are sorted in its row, and each stretch of one word becomes a row: no
+    shuffle brings together what one row holds. Steps are columns of their own, so that none is computed once for each word.
+    """
     placed = lambda c, k: F.transform(search_tokens(F.col(c)), lambda w, i: F.struct(w.alias("term"), (i.cast("long") + k * COLUMN).alias("place")))
-    held = [placed(c, k) for k, c in enumerate(columns)]
-    rows = docs.select(F.col(id_col).alias("id"), F.concat(*held).alias("held"))
-    rows = rows.select("id", F.size("held").cast("long").alias("dl"), F.explode_outer("held").alias("t"))
-    return rows.groupBy("id", "dl", "t.term").agg(F.sort_array(F.collect_list("t.place")).alias("places"))
+    held = docs.select(F.col(id_col).alias("id"), F.sort_array(F.concat(*[placed(c, k) for k, c in enumerate(columns)])).alias("held"))
+    at = lambda i: F.col("held")[i]["term"]
+    heads = F.filter(F.sequence(F.lit(0), F.size("held") - 1), lambda i: (i == 0) | (at(i) != at(F.greatest(i - 1, F.lit(0)))))
+    cut = held.select("id", "held", F.when(F.size("held") > 0, heads).alias("heads"))
+    places = lambda i, k: F.transform(F.slice("held", i + 1, F.coalesce(F.get("heads", k + 1), F.size("held")) - i), lambda t: t["place"])
+    each = F.transform("heads", lambda i, k: F.struct(at(i).alias("term"), places(i, k).alias("places")))
+    return cut.select("id", F.size("held").cast("long").alias("dl"), F.explode(each).alias("t")).select("id", "dl", "t.term", "t.places")
+
+
+def _summed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, block, n, tf, dl) of every stretch of one term and block among sorted postings; a stretch ends with its batch."""
+    for batch in stream:
+        if batch.num_rows:
+            term, block, tf, dl = batch.columns
+            other = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(block[1:], block[:-1]))
+            heads = np.concatenate(([0], np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1))
+            n = np.diff(heads, append=batch.num_rows)
+            at = pa.array(heads)
+            yield pa.RecordBatch.from_arrays([term.take(at), block.take(at), pa.array(n), pa.array(np.maximum.reduceat(tf.to_numpy(), heads)), pa.array(np.minimum.reduceat(dl.to_numpy(), heads))], ["term", "block", "n", "tf", "dl"])
 
 
 @dataclass
@@ -71,35 +100,34 @@ class Index:
     def _put(self, name: str, rows: DataFrame) -> None:
         self.tables[name] = self.tables[name].select(rows.columns).union(rows) if name in self.tables else rows
 
-    def _write(self, terms: DataFrame, docs: int, dl: int) -> None:
-        """One more segment of terms(id, dl, term, places)."""
-        avgdl = max(dl / docs, 1.0) if docs else 1.0
+    def _write(self, terms: DataFrame, docs: int, avgdl: float) -> None:
+        """One more segment of terms(id, dl, term, places); blocks are cut by avgdl, an estimate of their documents' length."""
         tf = F.size("places")
         rows = terms.select(F.lit(self.segments).alias("segment"), "term", F.floor(_share(tf, F.col("dl"), avgdl) * LEVELS).cast("int").alias("block"), "id", "dl", tf.alias("tf"), "places")
-        ranged = rows.repartitionByRange("term", "block", "id").sortWithinPartitions("term", "block", "id")
-        postings = materialize(ranged, f"segment-{self.segments}")
-        directory = postings.groupBy("segment", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+        postings = materialize(rows.sortWithinPartitions("term", "block", "id"), f"segment-{self.segments}", "zstd")
+        directory = postings.select("term", "block", "tf", "dl").mapInArrow(_summed, "term string, block int, n long, tf int, dl long").select(F.lit(self.segments).alias("segment"), "*")
+        dl = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("dl")).first().dl
         self._put("postings", postings)
-        self._put("directory", materialize(directory.repartitionByRange("term").sortWithinPartitions("term"), "directory"))
+        self._put("directory", materialize(directory, "directory", "zstd"))
         self._put("totals", materialize(self.spark.createDataFrame([(self.segments, docs, dl)], "segment int, docs long, dl long"), "totals"))
         self.segments += 1
 
     def add(self, docs: DataFrame) -> "Index":
         """Index more documents; an id that is in the index already has to be removed first."""
-        every = materialize(_terms(docs, self.id_col, self.columns), "terms")
-        sizes = every.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-        self._write(every.where("term is not null"), sizes.n, sizes.dl)
+        spaces = reduce(lambda a, b: a + b, [F.coalesce(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1, F.lit(0)) for c in self.columns])
+        sizes = docs.agg(F.count("*").alias("n"), F.avg(spaces).alias("dl")).first()
+        self._write(_terms(docs, self.id_col, self.columns), sizes.n, max(sizes.dl or 0.0, 1.0))
         if self.segments > SEGMENTS:
             self._merge()
         return self
 
     def remove(self, docs: DataFrame) -> "Index":
         """Take documents out, given with their texts as they were indexed."""
-        every = materialize(_terms(docs, self.id_col, self.columns), "terms")
-        gone = every.groupBy("id").agg(F.first("dl").alias("dl"))
-        self._put("removed", materialize(gone.select("id", F.lit(self.segments - 1).alias("upto")), "removed"))
-        total = gone.select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("docs"), "dl").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "docs", "dl")])
-        terms = every.where("term is not null").groupBy("term").agg(F.count("*").alias("n")).select("term", "n", F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("dl"))
+        self._put("removed", materialize(docs.select(F.col(self.id_col).alias("id"), F.lit(self.segments - 1).alias("upto")), "removed"))
+        none = F.lit(0).cast("long")
+        total = docs.select(F.lit(None).cast("string").alias("term"), _length(self.columns).alias("dl")).groupBy("term").agg(none.alias("n"), F.count("*").alias("docs"), F.sum("dl").alias("dl"))
+        held = F.array_distinct(F.concat(*[search_tokens(F.col(c)) for c in self.columns]))
+        terms = docs.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n"), none.alias("docs"), none.alias("dl"))
         self._put("minus", materialize(terms.union(total).repartitionByRange("term").sortWithinPartitions("term"), "minus"))
         return self
 
@@ -113,7 +141,7 @@ class Index:
         alive = self._alive(self.tables["postings"]).select("id", "dl", "term", "places")
         docs, dl = self._totals()
         merged = Index(self.spark, self.id_col, self.columns)
-        merged._write(alive, docs, dl)
+        merged._write(alive, docs, max(dl / docs, 1.0) if docs else 1.0)
         self.tables, self.segments = merged.tables, merged.segments
 
     def _totals(self) -> tuple[int, int]:
