@@ -4,6 +4,7 @@ import os
 from urllib.parse import urlparse
 
 from symgraph.operators import index
+from symgraph.plans import catalog
 from symgraph.storage import shared_root
 
 ROWS = [(1, "b a b", "A ä"), (2, None, None), (3, "", "c"), (4, "x " * 300 + "y", None), (5, "—", "…")]
@@ -28,3 +29,10 @@ def test_building_leaves_the_tables_of_the_index_alone(spark):
     assert sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before) == ["directory", "segment-0", "totals"]
     assert [tuple(r) for r in built.tables["totals"].collect()] == [(0, 5, 307)]
     assert sorted((r.term, r.n, r.tf, r.dl) for r in built.tables["directory"].collect()) == [("a", 1, 3, 5), ("b", 1, 2, 5), ("c", 1, 1, 1), ("x", 1, 300, 301), ("y", 1, 1, 301)]
+
+
+def test_the_top_of_all_documents_leaves_the_index_alone(spark, sf):
+    root = urlparse(shared_root(spark)).path
+    before = set(os.listdir(root))
+    assert catalog.QUERIES["search_blocks_top"](spark, sf).count() == 20
+    assert sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before) == ["directory", "segment-0", "totals"]
